@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, task_count, text_of, written
+from .common import only, small_batches, task_count, text_of, written
 from .tokens import encoder
 
 LONGEST = 4096
@@ -37,6 +37,7 @@ def pieces(
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     last = np.array([end_id], "<u4").tobytes()
+    small_batches(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, drops_space)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, only, written
+from .common import only, small_batches, written
 from .components import connected_components
 
 SEED = 42
@@ -49,9 +49,9 @@ def covering_triples() -> list[tuple[int, int, int]]:
     return taken
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
-    """The unsigned 64-bit SimHash of one whole text."""
-    words = (text or "").encode().lower().split()  # on bytes: A-Z alone, ASCII white space alone
+def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
+    """The unsigned 64-bit SimHash of one whole text, given in UTF-8."""
+    words = (text or b"").lower().split()  # on bytes: A-Z alone, ASCII white space alone
     if not words:
         return 0
     joined = b" ".join(words)
@@ -84,7 +84,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "row_key", "fp"]
             )
 
-    rows = only(docs, "doc_id", "text").select("doc_id", row_key().alias("row_key"), "text")
+    small_batches(docs.sparkSession)
+    rows = only(docs, "doc_id", "text").select(
+        "doc_id", row_key().alias("row_key"), F.col("text").cast("string").cast("binary").alias("text")
+    )
     return rows.mapInArrow(batches, "doc_id long, row_key long, fp long")
 
 
@@ -256,5 +259,5 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
         .select(F.col("first.key").alias("_row_key"))
         .distinct()
     )
-    keyed = docs.withColumn("_row_key", row_key())
-    return keyed.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*[f"`{c}`" for c in docs.columns])
+    once = docs.withColumn("_row_key", row_key()).dropDuplicates(["_row_key"])
+    return once.join(kept, "_row_key", "left_semi").select(*[f"`{c}`" for c in docs.columns])
