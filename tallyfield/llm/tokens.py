@@ -1,28 +1,52 @@
-"""Token ids of whole texts by the tokenizers library, the same pieces encoded once.
+"""Token ids of whole texts by the tokenizers library, every repeated piece encoded once.
 
 A text is cut where no token can cross: for a tokenizer that drops white space, at
 ASCII white space; for a byte-level one, before each single space and around other
-white space, where its own pattern starts a new piece as well. Pieces repeat, so their
-ids are kept in a bounded table. Texts with white space outside ASCII, where the two
-notions could differ, go to the library as they are.
+white space, where its own pattern starts a new piece as well. A piece not seen before is cut again
+where letters meet other signs, which both kinds of tokenizer do too, and a run of letters goes straight
+to the tokenizer's merges. Pieces and runs repeat, so their ids are kept in bounded tables. Texts
+with white space outside ASCII, and pieces with an apostrophe, a dotted capital I (two signs
+in lower case) or signs beyond the Latin letters, where the notions could differ, go through the library's whole pipeline as they are.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from itertools import islice
+from array import array
 
-import numpy as np
+import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept in a worker before the table starts anew.
-KEPT_PIECES = 250_000
-#: Characters of text that are encoded at once.
-CHARS_AT_ONCE = 1_000_000
+#: Pieces, and runs within pieces, kept in a worker before their table starts anew.
+KEPT = 400_000
 _SPACED = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]")
+_RUNS = regex.compile(r" ?\p{L}+| ?[^\s\p{L}]+")
+#: Below this sign a text is its own composed form, and all libraries agree on what a letter is.
+_BEYOND_LATIN = "ɐ"
+
+
+def _byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: printable ones for themselves, others in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {b: chr(b) for b in plain}
+    return signs | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in signs)}
+
+
+class _Table(dict):
+    """A dict that makes what it lacks, and starts anew when it is full."""
+
+    def __init__(self, make: object):
+        self.make = make
+
+    def __missing__(self, key: object) -> bytes:
+        ids = self.make(key)  # type: ignore[operator]
+        if len(self) >= KEPT:
+            self.clear()
+        self[key] = ids
+        return ids
 
 
 class Encoder:
@@ -33,42 +57,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.drops_space = drops_space
-        self.known: dict = {}
-
-    def pieces(self, text: str) -> list:
+        self.signs = str.maketrans({chr(b): s for b, s in _byte_signs().items()})
+        self.pieces = _Table(self._piece)
+        self.runs = _Table(self._run)
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: bytes | str) -> bytes:
+        text = piece if isinstance(piece, str) else piece.decode()
+        if text.isascii() and text.isalpha():
+            return self.runs[text]
+        if "'" in text or "İ" in text or max(text) >= _BEYOND_LATIN or text[-1].isspace():
+            return self._whole(text)
+        return b"".join(map(self.runs.__getitem__, _RUNS.findall(text)))
+
+    def _run(self, run: str) -> bytes:
+        low = run.lower() if self.drops_space else run
+        if low.isascii() and low.isalpha():
+            return array("I", [t.id for t in self.model.tokenize(low)]).tobytes()
+        if not low[low[0] == " " :].isalpha():
+            return self._whole(run)
+        # as the byte-level step writes it
+        signs = low.encode().decode("latin-1").translate(self.signs)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def ids(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
-            return [text]
-        return text.encode().split() if self.drops_space else _SPACED.findall(text)
-
-    def _learn(self, new: list) -> None:
-        if len(self.known) + len(new) > KEPT_PIECES:
-            self.known.clear()
-        new.sort(key=len)
-        it = iter(new)
-        while part := list(islice(it, 4096 if len(new) > 64 else 64)):
-            texts = [p.decode() if isinstance(p, bytes) else p for p in part]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, "<u4").tobytes()
+            return self._whole(text)
+        cut = text.encode().lower().split() if self.drops_space else _SPACED.findall(text)
+        return b"".join(map(self.pieces.__getitem__, cut))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        start = 0
-        while start < len(texts):
-            stop, size = start, 0
-            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= CHARS_AT_ONCE):
-                size += len(texts[stop])
-                stop += 1
-            cut = [self.pieces(t) for t in texts[start:stop]]
-            every = set().union(*cut)
-            new = every.difference(self.known)
-            if len(self.known) + len(new) > KEPT_PIECES:  # the table starts anew with this part
-                new = every
-            if new:
-                self._learn(list(new))
-            out += [b"".join(map(self.known.__getitem__, c)) for c in cut]
-            start = stop
-        return out
+        return [self.ids(t) for t in texts]
 
 
 _ENCODERS: dict = {}
