@@ -28,7 +28,7 @@ SHARDS = 16
 #: More sources than this are refused: their totals pass through the driver and are broadcast.
 MOST_SOURCES = 50_000
 #: Rows that a cell of a distributed running sum holds on average.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 
 
 def targets_of(sizes: list[int], weights: list[float], passes: int = MOST_PASSES) -> list[float]:

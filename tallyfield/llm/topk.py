@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import batches_of, written
 from .tiles import is_sound, tiles, unpacked
 
 SCALE = 1024
@@ -101,7 +101,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE)
     numbers = candidates.select("tile", "dim").join(asked.select("q_tile", F.col("dim").alias("q_dim")), F.col("dim") == F.col("q_dim"))
     pairs = numbers.select("tile", "q_tile").repartition("tile", "q_tile")
     work = pairs.join(candidates.drop("copies"), "tile").join(asked.drop("dim"), "q_tile")
-    found = work.select("dim", "n", "ids", "data", "q_n", "q_ids", "q_data").mapInArrow(search, FOUND)
+    work = work.select("dim", "n", "ids", "data", "q_n", "q_ids", "q_data")
+    with batches_of(vectors.sparkSession, 4):  # a row holds two tiles
+        found = written(work.mapInArrow(search, FOUND), "found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
