@@ -20,8 +20,8 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces, and runs within pieces, kept in a worker before their table starts anew.
-KEPT = 800_000
+#: Pieces kept in a worker before their table starts anew; about 200 bytes each.
+KEPT = 1_500_000
 _SPACED = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: White space besides space, tab and line ends: what the two notions of it differ in.
 _ODD_SPACES = [chr(x) for x in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -69,53 +69,62 @@ class Encoder:
         self.drops_space = drops_space
         self.signs = str.maketrans({chr(b): s for b, s in _byte_signs().items()})
         self.space = _byte_signs()[32]
-        self.pieces = _Table(self._piece)
-        self.runs = _Table(self._run)
-        self.words = _Table(self._word)
+        #: Ids by piece; without its space where that always stands before it, and as bytes where space is dropped.
+        self.bare = _Table(self._bare)
+        self.words = _Table(self._lowered if drops_space else self._spaced)
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, piece: bytes | str) -> bytes:
-        text = piece if isinstance(piece, str) else piece.decode()
-        if text.isascii() and text.isalpha():
-            return self.runs[text]
-        if "'" in text or "İ" in text or max(text) >= _BEYOND_LATIN or text[-1].isspace():
-            return self._whole(text)
-        return b"".join(map(self.runs.__getitem__, _RUNS.findall(text)))
+    def _merged(self, signs: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def _lowered(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: ASCII letters
+            return self._merged(word.decode())
+        parts = self._parts(text := word.decode())
+        if len(parts) < 2:
+            return self._run(text) if parts else self._whole(text)
+        return b"".join([self.words[p.encode()] for p in parts])
+
+    def _spaced(self, word: str) -> bytes:
+        """What follows a single space up to the next one, the space included."""
+        if word.isascii() and word.isalpha():
+            return self._merged(self.space + word)
+        return self._bare(" " + word)
+
+    def _bare(self, text: str) -> bytes:
+        parts = self._parts(text)
+        if len(parts) < 2:
+            return self._run(text) if parts else self._whole(text)
+        return b"".join([self.words[p[1:]] if p[0] == " " else self.bare[p] for p in parts])
+
+    @staticmethod
+    def _parts(piece: str) -> list[str]:
+        """Runs of letters and of other signs; none where the piece must stay whole."""
+        if "'" in piece or "İ" in piece or max(piece) >= _BEYOND_LATIN or piece[-1].isspace():
+            return []
+        return _RUNS.findall(piece)
 
     def _run(self, run: str) -> bytes:
-        if not self.drops_space and run[0] == " " and run.isascii() and run[1:].isalpha():
-            return self.words[run[1:]]
         low = run.lower() if self.drops_space else run
-        if low.isascii() and low.isalpha():
-            return self._merged(low)
         if not low[low[0] == " " :].isalpha():
             return self._whole(run)
         # as the byte-level step writes it
         return self._merged(low.encode().decode("latin-1").translate(self.signs))
 
-    def _merged(self, signs: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """What follows a single space up to the next one, the space included."""
-        if word.isascii() and word.isalpha():
-            return self._merged(self.space + word)
-        return self._piece(" " + word)
-
     def ids(self, text: str) -> bytes:
         if _holds(text, _ODD_SPACES[:4] if text.isascii() else _ODD_SPACES):
             return self._whole(text)
         if self.drops_space:
-            return b"".join(map(self.pieces.__getitem__, text.encode().lower().split()))
+            return b"".join(map(self.words.__getitem__, text.encode().lower().split()))
         if _holds(text, _MANY_SPACES):
-            return b"".join(map(self.pieces.__getitem__, _SPACED.findall(text)))
+            return b"".join(map(self.bare.__getitem__, _SPACED.findall(text)))
         lines = []
         for line in text.split("\n"):
             first, *rest = line.split(" ")
-            lines.append((self.pieces[first] if first else b"") + b"".join(map(self.words.__getitem__, rest)))
-        return self.pieces["\n"].join(lines)
+            lines.append((self.bare[first] if first else b"") + b"".join(map(self.words.__getitem__, rest)))
+        return self.bare["\n"].join(lines)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [self.ids(t) for t in texts]
