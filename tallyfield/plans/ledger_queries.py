@@ -142,8 +142,8 @@ def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.distribution(work(spark, sf_dir), F.col("grade"), L.UNKNOWN)
 
 
-@query(f"""WITH {OPS}, s AS (SELECT 0 AS stage_no, 'gross_kg' AS stage, sum(gross_kg) AS kg FROM work UNION ALL SELECT 1, 'physical_kg', sum(physical_kg) FROM work
-    UNION ALL SELECT 2, 'calculated_kg', sum(calculated_kg) FROM work UNION ALL SELECT 3, 'conditioned_kg', sum(conditioned_kg) FROM work),
+@query(f"""WITH {OPS}, s AS (SELECT 0 AS stage_no, 'gross_kg' AS stage, CAST(sum(gross_kg) AS DECIMAL(28,7)) AS kg FROM work UNION ALL SELECT 1, 'physical_kg', CAST(sum(physical_kg) AS DECIMAL(28,7)) FROM work
+    UNION ALL SELECT 2, 'calculated_kg', CAST(sum(calculated_kg) AS DECIMAL(28,7)) FROM work UNION ALL SELECT 3, 'conditioned_kg', CAST(sum(conditioned_kg) AS DECIMAL(28,7)) FROM work),
     x AS (SELECT *, lag(kg) OVER (ORDER BY stage_no) AS b FROM s)
     SELECT stage_no, stage, {d('kg')}, {d('kg - b', 'change')}, round(CAST(kg - b AS DOUBLE) * 100 / CAST(b AS DOUBLE), 4) AS change_pct FROM x""")
 def weight_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:

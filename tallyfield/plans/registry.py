@@ -27,11 +27,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Decimals as doubles of four places: the form in which results are compared."""
-    shown = [F.round(F.col(f"`{f.name}`").cast("double"), 4).alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`") for f in df.schema]
+    """Decimals rounded to four places, exactly, then as doubles: the form in which results are compared."""
+    shown = [F.round(F.col(f"`{f.name}`"), 4).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f"`{f.name}`") for f in df.schema]
     return df.select(*shown)
 
 
 def d(expression: str, name: str | None = None) -> str:
     """The same form in SQL."""
-    return f"round(CAST({expression} AS DOUBLE), 4) AS {name or expression}"
+    return f"CAST(round({expression}, 4) AS DOUBLE) AS {name or expression}"
