@@ -52,7 +52,7 @@ RULES = [
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
 ]
 #: Every known sentence has one of these words, so a text without them needs no cutting.
-MARK = "(?i)licens|permi|software|redistribut"
+MARK = "(?i)licens|permi|software|redistribut|warrant"
 #: A sentence ends after . ! ? or : before white space, and at every line break.
 ENDS = r"[.!?:]+[ \t\r]|[\n\x0B\f]"
 

@@ -83,7 +83,7 @@ def _hypergeometric(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.
             share = own / rest
             spread = (n * share * (1 - share) * (rest - n) / (rest - 1)) ** 0.5
             k = round(n * share + spread * float(rng.standard_normal()))
-        k = min(max(k, n - (rest - own)), own, n)
+        k = min(max(k, 0, n - (rest - own)), own, n)
         out[i], n, rest = k, n - k, rest - own
     return out
 

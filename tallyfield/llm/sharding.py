@@ -84,6 +84,8 @@ def _cuts(points: DataFrame, names: list[str], nodes: dict[int, tuple[int, int]]
     found = points.groupBy("node").agg(F.sum("weight").alias("weight"), *widths).collect()
     state, cuts = {}, {}
     for r in found:
+        if r["node"] not in nodes:  # a leaf already
+            continue
         wide = max(range(len(names)), key=lambda i, r=r: r[names[i]])
         shards = nodes[r["node"]][1]
         state[r["node"]] = {"dim": wide, "all": r["weight"], "high": 0, "less": 0, "want": r["weight"] * (shards // 2) // shards}

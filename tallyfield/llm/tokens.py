@@ -21,7 +21,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept in a worker before their table starts anew; about 200 bytes each.
-KEPT = 1_500_000
+KEPT = 1_000_000
 _SPACED = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: White space besides space, tab and line ends: what the two notions of it differ in.
 _ODD_SPACES = [chr(x) for x in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
