@@ -66,7 +66,8 @@ def counts_by_code(found: DataFrame) -> DataFrame:
 def overall(found: DataFrame) -> DataFrame:
     """(total, status): all issues, and the worst severity or GREEN."""
     rank = F.min(severity_rank(F.col("severity")))
-    return found.agg(F.count("*").alias("total"), F.coalesce(F.element_at(F.array(*map(F.lit, SEVERITIES)), rank + 1), F.lit("GREEN")).alias("status"))
+    worst = F.when(F.count("*") == 0, "GREEN").otherwise(F.element_at(F.array(*map(F.lit, SEVERITIES)), rank + 1))
+    return found.agg(F.count("*").alias("total"), worst.alias("status"))
 
 
 def first_issues(found: DataFrame, most: int = 1000) -> DataFrame:

@@ -16,16 +16,21 @@ import os
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import takewhile
 from xml.etree import ElementTree
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ROW, _VALUE, _INLINE = f"{_MAIN}row", f"{_MAIN}v", f"{_MAIN}is"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 HEADER_ROWS = 30
 WIDE_MERGE = 10
+BATCH_ROWS = 5000
 # Labels of totals rows.
 TOTALS = re.compile(r"^\s*(жами|итого|всего|jami|total)", re.I)
 # Columns of each kind of workbook, by the headers that may stand over them.
@@ -103,22 +108,27 @@ class Workbook:
 
     def _cell(self, cell: ElementTree.Element) -> tuple[str | None, bool]:
         """The text of a cell, and whether it holds an error."""
-        kind, value = cell.get("t"), cell.find(f"{_MAIN}v")
-        if kind == "inlineStr":
-            return self._text(cell) or None, False
-        if value is None or value.text is None:
-            return None, False
-        if kind == "e":
-            return None, True
-        return (self.strings[int(value.text)] if kind == "s" else value.text), False
+        kind = cell.get("t")
+        for part in cell:
+            if part.tag == _VALUE:
+                if kind == "e":
+                    return None, True
+                return (self.strings[int(part.text)] if kind == "s" else part.text), False
+            if part.tag == _INLINE:
+                return (part[0].text if len(part) == 1 else self._text(part)) or None, False
+        return None, False
 
     def rows(self, sheet: str) -> Iterator[tuple[int, dict[int, str], list[int]]]:
         """(row number, text by column, columns with errors), read as a stream."""
+        columns: dict[str, int] = {}
         for _, node in ElementTree.iterparse(self.zip.open(self.sheets[sheet])):
-            if node.tag == f"{_MAIN}row":
-                cells, bad = {}, []
-                for c in node.iter(f"{_MAIN}c"):
-                    at = column_index(c.get("r", "A"))
+            if node.tag == _ROW:
+                cells, bad, digits = {}, [], len(node.get("r", ""))
+                for n, c in enumerate(node):
+                    letters = c.get("r", "")[:-digits] if digits else ""
+                    at = columns.get(letters)
+                    if at is None:
+                        at = columns[letters] = column_index(letters) if letters else n
                     text, error = self._cell(c)
                     if error:
                         bad.append(at)
@@ -128,14 +138,11 @@ class Workbook:
                 node.clear()
 
     def merges(self, sheet: str) -> list[tuple[int, int, int, int]]:
-        """(first row, first column, last row, last column) of each merged range."""
-        out = []
-        for _, node in ElementTree.iterparse(self.zip.open(self.sheets[sheet])):
-            if node.tag == f"{_MAIN}mergeCell":
-                a, b = node.get("ref").split(":")
-                row = lambda ref: int(re.sub("[A-Z]+", "", ref))
-                out.append((row(a), column_index(a), row(b), column_index(b)))
-        return out
+        """(first row, first column, last row, last column) of each merged range; they stand after the rows."""
+        data = self.zip.read(self.sheets[sheet])
+        tail = data[data.rfind(b"</sheetData>") :].decode()
+        found = re.findall(r'<(?:\w+:)?mergeCell [^>]*?ref="([A-Z]+)(\d+):([A-Z]+)(\d+)"', tail)
+        return [(int(r0), column_index(c0), int(r1), column_index(c1)) for c0, r0, c1, r1 in found]
 
     def labelled(self, sheet: str, pattern: str, rows: int = 10) -> str | None:
         """The next text after a label in the first rows."""
@@ -159,7 +166,7 @@ def bind(book: Workbook, sheet: str, kind: str) -> tuple[int, dict[int, str], li
     for r0, c0, r1, c1 in book.merges(sheet):
         if c1 - c0 < WIDE_MERGE:
             spread.update({(r, c): (r0, c0) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1)})
-    seen = {number: cells for number, cells, _ in book.rows(sheet) if number <= HEADER_ROWS}
+    seen = {number: cells for number, cells, _ in takewhile(lambda row: row[0] <= HEADER_ROWS, book.rows(sheet))}
     best: tuple[int, dict[int, str], list[str]] = (0, {}, [])
     for number, cells in seen.items():
         at = dict(cells)
@@ -190,7 +197,7 @@ def kind_of_content(book: Workbook) -> str | None:
     """The one kind all of whose texts the first rows hold; a sheet of shipments' name settles it at once."""
     if any(header_key(s) == "shipments" for s in book.sheets):
         return "shipments"
-    texts = " | ".join(header_key(t) for s in list(book.sheets)[:3] for n, cells, _ in book.rows(s) if n <= 12 for t in cells.values())
+    texts = " | ".join(header_key(t) for s in list(book.sheets)[:3] for _, cells, _ in takewhile(lambda row: row[0] <= 12, book.rows(s)) for t in cells.values())
     hits = [k for k, marks in CONTENT_MARKS.items() if all(header_key(m) in texts for m in marks)]
     return hits[0] if len(hits) == 1 else None
 
@@ -211,21 +218,35 @@ class _Reader(DataSourceReader):
             raise FileNotFoundError(path)
         return [_File(f) for f in found]
 
-    def read(self, part: _File) -> Iterator[tuple]:
+    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
         book = Workbook(part.path)
         kind = self.kind or kind_of_name(part.path) or kind_of_content(book)
         if kind is None:
             raise ValueError(f"{part.path}: the kind of workbook can't be told")
         sheet = next((s for s in book.sheets if header_key(s) == kind), next(iter(book.sheets)))
         header, fields, unknown = bind(book, sheet, kind)
-        # a second header row repeats part of the first and has no number in it
+        first = sorted(fields)[:3]
+        held: list[tuple[int, dict[str, str], list[str]]] = []
         for number, cells, bad in book.rows(sheet):
-            texts = [t for t in cells.values() if t.strip()]
-            if number <= header or not texts or any(TOTALS.match(t) for t in texts[:3]):
+            if number <= header or any(TOTALS.match(cells.get(c, "")) for c in (0, *first)):
                 continue
-            values = {fields[c]: t for c, t in cells.items() if c in fields}
+            values = {f: cells[c] for c, f in fields.items() if c in cells}
             if values:
-                yield os.path.basename(part.path), kind, number, values, [fields[c] for c in bad if c in fields], unknown
+                held.append((number, values, [fields[c] for c in bad if c in fields]))
+            if len(held) >= BATCH_ROWS:
+                yield self._batch(part.path, kind, held, unknown)
+                held = []
+        if held:
+            yield self._batch(part.path, kind, held, unknown)
+
+    @staticmethod
+    def _batch(path: str, kind: str, rows: list[tuple[int, dict[str, str], list[str]]], unknown: list[str]) -> pa.RecordBatch:
+        numbers, values, bad = zip(*rows, strict=True)
+        ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+        mapped = pa.MapArray.from_arrays(pa.array(ends), pa.array([k for v in values for k in v]), pa.array([x for v in values for x in v.values()]))
+        n, texts = len(rows), pa.list_(pa.string())
+        columns = [pa.array([os.path.basename(path)] * n), pa.array([kind] * n), pa.array(numbers, pa.int32()), mapped, pa.array(bad, texts), pa.array([unknown] * n, texts)]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "kind", "source_row", "values", "bad_cells", "unknown_headers"])
 
 
 class WorkbookSource(DataSource):
@@ -247,7 +268,8 @@ def read_workbooks(spark: SparkSession, path: str, kind: str) -> DataFrame:
     spark.dataSource.register(WorkbookSource)
     rows = spark.read.format("workbook").option("kind", kind).load(path)
     fields = [F.try_element_at("values", F.lit(f)).alias(f) for f in KINDS[kind]]
-    return rows.select("file", "source_row", *fields, "bad_cells", "unknown_headers")
+    # one task reads a file; parsing its texts is dealt out
+    return rows.repartition("file", "source_row").select("file", "source_row", *fields, "bad_cells", "unknown_headers")
 
 
 def classify_names(files: DataFrame, column: str = "file_name") -> DataFrame:

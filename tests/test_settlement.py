@@ -58,7 +58,10 @@ def report(spark):
         (2, "North", "Bb", "Beta", None, None, kg(3)),
         (3, "South", "South", "Empty farm", None, "99", kg(2)),
     ]
-    make = spark.createDataFrame
+    def make(rows, schema):
+        money = [" decimal(20,0)" in f for f in schema.split(", ")]
+        return spark.createDataFrame([tuple(Decimal(v) if m and v is not None else v for v, m in zip(r, money, strict=True)) for r in rows], schema)
+
     harvest, payments = make(rows, HARVEST), make(legs, PAYMENTS)
     state = S.row_state(harvest)
     counted = state.where("countable")
