@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_to_null, clean
+from .text import blank_to_null, bound, clean
 
 MINOR = "decimal(20,0)"
 
@@ -29,20 +29,21 @@ def decimal_text(text: Column) -> Column:
     kind that repeats only groups digits.
     """
     kept = F.regexp_replace(clean(text), r"[^\d.,+-]", "")
-    body = F.regexp_replace(kept, "^[+-]", "")
-    points, commas = F.length(F.regexp_replace(body, "[^.]", "")), F.length(F.regexp_replace(body, "[^,]", ""))
-    digits = F.regexp_replace(body, "[.,]", "")
-    last = F.length(F.regexp_replace(body, "[.,][^.,]*$", ""))
+    return bound(kept, lambda k: bound(F.regexp_replace(k, "^[+-]", ""), lambda body: _decimal(k.startswith("-"), body)))
+
+
+def _decimal(negative: Column, body: Column) -> Column:
+    points, commas = (F.length(body) - F.length(F.translate(body, mark, "")) for mark in ".,")
+    digits = F.translate(body, ".,", "")
+    after = F.regexp_extract(body, "[.,]([^.,]*)$", 1)
     has_mark = ((points > 0) & (commas > 0)) | (points + commas == 1)
-    whole = F.when(has_mark, F.regexp_replace(F.substring(body, F.lit(1), last), "[.,]", "")).otherwise(digits)
-    part = F.when(has_mark, F.substring(body, last + 2, F.length(body))).otherwise("")
+    # the last separator is the mark, and what stands before it only groups
+    cut = F.length(digits) - F.length(after)
+    whole = F.when(has_mark, F.substring(digits, F.lit(1), cut)).otherwise(digits)
     number = F.concat(
-        F.when(kept.startswith("-"), "-").otherwise(""),
-        F.when(whole == "", "0").otherwise(whole),
-        F.when(part == "", "").otherwise(F.concat(F.lit("."), part)),
+        F.when(negative, "-").otherwise(""), F.when(whole == "", "0").otherwise(whole), F.when(has_mark & (after != ""), F.concat(F.lit("."), after)).otherwise("")
     )
-    sound = whole.rlike(r"^\d*$") & part.rlike(r"^\d*$") & (F.length(whole) + F.length(part) > 0)
-    return F.when(sound, number)
+    return F.when(digits.rlike(r"^\d+$"), number)
 
 
 def number(text: Column) -> Column:
