@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, scratch_path, small_batches, text_of, written
+from .common import forget, only, scratch_path, small_batches, text_of, written
 from .tokens import encoder
 
 #: Fixed values of the format.
@@ -122,7 +122,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     own = only(docs, "doc_id", "text")
     dictionary = trained_dictionary(_sampled(own, tokenizer, end_id, width))
     # a row number spreads rows of one id over ranges too
-    frames = written(_frames(own, tokenizer, dictionary, end_id, width), "frames").withColumn("row", F.monotonically_increasing_id())
+    made_frames = written(_frames(own, tokenizer, dictionary, end_id, width), "frames")
+    frames = made_frames.withColumn("row", F.monotonically_increasing_id())
     store, place = _store(path)
     store.create_dir(place, recursive=True)
 
@@ -141,6 +142,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     dealt = frames.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "n", "frame")
     made = sorted(dealt.mapInArrow(shards, "shard long, docs long, ids long").collect())
+    forget(made_frames)
     manifest = {
         "width": width, "end_id": end_id, "dictionary_sha256": hashlib.sha256(dictionary).hexdigest() if dictionary else None,
         "shards": [{"shard": s, "docs": d, "ids": i} for s, d, i in made],
