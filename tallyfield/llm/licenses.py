@@ -1,7 +1,9 @@
 """Licence scans by sentence rules: known sentences get ids, ordered ids give a licence.
 
-A text is cut into sentences, each is normalised, and looked up among the known licence
-sentences. A rule is a sequence of sentence ids; it holds where they follow each other in the
+A text is normalised, with a mark kept at every sentence end and line break. A known licence
+sentence is found where its words follow each other, whatever signs, comment marks and line
+breaks stand between, and where it begins and ends at a mark: on one line, wrapped, or
+with a colon or a blank line inside. A rule is a sequence of sentence ids; it holds where they follow each other in the
 text in that order, other sentences between them or not. Rules are tried in their order: the
 more sentences a rule asks for, the earlier it stands, and a sentence that an earlier
 rule has used does not count for a later one.
@@ -9,6 +11,8 @@ rule has used does not count for a later one.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,12 @@ SENTENCES = {
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
 }
+#: Other wordings of known sentences, normalised, and the ids of what they say.
+WORDINGS = {
+    "licensed under the apache license version 2 0 the license": ("apache-2-licensed",),
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": ("apache-2-licensed", "apache-2-use"),
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": ("apache-2-copy",),
+}
 #: Licence and the ids that its rule asks for, in order.
 RULES = [
     ("BSD-3-Clause", ("bsd-terms", "bsd-source", "bsd-binary", "bsd-names")),
@@ -53,13 +63,20 @@ RULES = [
 ]
 #: Every known sentence has one of these words, so a text without them needs no cutting.
 MARK = "(?i)licens|permi|software|redistribut|warrant"
-#: A sentence ends after . ! ? or : before white space, and at every line break.
+#: A known sentence may begin and end where . ! ? or : stands before white space, and at every line break.
 ENDS = r"[.!?:]+[ \t\r]|[\n\x0B\f]"
 
 
-def normal(sentence: Column) -> Column:
-    """Lower-case ASCII letters and digits, everything else one space."""
-    return F.trim(F.regexp_replace(lower_ascii(sentence), "[^a-z0-9]+", " "))
+def normal(text: Column) -> Column:
+    """Lower-case ASCII letters and digits; one line break where sentences may end, first and last too, and one space for everything else."""
+    marked = F.regexp_replace(F.concat(F.lit("\n"), lower_ascii(text), F.lit("\n")), ENDS, "\n")
+    return F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9\n]+", " "), " ?\n[ \n]*", "\n")
+
+
+def known_pattern(sentences: Iterable[str]) -> str:
+    """A pattern for any of the sentences in a normal text, the longest first."""
+    longest = sorted(sentences, key=len, reverse=True)
+    return "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in longest) + ")(?=\n)"
 
 
 def rule_pattern(ids: tuple[str, ...]) -> str:
@@ -78,9 +95,11 @@ def recognised(docs: DataFrame) -> DataFrame:
     stay. An empty table gives an empty result. Other columns are not looked at.
     """
     text = text_of()
-    known = F.create_map(*[F.lit(x) for k, v in SENTENCES.items() for x in (v, k)])
-    cut = F.filter(F.transform(F.split(text, ENDS), normal), lambda s: s.isin(*SENTENCES.values()))
-    ids = F.when(text.rlike(MARK), F.transform(cut, lambda s: known[s])).otherwise(F.array().cast("array<string>"))
+    wordings = {v: (k,) for k, v in SENTENCES.items()} | WORDINGS
+    known = F.create_map(*[x for s, ids in wordings.items() for x in (F.lit(s), F.array(*map(F.lit, ids)))])
+    met = F.regexp_extract_all(normal(text), F.lit(known_pattern(wordings)), F.lit(0))
+    said = F.flatten(F.transform(met, lambda s: known[F.translate(s, "\n", " ")]))
+    ids = F.when(text.rlike(MARK), said).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col("doc_id"), ids.alias("ids"))
     left = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     found = []

@@ -96,12 +96,89 @@ def test_licenses(docs):
     assert got == {k: v[1:] for k, v in LICENSED.items()}
 
 
+APACHE = """Copyright 2020 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+"""
+MIT = """MIT License
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+"""
+WRAPPED = [
+    (APACHE, "Apache-2.0", "apache-2-licensed,apache-2-use,apache-2-copy"),
+    (MIT, "MIT", "mit-grant,mit-notice,mit-warranty"),
+    (BSD, "BSD-3-Clause", "bsd-terms,bsd-source,bsd-binary,bsd-names"),
+    (GPL, "GPL-3.0-or-later", "gpl-free,gpl-warranty"),
+]
+
+
+def test_wrapped_licenses(docs):
+    marked = [lambda t: t, *[lambda t, m=m: "\n".join(f"{m} {x}" for x in t.split("\n")) for m in ("#", "//", " *")], lambda t: f"/*\n{t}*/\ncode()", lambda t: t.replace("\n", "\r\n")]
+    rows = [(i * 10 + k, how(text)) for i, (text, *_) in enumerate(WRAPPED) for k, how in enumerate(marked)]
+    got = {r["doc_id"]: (r["licenses"], r["sentence_ids"]) for r in licenses.recognised(docs(*rows)).collect()}
+    assert got == {i: WRAPPED[i // 10][1:] for i, _ in rows}
+
+
+def test_wrapped_notice_beside_other_lines(docs):
+    texts = ["a line\nReleased under the\nMIT License.\nnext", "this is not licensed\nunder the mit license at all", "unlicensed under\nthe MIT license", "Licensed under the Apache License, Version 2.0 (the 'License').\nx"]
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.recognised(docs(*enumerate(texts))).collect()}
+    assert got == {0: "mit-released", 1: "", 2: "", 3: "apache-2-licensed"}
+
+
 def test_every_known_sentence_has_a_mark():
     assert all(re.search(licenses.MARK, s) for s in licenses.SENTENCES.values())
     assert all(i in licenses.SENTENCES for _, rule in licenses.RULES for i in rule)
     assert len(set(licenses.SENTENCES.values())) == len(licenses.SENTENCES)
 
 
+def test_other_wordings_say_known_sentences():
+    assert all(re.search(licenses.MARK, s) for s in licenses.WORDINGS)
+    assert not set(licenses.WORDINGS) & set(licenses.SENTENCES.values())
+    assert all(i in licenses.SENTENCES for ids in licenses.WORDINGS.values() for i in ids)
+
+
 def test_licenses_odd_rows(odd):
     rows = licenses.recognised(odd).collect()
     assert len(rows) == odd.count() and all(r["n_sentences"] == 0 for r in rows)
