@@ -5,7 +5,7 @@ ASCII white space; for a byte-level one, before each single space and around oth
 white space, where its own pattern starts a new piece as well. A piece not seen before is cut again
 where letters meet other signs, which both kinds of tokenizer do too, and a run of letters goes straight
 to the tokenizer's merges. Pieces and runs repeat, so their ids are kept in bounded tables. Texts
-with white space outside ASCII, and pieces with an apostrophe, a dotted capital I (two signs
+with white space outside ASCII, texts that hold an added token of the tokenizer, and pieces with an apostrophe, a dotted capital I (two signs
 in lower case) or signs beyond the Latin letters, where the notions could differ, go through the library's whole pipeline as they are.
 """
 
@@ -39,7 +39,7 @@ def _byte_signs() -> dict[int, str]:
     return signs | {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if b not in signs)}
 
 
-def _holds(text: str, signs: Iterable[str]) -> bool:
+def _holds[T: (str, bytes)](text: T, signs: Iterable[T]) -> bool:
     return any(map(text.__contains__, signs))
 
 
@@ -64,7 +64,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: What the library takes out of a text before all else, such as <|endoftext|>.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.lowered_added = [t.encode().lower() for t in self.added]
         self.model = self.tokenizer.model
         self.drops_space = drops_space
         self.signs = str.maketrans({chr(b): s for b, s in _byte_signs().items()})
@@ -117,7 +119,13 @@ class Encoder:
         if _holds(text, _ODD_SPACES[:4] if text.isascii() else _ODD_SPACES):
             return self._whole(text)
         if self.drops_space:
-            return b"".join(map(self.words.__getitem__, text.encode().lower().split()))
+            low = text.encode().lower()
+            # in other case it is no added token, but a piece of it in lower case would be one
+            if _holds(low, self.lowered_added):
+                return self._whole(text)
+            return b"".join(map(self.words.__getitem__, low.split()))
+        if _holds(text, self.added):
+            return self._whole(text)
         if _holds(text, _MANY_SPACES):
             return b"".join(map(self.bare.__getitem__, _SPACED.findall(text)))
         lines = []

@@ -32,6 +32,16 @@ def test_encoder_is_the_library(path, drops):
         assert np.frombuffer(enc.ids(text), "<u4").tolist() == ids[:-1], repr(text)
 
 
+@pytest.mark.parametrize(("path", "drops"), [(WORD, True), (BYTE, False)])
+def test_added_tokens_are_the_library_s(path, drops, docs):
+    texts = ["end of doc <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b\n\n c", "<|startoftext|>It's\x1c<|endoftext|>", "It's<|ENDOFTEXT|>x it's<|StartOfText|>é", "<|endoftext|", "<| endoftext |>", "漢<|EndOfText|>"]
+    wanted = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    enc = Encoder(path, drops)
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == wanted
+    rows = packing.pieces(docs(*enumerate(texts)), path, drops).collect()
+    assert [sum((np.frombuffer(r["ids"], "<u4").tolist() for r in rows if r["doc_id"] == i), []) for i in range(len(texts))] == [[*x, 2] for x in wanted]
+
+
 def test_tables_start_anew(monkeypatch):
     from tallyfield.llm import tokens
 
