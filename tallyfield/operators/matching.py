@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import client_code
-from ..functions.text import party_key, similarity, token_key
+from ..functions.text import party_key, token_key, token_similarity
 
 #: How sure each way of matching is.
 CONFIDENCE = {"INN": 1.0, "CONTRACT": 0.95, "ACCOUNT": 0.9, "NAME": 0.8}
-#: Most distinct names for which candidates are sought by comparing with all; else blocks by first sign and length.
-COMPARED_NAMES = 2000
+#: Fixed value: about so many unique names stand in a block that a name is compared with at once.
+NAME_BLOCK = 1000
 
 
 def farmers(harvest: DataFrame, order: Column) -> DataFrame:
@@ -85,17 +85,16 @@ def cascade(
 def candidates(unmatched: DataFrame, name: str, names: DataFrame) -> DataFrame:
     """(key, candidate_inn, candidate_key, similarity): the most similar unique name for each distinct name, for review.
 
-    Names are compared where two of their words begin alike, not all with all, so the work
-    follows the number of names that share a beginning.
+    Every distinct name is compared with all unique names, block by block; of a block only the best
+    one is kept, the last in order among equals.
     """
-    starts = lambda key: F.array_distinct(F.transform(F.split(key, " "), lambda w: F.substring(w, 1, 2)))
-    asked = unmatched.select(party_key(F.col(name)).alias("key")).where("key <> ''").distinct()
-    left = asked.withColumn("start", F.explode(starts(F.col("key"))))
-    right = names.select(F.col("key").alias("candidate_key"), F.col("inn").alias("candidate_inn")).withColumn("start", F.explode(starts(F.col("candidate_key"))))
-    pairs = left.join(right, "start").select("key", "candidate_key", "candidate_inn").distinct()
-    near = pairs.withColumn("similarity", F.round(similarity(F.col("key"), F.col("candidate_key")), 4))
-    best = F.max_by(F.struct("candidate_inn", "candidate_key", "similarity"), F.struct("similarity", F.col("candidate_key")))
-    return near.groupBy("key").agg(best.alias("b")).select("key", "b.*")
+    asked = unmatched.select(party_key(F.col(name)).alias("key")).where("key <> ''").distinct().withColumn("tokens", token_key(F.col("key")))
+    theirs = names.where("key <> ''").select(F.col("key").alias("candidate_key"), token_key(F.col("key")).alias("tokens"), F.col("inn").alias("candidate_inn"))
+    block = F.pmod(F.xxhash64("candidate_key"), F.lit(-(-theirs.count() // NAME_BLOCK) or 1))
+    blocks = theirs.groupBy(block.alias("block")).agg(F.collect_list(F.struct("candidate_key", "tokens", "candidate_inn")).alias("names"))
+    near = lambda n: F.struct(F.round(token_similarity(F.col("tokens"), n["tokens"]), 4).alias("similarity"), n["candidate_key"].alias("candidate_key"), n["candidate_inn"].alias("candidate_inn"))
+    best = asked.crossJoin(blocks).select("key", F.array_max(F.transform("names", near)).alias("b"))
+    return best.groupBy("key").agg(F.max("b").alias("b")).select("key", "b.candidate_inn", "b.candidate_key", "b.similarity")
 
 
 def link_directory(known: DataFrame, directory: DataFrame) -> DataFrame:
