@@ -89,3 +89,10 @@ def test_pipeline_stages(spark):
 def test_pipeline_runs_whole(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and {"doc_id", "sequence_id", "length"} <= set(rows.columns)
+
+
+def test_all_passages_are_learned_from(spark, docs):
+    text = "word " * 30_000
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    bags, _ = quality._sample(docs(*[(i, text) for i in range(8)]), labels, "quality", 100)
+    assert bags and all((bag == quality.encoded(text.encode())).all() for bag in bags) and len(bags[0]) > 260
