@@ -258,4 +258,5 @@ def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
     words = F.regexp_extract_all("text", F.lit(r"(?s)([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     part = F.array_join(F.slice(words, F.lit(1), F.col("_tallyfield_taken").cast("int")), "")
     out = out.withColumn("text", F.when(F.col("_tallyfield_taken") < F.col("_tallyfield_size"), part).otherwise(F.col("text")))
+    out = out.orderBy(*[f"_tallyfield_{c}" for c in ("shard", "place", "key", "copy", "pass")])
     return out.select(*[f"`{c}`" for c in docs.columns])

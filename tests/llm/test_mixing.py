@@ -68,3 +68,12 @@ def test_documents_come_as_often_as_taken(spark):
     for r in mixing.mixed_documents(df).collect():
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].encode().split())
     assert got == {k: v for k, v in wanted.items() if v}
+
+
+def test_documents_stand_in_order_of_shards_and_places(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").dropDuplicates(["doc_id"])
+    takes = {}
+    for r in mixing.mixed(df).where("words > 0").collect():
+        takes.setdefault((r["doc_id"], r["key"], r["copy"], r["pass"]), []).append((r["shard"], r["place"]))
+    wanted = [t[0] for t in sorted(takes, key=lambda t: (min(s for s, _ in takes[t]), min(p for _, p in takes[t])))]
+    assert [r["doc_id"] for r in mixing.mixed_documents(df).collect()] == wanted
