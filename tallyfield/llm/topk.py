@@ -1,10 +1,10 @@
 """Exact top-k search by inner product with pivot-table elimination.
 
-Distances from every vector to some pivots are computed once and kept beside it. For a
+Distances from every vector to some pivots are computed for every pair of tiles. For a
 query, the largest difference of distances to a common pivot is a lower bound on the
 distance to a candidate, hence |q|^2 + |x|^2 - bound^2, halved, is an upper bound on the
-inner product. Candidates are evaluated in the order of that bound, and a query stops when
-its k-th score is above the next bound, so the result is exact.
+inner product. Candidates of a tile are evaluated in the order of that bound, and a query stops in the tile
+when its k-th score of the tile is above the next bound, so the result is exact.
 """
 
 from __future__ import annotations
