@@ -1,58 +1,24 @@
-"""What the operators share: ids, words, shared storage, safe column names."""
+"""What the operators share: words, row identities, batches, safe column names."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Fixed value: a word is a run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no checkpoint folder (tests, local runs).
-LOCAL_CHECKPOINTS = "/tmp/tallyfield-checkpoints"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where the setting is absent, a local folder is set and used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = LOCAL_CHECKPOINTS
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path for one written table, never used before."""
-    return f"{shared_folder(spark)}/tallyfield/{name}-{uuid.uuid4().hex}"
-
+from ..shared import forget, ranked, scratch_path, shared_folder, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again.
+__all__ = [
+    "WORD", "batches_of", "forget", "identity", "lower_ascii", "only", "ranked", "scratch_path", "shared_folder", "task_count", "text_of", "written",
+]
 
-    This cuts the lineage: a lost executor costs no more than the tasks it ran,
-    and later readers get only the columns they ask for.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Delete the files of a table that written() made and nothing reads any more."""
-    spark = df.sparkSession
-    base = f"{shared_folder(spark)}/tallyfield/"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if base.split(":", 1)[-1].lstrip("/") in folder:
-            path = hadoop(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Fixed value: a word is a run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a Python worker gets at a time, so that long texts don't add up; Arrow batches are bounded by rows.
+BATCH_ROWS = 1000
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -71,19 +37,28 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python workers in batches of at most so many rows, so long texts don't add up.
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind)
+    return isinstance(kind, T.MapType) or (isinstance(kind, T.ArrayType) and _has_map(kind.elementType))
+
 
-    Arrow batches are bounded by rows alone; a session that has set a lower bound keeps it.
+def identity(df: DataFrame, *names: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes of the named columns, or of all of them: rows agree in both where they are equal.
+
+    128 bits tell 10**12 rows apart but for a chance of one in 10**14. Null is a value of its own.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, rows)
+    parts = []
+    for n in names or df.columns:
+        column = F.col(f"`{n}`")
+        # maps have no hash and no order of their own
+        parts += [column.isNull(), F.to_json(F.struct(column)) if _has_map(df.schema[n].dataType) else column]
+    return F.xxhash64(*parts), F.xxhash64(F.lit(77), *reversed(parts))
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, jobs hand at most so many rows at a time to Python workers: for tables with megabytes in a row."""
+def batches_of(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, jobs hand at most so many rows at a time to Python workers; the session's setting comes back after it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key, "10000")
     spark.conf.set(key, min(rows, int(before)))

@@ -26,29 +26,26 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return links.union(near.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (node, component): the least node that each node reaches.
 
-    Alternating large-star and small-star steps: every step is a grouped minimum
+    Alternating large-star and small-star steps until nothing changes: every step is a grouped minimum
     and an equi-join, so no neighbour list is gathered anywhere and a node with a
     third of all links is split by the partial aggregation and by the adaptive
-    skew join. Each round is written to the shared folder. Nodes without a
+    skew join. The steps needed grow with the logarithm of the nodes, squared at most. Each round
+    is written to the shared folder and the one before it deleted. Nodes without a
     link do not appear; null ends and self links are passed over.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
     )
-    seen = None
-    for _ in range(most_rounds):
+    seen, state = None, ()
+    while state != seen:
+        seen = state
         new = written(_small_star(_large_star(now).distinct()).distinct(), "edges")
         forget(now)
         now = new
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

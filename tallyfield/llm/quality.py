@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import batches_of, written
 
 #: Bytes of a passage; a word counts for the passage where it starts.
 PASSAGE = 512
@@ -172,28 +172,26 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[
 
 def learned(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE_DOCS) -> Model:
     """A model from the labelled rows of docs that are not held out, `most` of them at most."""
-    small_batches(docs.sparkSession)
-    return fitted(*_sample(docs, labels, label, most))
+    with batches_of(docs.sparkSession):
+        return fitted(*_sample(docs, labels, label, most))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, row_key, score; row_key is a hash of id and text."""
-    small_batches(docs.sparkSession)
+    """docs (doc_id, text, ...) -> doc_id, score, written: a row for every row.
+
+    Documents are scored one by one: in products of several at once, the last bits of a score would depend on its neighbours.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             scores = np.empty(batch.num_rows)
-            for i, text in enumerate(batch.column(2)):
+            for i, text in enumerate(batch.column(1)):
                 scores[i] = model.forward(encoded(text.as_py()), np.array([0]))[0][0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores)], names=["doc_id", "row_key", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
     text = F.col("text").cast("string").cast("binary").alias("text")
-    rows = docs.select(F.col("doc_id"), row_key().alias("row_key"), text)
-    return rows.mapInArrow(batches, "doc_id long, row_key long, score double")
-
-
-def row_key() -> Column:
-    return F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    with batches_of(docs.sparkSession):
+        return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(batches, "doc_id long, score double"), "scores")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -211,9 +209,13 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns."""
+    """The rows of docs that the classifier accepts, with all their columns, written.
+
+    Null and empty texts are scored as a bag of one empty passage, very long ones with all their passages. Repeated rows
+    are accepted or rejected alike; ties with the threshold are accepted. Null ids are no matter: the text
+    alone decides. Columns may have any names. An empty table gives an empty result.
+    """
     model = learned(docs, labels)
-    small_batches(docs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,4 +223,5 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
             good = [model.forward(encoded((t.as_py() or "").encode()), np.array([0]))[0][0] >= threshold for t in texts]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    with batches_of(docs.sparkSession):
+        return written(docs.mapInArrow(keep, docs.schema), "accepted")

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import identity, text_of, written
 
 #: The kinds in the order in which they are listed, and their patterns.
 WORDS = ("password", "passwd", "secret", "token", "api_?key")
@@ -62,7 +62,7 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), found)
 
 
-def _rows(docs: DataFrame, owner: list[str], repository: list[str], *more: Column) -> DataFrame:
+def _rows(docs: DataFrame, owner: list[str], repository: list[str], **more: Column) -> DataFrame:
     """docs without texts: a number for each row, doc_id, who holds it, and what each pattern found."""
     text = text_of()
     held = [F.xxhash64(*[F.col(f"`{c}`").isNull() for c in k], *[F.col(f"`{c}`") for c in k]) for k in (owner, repository)]
@@ -71,7 +71,7 @@ def _rows(docs: DataFrame, owner: list[str], repository: list[str], *more: Colum
         F.col("doc_id"),
         held[0].alias("owner"),
         held[1].alias("repository"),
-        *[c.alias("key") for c in more],
+        *[c.alias(name) for name, c in more.items()],
         *[_found(text, p).alias(kind) for kind, p in PATTERNS.items()],
     )
 
@@ -167,12 +167,14 @@ def redacted(
     """docs with every span of its texts masked; rows and all other columns stay as they are.
 
     Spans that look live become <secret>, widely copied ones <example>. Spans that
-    overlap are masked as one, live if any of them is. Nulls stay null.
+    overlap are masked as one, live if any of them is. Null texts stay null, empty ones empty, very long ones are
+    masked whole. Ties in the start go by the order of KINDS. Rows are told apart by all their columns; rows
+    that repeat are masked alike. Columns may have any names. An empty table gives an empty result.
     """
-    key = F.xxhash64("doc_id", F.col("text").isNull(), "text")
-    rows = written(_rows(docs, list(owner), list(repository), key), "secrets")
-    held = rows.join(_by_row(rows), "row").groupBy("key").agg(F.min("spans").alias("_tallyfield_spans"))
-    keyed = docs.withColumn("_tallyfield_key", key).join(held.withColumnRenamed("key", "_tallyfield_key"), "_tallyfield_key", "left")
+    keys = dict(zip(("_tallyfield_key", "_tallyfield_key2"), identity(docs), strict=True))
+    rows = written(_rows(docs, list(owner), list(repository), **keys), "secrets")
+    held = rows.join(_by_row(rows), "row").groupBy(*keys).agg(F.min("spans").alias("_tallyfield_spans"))
+    keyed = docs.withColumns(keys).join(held, list(keys), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("boolean").alias("open"))
     mask = lambda live: F.when(live, MASKS[True]).when(~live, MASKS[False]).otherwise("")
 

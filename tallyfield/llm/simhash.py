@@ -7,8 +7,10 @@ fingerprints, so its pairs would grow with the square of the corpus. The lists h
 kept for three positional bytes at a time: of the 56 triples of positions, 20 suffice,
 because every set of 4 positions contains one of them (a covering of the 4-sets
 by triples). A list then holds about one fingerprint in 16.8 million by chance.
-Pairs that meet in a list are tallied over all eight bytes; those with
-4 or more shared bytes are verified on the bits.
+For each pair that meets in a list the shared positional bytes are tallied over all eight positions; only pairs that
+reach 4, the guaranteed minimum, are retained and verified on the bits. Whoever meets in single-byte
+lists with a tally of 4 meets in one of the triples as well, so the lists of triples lose nothing that
+single ones would find.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, small_batches, written
+from .common import batches_of, identity, only, written
 from .components import connected_components
 
 SEED = 42
@@ -31,6 +33,8 @@ MOST_BITS = 4
 LEAST_BYTES = 8 - MOST_BITS
 #: Fingerprints of one list that a task compares at once; longer lists are cut into blocks.
 BLOCK = 1024
+#: Parts that a component's rows are dealt to when its id comes back to them.
+SALT = 16
 
 
 def covering_triples() -> list[tuple[int, int, int]]:
@@ -74,32 +78,28 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > last, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, row_key, fp) for every row of docs: fp as a signed long, row_key a hash of id and text."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS, *identified_by: str) -> DataFrame:
+    """(doc_id, key, key2, fp) for every row of docs, written: fp as a signed long, the keys hashes of the named columns."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "row_key", "fp"]
-            )
-
-    small_batches(docs.sparkSession)
-    rows = only(docs, "doc_id", "text").select(
-        "doc_id", row_key().alias("row_key"), F.col("text").cast("string").cast("binary").alias("text")
-    )
-    return rows.mapInArrow(batches, "doc_id long, row_key long, fp long")
-
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(3)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(fps.view(np.int64))], names=["doc_id", "key", "key2", "fp"])
 
-def row_key() -> Column:
-    return F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    key, key2 = identity(docs, *(identified_by or ("doc_id", "text")))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), key.alias("key"), key2.alias("key2"), docs["text"].cast("string").cast("binary").alias("text"))
+    with batches_of(docs.sparkSession):
+        return written(rows.mapInArrow(batches, "doc_id long, key long, key2 long, fp long"), "fingerprints")
 
 
 def _verified(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which pairs reach the shared bytes and differ in few enough bits."""
+    """Which pairs reach the tally of shared positional bytes and, of those, differ in few enough bits."""
     x = (a ^ b).view(np.uint64)
-    shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    return (shared >= LEAST_BYTES) & (np.bitwise_count(x) <= MOST_BITS)
+    tally = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
+    near = tally >= LEAST_BYTES
+    retained = np.flatnonzero(near)
+    near[retained] = np.bitwise_count(x[retained]) <= MOST_BITS
+    return near
 
 
 def _forest(fps: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,14 +216,17 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(own: DataFrame) -> DataFrame:
-    """fingerprints() -> (fp, component_id), one row for each distinct fingerprint."""
-    distinct = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    """fingerprints() -> (fp, component, least, component_id), one row for each distinct fingerprint."""
+    distinct = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     part = connected_components(links(distinct.select("fp")))
-    placed = distinct.join(part, distinct["fp"] == part["node"], "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    ids = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    return placed.join(ids, "component").select("fp", "component_id", "component")
+    linked = distinct.join(part, distinct["fp"] == part["node"]).select("fp", "least", "component")
+    ids = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    # a large component is one key: its rows are dealt to SALT parts, and its id goes to each
+    salted = linked.withColumn("_salt", F.pmod(F.xxhash64("fp"), F.lit(SALT)))
+    spread = ids.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    placed = salted.join(spread, ["component", "_salt"]).select("fp", "component", "least", "component_id")
+    alone = distinct.join(part, distinct["fp"] == part["node"], "left_anti")
+    return placed.unionByName(alone.select("fp", F.col("fp").alias("component"), "least", F.col("least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -234,10 +237,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     Null and empty texts have fingerprint zero and link like any other. A null
     doc_id keeps its row; it is a component_id only where all ids of the
     component are null. Repeated rows stay. An empty table gives an empty result.
-    Other columns are not looked at. Texts are read whole.
+    Other columns are not looked at, whatever their names. Texts are read whole.
     """
-    own = written(fingerprints(docs, shingle), "fingerprints")
-    return own.join(classes(own), "fp").select(
+    own = fingerprints(only(docs, "doc_id", "text"), shingle)
+    return own.join(classes(own).select("fp", "component_id"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -245,19 +248,21 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of docs that stay when each near-duplicate group keeps one document.
 
-    The document with the least doc_id stays (null ids last; then the least hash
-    of id and text). Rows that repeat it exactly in id and text count as the same
-    document, and one of them stays. All columns of docs are returned.
+    The document with the least doc_id stays, null ids last. Where several rows bear that id, one of those with other
+    texts or other columns stays, by a hash of all columns, so reruns agree; rows equal in all columns
+    are one document. Null and empty texts are one group. Very long texts are read whole. All columns
+    of docs are returned as they are, whatever their names. An empty table gives an empty result.
     """
-    own = written(fingerprints(docs, shingle), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("row_key").alias("key"))
+    own = fingerprints(docs, shingle, *docs.columns)
+    order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id"), F.col("key"), F.col("key2"))
     first = own.groupBy("fp").agg(F.min(order).alias("first"))
     kept = (
         first.join(classes(own).select("fp", "component"), "fp")
         .groupBy("component")
         .agg(F.min("first").alias("first"))
-        .select(F.col("first.key").alias("_row_key"))
-        .distinct()
+        .select(F.col("first.key").alias("_tallyfield_key"), F.col("first.key2").alias("_tallyfield_key2"))
     )
-    once = docs.withColumn("_row_key", row_key()).dropDuplicates(["_row_key"])
-    return once.join(kept, "_row_key", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    key, key2 = identity(docs)
+    keyed = docs.withColumns({"_tallyfield_key": key, "_tallyfield_key2": key2})
+    once = keyed.join(kept, ["_tallyfield_key", "_tallyfield_key2"], "left_semi").dropDuplicates(["_tallyfield_key", "_tallyfield_key2"])
+    return once.select(*[f"`{c}`" for c in docs.columns])

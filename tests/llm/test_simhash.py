@@ -87,6 +87,14 @@ def test_one_of_each_group_stays(odd):
     assert sorted(map(str, ids)) == sorted(map(str, components))
 
 
+def test_rows_of_one_id_and_text_keep_their_columns(docs):
+    both = docs((1, "a b c d"), (2, "other words stand here")).unionByName(docs((1, "a b c d"), lang="fr"))
+    got = [tuple(r) for r in simhash.deduplicated(both).collect()]
+    assert len(got) == 2 and set(got) <= {tuple(r) for r in both.collect()}
+    again = [tuple(r) for r in simhash.deduplicated(both.repartition(3)).collect()]
+    assert sorted(got) == sorted(again)
+
+
 def test_empty_table(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
     assert simhash.deduplicated(odd.limit(0)).count() == 0
