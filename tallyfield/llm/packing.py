@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, small_batches, task_count, text_of, written
+from .common import batches_of, only, task_count, text_of, written
 from .tokens import encoder
 
 LONGEST = 4096
@@ -33,17 +33,16 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
 def pieces(
     docs: DataFrame, tokenizer: str, drops_space: bool = True, end_id: int = END_ID, longest: int = LONGEST
 ) -> DataFrame:
-    """docs -> one row for each piece, with its ids (little-endian unsigned 32 bit) and their crc32."""
+    """docs -> one row for each piece, written, with its ids (little-endian unsigned 32 bit) and their crc32."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     last = np.array([end_id], "<u4").tobytes()
-    small_batches(docs.sparkSession)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, drops_space)
         for batch in it:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 256):
+                part = batch.slice(low, 256)
                 rows: list[tuple] = []
                 for doc, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     ids += last
@@ -56,7 +55,8 @@ def pieces(
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in PIECES.split(", ")])
 
-    return only(docs, "doc_id", "text").select("doc_id", text_of()).mapInArrow(batches, PIECES)
+    with batches_of(docs.sparkSession, 512):
+        return written(only(docs, "doc_id", "text").select("doc_id", text_of()).mapInArrow(batches, PIECES), "pieces")
 
 
 def packed(
@@ -77,7 +77,7 @@ def packed(
     cells' counts (one row a cell, not a document) give each cell its first id,
     and a piece is numbered within its cell.
     """
-    rows = written(pieces(docs, tokenizer, drops_space, end_id, longest), "pieces")
+    rows = pieces(docs, tokenizer, drops_space, end_id, longest)
     cells = max(32, task_count(docs.sparkSession))
     dealt = rows.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(cells)))
     counts = dealt.groupBy("length", "_cell").count()

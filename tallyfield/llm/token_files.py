@@ -1,6 +1,7 @@
 """Token ids in binary files: each document a zstandard frame with one shared dictionary.
 
-A folder holds `dictionary.zdict`, `manifest.json` and one `shard-NNNNN.ids` per range of doc_ids.
+A folder holds `dictionary.zdict`, `manifest.json` and shards, named after the range of doc_ids and the number of the shard
+in it: a range starts a new shard where the last one has SHARD_BYTES, so the index that a task holds is bounded.
 A shard is: 8 bytes of magic, the SHA-256 of the dictionary (zeros without one), the frames one
 after the other, then the index (for every document its id, a flag for a null
 id, its number of ids, its first byte and its size), and last the index's place, the
@@ -17,6 +18,7 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, only, scratch_path, small_batches, text_of, written
+from .common import batches_of, forget, only, scratch_path, text_of, written
 from .tokens import encoder
 
 #: Fixed values of the format.
@@ -39,8 +41,10 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_DOCS = 1000
 SAMPLE_BYTES = 16 * 1024
 LEVEL = 3
+#: A shard that has so many bytes of frames, or so many documents, is closed.
+SHARD_BYTES = 256 * 2**20
+SHARD_DOCS = 1_000_000
 FRAMES = "doc_id long, n long, frame binary"
-FOUND = "doc_id long, shard int, place long, n long, ids binary"
 
 
 def trained_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -57,7 +61,20 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a shared folder and the path in it; the same on driver and executors."""
-    return fs.FileSystem.from_uri(uri if ":/" in uri else f"file://{uri}")
+    return fs.FileSystem.from_uri(uri)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """path with the file system that Spark finds it in, so that a bare path means the same to driver and executors."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def id_width(tokenizer: str, end_id: int = END_ID) -> int:
+    """Bytes of an id: 2 where the vocabulary and the end id fit, else 4."""
+    largest = max(encoder(tokenizer, False).tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+    return 2 if max(largest, end_id) < 2**16 else 4
 
 
 def _sampled(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> list[bytes]:
@@ -92,60 +109,71 @@ def _frames(docs: DataFrame, tokenizer: str, dictionary: bytes, end_id: int, wid
     return docs.select(F.col("doc_id").cast("long"), text_of()).mapInArrow(batches, FRAMES)
 
 
-def _write_shard(path: str, batches: Iterator[pa.RecordBatch], dictionary: bytes, width: int) -> tuple[int, int]:
-    """Write one shard under a name of this attempt, then give it its own; a second attempt replaces it whole."""
+def shard_name(part: int, number: int) -> str:
+    return f"shard-{part:05d}-{number:05d}.ids"
+
+
+def _write_shard(path: str, rows: Iterator[tuple], dictionary: bytes, width: int) -> tuple[int, int]:
+    """Write one shard under a name of this attempt, then give it its own; a second attempt replaces it whole.
+
+    Rows are taken until the shard is full.
+    """
     store, place = _store(path)
     attempt = f"{place}.{TaskContext.get().taskAttemptId()}"
     index, at = [], len(MAGIC) + 32
     with store.open_output_stream(attempt) as out:
         out.write(MAGIC + (hashlib.sha256(dictionary).digest() if dictionary else bytes(32)))
-        for batch in batches:
-            for doc, n, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                index.append((doc or 0, doc is None, n, at, len(frame)))
-                out.write(frame)
-                at += len(frame)
+        for doc, n, frame in rows:
+            index.append((doc or 0, doc is None, n, at, len(frame)))
+            out.write(frame)
+            at += len(frame)
+            if at >= SHARD_BYTES or len(index) >= SHARD_DOCS:
+                break
         out.write(np.array(index, INDEX).tobytes())
         out.write(TAIL.pack(at, len(index), width, MAGIC))
     store.move(attempt, place)
     return len(index), sum(x[2] for x in index)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = 2) -> dict:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int | None = None) -> dict:
     """Write the ids of every whole text in ascending doc_id order under path; the manifest is returned.
 
-    path: a folder that driver and executors share. width: bytes of an id.
+    path: a folder that driver and executors share. width: bytes of an id, 2 or 4; by default what
+    the vocabulary needs. A width that is too small is refused.
     Each text's ids end with end_id. Null and empty texts have that id alone; null ids come first.
-    Rows with equal ids stand in any order beside each other. An empty table gives no shard.
+    Very long texts are one document of any number of ids. Rows with equal ids, repeated ones among them, stand in any
+    order beside each other. Other columns are not looked at, whatever their names. An empty table gives no shard.
     """
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    needed = id_width(tokenizer, end_id)
+    width = width or needed
+    if width not in (2, 4) or width < needed:
+        raise ValueError(f"ids of this tokenizer need {needed} bytes, not {width}")
+    path = _qualified(spark, path)
     own = only(docs, "doc_id", "text")
-    dictionary = trained_dictionary(_sampled(own, tokenizer, end_id, width))
-    # a row number spreads rows of one id over ranges too
-    made_frames = written(_frames(own, tokenizer, dictionary, end_id, width), "frames")
-    frames = made_frames.withColumn("row", F.monotonically_increasing_id())
     store, place = _store(path)
     store.create_dir(place, recursive=True)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
-            return
-        part = TaskContext.get().partitionId()
-
-        def all_rows() -> Iterator[pa.RecordBatch]:
-            yield first
-            yield from batches
-
-        docs_in, ids_in = _write_shard(f"{path}/shard-{part:05d}.ids", all_rows(), dictionary, width)
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, docs_in, ids_in)], names=["shard", "docs", "ids"])
-
-    dealt = frames.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "n", "frame")
-    made = sorted(dealt.mapInArrow(shards, "shard long, docs long, ids long").collect())
+        part, number = TaskContext.get().partitionId(), 0
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        first = next(rows, None)
+        while first is not None:
+            made = _write_shard(f"{path}/{shard_name(part, number)}", chain([first], rows), dictionary, width)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, number, *made)], names=["part", "number", "docs", "ids"])
+            first, number = next(rows, None), number + 1
+
+    with batches_of(spark, 500):
+        dictionary = trained_dictionary(_sampled(own, tokenizer, end_id, width))
+        made_frames = written(_frames(own, tokenizer, dictionary, end_id, width), "frames")
+        # a row number spreads rows of one id over ranges too
+        frames = made_frames.withColumn("row", F.monotonically_increasing_id())
+        dealt = frames.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "n", "frame")
+        made = sorted(dealt.mapInArrow(shards, "part long, number long, docs long, ids long").collect())  # a row for each shard
     forget(made_frames)
     manifest = {
         "width": width, "end_id": end_id, "dictionary_sha256": hashlib.sha256(dictionary).hexdigest() if dictionary else None,
-        "shards": [{"shard": s, "docs": d, "ids": i} for s, d, i in made],
+        "shards": [{"file": shard_name(p, k), "docs": d, "ids": i} for p, k, d, i in made],
     }
     for name, data in (("dictionary.zdict", dictionary), ("manifest.json", json.dumps(manifest).encode())):
         with store.open_output_stream(f"{place}/{name}") as out:
@@ -200,10 +228,11 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
 
     ids and their crc32 are over little-endian unsigned 32-bit integers. A task reads one shard as a stream.
     """
+    path = _qualified(spark, path)
     manifest, dictionary = read_manifest(path)
     start, rows = 0, []
     for s in manifest["shards"]:
-        rows.append((s["shard"], start))
+        rows.append((s["file"], start))
         start += s["ids"]
     value, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
     schema = f"doc_id long, start long, n_tokens long, {value} {kind}"
@@ -217,9 +246,9 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
             )
 
         for batch in batches:
-            for number, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held, size = [], 0
-                for doc, _, ids in Shard(f"{path}/shard-{number:05d}.ids", dictionary).documents():
+                for doc, _, ids in Shard(f"{path}/{name}", dictionary).documents():
                     held.append((doc, at, len(ids), zlib.crc32(ids.tobytes()) if digest else ids.tobytes()))
                     at += len(ids)
                     size += len(ids)
@@ -231,12 +260,16 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
 
     if not rows:
         return spark.createDataFrame([], schema)
-    shards = spark.createDataFrame(rows, "shard long, at long").repartition(len(rows), "shard")
+    shards = spark.createDataFrame(rows, "file string, at long").repartition(len(rows), "file")
     return shards.mapInArrow(read, schema)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """Write docs as token files into the shared folder, and read the files back."""
+    """docs -> doc_id, start, n_tokens, ids_crc32 as write_token_files() writes them into the shared folder and read_token_files() reads them.
+
+    A row for every row of docs. Null and empty texts have one id, null ids come first, repeated rows stay, very long texts
+    are whole, other columns are not looked at whatever their names, and an empty table gives an empty result.
+    """
     path = scratch_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer, end_id)
     return read_token_files(docs.sparkSession, path, digest=True)

@@ -20,8 +20,8 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept in a worker before their table starts anew; about 200 bytes each.
-KEPT = 1_000_000
+#: Pieces that each half of a table keeps; about 200 bytes each.
+KEPT = 200_000
 _SPACED = re.compile(r" ?[^\t-\r ]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: White space besides space, tab and line ends: what the two notions of it differ in.
 _ODD_SPACES = [chr(x) for x in (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -44,14 +44,17 @@ def _holds[T: (str, bytes)](text: T, signs: Iterable[T]) -> bool:
 
 
 class _Table(dict):
-    """A dict that makes what it lacks, and starts anew when it is full."""
+    """A dict that makes what it lacks. When it is full its entries become the older half, from which those asked for come back."""
 
     def __init__(self, make: object):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: object) -> bytes:
-        ids = self.make(key)  # type: ignore[operator]
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self.make(key)  # type: ignore[operator]
         if len(self) >= KEPT:
+            self.older = dict(self)
             self.clear()
         self[key] = ids
         return ids

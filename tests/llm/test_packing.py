@@ -17,7 +17,6 @@ WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe
 
 def library_ids(path, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -107,11 +106,11 @@ def test_one_document_without_the_others(spark, docs, tmp_path):
     _, dictionary = token_files.read_manifest(path)
     got = {}
     for s in manifest["shards"]:
-        shard = token_files.Shard(f"{path}/shard-{s['shard']:05d}.ids", dictionary)
+        shard = token_files.Shard(f"{path}/{s['file']}", dictionary)
         got |= {int(x["doc_id"]): shard.document(k).tolist() for k, x in enumerate(shard.index)}
     assert got == dict(zip((3, 1, 2), library_ids(BYTE, ["three", "one word", "two"]), strict=True))
     with pytest.raises(ValueError, match="another dictionary"):
-        token_files.Shard(f"{path}/shard-{manifest['shards'][0]['shard']:05d}.ids", b"other")
+        token_files.Shard(f"{path}/{manifest['shards'][0]['file']}", b"other")
 
 
 def test_token_files_odd_rows(odd):
