@@ -3,136 +3,173 @@
 Equal texts form a group; groups are the points of the tree, weighted by their bytes. A
 node is cut at the weighted median along its widest dimension, all nodes of a level
 at once, until a leaf has the target bytes. A median is found digit by digit:
-each step sums bytes by the next ten bits of the sort key, so it moves 1024 sums a node and no
+each step sums bytes by the next fifteen bits of the sort key, so it moves sums and no
 rows. Ties on a dimension are ordered by the hash of the text, so a dimension with
 few values still divides evenly.
+
+A heavy group goes to the side of the median that it lies on, whole; the light points of the node are then cut where both
+sides come out even. Groups are parted only where no tree of whole groups comes near the law of equal bytes.
+The tree itself is a table with a row for each node, so nothing about it passes through the driver.
 """
 
 from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import task_count, text_of, written
+from .common import forget, ranked, task_count, text_of, written
 
-#: A group above this share of a shard's bytes is dealt out row by row in parts of that size.
-LARGEST_GROUP = 0.01
-#: Sort keys: bits of the dimension, then bits of the hash; both are multiples of DIGIT.
-CODE_BITS, HASH_BITS, DIGIT = 20, 40, 10
+#: A group above this share of a shard's bytes is heavy: it takes a side whole and does not move a cut.
+HEAVY = 0.01
+#: Shards may differ from their mean by this share before groups of several rows are parted.
+NEAR = 0.02
+#: Sort keys: bits of the dimension, then bits of the hash; together a multiple of DIGIT.
+CODE_BITS, HASH_BITS, DIGIT = 20, 40, 15
 #: A median is close enough when the digit that holds it weighs at most this share of its node.
 CLOSE = 0.0005
 #: Levels after which the points are written anew, so plans stay short.
 LEVELS_AT_ONCE = 4
+#: A table of at most so many nodes, a hundred bytes each, is broadcast; beyond it there are as many keys, and it is joined as any other.
+SMALL_TREE = 50_000
 
 
-def _prefix(column: Column) -> Column:
-    """A number that orders strings as their first six bytes do; null is below all."""
-    first = F.hex(F.substring(column.cast("string").cast("binary"), 1, 6))
-    return F.coalesce(F.conv(F.rpad(first, 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
-
-
-def dimensions_of(docs: DataFrame) -> dict[str, Column]:
-    """The default dimensions: bytes of the text on a log scale, and lang and source where there are any."""
-    found = {"bytes": F.log2(F.octet_length(text_of()) + F.lit(1.0))}
-    return found | {c: _prefix(F.col(c)) for c in ("lang", "source") if c in docs.columns}
+def _nodes(table: DataFrame, most: int) -> DataFrame:
+    return F.broadcast(table) if most <= SMALL_TREE else table
 
 
-def _table(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
-    """A small table of whole numbers; one row for each node of a level, so its size is bounded by the shards."""
-    values = ", ".join("(" + ", ".join(f"CAST({v} AS BIGINT)" for v in row) + ")" for row in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+def _ranks(docs: DataFrame, column: str) -> DataFrame:
+    """(value, rank): the place of every distinct value of a text column by code point, from 0."""
+    values = docs.select(F.col(f"`{column}`").cast("string").alias("value")).where("value is not null").distinct()
+    return ranked(values, "value", "rank")
 
 
-def _points(rows: DataFrame, names: list[str], shards: int) -> tuple[DataFrame, DataFrame]:
-    """rows -> (rows with their part, points): a point for each group, or for each part of a large one."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    most = max(1, ceil(total / shards * LARGEST_GROUP))
-    weights = rows.groupBy("key").agg(F.sum("size").alias("all"))
-    # at most shards / LARGEST_GROUP groups weigh that much
-    large = weights.where(F.col("all") > most).select("key", F.ceil(F.col("all") / most).alias("parts"))
-    dealt = rows.join(F.broadcast(large), "key", "left").withColumn(
+def _points(rows: DataFrame, names: list[str], share: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """rows -> (rows with their part, points): a point for each group, or for each part of one of several rows above the limit."""
+    weights = rows.groupBy("key", "key2").agg(F.sum("size").alias("all"), F.count("*").alias("n")).where((F.col("all") > limit) & (F.col("n") > 1))
+    parts = weights.select("key", "key2", F.ceil(F.col("all") / max(1, int(HEAVY * share))).alias("parts"))
+    dealt = rows.join(parts, ["key", "key2"], "left").withColumn(
         "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("parts"))).cast("long")
     )
-    points = dealt.groupBy("key", "part").agg(F.sum("size").alias("weight"), *[F.min(n).alias(n) for n in names])
-    return dealt.drop("parts"), points
+    points = dealt.groupBy("key", "key2", "part").agg(F.sum("size").alias("weight"), *[F.min(n).alias(n) for n in names])
+    return dealt.drop("parts"), points.withColumn("heavy", F.col("weight") > HEAVY * share)
 
 
 def _coded(points: DataFrame, names: list[str]) -> DataFrame:
     """Sort keys in place of coordinates: the place in the dimension's whole range, then the hash."""
     ends = points.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]).first()
-    hashed = F.shiftrightunsigned(F.xxhash64("key", "part", F.lit(7)), 64 - HASH_BITS)
+    hashed = F.shiftrightunsigned(F.xxhash64("key", "key2", "part", F.lit(7)), 64 - HASH_BITS)
     keys = []
     for n in names:
         low, high = ends[f"min_{n}"], ends[f"max_{n}"]
         share = (F.col(n) - low) / (high - low) if low is not None and high > low else F.lit(0.0)
         code = F.floor(share * (2**CODE_BITS - 1)).cast("long")
         keys.append((F.shiftleft(code, HASH_BITS) + hashed).alias(n))
-    return points.select("key", "part", "weight", *keys)
+    return points.select("key", "key2", "part", "weight", "heavy", *keys)
 
 
-def _cuts(points: DataFrame, names: list[str], nodes: dict[int, tuple[int, int]]) -> dict[int, tuple[int, int]]:
-    """node -> (dimension, least key of the right side), for all nodes of one level.
+def _medians(points: DataFrame, names: list[str], state: DataFrame, most: int) -> DataFrame:
+    """state (node, dim, all, want) -> (node, dim, cut): the sort key of a dimension below which about `want` of the node's bytes lie.
 
-    nodes: node -> (first shard, number of shards); the left side gets its share of the
-    node's bytes, half of them where the number is even.
+    A node without points has no cut. Each digit's sums are written, so a plan holds one digit.
     """
-    spark = points.sparkSession
-    code = lambda c: F.shiftright(c, HASH_BITS)
-    widths = [(F.max(code(n)) - F.min(code(n))).alias(n) for n in names]
-    found = points.groupBy("node").agg(F.sum("weight").alias("weight"), *widths).collect()
-    state, cuts = {}, {}
-    for r in found:
-        if r["node"] not in nodes:  # a leaf already
-            continue
-        wide = max(range(len(names)), key=lambda i, r=r: r[names[i]])
-        shards = nodes[r["node"]][1]
-        state[r["node"]] = {"dim": wide, "all": r["weight"], "high": 0, "less": 0, "want": r["weight"] * (shards // 2) // shards}
+    zero = F.lit(0).cast("long")
+    state = state.select("node", "dim", "all", "want", zero.alias("high"), zero.alias("less"), F.lit(None).cast("long").alias("cut"))
     for shift in range(CODE_BITS + HASH_BITS - DIGIT, -1, -DIGIT):
-        open_nodes = [(n, s["dim"], s["high"], s["less"], s["want"]) for n, s in state.items() if n not in cuts]
-        if not open_nodes:
-            break
-        now = F.broadcast(_table(spark, ["node", "dim", "high", "less", "want"], open_nodes))
-        joined = points.join(now, "node").withColumn("at", F.element_at(F.array(*names), F.col("dim").cast("int") + 1))
+        joined = points.join(_nodes(state.where("cut is null"), most), "node").withColumn("at", F.element_at(F.array(*names), F.col("dim") + 1))
         inside = joined.where(F.shiftright("at", shift + DIGIT) == F.col("high"))
         digit = F.shiftright("at", shift).bitwiseAND(2**DIGIT - 1).alias("digit")
-        sums = inside.groupBy("node", "less", "want", digit).agg(F.sum("weight").alias("weight"))
-        order = Window.partitionBy("node").orderBy("digit")
-        run = sums.withColumn("upto", F.col("less") + F.sum("weight").over(order))
-        hit = run.where("upto >= want").groupBy("node").agg(F.min_by(F.struct("digit", "weight", "upto"), "digit").alias("x"))
-        for r in hit.collect():
-            s, x = state[r["node"]], r["x"]
-            s["high"], s["less"] = (s["high"] << DIGIT) + x["digit"], x["upto"] - x["weight"]
-            if shift == 0 or x["weight"] <= CLOSE * s["all"]:
-                nearer = x["upto"] - s["want"] <= s["want"] - s["less"]
-                cuts[r["node"]] = (s["dim"], (s["high"] + nearer) << shift)
-    return cuts
+        sums = inside.groupBy("node", "less", "want", digit).agg(F.sum("weight").alias("sum"))
+        run = sums.withColumn("upto", F.col("less") + F.sum("sum").over(Window.partitionBy("node").orderBy("digit")))
+        hit = run.where("upto >= want").groupBy("node").agg(F.min_by(F.struct("digit", "sum", "upto"), "digit").alias("x"))
+        high, less = F.shiftleft("high", DIGIT) + F.col("x.digit"), F.col("x.upto") - F.col("x.sum")
+        nearer = (F.col("x.upto") - F.col("want") <= F.col("want") - less).cast("long")
+        close = (F.col("x.sum") <= CLOSE * F.col("all")) if shift else F.lit(True)
+        state = state.join(hit, "node", "left").select(
+            "node", "dim", "all", "want",
+            F.coalesce(high, F.col("high")).alias("high"), F.coalesce(less, F.col("less")).alias("less"),
+            F.coalesce("cut", F.when(close, F.shiftleft(high + nearer, shift))).alias("cut"),
+        )
+        state = written(state, "medians")
+        if state.where("cut is null and `all` > 0").isEmpty():
+            break
+    return state.select("node", "dim", "cut")
+
+
+def _cuts(points: DataFrame, names: list[str], nodes: DataFrame, most: int, any_heavy: bool) -> DataFrame:
+    """(node, dim, cut, light_cut): where heavy and light points of each node part; leaves are not in it.
+
+    nodes: node, first (shard), n (shards); the left side gets its share of the
+    node's bytes, half of them where the number is even.
+    """
+    code = lambda c: F.shiftright(c, HASH_BITS)
+    widths = [(F.max(code(n)) - F.min(code(n))).alias(n) for n in names]
+    inner = nodes.where("n > 1")
+    found = points.join(_nodes(inner.select("node"), most), "node").groupBy("node").agg(F.sum("weight").alias("all"), *widths)
+    wide = (F.array_position(F.array(*names), F.array_max(F.array(*names))) - 1).cast("int")
+    want = F.expr("(all div n) * (n div 2) + ((all % n) * (n div 2)) div n")
+    state = written(found.join(_nodes(inner, most), "node").select("node", wide.alias("dim"), "all", want.alias("want")), "nodes")
+    cuts = _medians(points, names, state, most)
+    if not any_heavy:
+        return cuts.withColumn("light_cut", F.col("cut"))
+    placed = points.join(_nodes(cuts, most), "node")
+    left = F.col("heavy") & (F.element_at(F.array(*names), F.col("dim") + 1) < F.col("cut"))
+    taken = placed.groupBy("node").agg(
+        F.coalesce(F.sum(F.when(left, F.col("weight"))), F.lit(0)).alias("taken"), F.coalesce(F.sum(F.when(~F.col("heavy"), F.col("weight"))), F.lit(0)).alias("light")
+    )
+    rest = F.greatest(F.lit(0), F.least(F.col("light"), F.col("want") - F.col("taken"))).cast("long")
+    lighter = state.join(taken, "node").select("node", "dim", F.col("light").alias("all"), rest.alias("want"))
+    light = _medians(points.where("not heavy"), names, written(lighter, "nodes"), most).select("node", F.col("cut").alias("light_cut"))
+    return cuts.join(light, "node", "left").withColumn("light_cut", F.coalesce("light_cut", "cut"))
 
 
 def _leaves(points: DataFrame, names: list[str], shards: int) -> DataFrame:
-    """(key, part, shard) for every point."""
-    spark = points.sparkSession
-    now = points.withColumn("node", F.lit(0).cast("long"))
-    nodes, level = {0: (0, shards)}, 0
-    while any(n > 1 for _, n in nodes.values()):
-        cuts = _cuts(now, names, {k: v for k, v in nodes.items() if v[1] > 1})
-        rows, below = [], {}
-        for node, (first, n) in nodes.items():
-            if n == 1 or node not in cuts:  # a leaf, or a node without points
-                below[2 * node + 1] = (first, 1)
-                rows.append((node, 0, 2 ** (CODE_BITS + HASH_BITS + 1)))
-                continue
-            rows.append((node, *cuts[node]))
-            below |= {2 * node + 1: (first, n // 2), 2 * node + 2: (first + n // 2, n - n // 2)}
-        cut = F.broadcast(_table(spark, ["node", "dim", "cut"], rows))
-        side = F.when(F.element_at(F.array(*names), F.col("dim").cast("int") + 1) < F.col("cut"), 1).otherwise(2)
-        now = now.join(cut, "node").withColumn("node", 2 * F.col("node") + side).drop("dim", "cut")
-        nodes, level = below, level + 1
-        if level % LEVELS_AT_ONCE == 0:
-            now = written(now, "points")
-    placed = _table(spark, ["node", "shard"], [(k, first) for k, (first, _) in nodes.items()])
-    return now.join(F.broadcast(placed), "node").select("key", "part", F.col("shard").cast("int").alias("shard"))
+    """(key, key2, part, shard) for every point."""
+    zero = F.lit(0).cast("long")
+    now = points.withColumn("node", zero)
+    nodes = points.sparkSession.range(1).select(zero.alias("node"), zero.alias("first"), F.lit(shards).cast("long").alias("n"))
+    any_heavy = not points.where("heavy").isEmpty()
+    depth = (shards - 1).bit_length()
+    for level in range(depth):
+        most = min(2 ** (level + 1), 2 * shards)
+        cuts = _nodes(_cuts(now, names, nodes, most, any_heavy), most)
+        at = F.element_at(F.array(*names), F.col("dim") + 1)
+        # a leaf goes on as the left child of its own
+        left = F.col("dim").isNull() | (at < F.when(F.col("heavy"), F.col("cut")).otherwise(F.col("light_cut")))
+        now = now.join(cuts, "node", "left").withColumn("node", 2 * F.col("node") + F.when(left, 1).otherwise(2)).drop("dim", "cut", "light_cut")
+        half = F.floor(F.col("n") / 2)
+        children = F.when(F.col("n") < 2, F.array(F.struct((2 * F.col("node") + 1).alias("node"), F.col("first").alias("first"), F.col("n").alias("n")))).otherwise(
+            F.array(
+                F.struct((2 * F.col("node") + 1).alias("node"), F.col("first").alias("first"), half.alias("n")),
+                F.struct((2 * F.col("node") + 2).alias("node"), (F.col("first") + half).alias("first"), (F.col("n") - half).alias("n")),
+            )
+        )
+        nodes = nodes.select(F.inline(children))
+        if level % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
+            now, nodes = written(now, "points"), written(nodes, "nodes")
+    return now.join(_nodes(nodes, 2 * shards), "node").select("key", "key2", "part", F.col("first").cast("int").alias("shard"))
+
+
+def _placed(rows: DataFrame, names: list[str], shards: int) -> DataFrame:
+    """rows with their shard. Groups are parted as little as the law of near equal bytes allows."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    share = max(1, total // shards)
+    several = rows.groupBy("key", "key2").agg(F.sum("size").alias("all"), F.count("*").alias("n")).where("n > 1").agg(F.max("all")).first()[0] or 0
+    limit = share
+    while True:
+        dealt, points = _points(rows, names, share, limit)
+        points = written(_coded(written(points, "points"), names), "points")
+        leaves = _leaves(points, names, shards)
+        placed = written(dealt.join(leaves, ["key", "key2", "part"]).select("row", "doc_id", "size", "text_crc32", "shard"), "placed")
+        bytes_of = placed.groupBy("shard").agg(F.sum("size").alias("bytes"))
+        apart = bytes_of.agg(F.max(F.abs(F.col("bytes") - share)), F.count("*")).first()
+        even = (apart[0] or 0) <= NEAR * share and apart[1] == shards
+        smaller = max(int(limit / 4), int(HEAVY * share))
+        if even or smaller >= limit or several <= smaller:
+            return placed
+        limit = smaller
+        forget(placed)
 
 
 def sharded(
@@ -145,26 +182,33 @@ def sharded(
 
     size: UTF-8 bytes of the text and one more. Give the number of shards, or the
     bytes that a shard should reach. dimensions: numeric columns by name; by default
-    the bytes, lang and source. Shards are numbered along the tree from 0, slots
-    within a shard from 0 without a gap.
+    the bytes on a log scale, and the ranks of lang and source among their values, where docs has them. Shards are
+    numbered along the tree from 0, slots within a shard from 0 without a gap.
 
     Null and empty texts have size 1 and the checksum of no bytes. Null ids and null
-    dimensions keep their rows; a null string lies below all others. Equal texts stay
-    together unless they weigh over a hundredth of a shard; then, as with repeated rows,
-    they are dealt out in parts of that weight. An empty table gives an empty result.
-    Columns of other names are not looked at.
+    dimensions keep their rows; a null lies below all values. Equal texts stay in one shard, unless the bytes of
+    shards would differ by more than NEAR with every group whole; then groups above a shard's bytes, or
+    above a fourth, a sixteenth and so on of them, are dealt out row by row. A single row is never cut, however long. An empty
+    table gives an empty result. Columns of other names are not looked at.
     """
     text = text_of()
-    dims = dimensions or dimensions_of(docs)
-    axes = {f"axis{i}": c for i, c in enumerate(dims.values())}
     size = (F.octet_length(text) + 1).cast("long")
+    given = docs
+    dims = dict(dimensions or {"bytes": F.log2(F.octet_length(text) + F.lit(1.0))})
+    if dimensions is None:
+        for c in (c for c in ("lang", "source") if c in docs.columns):
+            ranks = _ranks(docs, c).select(F.col("value").alias(f"_tallyfield_{c}_value"), F.col("rank").alias(f"_tallyfield_{c}"))
+            given = given.join(ranks, F.col(f"`{c}`").cast("string") == F.col(f"_tallyfield_{c}_value"), "left")
+            dims[c] = F.col(f"_tallyfield_{c}")
+    axes = {f"axis{i}": c for i, c in enumerate(dims.values())}
     rows = written(
-        docs.select(
+        given.select(
             F.monotonically_increasing_id().alias("row"),
             F.col("doc_id"),
             size.alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text, size).alias("key"),
+            F.xxhash64(F.lit(77), size, text).alias("key2"),
             *[F.coalesce(c.cast("double"), F.lit(-1.0)).alias(n) for n, c in axes.items()],
         ),
         "sizes",
@@ -173,14 +217,7 @@ def sharded(
         if not target_bytes:
             raise ValueError("give shards or target_bytes")
         shards = max(1, ceil((rows.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    names = list(axes)
-    dealt, points = _points(rows, names, shards)
-    points = written(points, "points")
-    leaves = _leaves(written(_coded(points, names), "points"), names, shards)
-    placed = written(
-        dealt.join(leaves, ["key", "part"]).select("row", "doc_id", "size", "text_crc32", "shard"),
-        "placed",
-    )
+    placed = _placed(rows, list(axes), shards)
     cells = max(32, task_count(docs.sparkSession))
     in_cells = placed.withColumn("cell", F.pmod(F.xxhash64("row"), F.lit(cells)))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
