@@ -1,10 +1,14 @@
 """Exact top-k search by inner product with pivot-table elimination.
 
-Distances from every vector to some pivots are computed for every pair of tiles. For a
+The pivot table, distances from every vector to pivots far from each other, is worked out once and kept beside the vectors. For a
 query, the largest difference of distances to a common pivot is a lower bound on the
 distance to a candidate, hence |q|^2 + |x|^2 - bound^2, halved, is an upper bound on the
-inner product. Candidates of a tile are evaluated in the order of that bound, and a query stops in the tile
-when its k-th score of the tile is above the next bound, so the result is exact.
+inner product. Candidates stand in tiles ordered by their nearest pivot and its distance; the least and greatest distance of a tile
+to each pivot bound all of it at once.
+
+A first pass over the pivots' sample gives every query a score that k candidates reach, so its k-th score is no less. Tiles are
+then visited in the order of their bounds, with the k best so far carried from tile to tile, and candidates of a tile are evaluated
+in the order of theirs. A query stops where the next bound is below its k-th score, so the result is exact.
 """
 
 from __future__ import annotations
@@ -20,90 +24,234 @@ from .common import batches_of, written
 from .tiles import is_sound, tiles, unpacked
 
 SCALE = 1024
-PIVOTS = 16
-#: Vectors in a tile of candidates, and queries in a tile of theirs.
+#: Pivots for each length of vector, and the candidates that they are chosen from and that give first scores.
+PIVOTS = 64
+SAMPLE = 4096
+#: Pivots that are looked at for all candidates of a tile; the others only for those that are left.
+FIRST_PIVOTS = 8
+#: Vectors in a tile of candidates, tiles that one task visits for a tile of queries, and queries in a tile of theirs.
 TILE_ROWS = 4096
+SHELF_TILES = 16
 QUERY_ROWS = 1024
 #: Candidates of a query that are evaluated at a time.
-STEP = 64
-FOUND = "query_id long, vec_id long, score long"
+STEP = 256
+FOUND = "query_id long, vec_id long, score long, visited long, evaluated long"
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     square = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None] - 2 * (x @ pivots.T)
     return np.sqrt(np.maximum(square, 0))
 
 
-def _bounds(q: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Upper bounds on the inner products of all rows of q and x, with room for rounding."""
-    near = np.zeros((len(q), len(x)))
-    for a, b in zip(_distances(q, pivots).T, _distances(x, pivots).T, strict=True):
-        np.maximum(near, np.abs(a[:, None] - b[None]), out=near)
-    room = 1e-6 * (1 + np.sqrt((q * q).sum(1)).max(initial=0) + np.sqrt((x * x).sum(1)).max(initial=0))
-    near = np.maximum(near - room, 0)
-    half = ((q * q).sum(1)[:, None] + (x * x).sum(1)[None] - near * near) / 2
+def far_pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows of the sample, each farthest from those before it."""
+    if not len(sample):
+        return sample
+    taken, near = [0], distances(sample, sample[:1])[:, 0]
+    while len(taken) < min(n, len(sample)):
+        far = int(near.argmax())
+        if near[far] <= 0:
+            break
+        taken.append(far)
+        near = np.minimum(near, distances(sample, sample[far : far + 1])[:, 0])
+    return sample[taken]
+
+
+def upper_bounds(q: np.ndarray, q_table: np.ndarray, squares: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Upper bounds on the inner products of one query with candidates, from pivot distances alone, with room for rounding."""
+    own = float(q @ q)
+    near = np.abs(table - q_table).max(1, initial=0)
+    return _bound(own, squares, near)
+
+
+def _bound(own: float, squares: np.ndarray, near: np.ndarray) -> np.ndarray:
+    # distances are rounded by less than this: square roots of sums that are off by some 1e-15 of their terms
+    room = 1e-6 * (1 + own**0.5 + squares**0.5)
+    half = (own + squares - np.maximum(near - room, 0) ** 2) / 2
     return half + 1e-9 * np.abs(half) + 1e-3
 
 
-def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple]:
-    """(query, candidate, score) of the k best candidates of each query, ties to the smaller id."""
-    bound = _bounds(q, x, pivots)
-    whole, out = x.astype(np.int64), []
-    for i in range(len(q)):
-        own = q[i].astype(np.int64)
-        rest, top = np.flatnonzero(ids != q_ids[i]), []
-        while len(rest):
-            step = min(STEP + len(top), len(rest))
-            if step < len(rest):
-                split = np.argpartition(-bound[i, rest], step - 1)
-                now, rest = rest[split[:step]], rest[split[step:]]
-            else:
-                now, rest = rest, rest[:0]
-            scores = whole[now] @ own
-            top = sorted([*top, *zip((-scores).tolist(), ids[now].tolist(), strict=True)])[:k]
-            if len(top) == k and len(rest) and bound[i, rest].max() < -top[-1][0]:
-                break
-        out += [(int(q_ids[i]), c, -s) for s, c in top]
-    return out
+class Tile:
+    """Candidates with their part of the pivot table, and what bounds all of them at once."""
 
+    def __init__(self, ids: np.ndarray, x: np.ndarray, table: np.ndarray):
+        self.ids, self.x, self.table = ids, x, table
+        self.squares = (x * x).sum(1)
+        self.low, self.high = table.min(0, initial=np.inf), table.max(0, initial=-np.inf)
+        self.most = float(self.squares.max(initial=0))
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE) -> DataFrame:
-    """vectors (vec_id, embedding, ...) -> query_id, rank, vec_id, score: the k best of every query row.
+    def bound(self, q: np.ndarray, q_table: np.ndarray) -> float:
+        """No product of q with a candidate of this tile is above it."""
+        gap = float(np.maximum(self.low - q_table, q_table - self.high).max(initial=0))
+        own = float(q @ q)
+        # a candidate is as far from q as its norm differs, and as its pivot distances say
+        return float(min(_bound(own, np.array([self.most]), np.array([gap]))[0], (own * self.most) ** 0.5 * (1 + 1e-9) + 1e-3))
 
-    Components become floor(scale * x); the score is the integer inner product and must
-    fit a long. Candidates are all rows but those of the query's own id, and of its length.
 
-    Null ids, null vectors and vectors with a null or non-finite component take no part.
-    Repeated rows take part as often as they occur, queries once. Ties go to the smaller
-    id. Fewer candidates than k are all returned; an empty table gives an empty
-    result. Other columns are not looked at.
+def best(q_id: int, q: np.ndarray, q_table: np.ndarray, floor: float, shelf: list[Tile], k: int) -> tuple[list[tuple[int, int]], int, int]:
+    """(the k best as (-score, id), tiles visited, candidates evaluated): tiles and candidates in the order of their bounds.
+
+    floor: a score that k candidates are known to reach; what is below it is not looked for.
     """
+    top: list[tuple[int, int]] = []
+    visited = evaluated = 0
+    bounds = np.array([t.bound(q, q_table) for t in shelf])
+    for n in np.argsort(-bounds, kind="stable"):
+        if bounds[n] < floor:
+            break
+        tile = shelf[n]
+        visited += 1
+        left = np.flatnonzero(tile.ids != q_id)
+        for pivots in (slice(0, FIRST_PIVOTS), slice(None)):
+            bound = upper_bounds(q, q_table[pivots], tile.squares[left], tile.table[left, pivots])
+            left = left[bound >= floor]
+            bound = bound[bound >= floor]
+        small = (float(q @ q) * tile.most) ** 0.5 < 2.0**52
+        while len(left) and bound.max() >= floor:
+            step = min(STEP, len(left))
+            if step < len(left):
+                split = np.argpartition(-bound, step - 1)
+                now, left, bound = left[split[:step]], left[split[step:]], bound[split[step:]]
+            else:
+                now, left, bound = left, left[:0], bound[:0]
+            # whole numbers below 2**53 in doubles are exact; others are added up as integers
+            scores = tile.x[now] @ q if small else tile.x[now].astype(np.int64) @ q.astype(np.int64)
+            evaluated += len(now)
+            good = scores >= floor
+            if good.any():
+                top = sorted([*top, *zip((-scores[good].astype(np.int64)).tolist(), tile.ids[now][good].tolist(), strict=True)])[:k]
+                if len(top) == k:
+                    floor = max(floor, -top[-1][0])
+    return top, visited, evaluated
+
+
+def _table_of(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, float).reshape(n, -1) if n and len(data) else np.zeros((n, 0))
+
+
+def _with_table(tiled: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """tiles with the pivot table of their vectors."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tables = []
+            for row in batch.to_pylist():
+                _, _, x = unpacked(row)
+                tables.append(distances(x, pivots.get(row["dim"], np.zeros((0, row["dim"])))).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tables, pa.binary())], names=[*batch.schema.names, "pivot_table"])
+
+    return tiled.mapInArrow(work, "tile long, dim int, n int, ids binary, copies binary, data binary, pivot_table binary")
+
+
+def _ordered(own: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """Vectors dealt out and sorted by length, nearest pivot and the distance to it, so that a tile's distances lie close together."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends, values = np.asarray(lists.offsets) - lists.offsets[0].as_py(), np.asarray(lists.flatten(), float)
+            dims = np.diff(ends)
+            nearest, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
+            for dim in np.unique(dims).tolist():
+                if dim in pivots:
+                    at = np.flatnonzero(dims == dim)
+                    away = distances(values[ends[at][:, None] + np.arange(dim)], pivots[dim])
+                    nearest[at], far[at] = away.argmin(1), away.min(1)
+            columns = [*batch.columns, pa.array(dims.astype(np.int32)), pa.array(nearest), pa.array(far)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "copies", "v", "dim", "nearest", "far"])
+
+    placed = own.select("id", "copies", "v").mapInArrow(work, "id long, copies int, v array<double>, dim int, nearest int, far double")
+    return placed.repartitionByRange("dim", "nearest", "far", F.xxhash64("id")).sortWithinPartitions("dim", "nearest", "far").select("id", "copies", "v")
+
+
+def _first_scores(queries: DataFrame, sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """Tiles of queries with floors: the k-th score of each over the sample, or minus infinity where the sample has fewer candidates."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floors = []
+            for row in batch.to_pylist():
+                q_ids, _, q = unpacked(row)
+                ids, x = sample.get(row["dim"], (np.empty(0, np.int64), np.zeros((0, row["dim"]))))
+                scores = q @ x.T
+                scores[q_ids[:, None] == ids[None]] = -np.inf
+                # rounded down where products are beyond what doubles hold
+                floor = np.partition(scores, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(q), -np.inf)
+                floors.append((floor - np.where(np.abs(floor) > 2.0**52, np.abs(floor) * 1e-9, 0)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floors, pa.binary())], names=[*batch.schema.names, "floors"])
+
+    columns = "tile long, dim int, n int, ids binary, copies binary, data binary, pivot_table binary, floors binary"
+    return queries.mapInArrow(work, columns)
+
+
+def _search(vectors: DataFrame, is_query: Column, k: int, scale: int) -> DataFrame:
+    """FOUND rows: the best of each query in each shelf, and a row for each query and shelf that says how much was looked at."""
+    spark = vectors.sparkSession
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
     sound = vectors.where(F.col("vec_id").isNotNull() & is_sound())
-    own = sound.select(F.col("vec_id").alias("id"), F.lit(1).alias("copies"), whole.alias("v"), is_query.alias("q"))
-    own = written(own, "vectors")
-    candidates = written(tiles(own.drop("q"), TILE_ROWS), "candidates")
-    queries = written(tiles(own.where("q").drop("q").dropDuplicates(["id", "v"]), QUERY_ROWS), "queries")
-    pivots = [np.array(r["v"]) for r in own.select("v").orderBy(F.xxhash64("id", "v"), "id").limit(PIVOTS).collect()]
+    own = written(sound.select(F.col("vec_id").alias("id"), F.lit(1).alias("copies"), whole.alias("v"), is_query.alias("q")), "vectors")
+    # a sample of fixed size: pivots and first scores come of it, the results don't depend on it
+    some = own.select("id", "v").orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
+    sample = {}
+    for dim in {len(r["v"]) for r in some}:
+        rows = [r for r in some if len(r["v"]) == dim]
+        sample[dim] = np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float).reshape(len(rows), dim)
+    pivots = {dim: far_pivots(x, PIVOTS) for dim, (_, x) in sample.items() if dim}
+    with batches_of(spark):
+        candidates = written(_with_table(tiles(_ordered(own, pivots), TILE_ROWS), pivots), "candidates")
+        asked = tiles(own.where("q").drop("q").dropDuplicates(["id", "v"]), QUERY_ROWS)
+        queries = written(_first_scores(_with_table(asked, pivots), sample, k), "queries")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 q_ids, _, q = unpacked({"n": row["q_n"], "dim": row["dim"], "ids": row["q_ids"], "data": row["q_data"]})
-                ids, _, x = unpacked(row)
-                own_pivots = np.array([p for p in pivots if len(p) == row["dim"]]).reshape(-1, row["dim"])
-                found = best(q_ids, q, ids, x, own_pivots, k)
-                columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
-
-    # the query set against all rows, in blocks: a pair of tiles is one task's work, and its size is fixed
-    asked = queries.select(F.col("tile").alias("q_tile"), "dim", F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    numbers = candidates.select("tile", "dim").join(asked.select("q_tile", F.col("dim").alias("q_dim")), F.col("dim") == F.col("q_dim"))
-    pairs = numbers.select("tile", "q_tile").repartition("tile", "q_tile")
-    work = pairs.join(candidates.drop("copies"), "tile").join(asked.drop("dim"), "q_tile")
-    work = work.select("dim", "n", "ids", "data", "q_n", "q_ids", "q_data")
-    with batches_of(vectors.sparkSession, 4):  # a row holds two tiles
-        found = written(work.mapInArrow(search, FOUND), "found")
+                q_table, floors = _table_of(row["q_table"], len(q)), np.frombuffer(row["floors"], float)
+                shelf = []
+                for t in row["shelf"]:
+                    ids, _, x = unpacked(t | {"dim": row["dim"]})
+                    shelf.append(Tile(ids, x, _table_of(t["pivot_table"], len(x))))
+                found = []
+                for i, q_id in enumerate(q_ids.tolist()):
+                    top, visited, evaluated = best(q_id, q[i], q_table[i], floors[i], shelf, k)
+                    found += [(q_id, c, -s, None, None) for s, c in top]
+                    found.append((q_id, None, None, visited, evaluated))
+                columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FOUND.split(", ")])
+
+    # the query set against all rows, in blocks: tiles that follow each other stand on one shelf, and a shelf and a
+    # tile of queries are one task's work of a fixed size
+    shelf = (F.shiftright("tile", 32) * 2**31 + F.floor((F.col("tile").bitwiseAND(2**32 - 1)) / SHELF_TILES)).cast("long")
+    shelves = candidates.groupBy("dim", shelf.alias("shelf_no")).agg(F.collect_list(F.struct("n", "ids", "data", "pivot_table")).alias("shelf"))
+    numbers = candidates.select("dim", shelf.alias("shelf_no")).distinct()
+    asked = queries.select(
+        F.col("tile").alias("q_tile"), F.col("dim").alias("q_dim"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"),
+        F.col("data").alias("q_data"), F.col("pivot_table").alias("q_table"), "floors",
+    )
+    pairs = numbers.join(asked.select("q_tile", "q_dim"), F.col("dim") == F.col("q_dim")).select("dim", "shelf_no", "q_tile")
+    work = pairs.repartition("shelf_no", "q_tile").join(shelves, ["dim", "shelf_no"]).join(asked.drop("q_dim"), "q_tile")
+    work = work.select("dim", "shelf", "q_n", "q_ids", "q_data", "q_table", "floors")
+    with batches_of(spark, 1):  # a row holds a shelf
+        return written(work.mapInArrow(search, FOUND), "found")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE) -> DataFrame:
+    """vectors (vec_id, embedding, ...) -> query_id, rank, vec_id, score: the k best of every query row.
+
+    Components become floor(scale * x); the score is the integer inner product and must
+    fit a long. Candidates are all rows but those of the query's own id, and of its length.
+
+    Null ids, null vectors and vectors with a null or non-finite component take no part. Empty vectors take part with
+    each other, at a score of 0. Repeated rows take part as often as they occur, queries once. Ties go to the smaller
+    id. Fewer candidates than k are all returned; an empty table gives an empty
+    result. Other columns are not looked at, whatever their names.
+    """
+    found = _search(vectors, is_query, k, scale).where("vec_id is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def work_done(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE) -> DataFrame:
+    """One row: how many tiles queries visited and how many candidates they evaluated, the rest being eliminated by bounds."""
+    return _search(vectors, is_query, k, scale).agg(F.sum("visited").alias("visited"), F.sum("evaluated").alias("evaluated"))

@@ -1,13 +1,14 @@
 """Embedding near-duplicates by quantised tile products with rigorous error bounds.
 
-Unit vectors are quantised to int8 with a scale and an exact error norm each. The product
-of two quantised tiles, plus the bound that follows from the error norms, tells which
+Unit vectors are quantised to int8 with a scale and an exact error norm each. The products
+of the codes of two tiles are whole numbers and exact; with the scales, plus the bound that follows from the error norms, they tell which
 pairs may reach the threshold; only these are computed again in double precision.
 
 Vectors live in cells around centres. A vector is at home in the cell of its nearest
 centre and a guest in every other cell where the bisector of the two centres
 leaves room for a partner, so a vector meets all its partners in its home cell and
-counts them there. Tiles of one cell meet by an equi-join on the cell.
+counts them there. Tiles of one cell are dealt to blocks, and blocks meet in pairs, so a tile is
+moved once for each block of its cell and not for each tile.
 """
 
 from __future__ import annotations
@@ -25,10 +26,16 @@ from .tiles import is_sound
 
 THRESHOLD = 0.95
 TILE_ROWS = 4096
+#: Components in a tile at most, so that tiles of long vectors have fewer rows.
+TILE_VALUES = 2**19
 #: Vectors that a cell has on average, the most cells, and the sample that centres are taken from.
 CELL_ROWS = 65_536
 MOST_CELLS = 2048
 SAMPLE_PER_CELL = 8
+#: Tiles that a block of a cell has on average; two blocks are one task's work.
+BLOCK_TILES = 8
+#: Components of a vector whose products of codes add up exactly in single precision: 127 * 127 * 1024 < 2**24.
+EXACT = 1024
 PLACED = "dim int, cell int, home boolean, cls long, copies long, v array<double>"
 TILE = "dim int, cell int, home boolean, part long, n int, cls binary, copies binary, codes binary, scale binary, error binary, data binary"
 FOUND = "a long, b long, links long"
@@ -47,61 +54,74 @@ def quantised(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.sqrt((missed * missed).sum(1)) + 1e-12
 
 
+def code_products(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The products of int8 codes in rows, exact whole numbers: of EXACT components at a time in single precision, which holds them."""
+    total = None
+    for at in range(0, p.shape[1], EXACT):
+        part = p[:, at : at + EXACT].astype(np.float32) @ q[:, at : at + EXACT].astype(np.float32).T
+        total = part if total is None else total.astype(float) + part
+    return np.zeros((len(p), len(q)), np.float32) if total is None else total
+
+
 def possible(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of rows of two quantised tiles whose unit vectors may have a product at or above the threshold.
 
     With x = x' + e and y = y' + f the product is x'y' + x'f + ey' + ef, and |x'| <= 1 + |e|. The largest
     errors of the tiles bound all pairs at once; a pair within that bound is held against the errors of its own two
-    vectors. Rounding of single precision adds less than 1e-5 for up to a hundred components.
+    vectors.
     """
     (p, s, e), (q, t, f) = a["codes"], b["codes"]
-    room = lambda e, f: (1 + e) * f + e * (1 + f) + e * f
-    rounding = 1e-7 * max(100, p.shape[1])
-    near = (p * s[:, None].astype(np.float32)) @ (q * t[:, None].astype(np.float32)).T
-    i, j = np.nonzero(near >= np.float32(threshold - room(e.max(), f.max()) - rounding))
-    own = near[i, j] + room(e[i], f[j]) + rounding >= threshold
+    room = lambda e, f: (1 + e) * f + e * (1 + f) + e * f + 1e-9
+    near = code_products(p, q)
+    # a row's own scale and the other tile's outermost one: one number a row to compare with, rounded down
+    bound = threshold - room(e.max(), f.max())
+    least = bound / (s * (t.max() if bound > 0 else t.min()))
+    i, j = np.nonzero(near >= (least - np.abs(least) * 1e-6).astype(np.float32)[:, None])
+    own = near[i, j] * s[i] * t[j] + room(e[i], f[j]) >= threshold
     return i[own], j[own]
 
 
-def linked(a: dict, b: dict, threshold: float) -> np.ndarray:
-    """Which pairs of two tiles link, by double precision wherever the bound leaves it open."""
-    near = np.zeros((a["n"], b["n"]), bool)
+def cosines(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of pairs of columns in double precision, component by component in order: a pair's value depends on the pair alone."""
+    out = np.zeros(len(i))
+    for x, y in zip(a, b, strict=True):
+        out += x[i] * y[j]
+    return out
+
+
+def linked(a: dict, b: dict, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows of two tiles that link, by double precision wherever the bound leaves it open."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    mine, theirs = np.ascontiguousarray(a["unit"].T), np.ascontiguousarray(b["unit"].T)
     for low in range(0, a["n"], 512):
-        rows = slice(low, low + 512)
-        part = {"codes": tuple(x[rows] for x in a["codes"])}
+        part = {"codes": tuple(x[low : low + 512] for x in a["codes"])}
         i, j = possible(part, b, threshold)
-        if len(i) * 8 > 512 * b["n"]:
-            near[rows][i, j] = (a["unit"][rows] @ b["unit"].T)[i, j] >= threshold
-        else:
-            for at in range(0, len(i), 100_000):
-                some, other = i[at : at + 100_000], j[at : at + 100_000]
-                near[rows][some, other] = np.einsum("ij,ij->i", a["unit"][rows][some], b["unit"][other]) >= threshold
-    return near & (a["cls"][:, None] != b["cls"][None])
-
-
-def forest(near: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what near joins: all of them where they are few, else one for each vector at most."""
-    i, j = np.nonzero(near)
-    if len(i) <= 4 * sum(near.shape):
-        return rows[i], columns[j]
-    a, b = [], []
-    seen = ~near.any(1)
-    while not seen.all():
-        start = int(np.argmin(seen))
-        mine, theirs = np.zeros(len(rows), bool), np.zeros(len(columns), bool)
-        mine[start], edge = True, np.array([start])
-        while len(edge):
-            new = near[edge].any(0) & ~theirs
-            theirs |= new
-            more = near[:, new].any(1) & ~mine
-            mine |= more
-            edge = np.flatnonzero(more)
-        seen |= mine
-        others = np.concatenate([rows[mine], columns[theirs]])
-        others = others[others != rows[start]]
-        a.append(np.full(len(others), rows[start]))
-        b.append(others)
-    return np.concatenate(a), np.concatenate(b)
+        for at in range(0, len(i), 500_000):
+            some, other = i[at : at + 500_000] + low, j[at : at + 500_000]
+            sure = (cosines(mine, theirs, some, other) >= threshold) & (a["cls"][some] != b["cls"][other])
+            found.append((some[sure], other[sure]))
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j
+
+
+def forest(i: np.ndarray, j: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the pairs (i, j) of rows and columns join: one for each vector at most, from the first of its part."""
+    mark = np.arange(len(rows) + len(columns))
+    j = j + len(rows)
+    while True:
+        low = np.minimum(mark[i], mark[j])
+        new = mark.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == mark).all():
+            break
+        mark = new
+    names = np.concatenate([rows, columns])
+    own = np.flatnonzero(mark != np.arange(len(mark)))
+    first, other = names[mark[own]], names[own]
+    differ = first != other
+    return first[differ], other[differ]
 
 
 def _centres(classes: DataFrame, cells: int) -> dict[int, np.ndarray]:
@@ -173,12 +193,12 @@ def _tiles(placed: DataFrame) -> DataFrame:
             values = np.asarray(lists.flatten(), float)
             keys = np.stack([dim, cell, home.astype(int)], axis=1)
             for d, c, h in np.unique(keys, axis=0).tolist():
-                key = (d, c, bool(h))
+                key, rows = (d, c, bool(h)), max(1, min(TILE_ROWS, TILE_VALUES // max(d, 1)))
                 at = np.flatnonzero((keys == (d, c, h)).all(1))
-                for low in range(0, len(at), TILE_ROWS):
-                    some = at[low : low + TILE_ROWS]
+                for low in range(0, len(at), rows):
+                    some = at[low : low + rows]
                     held.setdefault(key, []).append((cls[some], copies[some], values[start[some][:, None] + np.arange(d)]))
-                    if sum(len(x[0]) for x in held[key]) >= TILE_ROWS:
+                    if sum(len(x[0]) for x in held[key]) >= rows:
                         yield tile(key)
             for key in [k for k in held if k != tuple([*keys[-1][:2].tolist(), bool(keys[-1][2])])]:
                 yield tile(key)  # rows come sorted, so this cell and kind is over
@@ -199,39 +219,57 @@ def _tile(row: dict) -> dict:
     }
 
 
+def _block_links(tiles: list[dict], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, who, links): links that join, and how many vectors a vector at home links with, over tiles of two blocks.
+
+    Pairs of tiles within one block are left to the task that has this block alone.
+    """
+    ends, counts = [], []
+    for x, one in enumerate(tiles):
+        for two in tiles[x:]:
+            if not (one["home"] or two["home"]) or (one["own"] == two["own"]) != (one["i"] == one["j"]):
+                continue
+            i, j = linked(one, two, threshold)
+            ends.append(forest(i, j, one["cls"], two["cls"]))
+            if one["home"]:
+                counts.append((one["cls"], np.bincount(i, two["copies"][j], one["n"])))
+            if two["home"] and one is not two:
+                counts.append((two["cls"], np.bincount(j, one["copies"][i], two["n"])))
+    join = lambda parts, k: np.concatenate([np.empty(0, np.int64), *[p[k].astype(np.int64) for p in parts]])
+    who, links = join(counts, 0), join(counts, 1)
+    who, at = np.unique(who, return_inverse=True)
+    links = np.bincount(at, links, len(who)).astype(np.int64)
+    return join(ends, 0), join(ends, 1), who[links > 0], links[links > 0]
+
+
 def _links(tiles: DataFrame, threshold: float) -> DataFrame:
     """(a, b, null): links that join; (a, null, links): how many vectors a links with."""
 
+    def found(tiles: list[dict]) -> pa.RecordBatch:
+        a, b, who, links = _block_links(tiles, threshold)
+        nulls = lambda n: pa.nulls(n, pa.int64())
+        columns = [pa.concat_arrays([pa.array(a), pa.array(who)]), pa.concat_arrays([pa.array(b), nulls(len(who))]), pa.concat_arrays([nulls(len(a)), pa.array(links)])]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "links"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
-                own, other = (_tile({k[2:]: v for k, v in row.items() if k[:2] == side}) for side in ("a_", "b_"))
-                near = linked(own, other, threshold)
-                who, counts = own["cls"], near @ other["copies"]
-                if row["b_home"] and row["a_part"] != row["b_part"]:
-                    # the pair comes once, so both sides count here
-                    who, counts = np.concatenate([who, other["cls"]]), np.concatenate([counts, near.T @ own["copies"]])
-                some = np.flatnonzero(counts)
-                a, b = forest(near, own["cls"], other["cls"])
-                nulls = lambda n: pa.nulls(n, pa.int64())
-                columns = [
-                    pa.concat_arrays([pa.array(a, pa.int64()), pa.array(who[some])]),
-                    pa.concat_arrays([pa.array(b, pa.int64()), nulls(len(some))]),
-                    pa.concat_arrays([nulls(len(a)), pa.array(counts[some], pa.int64())]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "links"])
-
-    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in tiles.columns]
-    a, b = tiles.where("home").select(*side("a")), tiles.select(*side("b"))
-    meet = (F.col("a_dim") == F.col("b_dim")) & (F.col("a_cell") == F.col("b_cell"))
-    meet &= ~F.col("b_home") | (F.col("a_part") <= F.col("b_part"))
-    # which tiles meet is settled on their numbers alone; then each pair is dealt out by itself
-    names = ["dim", "cell", "home", "part"]
-    pairs = a.select(*[f"a_{n}" for n in names]).join(b.select(*[f"b_{n}" for n in names]), meet)
-    pairs = pairs.repartition(*[f"{s}_{n}" for s in "ab" for n in names])
-    work = pairs.join(a, [f"a_{n}" for n in names]).join(b, [f"b_{n}" for n in names])
-    return work.mapInArrow(compare, FOUND)
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                key = (row["dim"], row["cell"], row["i"], row["j"])
+                if key != at and held:
+                    yield found(held)
+                    held = []
+                at = key
+                held.append(_tile(row) | {k: row[k] for k in ("home", "own", "i", "j")})
+        if held:
+            yield found(held)
+
+    # blocks of a cell by the hash of a tile's number; there are at most MOST_CELLS cells for each length
+    blocks = tiles.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK_TILES).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("part", "home"), F.col("blocks")).cast("int")
+    dealt = tiles.join(blocks, ["dim", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+    return dealt.repartition("dim", "cell", "i", "j").sortWithinPartitions("dim", "cell", "i", "j", "part", "home").mapInArrow(compare, FOUND)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -245,7 +283,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nothing; vectors of different lengths don't link. Equal vectors are one class, so
     a vector with a third of all rows is compared once. Null ids keep their rows and are a component_id
     only where there is no other; kept then holds. Repeated rows link with each other. An
-    empty table gives an empty result. Other columns are not looked at.
+    empty table gives an empty result. Other columns are not looked at, whatever their names.
     """
     full = F.col("embedding").cast("array<double>")
     sound = is_sound() & F.exists("embedding", lambda x: x != 0)
@@ -254,7 +292,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     cells = min(MOST_CELLS, -(-classes.count() // CELL_ROWS))
     tiles = written(_tiles(_placed(classes, _centres(classes, cells), threshold)), "tiles")
-    with batches_of(vectors.sparkSession, 4):  # a row holds two tiles
+    with batches_of(vectors.sparkSession, 4):  # a row holds a tile
         found = written(_links(tiles, threshold), "links")
     parts = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))

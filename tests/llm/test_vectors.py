@@ -57,10 +57,34 @@ def test_links_against_brute_force(vectors):
 def test_links_over_cells_and_tiles(vectors, monkeypatch):
     monkeypatch.setattr(vector_links, "CELL_ROWS", 20)
     monkeypatch.setattr(vector_links, "TILE_ROWS", 7)
+    monkeypatch.setattr(vector_links, "BLOCK_TILES", 2)
     rows = near_rows(6)
     assert found(vectors(*rows)) == plain_links(rows)
 
 
+def test_code_products_are_exact():
+    rng = np.random.default_rng(7)
+    p, q = (rng.integers(-127, 128, size=(40, 3000)).astype(np.int8) for _ in range(2))
+    p[0], q[0] = 127, 127
+    assert (vector_links.code_products(p, q) == p.astype(np.int64) @ q.astype(np.int64).T).all()
+
+
+def test_forest_joins_what_the_pairs_join():
+    rng = np.random.default_rng(8)
+    i, j = rng.integers(0, 60, 50), rng.integers(0, 60, 50)
+    a, b = vector_links.forest(i, j, np.arange(60), np.arange(100, 160))
+    assert len(a) < 110 and len(set(zip(a, b, strict=True))) == len(a)
+
+    def parts(pairs):
+        root = {x: x for x in [*range(60), *range(100, 160)]}
+        for _ in range(120):
+            for x, y in pairs:
+                root[x] = root[y] = min(root[x], root[y])
+        return root
+
+    assert parts([*zip(a.tolist(), b.tolist(), strict=True)]) == parts([*zip(i.tolist(), (j + 100).tolist(), strict=True)])
+
+
 def test_links_odd_rows(vectors):
     assert found(vectors(*ODD)) == plain_links(ODD)
     assert vector_links.near_duplicates(vectors(*ODD).limit(0)).count() == 0
@@ -92,21 +116,38 @@ def top(df):
 
 
 def test_top_k_against_brute_force(vectors, monkeypatch):
-    monkeypatch.setattr(topk, "TILE_ROWS", 50)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 2)
+    for name, value in (("TILE_ROWS", 50), ("QUERY_ROWS", 2), ("SHELF_TILES", 2), ("SAMPLE", 60), ("PIVOTS", 20), ("STEP", 16)):
+        monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(2)
     rows = [(i, np.round(v, 1).tolist()) for i, v in enumerate(rng.normal(size=(450, 8)))]
     assert top(vectors(*rows)) == plain_top(rows)
 
 
 def test_top_k_odd_rows(vectors):
-    rows = [*[r for r in ODD if r[0] != 10], (100, [1.0, 0.0]), (200, [0.5, 0.5]), (300, None)]
+    rows = [*[r for r in ODD if r[0] != 10], (100, [1.0, 0.0]), (200, [0.5, 0.5]), (300, None), (400, []), (500, [])]
     assert top(vectors(*rows)) == plain_top(rows)
     assert topk.top_k(vectors(*rows).limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_clustered_tiles_are_passed_over(vectors, monkeypatch):
+    for name, value in (("TILE_ROWS", 40), ("SAMPLE", 200)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(20, 16)) * 5
+    rows = [(i, (centres[i % 20] + rng.normal(size=16) * 0.2).tolist()) for i in range(2000)]
+    is_query = F.col("vec_id") % 100 == 0
+    done = topk.work_done(vectors(*rows), is_query).first()
+    # of 20 queries against 2000 candidates and 50 tiles or more
+    assert done["evaluated"] < 20 * 2000 * 0.4 and done["visited"] < 20 * 50 * 0.6
+    assert top(vectors(*rows)) == plain_top(rows)
+
+
 def test_bounds_hold_every_score():
     rng = np.random.default_rng(3)
     q, x = np.floor(1024 * rng.normal(size=(5, 8))), np.floor(1024 * rng.normal(size=(400, 8)))
-    assert (topk._bounds(q, x, x[:16]) >= q @ x.T).all()
-    assert (topk._bounds(q, x, x[:0]) >= q @ x.T).all()
+    for pivots in (topk.far_pivots(x, 16), x[:0]):
+        q_table, table = topk.distances(q, pivots), topk.distances(x, pivots)
+        tile = topk.Tile(np.arange(400), x, table)
+        for i in range(5):
+            assert (topk.upper_bounds(q[i], q_table[i], tile.squares, table) >= x @ q[i]).all()
+            assert tile.bound(q[i], q_table[i]) >= (x @ q[i]).max()
