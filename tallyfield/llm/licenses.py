@@ -38,21 +38,54 @@ SENTENCES = {
     "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd-names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-warranty": "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    "0bsd-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "zlib-warranty": "this software is provided as is without any express or implied warranty",
+    "zlib-liability": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "unlicense-release": "this is free and unencumbered software released into the public domain",
+    "unlicense-free": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "cc0-deed": "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law",
+    "mpl-2-subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-2-copy": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+    "gpl-2-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl-21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "bsl-grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
 }
 #: Other wordings of known sentences, normalised, and the ids of what they say.
 WORDINGS = {
     "licensed under the apache license version 2 0 the license": ("apache-2-licensed",),
     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": ("apache-2-licensed", "apache-2-use"),
     "you may obtain a copy of the license at https www apache org licenses license 2 0": ("apache-2-copy",),
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": ("mpl-2-copy",),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": ("lgpl-3-free",),
+    "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software": ("zlib-warranty", "zlib-liability"),
 }
 #: Licence and the ids that its rule asks for, in order.
 RULES = [
     ("BSD-3-Clause", ("bsd-terms", "bsd-source", "bsd-binary", "bsd-names")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
+    ("Zlib", ("zlib-warranty", "zlib-liability", "zlib-grant")),
     ("BSD-2-Clause", ("bsd-terms", "bsd-source", "bsd-binary")),
     ("Apache-2.0", ("apache-2-licensed", "apache-2-use", "apache-2-copy")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl-warranty")),
+    ("ISC", ("isc-grant", "isc-warranty")),
+    ("Unlicense", ("unlicense-release", "unlicense-free")),
+    ("MPL-2.0", ("mpl-2-subject", "mpl-2-copy")),
     ("GPL-3.0-or-later", ("gpl-free",)),
+    ("GPL-2.0-or-later", ("gpl-2-free",)),
+    ("LGPL-2.1-or-later", ("lgpl-21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl-3-free",)),
+    ("AGPL-3.0-or-later", ("agpl-3-free",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("ISC", ("isc-grant",)),
+    ("0BSD", ("0bsd-grant",)),
+    ("Unlicense", ("unlicense-release",)),
+    ("MPL-2.0", ("mpl-2-subject",)),
+    ("CC0-1.0", ("cc0-deed",)),
     ("GPL-3.0-only", ("gpl-3-work",)),
     ("Apache-2.0", ("apache-2-licensed",)),
     ("MIT", ("mit-released",)),
@@ -62,7 +95,7 @@ RULES = [
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
 ]
 #: Every known sentence has one of these words, so a text without them needs no cutting.
-MARK = "(?i)licens|permi|software|redistribut|warrant"
+MARK = "(?i)licens|permi|software|distribut|warrant|copyright"
 #: A known sentence may begin and end where . ! ? or : stands before white space, and at every line break.
 ENDS = r"[.!?:]+[ \t\r]|[\n\x0B\f]"
 
@@ -92,7 +125,8 @@ def recognised(docs: DataFrame) -> DataFrame:
     the rules, each once, comma-joined.
 
     Null and empty texts have none. Texts are read whole. Null ids and repeated rows
-    stay. An empty table gives an empty result. Other columns are not looked at.
+    stay. Ties, such as one text that holds for two rules, go to the earlier rule. An empty table gives an empty result. Other
+    columns are not looked at, whatever their names.
     """
     text = text_of()
     wordings = {v: (k,) for k, v in SENTENCES.items()} | WORDINGS

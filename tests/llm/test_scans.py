@@ -183,3 +183,52 @@ def test_licenses_odd_rows(odd):
     rows = licenses.recognised(odd).collect()
     assert len(rows) == odd.count() and all(r["n_sentences"] == 0 for r in rows)
     assert licenses.recognised(odd.limit(0)).count() == 0
+
+
+MORE_NOTICES = {
+    "ISC": """Copyright (c) 2020 Someone.
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE""",
+    "Zlib": """  This software is provided 'as-is', without any express or implied
+  warranty.  In no event will the authors be held liable for any damages
+  arising from the use of this software.
+
+  Permission is granted to anyone to use this software for any purpose,
+  including commercial applications, and to alter it and redistribute it
+  freely, subject to the following restrictions:""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "LGPL-2.1-or-later": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "GPL-2.0-or-later": """// This program is free software; you can redistribute it and/or modify
+// it under the terms of the GNU General Public License as published by
+// the Free Software Foundation; either version 2 of the License, or
+// (at your option) any later version.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.""",
+}
+
+
+def test_notices_of_more_licences(docs):
+    names = list(MORE_NOTICES)
+    wrapped = [(i, f"int x;\n\n{MORE_NOTICES[n]}\n\nint y;") for i, n in enumerate(names)]
+    flat = [(100 + i, re.sub(r"\s*\n[\s#/*]*", " ", MORE_NOTICES[n])) for i, n in enumerate(names)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.recognised(docs(*wrapped, *flat)).collect()}
+    assert got == {i + at: n for i, n in enumerate(names) for at in (0, 100)}
