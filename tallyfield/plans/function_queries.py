@@ -109,12 +109,14 @@ def number_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), numbers.loose_number(written).alias("loose"), numbers.number(written).alias("strict"))
 
 
-@query("""SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_orderkey % 5 <> 4 THEN CAST(l_shipdate AS DATE) END AS day, l_orderkey % 5 = 4 AS impossible, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3, 4""")
+@query("""SELECT l_orderkey AS id, l_linenumber AS n, CASE WHEN l_orderkey % 10 <> 9 THEN CAST(l_shipdate AS DATE) END AS day, l_orderkey % 10 = 9 AS impossible, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3, 4""")
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day, way = F.col("l_shipdate").cast("date"), F.col("l_orderkey") % 5
+    day, way = F.col("l_shipdate").cast("date"), F.col("l_orderkey") % 10
     serial = F.datediff(day, F.lit("1899-12-30").cast("date")).cast("string")
     written = (
-        F.when(way == 0, F.date_format(day, "dd.MM.yyyy")).when(way == 1, F.date_format(day, "yyyy-MM-dd")).when(way == 2, F.concat(F.lit("10:20:30 "), F.date_format(day, "d.M.yyyy")))
+        F.when(way == 0, F.date_format(day, "dd.MM.yyyy")).when(way == 4, F.date_format(day, "dd-MM-yyyy")).when(way == 5, F.concat(F.date_format(day, "d/M/yyyy"), F.lit(", 14:05")))
+        .when(way == 6, F.concat(F.date_format(day, "dd.MM.yyyy"), F.lit("T14:05"))).when(way == 7, F.concat(F.lit("14:05:00 "), F.date_format(day, "dd-MM-yyyy")))
+        .when(way == 8, F.when(F.year(day) < 2000, F.date_format(day, "yyyy-MM-dd'T'00:00:00")).otherwise(F.date_format(day, "dd.MM.yy"))).when(way == 1, F.date_format(day, "yyyy-MM-dd")).when(way == 2, F.concat(F.lit("10:20:30 "), F.date_format(day, "d.M.yyyy")))
         .when(way == 3, serial).otherwise(F.concat(F.lit("31.02."), F.date_format(day, "yyyy")))
     )
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), dates.date(written).alias("day"), dates.is_impossible(written).alias("impossible"))

@@ -229,11 +229,13 @@ SUMS = ("plan_t", "hand_kg", "machine_kg", "today_hand_kg", "today_machine_kg",
 
 def subtotals(lines: DataFrame) -> DataFrame:
     """(level, section, block, farmers, sums): blocks, sections, all. A section whose one block bears its name has no block line."""
-    rows = lines.rollup("section", "block").agg(F.grouping_id().alias("g"), F.count("*").alias("farmers"), F.count_distinct("block").alias("blocks"), *[F.sum(c).alias(c) for c in SUMS])
+    rows = lines.rollup("section", "block").agg(
+        F.grouping_id().alias("g"), F.count("*").alias("farmers"), F.min("block").alias("least"), F.max("block").alias("most"), *[F.sum(c).alias(c) for c in SUMS]
+    )
     level = F.when(F.col("g") == 0, "block").when(F.col("g") == 1, "section").otherwise("grand")
-    single = lines.groupBy("section").agg(F.count_distinct("block").alias("n"), F.min("block").alias("only")).where("n = 1 and only = section").select(F.col("section").alias("_single"))
-    named = rows.join(F.broadcast(single), F.col("section") == F.col("_single"), "left")  # sections are few
-    return named.where(~((F.col("g") == 0) & F.col("_single").isNotNull())).select(level.alias("level"), "section", "block", "farmers", *SUMS)
+    own = (F.col("g") == 1) & (F.col("least") == F.col("section")) & (F.col("most") == F.col("section"))
+    named = rows.withColumn("single", F.max(own).over(Window.partitionBy("section")))  # a row for each block of a section
+    return named.where(~((F.col("g") == 0) & F.col("single"))).select(level.alias("level"), "section", "block", "farmers", *SUMS)
 
 
 def layout(lines: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import replace
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from ..operators import matching as M
 from ..operators import quality as Q
 from ..operators import relational as R
 from ..operators import store
+from ..shared import written
 from ..sources import settlement_tables as T
 from ..sources.tables import table
 from . import settlement as S
@@ -95,27 +96,40 @@ SUMS = ", ".join(d(f"sum({c})", c) for c in S.SUMS)
 
 
 class _Report:
-    """The frames of one report; each is built where it is first asked for."""
+    """The frames of one report. Those that several others are made of are written once to the shared folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        self.harvest, self.payments = T.harvest(spark, sf_dir), T.payments(spark, sf_dir)
-        self.counted = S.row_state(self.harvest).where("countable")
-        self.index = S.index_of(self.harvest, self.payments)
 
-    @property
+    @cached_property
+    def harvest(self) -> DataFrame:
+        return written(S.row_state(T.harvest(self.spark, self.dir)), "harvest")
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return T.payments(self.spark, self.dir)
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        return self.harvest.where("countable")
+
+    @cached_property
+    def index(self) -> S.Index:
+        return S.index_of(self.harvest, self.payments)
+
+    @cached_property
     def matched(self) -> DataFrame:
-        return S.matched_payments(self.payments, self.index)
+        return written(S.matched_payments(self.payments, self.index), "matched")
 
-    @property
+    @cached_property
     def deals(self) -> DataFrame:
-        return S.deals(T.shipments(self.spark, self.dir), self.index, self.harvest, self.counted, self.matched)
+        return written(S.deals(T.shipments(self.spark, self.dir), self.index, self.harvest, self.counted, self.matched), "deals")
 
-    @property
+    @cached_property
     def directory(self) -> DataFrame:
         return T.directory(self.spark, self.dir)
 
-    @property
+    @cached_property
     def lines(self) -> DataFrame:
         return S.farmer_lines(self.harvest, self.counted, self.directory, self.matched, self.deals, LINE_DAY, CFG)
 
@@ -223,8 +237,8 @@ ACCOUNTS = """accounts AS (SELECT s_suppkey AS source_row, CASE WHEN s_suppkey %
     LEFT JOIN (SELECT DISTINCT code FROM payments WHERE is_company_side) o ON o.code = a.code LEFT JOIN by_code c ON c.code = a.code LEFT JOIN by_name n ON n.key = a.holder_key)"""
 
 
-def _owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = _Report(spark, sf_dir)
+def _owned(spark: SparkSession, sf_dir: str, report: _Report | None = None) -> DataFrame:
+    report = report or _Report(spark, sf_dir)
     return S.account_owners(T.accounts(spark, sf_dir), report.payments, report.index)
 
 
@@ -286,7 +300,7 @@ def region_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(*) FROM deal_rows) AS shipment_deals, (SELECT round(CAST(coalesce(sum(balance), 0) AS DOUBLE), 4) FROM owned WHERE owner_kind = 'OWNER' AND category = 'FREE') AS rkp_free_balance FROM full_lines""")
 def kpi_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = _Report(spark, sf_dir)
-    return S.kpis(report.lines, report.counted, report.deals, S.account_totals(_owned(spark, sf_dir)))
+    return S.kpis(report.lines, report.counted, report.deals, S.account_totals(_owned(spark, sf_dir, report)))
 
 
 @query(f"WITH {SOURCES} SELECT inn, name, CAST(coalesce(entry_ord, -1) AS BIGINT) AS entry_ord, link FROM links")
@@ -376,31 +390,37 @@ def search_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search(_Report(spark, sf_dir).lines, "1", "NATION_3").select("inn", "display_name", "block")
 
 
-@query(f"""WITH {SOURCES} SELECT CAST(json_object('inn', inn, 'section', section, 'block', block, 'display_name', display_name) AS VARCHAR) AS json FROM full_lines WHERE inn IS NOT NULL""")
+@query(f"""WITH {SOURCES} SELECT inn, section, block, display_name, round(CAST(sum_100 AS DOUBLE) / 100, 2) AS sum_100, round(CAST(paid_total AS DOUBLE) / 100, 2) AS paid_total,
+    round(CAST(total_kg AS DOUBLE) / 1000, 6) AS total_t, achieved_pct FROM full_lines""")
 def web_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.web_view(_Report(spark, sf_dir).lines.where("inn is not null"))
-    kept = F.from_json("json", "inn string, section string, block string, display_name string")
-    return rows.select(F.to_json(kept).alias("json"))
+    """What a reader of the JSON finds in it: every line, names and numbers."""
+    kept = F.from_json("json", "inn string, section string, block string, display_name string, sum_100 double, paid_total double, total_t double, achieved_pct double")
+    rows = S.web_view(_Report(spark, sf_dir).lines).select(kept.alias("x")).select("x.*")
+    return rows.withColumns({"sum_100": F.round("sum_100", 2), "paid_total": F.round("paid_total", 2), "total_t": F.round("total_t", 6)})
 
 
 # Stored tables: two batches made of the same orders, with corrections, repeats, new and missing keys.
-BATCHES = """old AS (SELECT CAST(o_orderkey AS VARCHAR) AS natural_key, CAST(o_custkey AS VARCHAR) AS fingerprint, o_orderpriority AS note FROM orders WHERE o_orderkey % 3 <> 0),
-  raw AS (SELECT CAST(o_orderkey AS VARCHAR) AS natural_key, CASE WHEN o_orderkey % 5 = 0 THEN 'new' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS fingerprint, 'second' AS note FROM orders WHERE o_orderkey % 4 <> 0),
-  acts AS (SELECT coalesce(raw.natural_key, old.natural_key) AS natural_key, raw.fingerprint AS nf, old.fingerprint AS f, raw.note AS nn, old.note AS n,
-    CASE WHEN old.natural_key IS NULL THEN 'INSERT' WHEN raw.natural_key IS NULL THEN 'ABSENT' WHEN raw.fingerprint = old.fingerprint THEN 'DUPLICATE' ELSE 'UPDATE' END AS action FROM raw FULL JOIN old USING (natural_key))"""
+BATCHES = """raw AS (SELECT CAST(o_orderkey AS VARCHAR) AS natural_key, CAST(o_custkey AS VARCHAR) AS who, o_orderstatus AS st, o_orderpriority AS note, o_orderkey AS ord FROM orders),
+  old AS (SELECT natural_key, who AS fingerprint, note FROM raw WHERE st <> 'P'),
+  batch AS (SELECT natural_key, CASE WHEN st = 'F' AND note = '1-URGENT' THEN 'new' || who ELSE who END AS fingerprint, 'second' AS note, ord FROM raw WHERE st <> 'F' OR note <> '5-LOW'
+    UNION ALL SELECT natural_key, 'again', 'third', ord + 0.5 FROM raw WHERE st = 'P'),
+  once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY natural_key ORDER BY ord) AS k FROM batch) WHERE k = 1),
+  acts AS (SELECT coalesce(once.natural_key, old.natural_key) AS natural_key, once.fingerprint AS nf, old.fingerprint AS f, once.note AS nn, old.note AS n,
+    CASE WHEN old.natural_key IS NULL THEN 'INSERT' WHEN once.natural_key IS NULL THEN 'ABSENT' WHEN once.fingerprint = old.fingerprint THEN 'DUPLICATE' ELSE 'UPDATE' END AS action FROM once FULL JOIN old USING (natural_key))"""
 
 
 def _batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = table(spark, sf_dir, "orders")
-    key, who = F.col("o_orderkey"), F.col("o_custkey").cast("string")
-    old = orders.where(key % 3 != 0).select(key.cast("string").alias("natural_key"), who.alias("fingerprint"), F.col("o_orderpriority").alias("note"), key.alias("source_row"))
-    new = orders.where(key % 4 != 0).select(
-        key.cast("string").alias("natural_key"), F.when(key % 5 == 0, F.concat(F.lit("new"), who)).otherwise(who).alias("fingerprint"), F.lit("second").alias("note"), key.alias("source_row")
-    )
-    return old.withColumns({"first_batch_id": F.lit(1), "last_batch_id": F.lit(1)}), new
+    """All orders: pending ones come with the second batch, twice, finished ones of low priority are gone from it, urgent finished ones are corrected."""
+    status, note = F.col("o_orderstatus"), F.col("o_orderpriority")
+    orders = table(spark, sf_dir, "orders").withColumns({"natural_key": F.col("o_orderkey").cast("string"), "who": F.col("o_custkey").cast("string"), "ord": F.col("o_orderkey").cast("double")})
+    old = orders.where(status != "P").select("natural_key", F.col("who").alias("fingerprint"), note.alias("note"), F.col("ord").alias("source_row"))
+    corrected = F.when((status == "F") & (note == "1-URGENT"), F.concat(F.lit("new"), "who")).otherwise(F.col("who"))
+    new = orders.where((status != "F") | (note != "5-LOW")).select("natural_key", corrected.alias("fingerprint"), F.lit("second").alias("note"), F.col("ord").alias("source_row"))
+    again = orders.where(status == "P").select("natural_key", F.lit("again").alias("fingerprint"), F.lit("third").alias("note"), (F.col("ord") + 0.5).alias("source_row"))
+    return old.withColumns({"first_batch_id": F.lit(1), "last_batch_id": F.lit(1)}), new.unionByName(again)
 
 
-@query(f"WITH {BATCHES} SELECT action, count(*) AS n FROM acts GROUP BY 1 UNION ALL SELECT 'IN_FILE', 0")
+@query(f"WITH {BATCHES} SELECT action, count(*) AS n FROM acts GROUP BY 1 UNION ALL SELECT 'IN_FILE', (SELECT count(*) FROM batch) - (SELECT count(*) FROM once)")
 def upsert_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _batches(spark, sf_dir)
     return store.upsert(new, old, 2, F.col("source_row"))[1]
@@ -432,13 +452,13 @@ def removed_from_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events), n AS (SELECT day, dense_rank() OVER (ORDER BY day) AS batch_id FROM b),
-    f AS (SELECT DISTINCT event_type AS file_type, CAST(ts AS DATE) AS day FROM events WHERE user_id % 7 = 0), j AS (SELECT file_type, batch_id, CAST(day AS VARCHAR) AS file_name FROM f JOIN n USING (day) WHERE batch_id <= 20 AND batch_id % 4 <> 0)
+    f AS (SELECT DISTINCT event_type AS file_type, CAST(ts AS DATE) AS day FROM events), j AS (SELECT file_type, batch_id, CAST(day AS VARCHAR) AS file_name FROM f JOIN n USING (day) WHERE batch_id <= 20 AND batch_id % 4 <> 0)
     SELECT file_type, max(batch_id) AS batch_id, arg_max(file_name, batch_id) AS file_name FROM j GROUP BY 1""")
 def latest_per_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("day"), "event_type", "user_id")
     batches = events.select("day").distinct().withColumn("batch_id", F.dense_rank().over(R.Window.orderBy("day")).cast("long"))  # one row a day
     batches = batches.withColumn("status", F.when(F.col("batch_id") % 4 == 0, "ERROR").otherwise("COMPLETED"))
-    files = events.where("user_id % 7 = 0").select(F.col("event_type").alias("file_type"), "day").distinct()
+    files = events.select(F.col("event_type").alias("file_type"), "day").distinct()
     files = files.join(batches.select("day", "batch_id"), "day").select("file_type", "batch_id", F.col("day").cast("string").alias("file_name"))
     return store.current_files(files, batches.select("batch_id", "status"), 20)
 
@@ -466,8 +486,8 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", fingerprint(F.col("event_id"), F.col("event_type"), F.col("props")).alias("fingerprint"))
 
 
-@query("SELECT event_type AS kind, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")
+@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
 def union_of_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    parts = [events.where(F.col("event_type") == k).select(F.lit(k).alias("kind")) for k in ("purchase", "error", "click", "signup")]
+    parts = [events.where(F.col("event_type") == k).select(F.lit(k).alias("kind")) for k in ("purchase", "error", "click", "signup", "view")]
     return R.counts_by(reduce(DataFrame.unionByName, parts), "kind")

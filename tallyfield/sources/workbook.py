@@ -3,24 +3,27 @@
     spark.dataSource.register(WorkbookSource)
     spark.read.format("workbook").option("kind", "basket").load("/data/basket.xlsx")
 
-A workbook's first matching sheet is read; the header row is the one among the first thirty with most known
-headers; columns bind by header text; a row with a total's label and no number ends up nowhere. All cells
-are text, as written or as the formula's cached result; an error cell is null and named in `bad_cells`. Parsing of numbers and
+A workbook's first matching sheet is read. Its XML is cut into ranges of PART_BYTES, a task each, and a row belongs to the range in
+which its tag begins. For flat kinds the header row is the one among the first thirty with most known headers, and columns bind by
+header text; the ledger's header has two levels, and columns bind by both. All cells
+are text, as written or as the formula's cached result; an error cell is null and named in `bad_cells`. A row with a total's label, and
+without what numbers or dates a row of its kind, is given back as a footer. Parsing of numbers and
 dates is left to column expressions, so that it runs in the JVM.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from itertools import takewhile
 from xml.etree import ElementTree
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -31,8 +34,34 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 HEADER_ROWS = 30
 WIDE_MERGE = 10
 BATCH_ROWS = 5000
-# Labels of totals rows.
-TOTALS = re.compile(r"^\s*(жами|итого|всего|jami|total)", re.I)
+#: Bytes of a sheet's XML that a task parses, and that it inflates at a time.
+PART_BYTES, BLOCK_BYTES = 16 * 2**20, 2**20
+# Labels of totals rows, headers of the column that numbers rows, and the header over the farmers' names.
+TOTALS = re.compile(r"^\s*(жами|итого|всего|хаммаси|jami|total)\s*:?\s*$", re.I)
+ROW_NUMBER = re.compile(r"^(№|n\s*/\s*p|t\s*/\s*r|#)$", re.I)
+FARMER_HEADER = re.compile(r"хужалик номи|хўжалик номи|фермер номи", re.I)
+# What a row of each kind has and a totals row has not; the row's number where nothing is named.
+NUMBERED_BY = {"payments": "op_datetime", "accounts": "account", "shipments": "deal_number"}
+# The ledger's columns as (field, zone, leaf); a leaf of digits is the column's place under its zone.
+LEDGER = (
+    ("farmer_name", "хўжалик номи", None), ("farmer_inn", "хўжалик иннси", None), ("farmer_region", "вилояти", None), ("farmer_district", "тумани", None),
+    ("contract_type", "шартнома тури", None), ("contract_number", "шартнома раками", None), ("contract_qty", "шартнома миқдори", None),
+    ("acceptance_date", "кабул қилиш", "санаси"), ("acceptance_record_no", "кабул қилиш", "кайд раками"), ("pk17_number", "пк-17 раками", None),
+    ("pk17_registered_at", "пк-17 имзолаш холати", "1"), ("pk17_signed_at", "пк-17 имзолаш холати", "2"),
+    ("batch_no", "партия", None), ("plot_type", "жойлашуви", "жой тури"), ("plot_no", "жойлашуви", "жой раками"),
+    ("variety_declared", "пахтанинг тури (партия бўйича)", "селекцион нави"), ("generation_declared", "пахтанинг тури (партия бўйича)", "авлоди"),
+    ("industrial_grade_declared", "пахтанинг тури (партия бўйича)", "саноат нави"), ("class_declared", "пахтанинг тури (партия бўйича)", "синфи"),
+    ("picking_method", "терим услуби", None), ("lab_2hl_number", "лаборатория хулосаси", "2-хл раками"),
+    ("industrial_grade_lab", "лаборатория хулосаси", "саноат нави"), ("class_lab", "лаборатория хулосаси", "синфи"),
+    ("gross_kg", "брутто кг", None), ("tare_kg", "тара кг", None), ("physical_kg", "физик вазни кг", None), ("impurity_pct", "ифлослиги %", None),
+    ("calculated_kg", "хисобий вазни кг", None), ("moisture_pct", "намлиги %", None), ("conditioned_kg", "кондицион вазни кг", None),
+    ("markup", "устама", None), ("discount", "чегирма", None), ("unit_price", "харид баҳоси кг/сўм", None), ("amount", "суммаси сўм", None),
+    ("transport_fee", "кўшимча тўловлар сўм", "ташиб келтириш"), ("seed_cotton_fee", "кўшимча тўловлар сўм", "уруғлик пахта учун"),
+    ("other_fee_total", "кўшимча тўловлар сўм", "жами қўшимча"), ("buyer_name", "сотиб олувчи", None), ("buyer_inn", "сотиб олувчи инн", None),
+    ("preparation_point_name", "тайерлов маскани номи", None), ("preparation_district", "туман", None), ("preparation_region", "вилоят", None),
+    ("vehicle_type", "транспорт", "тури"), ("vehicle_plate", "транспорт", "давлат ракам белгиси"),
+    ("trailer_count", "тиркама", "сони"), ("trailer_plate", "тиркама", "давлат ракам белгилари"), ("cluster_name", "кластер", None),
+)
 # Columns of each kind of workbook, by the headers that may stand over them.
 KINDS: dict[str, dict[str, tuple[str, ...]]] = {
     "basket": {
@@ -60,7 +89,7 @@ KINDS: dict[str, dict[str, tuple[str, ...]]] = {
         "unit": ("ед. изм", "unit"), "status": ("статус", "status"),
     },
     "directory": {
-        "display_name": ("номи", "display name"), "section": ("бўлим", "section"), "region_block": ("ҳудуд", "region block"), "tax_id": ("инн", "tax id"),
+        "ord": ("тартиб", "order"), "display_name": ("номи", "display name"), "section": ("бўлим", "section"), "region_block": ("ҳудуд", "region block"), "tax_id": ("инн", "tax id"),
         "plan_t": ("режа", "plan"), "basket_name": ("basket name"),
     },
 }
@@ -80,6 +109,12 @@ def header_key(text: str | None) -> str:
     return re.sub(r"\s+", " ", re.sub(r'[.,:;()"«»№#]', " ", plain)).strip() or plain
 
 
+def ledger_key(text: str | None) -> str:
+    """As the column function ledger_header_key does it."""
+    plain = re.sub(r"[\s\u00a0]+", " ", text or "").strip().lower().replace("ё", "е")
+    return re.sub(r"\s+", " ", re.sub("[.,;:]", "", plain)).strip()
+
+
 def column_index(ref: str) -> int:
     """A1-style letters as a number from 0."""
     n = 0
@@ -88,16 +123,47 @@ def column_index(ref: str) -> int:
     return n - 1
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it; a bare path is one that all tasks see."""
+    return (fs.LocalFileSystem(), path.removeprefix("file://").removeprefix("file:")) if path.startswith("file:") or "://" not in path else fs.FileSystem.from_uri(path)
+
+
+def listed(path: str) -> list[str]:
+    """The .xlsx files that path names: a folder, a pattern with * in its last part, or one file."""
+    store, place = _store(path)
+    folder, _, last = place.rpartition("/")
+    found = store.get_file_info(place)
+    if found.type == fs.FileType.Directory:
+        folder, last = place, "*.xlsx"
+    elif found.type == fs.FileType.File:
+        return [path]
+    pattern = re.compile(".*".join(map(re.escape, last.split("*"))) + "$")
+    head = path[: len(path) - len(place)]
+    try:
+        inside = store.get_file_info(fs.FileSelector(folder))
+    except FileNotFoundError:
+        inside = []
+    files = sorted(head + f.path for f in inside if f.type == fs.FileType.File and pattern.match(f.base_name))
+    if not files:
+        raise FileNotFoundError(path)
+    return files
+
+
+Row = tuple[int, dict[int, str], list[int]]
+
+
 class Workbook:
     """Sheets of an .xlsx file as rows of text."""
 
     def __init__(self, path: str):
-        self.zip = zipfile.ZipFile(path)
+        store, place = _store(path)
+        self.zip = zipfile.ZipFile(store.open_input_file(place))
         names = self.zip.namelist()
         self.strings = [self._text(x) for x in self._xml("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
         places = {r.get("Id"): r.get("Target") for r in self._xml("xl/_rels/workbook.xml.rels")}
         sheets = self._xml("xl/workbook.xml").find(f"{_MAIN}sheets")
         self.sheets = {s.get("name"): "xl/" + places[s.get(_REL)].removeprefix("/xl/") for s in sheets}
+        self.columns: dict[str, int] = {}
 
     def _xml(self, name: str) -> ElementTree.Element:
         return ElementTree.fromstring(self.zip.read(name))
@@ -118,30 +184,71 @@ class Workbook:
                 return (part[0].text if len(part) == 1 else self._text(part)) or None, False
         return None, False
 
-    def rows(self, sheet: str) -> Iterator[tuple[int, dict[int, str], list[int]]]:
-        """(row number, text by column, columns with errors), read as a stream."""
-        columns: dict[str, int] = {}
-        for _, node in ElementTree.iterparse(self.zip.open(self.sheets[sheet])):
-            if node.tag == _ROW:
-                cells, bad, digits = {}, [], len(node.get("r", ""))
-                for n, c in enumerate(node):
-                    letters = c.get("r", "")[:-digits] if digits else ""
-                    at = columns.get(letters)
-                    if at is None:
-                        at = columns[letters] = column_index(letters) if letters else n
-                    text, error = self._cell(c)
-                    if error:
-                        bad.append(at)
-                    if text is not None:
-                        cells[at] = text
-                yield int(node.get("r", 0)), cells, bad
-                node.clear()
+    def _row(self, node: ElementTree.Element) -> Row:
+        cells, bad, digits, columns = {}, [], len(node.get("r", "")), self.columns
+        for n, c in enumerate(node):
+            letters = c.get("r", "")[:-digits] if digits else ""
+            at = columns.get(letters)
+            if at is None:
+                at = columns[letters] = column_index(letters) if letters else n
+            text, error = self._cell(c)
+            if error:
+                bad.append(at)
+            if text is not None:
+                cells[at] = text
+        return int(node.get("r", 0)), cells, bad
+
+    def size(self, sheet: str) -> int:
+        """Bytes of a sheet's XML."""
+        return self.zip.getinfo(self.sheets[sheet]).file_size
+
+    def rows(self, sheet: str, low: int = 0, high: int | None = None) -> Iterator[Row]:
+        """(row number, text by column, columns with errors) of the rows that begin in a range of the XML's bytes, read as a stream."""
+        with self.zip.open(self.sheets[sheet]) as f:
+            held, at = f.read(BLOCK_BYTES), 0  # at: where held begins
+            root = re.search(rb"<(?:(\w+):)?worksheet[^>]*>", held)
+            if root is None:
+                return
+            mark = (root.group(1) + b":") if root.group(1) else b""
+            tag, end = b"<" + mark + b"row", b"</" + mark + b"sheetData>"
+            top, bottom = root.group(), b"</" + mark + b"worksheet>"
+            started = False
+            while True:
+                last = held.find(end)
+                if not started:
+                    first = held.find(tag, max(0, low - at), None if last < 0 else last)
+                    if first >= 0:
+                        held, at, started, last = held[first:], at + first, True, last - first if last >= 0 else -1
+                if started:
+                    cut = held.find(tag, max(0, high - at)) if high is not None else -1
+                    over = cut if 0 <= cut and (last < 0 or cut < last) else last
+                    # without an end in sight, the last row that has begun waits for the next block
+                    some = held[: over if over >= 0 else max(held.rfind(tag), 0)]
+                    for node in ElementTree.fromstring(top + some + bottom) if some else ():
+                        if node.tag == _ROW:
+                            yield self._row(node)
+                    held, at = held[len(some) :], at + len(some)
+                    if over >= 0:
+                        return
+                elif last >= 0:
+                    return
+                block = f.read(BLOCK_BYTES)
+                if not block:
+                    return
+                if not started:  # a tag may lie across two blocks
+                    keep = min(len(held), 64)
+                    held, at = held[len(held) - keep :], at + len(held) - keep
+                held += block
 
     def merges(self, sheet: str) -> list[tuple[int, int, int, int]]:
-        """(first row, first column, last row, last column) of each merged range; they stand after the rows."""
-        data = self.zip.read(self.sheets[sheet])
-        tail = data[data.rfind(b"</sheetData>") :].decode()
-        found = re.findall(r'<(?:\w+:)?mergeCell [^>]*?ref="([A-Z]+)(\d+):([A-Z]+)(\d+)"', tail)
+        """(first row, first column, last row, last column) of each merged range; they stand after the rows, which are passed over."""
+        tail, seen = b"", False
+        with self.zip.open(self.sheets[sheet]) as f:
+            while block := f.read(BLOCK_BYTES):
+                tail = (tail if seen else tail[-64:]) + block
+                if not seen and (end := re.search(rb"</(?:\w+:)?sheetData>", tail)):
+                    tail, seen = tail[end.end() :], True
+        found = re.findall(r'<(?:\w+:)?mergeCell [^>]*?ref="([A-Z]+)(\d+):([A-Z]+)(\d+)"', tail.decode() if seen else "")
         return [(int(r0), column_index(c0), int(r1), column_index(c1)) for c0, r0, c1, r1 in found]
 
     def labelled(self, sheet: str, pattern: str, rows: int = 10) -> str | None:
@@ -156,36 +263,89 @@ class Workbook:
         return None
 
 
-def bind(book: Workbook, sheet: str, kind: str) -> tuple[int, dict[int, str], list[str]]:
-    """(header row, field by column, headers that no field knows): the row with most known headers, the first of equals.
-
-    A merged header of up to WIDE_MERGE columns counts for all of them; wider ones are banners.
-    """
+@dataclass
+class Layout:
+    """Where a sheet's header ends, which field each column holds, and what was odd about it."""
+
+    header: int = 0
+    fields: dict[int, str] = field(default_factory=dict)
+    unknown: list[str] = field(default_factory=list)
+    number_column: int = 0
+    notes: list[str] = field(default_factory=list)
+
+
+def _head(book: Workbook, sheet: str) -> tuple[dict[int, dict[int, str]], dict[tuple[int, int], tuple[int, int, int, int]]]:
+    """The first rows, with merged texts of up to WIDE_MERGE columns in all their cells, and the merge of each cell; wider ones are banners."""
+    seen = {number: dict(cells) for number, cells, _ in takewhile(lambda row: row[0] <= HEADER_ROWS, book.rows(sheet))}
+    merge_of = {}
+    for merge in book.merges(sheet):
+        r0, c0, r1, c1 = merge
+        text = seen.get(r0, {}).get(c0)
+        if r0 > HEADER_ROWS or c1 - c0 >= WIDE_MERGE:
+            continue
+        for r in range(r0, min(r1, HEADER_ROWS) + 1):
+            for c in range(c0, c1 + 1):
+                merge_of[r, c] = merge
+                if text is not None:
+                    seen.setdefault(r, {}).setdefault(c, text)
+    return seen, merge_of
+
+
+def bind(book: Workbook, sheet: str, kind: str) -> Layout:
+    """The layout of a flat sheet: its header is the row with most known headers, the first of equals."""
     known = {header_key(a): field for field, names in KINDS[kind].items() for a in names}
-    spread = {}
-    for r0, c0, r1, c1 in book.merges(sheet):
-        if c1 - c0 < WIDE_MERGE:
-            spread.update({(r, c): (r0, c0) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1)})
-    seen = {number: cells for number, cells, _ in takewhile(lambda row: row[0] <= HEADER_ROWS, book.rows(sheet))}
-    best: tuple[int, dict[int, str], list[str]] = (0, {}, [])
-    for number, cells in seen.items():
-        at = dict(cells)
-        for (r, c), (r0, c0) in spread.items():
-            if r == number and c not in at and c0 in seen.get(r0, {}):
-                at[c] = seen[r0][c0]
+    best = Layout()
+    for number, cells in sorted(_head(book, sheet)[0].items()):
         fields: dict[int, str] = {}
-        for c in sorted(at):
-            field = known.get(header_key(at[c]))
-            if field and field not in fields.values():
-                fields[c] = field
-        if len(fields) > len(best[1]):
-            best = (number, fields, [at[c] for c in sorted(at) if c not in fields])
-    lacking = [f for f in REQUIRED[kind] if f not in best[1].values()]
+        for c in sorted(cells):
+            found = known.get(header_key(cells[c]))
+            if found and found not in fields.values():
+                fields[c] = found
+        if len(fields) > len(best.fields):
+            numbers = [c for c in sorted(cells) if ROW_NUMBER.match(cells[c].strip())]
+            best = Layout(number, fields, [cells[c] for c in sorted(cells) if c not in fields], (numbers or [0])[0])
+    lacking = [f for f in REQUIRED[kind] if f not in best.fields.values()]
     if lacking:
-        raise MissingColumns(f"sheet {sheet!r} lacks {lacking}; found {sorted(set(best[1].values()))}")
+        raise MissingColumns(f"sheet {sheet!r} lacks {lacking}; found {sorted(set(best.fields.values()))}")
     return best
 
 
+def bind_ledger(book: Workbook, sheet: str) -> Layout:
+    """The layout of a ledger: the header over the farmers' names spans its levels; other columns bind by the first and last of theirs.
+
+    Where several columns stand under one zone whose leaves are places, their leaves are not looked at: labels there are wrong at times.
+    """
+    head, merge_of = _head(book, sheet)
+    place = next(((r, c) for r in sorted(head) if r <= 15 for c in sorted(head[r]) if FARMER_HEADER.search(head[r][c])), None)
+    if place is None:
+        raise MissingColumns(f"sheet {sheet!r} lacks the header over the farmers' names")
+    merge = merge_of.get(place)
+    top, bottom = (merge[0], merge[2]) if merge else (place[0], place[0])
+    by_path = {(zone, leaf): name for name, zone, leaf in LEDGER}
+    by_place = {zone for _, zone, leaf in LEDGER if leaf and leaf.isdigit()}
+    out, count = Layout(bottom, notes=[] if merge else ["HEADER_BOUNDARY_GUESSED"]), {}
+    for c in sorted({c for r in range(top, bottom + 1) for c in head.get(r, {})}):
+        path = [ledger_key(head[r][c]) for r in range(top, bottom + 1) if head.get(r, {}).get(c, "").strip()]
+        levels = [x for i, x in enumerate(path) if i == 0 or x != path[i - 1]]
+        if not levels:
+            continue
+        if ROW_NUMBER.match(levels[0]):
+            out.number_column = c
+            continue
+        zone, leaf = levels[0], levels[-1] if len(levels) > 1 else None
+        if zone in by_place:
+            count[zone] = count.get(zone, 0) + 1
+            leaf = str(count[zone])
+        name = by_path.get((zone, leaf))
+        if name and name not in out.fields.values():
+            out.fields[c] = name
+        else:
+            out.unknown.append(" / ".join(levels))
+    if "farmer_name" not in out.fields.values():
+        out.fields[place[1]] = "farmer_name"
+    return out
+
+
 def kind_of_name(name: str) -> str | None:
     """The one kind whose mark a file name bears; none or several: undecided."""
     low = os.path.basename(name).lower().replace("ё", "е")
@@ -202,74 +362,108 @@ def kind_of_content(book: Workbook) -> str | None:
     return hits[0] if len(hits) == 1 else None
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Part(InputPartition):
+    def __init__(self, path: str, kind: str, sheet: str, low: int, high: int):
+        self.path, self.kind, self.sheet, self.low, self.high = path, kind, sheet, low, high
+
+
+def _sheet_of(book: Workbook, path: str, kind: str) -> tuple[str, str]:
+    kind = kind or kind_of_name(path) or kind_of_content(book) or ""
+    if not kind:
+        raise ValueError(f"{path}: the kind of workbook can't be told")
+    return kind, next((s for s in book.sheets if header_key(s) == kind), next(iter(book.sheets)))
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.kind, self.path = options.get("kind", ""), options["path"]
 
-    def partitions(self) -> list[_File]:
-        path = self.path.removeprefix("file://").removeprefix("file:")
-        found = sorted(glob.glob(os.path.join(path, "*.xlsx"))) if os.path.isdir(path) else sorted(glob.glob(path))
-        if not found:
-            raise FileNotFoundError(path)
-        return [_File(f) for f in found]
+    def partitions(self) -> list[_Part]:
+        parts = []
+        for path in listed(self.path):
+            book = Workbook(path)
+            kind, sheet = _sheet_of(book, path, self.kind)
+            parts += [_Part(path, kind, sheet, low, low + PART_BYTES) for low in range(0, book.size(sheet), PART_BYTES)]
+        return parts
 
-    def read(self, part: _File) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         book = Workbook(part.path)
-        kind = self.kind or kind_of_name(part.path) or kind_of_content(book)
-        if kind is None:
-            raise ValueError(f"{part.path}: the kind of workbook can't be told")
-        sheet = next((s for s in book.sheets if header_key(s) == kind), next(iter(book.sheets)))
-        header, fields, unknown = bind(book, sheet, kind)
-        first = sorted(fields)[:3]
-        held: list[tuple[int, dict[str, str], list[str]]] = []
-        for number, cells, bad in book.rows(sheet):
-            if number <= header or any(TOTALS.match(cells.get(c, "")) for c in (0, *first)):
+        layout = bind_ledger(book, part.sheet) if part.kind == "ledger" else bind(book, part.sheet, part.kind)
+        at = {f: c for c, f in layout.fields.items()}
+        numbered = at.get(NUMBERED_BY.get(part.kind, ""), layout.number_column)
+        labels = {layout.number_column, *sorted(layout.fields)[:3], *[at[f] for f in ("farmer_name", "account_name", "counterparty_account", "tx_id") if f in at]} - (
+            {numbered} if part.kind in NUMBERED_BY else set()
+        )
+        held: list[tuple[int, dict[str, str], list[str], str]] = []
+        for number, cells, bad in book.rows(part.sheet, part.low, part.high):
+            if number <= layout.header:
                 continue
-            values = {f: cells[c] for c, f in fields.items() if c in cells}
-            if values:
-                held.append((number, values, [fields[c] for c in bad if c in fields]))
+            values = {f: cells[c] for c, f in layout.fields.items() if c in cells}
+            if not values:
+                continue
+            # what numbers a row is missing there, or is the label itself
+            plain = not cells.get(numbered, "").strip() or bool(TOTALS.match(cells[numbered]))
+            total = plain and any(TOTALS.match(cells.get(c, "")) for c in labels)
+            held.append((number, values, [layout.fields[c] for c in bad if c in layout.fields], "footer" if total else "data"))
             if len(held) >= BATCH_ROWS:
-                yield self._batch(part.path, kind, held, unknown)
+                yield self._batch(part, held, layout)
                 held = []
         if held:
-            yield self._batch(part.path, kind, held, unknown)
+            yield self._batch(part, held, layout)
 
     @staticmethod
-    def _batch(path: str, kind: str, rows: list[tuple[int, dict[str, str], list[str]]], unknown: list[str]) -> pa.RecordBatch:
-        numbers, values, bad = zip(*rows, strict=True)
+    def _batch(part: _Part, rows: list[tuple[int, dict[str, str], list[str], str]], layout: Layout) -> pa.RecordBatch:
+        numbers, values, bad, kinds = zip(*rows, strict=True)
         ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
         mapped = pa.MapArray.from_arrays(pa.array(ends), pa.array([k for v in values for k in v]), pa.array([x for v in values for x in v.values()]))
         n, texts = len(rows), pa.list_(pa.string())
-        columns = [pa.array([os.path.basename(path)] * n), pa.array([kind] * n), pa.array(numbers, pa.int32()), mapped, pa.array(bad, texts), pa.array([unknown] * n, texts)]
-        return pa.RecordBatch.from_arrays(columns, names=["file", "kind", "source_row", "values", "bad_cells", "unknown_headers"])
+        columns = [
+            pa.array([os.path.basename(part.path)] * n), pa.array([part.kind] * n), pa.array(numbers, pa.int32()), mapped, pa.array(bad, texts),
+            pa.array([layout.unknown] * n, texts), pa.array(kinds), pa.array([layout.notes] * n, texts),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["file", "kind", "source_row", "values", "bad_cells", "unknown_headers", "row_kind", "notes"])
 
 
 class WorkbookSource(DataSource):
-    """Rows of workbooks: file, kind, source_row, values by field, fields with error cells, headers not known."""
+    """Rows of workbooks: file, kind, source_row, values by field, fields with error cells, headers not known, data or footer, notes on the header."""
 
     @classmethod
     def name(cls) -> str:
         return "workbook"
 
     def schema(self) -> str:
-        return "file string, kind string, source_row int, values map<string,string>, bad_cells array<string>, unknown_headers array<string>"
+        return "file string, kind string, source_row int, values map<string,string>, bad_cells array<string>, unknown_headers array<string>, row_kind string, notes array<string>"
 
     def reader(self, schema: object) -> _Reader:
         return _Reader(self.options)
 
 
-def read_workbooks(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The rows of one kind of workbook with a column for each of its fields."""
+def fields_of(kind: str) -> list[str]:
+    return [name for name, _, _ in LEDGER] if kind == "ledger" else list(KINDS[kind])
+
+
+def read_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """All rows of one kind of workbook, footers among them, with a column for each of its fields."""
     spark.dataSource.register(WorkbookSource)
     rows = spark.read.format("workbook").option("kind", kind).load(path)
-    fields = [F.try_element_at("values", F.lit(f)).alias(f) for f in KINDS[kind]]
-    # one task reads a file; parsing its texts is dealt out
-    return rows.repartition("file", "source_row").select("file", "source_row", *fields, "bad_cells", "unknown_headers")
+    fields = [F.try_element_at("values", F.lit(f)).alias(f) for f in fields_of(kind)]
+    return rows.select("file", "source_row", *fields, "bad_cells", "unknown_headers", "row_kind", "notes")
+
+
+def read_workbooks(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The rows of one kind of workbook with a column for each of its fields."""
+    return read_rows(spark, path, kind).where("row_kind = 'data'").drop("row_kind", "notes")
+
+
+def statement_meta(path: str) -> dict[str, str | None]:
+    """What stands above a statement's rows: the client's id, the account and the period."""
+    book = Workbook(path)
+    sheet = next(iter(book.sheets))
+    client = book.labelled(sheet, r"^клиент\s+инн|^client id")
+    text = " ".join(t for _, cells, _ in takewhile(lambda row: row[0] <= 10, book.rows(sheet)) for t in cells.values())
+    # How a statement names its account and its period.
+    found = {k: re.search(p, text, re.I) for k, p in {"account": r"лиц\.?\s*сч[её]т\s+клиента\s*:\s*(\d+)", "period_from": r"от\s*:\s*([\d.]+)", "period_to": r"до\s*:\s*([\d.]+)"}.items()}
+    return {"client_inn": re.sub(r"\s", "", client) if client else None} | {k: m.group(1) if m else None for k, m in found.items()}
 
 
 def classify_names(files: DataFrame, column: str = "file_name") -> DataFrame:

@@ -114,3 +114,14 @@ def test_keys(spark):
 def test_display(spark):
     assert value(spark, lambda c: numbers.grouped(c.cast("double")), "1234567.5") == "1 234 567,50"
     assert [value(spark, lambda c: numbers.axis_step(c.cast("double")), x) for x in ("47", "100", "12", "0")] == [10.0, 20.0, 2.5, 1.0]
+
+
+def test_all_written_forms_of_a_date(spark):
+    from tallyfield.functions import dates
+
+    forms = ["11-09-2026", "11.09.26", "11/9/2026", "11.09.2026, 14:05", "11.09.2026T14:05", "14:05:00 11-09-2026", "14:05 11.09.26", "2026-09-11", "11.09.2026 14:05:09"]
+    rows = spark.createDataFrame([(x,) for x in [*forms, "31.02.2026", "11.13.2026", "11.09.126", "1.1.1989"]], "t string")
+    got = [(r["d"], r["bad"]) for r in rows.select(dates.date(rows.t).cast("string").alias("d"), dates.is_impossible(rows.t).alias("bad")).collect()]
+    assert got == [("2026-09-11", False)] * len(forms) + [(None, True)] * 4
+    clock = [str(r[0]) for r in spark.createDataFrame([(x,) for x in ("11.09.26, 14:05", "14:05:09 11-09-2026")], "t string").selectExpr("t").transform(lambda x: x.select(dates.datetime(x.t))).collect()]
+    assert clock == ["2026-09-11 14:05:00", "2026-09-11 14:05:09"]

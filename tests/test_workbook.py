@@ -82,3 +82,84 @@ def test_content(spark, tmp_path):
     assert content.by_category(rows, "x").count() == 1 and content.by_slug(rows, "a").count() == 2
     pairs = spark.createDataFrame([("k", "12"), ("bad", "x")], "key string, value string")
     assert [content.settings(pairs, k, 7.0).first()["value"] for k in ("k", "bad", "none")] == [12.0, 7.0, 7.0]
+
+
+def test_names_that_begin_like_totals_stay(spark, tmp_path):
+    rows = [BASKET[1], *[[name, str(i), "5", 10, "1.0", None] for i, name in enumerate(("JAMILA FX", "Жамият FX", "Total Agro MCHJ", "Итого"))], ["Итого:", None, None, 40, 4, None]]
+    write(tmp_path / "basket.xlsx", rows)
+    assert [r["farmer_name"] for r in workbook.read_workbooks(spark, str(tmp_path), "basket").orderBy("source_row").collect()] == ["JAMILA FX", "Жамият FX", "Total Agro MCHJ"]
+    footers = workbook.read_rows(spark, str(tmp_path), "basket").where("row_kind = 'footer'").collect()
+    assert [r["conditioned_kg"] for r in footers] == ["10", "40"]
+    # a number in the column that numbers rows makes it a row
+    numbered = [["№", *BASKET[1]], ["1", "Итого", "11", "5", 10, "1.0", None], ["Жами", None, None, None, 10, 1, None]]
+    write(tmp_path / "basket.xlsx", numbered)
+    assert [r["farmer_name"] for r in workbook.read_workbooks(spark, str(tmp_path), "basket").collect()] == ["Итого"]
+
+
+def test_ranges_of_a_sheet_hold_every_row_once(tmp_path, monkeypatch):
+    monkeypatch.setattr(workbook, "BLOCK_BYTES", 300)
+    write(tmp_path / "x.xlsx", [["a", i, f"text {i}" * (i % 7)] for i in range(200)], merges=["A1:B1"])
+    book = workbook.Workbook(str(tmp_path / "x.xlsx"))
+    whole = list(book.rows("Sheet1"))
+    assert [n for n, _, _ in whole] == list(range(1, 201))
+    for step in (50, 333, 5000):
+        parts = [r for low in range(0, book.size("Sheet1"), step) for r in book.rows("Sheet1", low, low + step)]
+        assert parts == whole
+    assert book.merges("Sheet1") == [(1, 0, 1, 1)]
+
+
+LEDGER = [
+    ["19 September 14:05 хўжалик ҳисоботи"],
+    ["№", "Хўжалик номи", "Шартнома раками", "Шартнома миқдори", "Кабул қилиш", None, "ПК-17 имзолаш холати", None, "Физик вазни, кг", "Кондицион вазни, кг", "Бошқа"],
+    [None, None, None, None, "санаси", "кайд раками", "Кластер", "Фермер", None, None, None],
+    [1, "ALFA", "501", 100, "18.09.2026", "7", "10:20:30 18.09.2026", "11:00:00 18.09.2026", 1000, 950, "x"],
+    [2, None, "501", 100, "18.09.2026", "8", None, None, 10, 9, None],
+    [3, "BETA", "502", 50, "19.09.2026", "9", None, None, 20, 19, None],
+    ["Жами:", None, None, None, None, None, None, None, 1030, 978, None],
+]
+
+
+def test_ledger_binds_by_zone_leaf_and_place(spark, tmp_path):
+    from tallyfield.sources import typed
+
+    merges = ["A1:K1", "A2:A3", "B2:B3", "C2:C3", "D2:D3", "E2:F2", "G2:H2", "I2:I3", "J2:J3", "K2:K3"]
+    write(tmp_path / "ledger.xlsx", LEDGER, merges=merges)
+    rows = workbook.read_rows(spark, str(tmp_path / "ledger.xlsx"), "ledger")
+    data = typed.ledger(rows.where("row_kind = 'data'")).orderBy("source_row").collect()
+    assert [(r["source_row"], r["farmer_name"], r["contract_number"], str(r["acceptance_date"]), r["acceptance_record_no"]) for r in data] == [(4, "ALFA", "501", "2026-09-18", "7"), (6, "BETA", "502", "2026-09-19", "9")]
+    assert str(data[0]["pk17_registered_at"]) == "2026-09-18 10:20:30" and str(data[0]["pk17_signed_at"]) == "2026-09-18 11:00:00"
+    assert float(data[0]["contract_qty"]) == 100 and float(data[0]["conditioned_kg"]) == 950
+    assert len(workbook.fields_of("ledger")) == 47
+    codes = {r["code"]: r["row"] for r in typed.ledger_issues(rows).collect()}
+    assert codes == {"GRAND_TOTAL_ROW_SKIPPED": 7, "MISSING_FARMER_NAME": 5, "COLUMN_NOT_MAPPED": None}
+    assert typed.ledger_totals(rows).first()["conditioned_kg"] == 978
+    write(tmp_path / "none.xlsx", [["no header"]])
+    with pytest.raises(workbook.MissingColumns):
+        workbook.bind_ledger(workbook.Workbook(str(tmp_path / "none.xlsx")), "Sheet1")
+
+
+def test_statement_with_its_meta_block_and_footer(spark, tmp_path):
+    from tallyfield.operators import quality
+    from tallyfield.sources import typed
+
+    head = ["Transaction id", "Attributes", "Date", "Counterparty", "Counterparty id", "Counterparty account", "Account name", "Debit", "Credit", "Details"]
+    rows = [
+        ["Statement"], ["Лиц. счет клиента: 20208000 от: 01.09.2026 до: 30.09.2026"], ["Клиент ИНН", "305 001"], head,
+        ["1", "C:9; D:77;", "18.09.2026 10:00:00", "ALFA", "11", "2020 8000 000000011", None, 100.5, None, "с/ф № A1"],
+        ["2", "C:9; D:77;", "18.09.2026 10:00:00", "OWNER", "305001", "2020 8000 000000099", None, None, 100.5, None],
+        ["3", None, "31.02.2026", "BETA", "12", "x", None, 20, None, "Возврат"], ["4", None, None, "BETA", "12", "x", None, "#REF!", None, None],
+        [None, None, None, None, None, None, "Итого", 999, 1, None],
+    ]
+    write(tmp_path / "vypiska.xlsx", rows)
+    path = str(tmp_path / "vypiska.xlsx")
+    meta = workbook.statement_meta(path)
+    assert meta["client_inn"] == "305001" and meta["period_from"] == "01.09.2026" and meta["account"] == "20208000"
+    raw = workbook.read_rows(spark, path, "payments")
+    legs = typed.statement(raw.where("row_kind = 'data'"), meta["client_inn"], meta["account"])
+    got = {r["tx_id"]: r for r in legs.collect()}
+    assert got["1"]["debit"] == 10050 and got["1"]["deal_number"] == "77" and got["1"]["invoice_no"] == "A1" and not got["1"]["is_company_side"]
+    assert got["2"]["is_company_side"] and got["2"]["credit"] == 10050 and got["3"]["is_reversal"]
+    found = quality.issues(legs, typed.statement_rules(), "PAYMENTS", legs.source_row, legs.tx_id)
+    assert {(r["code"], r["ref"]) for r in found.collect()} == {("INVALID_DATE", "3"), ("MISSING_DATE", "4"), ("INVALID_AMOUNT", "4")}
+    mismatch = typed.statement_total_issue(legs, raw.where("row_kind = 'footer'")).collect()
+    assert [(r["code"], r["message"]) for r in mismatch] == [("STATEMENT_TOTAL_MISMATCH", "99900 against 12050")]
