@@ -63,6 +63,17 @@ def counts_by_code(found: DataFrame) -> DataFrame:
     return found.groupBy("severity", "code").agg(F.count("*").alias("n"), F.min_by("message", F.struct("row", "ref")).alias("sample"))
 
 
+def by_severity(found: DataFrame) -> DataFrame:
+    """(severity, n): how many issues there are of each."""
+    return found.groupBy("severity").agg(F.count("*").alias("n"))
+
+
+def picked(found: DataFrame, severity: str | None = None, category: str | None = None) -> DataFrame:
+    """The issues of one severity and one source, or of all."""
+    rows = found if severity is None else found.where(F.col("severity") == severity)
+    return rows if category is None else rows.where(F.col("source") == category)
+
+
 def overall(found: DataFrame) -> DataFrame:
     """(total, status): all issues, and the worst severity or GREEN."""
     rank = F.min(severity_rank(F.col("severity")))

@@ -71,9 +71,9 @@ def top_k(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(k)
 
 
-def top_k_with_rest(rows: DataFrame, k: int, *order: Column) -> tuple[DataFrame, Column]:
-    """The first k rows, and how many rows there are besides them, for an overflow note."""
-    return rows.orderBy(*order).limit(k), F.greatest(F.count("*") - k, F.lit(0))
+def beyond(rows: DataFrame, k: int) -> DataFrame:
+    """(rest): how many rows there are besides the first k, for a note below them."""
+    return rows.agg(F.greatest(F.count("*") - k, F.lit(0)).alias("rest"))
 
 
 def with_totals(rows: DataFrame, label: str, name: str, sums: Sequence[str]) -> DataFrame:

@@ -12,28 +12,53 @@ from pyspark.sql import functions as F
 from .relational import first_of_each
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """The published versions of a table, ascending."""
+def _published(spark: SparkSession, root: str) -> list[tuple[int, int]]:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_published")
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return sorted(int(f.getPath().getName()) for f in store.listStatus(path)) if store.exists(path) else []
+    names = [f.getPath().getName() for f in store.listStatus(path)] if store.exists(path) else []
+    return sorted((int(v), int(again or 0)) for v, _, again in (n.partition(".") for n in names))
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The published versions of a table, ascending."""
+    return sorted({v for v, _ in _published(spark, root)})
 
 
-def publish(df: DataFrame, root: str, version: int, partition_by: list[str] | None = None) -> None:
-    """Write a version and publish it; a version that was published before is refused."""
+def publish(df: DataFrame, root: str, version: int, partition_by: list[str] | None = None, replace: bool = False) -> None:
+    """Write a version and publish it. One that was published before is refused, or with replace, followed by a revision under its number.
+
+    Readers see the revision from its pointer on; the files before it stay until reset(), so a reader that has begun goes on.
+    """
     spark = df.sparkSession
-    if version in versions(spark, root):
+    before = [again for v, again in _published(spark, root) if v == version]
+    if before and not replace:
         raise ValueError(f"version {version} of {root} exists")
+    name = f"{version}.{before[-1] + 1}" if before else str(version)
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/v={version}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_published/{version}")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/v={name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_published/{name}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path).close()
 
 
 def read(spark: SparkSession, root: str, as_of: int | None = None) -> DataFrame | None:
-    """The newest published version, or the newest one up to as_of; None where there is none."""
-    found = [v for v in versions(spark, root) if as_of is None or v <= as_of]
-    return spark.read.parquet(f"{root}/v={found[-1]}") if found else None
+    """The newest published version, or the newest one up to as_of, in its last revision; None where there is none."""
+    found = [(v, again) for v, again in _published(spark, root) if as_of is None or v <= as_of]
+    return spark.read.parquet(f"{root}/v={found[-1][0]}" + (f".{found[-1][1]}" if found[-1][1] else "")) if found else None
+
+
+def append_log(entries: DataFrame, root: str) -> None:
+    """Add events to a log, each with the time it was written; what stands in it is never changed."""
+    entries.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(root)
+
+
+def reset(spark: SparkSession, root: str, keep: tuple[str, ...] = ()) -> list[str]:
+    """Delete the tables under a folder but those to keep; the names of what went."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = sorted(f.getPath().getName() for f in store.listStatus(path) if f.getPath().getName() not in keep) if store.exists(path) else []
+    for name in gone:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}"), True)
+    return gone
 
 
 def compare(incoming: DataFrame, stored: DataFrame, key: str = "natural_key", fingerprint: str = "fingerprint") -> DataFrame:
@@ -102,6 +127,14 @@ def dimension(rows: DataFrame, stored: DataFrame | None, key: str, attributes: l
     return last if stored is None else last.unionByName(stored.select(key, *attributes).join(last.select(key), key, "left_anti"))
 
 
+def contract_dimension(rows: DataFrame, stored: DataFrame, order: Column) -> DataFrame:
+    """Contracts with the newest quantity; a stored one changes only where both are known and differ by more than 0.01."""
+    last = rows.where("contract_number is not null").groupBy("contract_number").agg(F.max_by(F.struct("contract_qty"), order).alias("_a")).select("contract_number", F.col("_a.contract_qty").alias("_new"))
+    both = last.join(stored.select("contract_number", F.col("contract_qty").alias("_old"), F.lit(True).alias("_was")), "contract_number", "full_outer")
+    changed = F.col("_was").isNull() | F.coalesce(F.abs(F.col("_new") - F.col("_old")) > 0.01, F.lit(False))
+    return both.select("contract_number", F.when(changed, F.col("_new")).otherwise(F.col("_old")).alias("contract_qty"))
+
+
 def unseen_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     """binaryFile rows whose bytes were not imported before, each content once."""
     hashed = files.select("path", "content", F.sha2("content", 256).alias("source_hash"))

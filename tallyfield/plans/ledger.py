@@ -138,10 +138,13 @@ def finance(work: DataFrame, as_of: datetime.date) -> DataFrame:
         F.round(F.sum("price").cast("double") / F.count("price").cast("double"), 4).alias("avg_price"),
         F.round(R.weighted_mean(F.col("amount"), F.col("kg")).cast("double"), 4).alias("weighted_price"),
         F.min("price").alias("min_price"), F.max("price").alias("max_price"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in FEES if c in work.columns],
     )
 
 
-STAGES = ("gross_kg", "physical_kg", "calculated_kg", "conditioned_kg")
+#: The sums of money beside the price, and the weights from the full vehicle to the reported one.
+FEES = ("markup", "discount", "transport_fee", "seed_cotton_fee", "other_fee_total")
+STAGES = ("gross_kg", "tare_kg", "physical_kg", "calculated_kg", "conditioned_kg")
 
 
 def weight_bridge(work: DataFrame) -> DataFrame:
@@ -233,6 +236,26 @@ def reconcile_total(operations: DataFrame, sheet_total: float, cfg: EngineConfig
     return total.select("computed", sheet.alias("sheet"), gap.alias("difference"), (gap.cast("double") > limit).alias("mismatch"))
 
 
+def total_issue(reconciled: DataFrame) -> DataFrame:
+    """reconcile_total() as an issue, none where the totals agree."""
+    message = F.concat_ws(" against ", F.col("sheet").cast("string"), F.col("computed").cast("string"))
+    return issues(reconciled, [Rule("WARNING", "GRAND_TOTAL_MISMATCH", F.col("mismatch"), message)], "LEDGER", F.lit(None).cast("int"), F.lit(None))
+
+
+def sheets(operations: DataFrame, contracts: DataFrame, as_of: datetime.date, cfg: EngineConfig = DEFAULT) -> dict[str, DataFrame]:
+    """The ten sheets of the ledger's workbook: name -> frame. operations: marked()."""
+    work = working_set(operations, cfg)
+    performance = contract_performance(work, contracts, cfg)
+    data = issues(operations, data_rules(cfg), "LEDGER", F.col("record_no"), F.col("contract_number"))
+    control = contract_alerts(performance, cfg).unionByName(data.withColumn("row", F.col("row").cast("long")))
+    spark = operations.sparkSession
+    return {
+        "summary": management_summary(work, as_of, cfg), "contracts": performance, "farmers": farmer_analytics(work), "clusters": cluster_analytics(work),
+        "acceptance": daily_trend(work), "quality": quality_bands(work, cfg), "finance": finance(work, as_of), "control": control,
+        "raw_data": operations, "data_dictionary": spark.createDataFrame(dictionary(), "field string, meaning string"),
+    }
+
+
 def period(operations: DataFrame) -> DataFrame:
     return operations.agg(F.min("acceptance_date").alias("first_day"), F.max("acceptance_date").alias("last_day"))
 

@@ -69,7 +69,11 @@ def work(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OPS}, {PERFORMANCE} SELECT contract_number, {d('contract_qty')}, {d('accepted')}, {d('greatest(contract_qty - accepted, 0)', 'remaining')},
     {d('greatest(accepted - contract_qty, 0)', 'over')}, achieved_pct, status, operations FROM performance""")
 def contract_performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.contract_performance(work(spark, sf_dir), T.contracts(spark, sf_dir))
+    """Only the weight is asked for, so repeats go by an aggregate over four columns, before anything is joined."""
+    rows = T.raw_operations(spark, sf_dir).select(*L.KEY, "source_row", "farmer_id", "conditioned_kg")
+    once = R.first_of_each(rows.join(T.farmers(spark, sf_dir).select("farmer_id"), "farmer_id", "left_semi"), list(L.KEY), ["source_row"])
+    first = once.withColumns({"is_duplicate": F.lit(False), "is_valid": F.coalesce(F.col("conditioned_kg") > 0, F.lit(False))})
+    return L.contract_performance(L.working_set(first), T.contracts(spark, sf_dir))
 
 
 @query(f"WITH {OPS}, {PERFORMANCE} SELECT status, count(*) AS n FROM performance GROUP BY 1")
@@ -120,7 +124,8 @@ def weighted_avg_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OPS}, p AS (SELECT *, CAST(round(CAST(amount AS DECIMAL(38,2)) / kg, 4) AS DECIMAL(18,4)) AS price FROM work)
     SELECT {d('sum(amount)', 'amount')}, {d(f"coalesce(sum(amount) FILTER (WHERE acceptance_date = DATE '{DAY}'), 0)", 'amount_today')},
     round(CAST(sum(price) AS DOUBLE) / count(price), 2) AS avg_price, round(CAST(sum(amount) AS DOUBLE) / CAST(sum(kg) AS DOUBLE), 4) AS weighted_price,
-    round(CAST(min(price) AS DOUBLE), 2) AS min_price, round(CAST(max(price) AS DOUBLE), 2) AS max_price FROM p""")
+    round(CAST(min(price) AS DOUBLE), 2) AS min_price, round(CAST(max(price) AS DOUBLE), 2) AS max_price, {d('sum(amount * CAST(l_tax AS DECIMAL(4,2)))', 'markup')}, {d('sum(amount * CAST(l_discount AS DECIMAL(4,2)))', 'discount')},
+    {d('sum(physical_kg * 2)', 'transport_fee')}, {d("coalesce(sum(physical_kg * 3) FILTER (WHERE grade = 'R'), 0)", 'seed_cotton_fee')}, {d('sum(physical_kg * 5)', 'other_fee_total')} FROM p""")
 def finance_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = {c: F.round(F.col(c).cast("double"), 2) for c in ("avg_price", "min_price", "max_price")}
     return L.finance(work(spark, sf_dir), DAY).withColumns(cents)
@@ -142,8 +147,8 @@ def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.distribution(work(spark, sf_dir), F.col("grade"), L.UNKNOWN)
 
 
-@query(f"""WITH {OPS}, s AS (SELECT 0 AS stage_no, 'gross_kg' AS stage, CAST(sum(gross_kg) AS DECIMAL(28,7)) AS kg FROM work UNION ALL SELECT 1, 'physical_kg', CAST(sum(physical_kg) AS DECIMAL(28,7)) FROM work
-    UNION ALL SELECT 2, 'calculated_kg', CAST(sum(calculated_kg) AS DECIMAL(28,7)) FROM work UNION ALL SELECT 3, 'conditioned_kg', CAST(sum(conditioned_kg) AS DECIMAL(28,7)) FROM work),
+@query(f"""WITH {OPS}, s AS (SELECT 0 AS stage_no, 'gross_kg' AS stage, CAST(sum(gross_kg) AS DECIMAL(28,7)) AS kg FROM work UNION ALL SELECT 1, 'tare_kg', CAST(sum(physical_kg * 0.25) AS DECIMAL(28,7)) FROM work UNION ALL SELECT 2, 'physical_kg', CAST(sum(physical_kg) AS DECIMAL(28,7)) FROM work
+    UNION ALL SELECT 3, 'calculated_kg', CAST(sum(calculated_kg) AS DECIMAL(28,7)) FROM work UNION ALL SELECT 4, 'conditioned_kg', CAST(sum(conditioned_kg) AS DECIMAL(28,7)) FROM work),
     x AS (SELECT *, lag(kg) OVER (ORDER BY stage_no) AS b FROM s)
     SELECT stage_no, stage, {d('kg')}, {d('kg - b', 'change')}, round(CAST(kg - b AS DOUBLE) * 100 / CAST(b AS DOUBLE), 4) AS change_pct FROM x""")
 def weight_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,6 +291,38 @@ def plan_differences(lines: DataFrame, directory: DataFrame) -> DataFrame:
     return same.where((F.col("link") != "NOT_IN_BASKET") & (F.abs(F.col("directory_plan_t") - F.col("plan_t")) > 0.001)).select("inn", "display_name", "plan_t", "directory_plan_t")
 
 
+def plan_issues(differences: DataFrame) -> DataFrame:
+    """plan_differences() as issues."""
+    return issues(differences, [Rule("WARNING", "PLAN_DIFFERS_FROM_DIRECTORY", F.lit(True))], "MATCHING", F.lit(None).cast("long"), F.col("inn"))
+
+
+def harvest_repeats(harvest: DataFrame) -> DataFrame:
+    """Issues over several rows of a harvest: tax ids with names that differ as names go, and rows that repeat a natural key."""
+    written = harvest.where("inn is not null").select("inn", "farmer_name").distinct()
+    named = written.select("inn", party_key(F.col("farmer_name")).alias("key")).where("key <> ''").distinct()
+    several = named.groupBy("inn").agg(F.count("*").alias("n")).where("n > 1")
+    names = issues(several, [Rule("WARNING", "NAME_MISMATCH", F.lit(True))], "BASKET", F.lit(None).cast("long"), F.col("inn"))
+    first = harvest.groupBy("natural_key").agg(F.min("source_row").alias("first"))
+    again = harvest.select("natural_key", "source_row").join(first, "natural_key").where("source_row <> first")
+    return names.unionByName(issues(again, [Rule("WARNING", "DUPLICATE", F.lit(True))], "BASKET", F.col("source_row").cast("long"), F.col("natural_key")))
+
+
+def report_issues(directory: DataFrame, actions: DataFrame) -> DataFrame:
+    """Issues of a report as a whole: no directory, and stored rows that the last source lacks. actions: store.compare()."""
+    none, at = F.lit(None).cast("string"), F.lit(None).cast("long")
+    empty = directory.agg(F.count("*").alias("n"))
+    removed = actions.agg(F.count(F.when(F.col("action") == "ABSENT", 1)).alias("n"))
+    parts = [(empty, Rule("WARNING", "DIRECTORY_MISSING", F.col("n") == 0), "REPORT"), (removed, Rule("INFO", "REMOVED_FROM_SOURCE", F.col("n") > 0, F.col("n").cast("string")), "BASKET")]
+    first, second = (issues(frame, [rule], source, at, none) for frame, rule, source in parts)
+    return first.unionByName(second)
+
+
+def unknown_method(harvest: DataFrame) -> DataFrame:
+    """(inn, unknown_kg): weight whose picking method can't be told."""
+    rows = harvest.where((F.col("method") == "UNKNOWN") & (F.col("conditioned_kg") > 0) & F.col("inn").isNotNull())
+    return rows.groupBy("inn").agg(F.sum("conditioned_kg").cast(KG).alias("unknown_kg"))
+
+
 def payment_issues(matched: DataFrame, index: Index) -> DataFrame:
     names = index.farmers.select(F.col("inn").alias("match_inn"), F.col("name").alias("_name"))
     rows = matched.join(names, "match_inn", "left")
@@ -319,8 +351,51 @@ def web_view(lines: DataFrame) -> DataFrame:
     return lines.select(F.to_json(F.struct("inn", "section", "block", "display_name", units("sum_100"), units("paid_total"), tons("total_kg"), "achieved_pct")).alias("json"))
 
 
-def search(lines: DataFrame, text: str = "", block: str | None = None, today_only: bool = False) -> DataFrame:
-    """Lines whose name or id has a text in it, of one block or all."""
+def search(lines: DataFrame, text: str = "", block: str | None = None, today_only: bool = False, contracts: DataFrame | None = None) -> DataFrame:
+    """Lines of one block or all, of those who delivered today or all, whose names, id or one of whose contracts has a text in it.
+
+    contracts: (inn, contract_number), as many rows as there are.
+    """
     rows = lines if block is None else lines.where(F.col("block") == block)
     rows = rows.where(F.col("today_hand_kg") + F.col("today_machine_kg") > 0) if today_only else rows
-    return rows.where(F.lower(F.concat_ws(" ", "display_name", "inn")).contains(text.lower())) if text else rows
+    if not text:
+        return rows
+    hit = F.lower(F.concat_ws(" ", *[c for c in ("display_name", "basket_name", "inn") if c in lines.columns])).contains(text.lower())
+    if contracts is None:
+        return rows.where(hit)
+    theirs = contracts.where(F.lower("contract_number").contains(text.lower())).select(F.col("inn").alias("_inn")).distinct()
+    return rows.join(theirs, F.col("inn") == F.col("_inn"), "left").where(hit | F.col("_inn").isNotNull()).drop("_inn")
+
+
+def search_payments(matched: DataFrame, farmers: DataFrame, text: str) -> DataFrame:
+    """Legs in whose counterparty, ids, deal or farmer's name a text stands. farmers: (inn, name)."""
+    named = matched.join(farmers.select(F.col("inn").alias("match_inn"), F.col("name").alias("farmer")), "match_inn", "left")
+    return named.where(F.lower(F.concat_ws(" ", "counterparty_name", "counterparty_inn", "deal_number", "farmer")).contains(text.lower()))
+
+
+def filtered_totals(lines: DataFrame) -> DataFrame:
+    """One row: the sums over the lines that a filter left."""
+    return lines.agg(F.count("*").alias("farmers"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS])
+
+
+#: Fixed value: sections that stand for clusters.
+CLUSTER_SECTION = "(?i)кластер|cluster"
+
+
+def top_lines(lines: DataFrame, k: int = 12) -> DataFrame:
+    """The k lines with most weight that are no cluster's."""
+    rows = lines.where((F.col("total_kg") > 0) & ~F.coalesce(F.col("section").rlike(CLUSTER_SECTION), F.lit(False)))
+    return rows.orderBy(F.desc("total_kg"), "display_name", "inn").limit(k)
+
+
+def report_name(day: datetime.date, at: datetime.time, same_day: int) -> str:
+    """A report's name: its day, and the time where the day has a report already."""
+    return f"Кунлик_терим_{day.isoformat()}" + (f"_{at:%H-%M}" if same_day else "")
+
+
+def sheets(lines: DataFrame, cells: DataFrame, days: list[datetime.date], report_date: datetime.date, matched: DataFrame, shipments: DataFrame, deal_rows: DataFrame, found: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """The nine sheets of the daily workbook: name -> frame."""
+    return {
+        "daily": layout(lines).join(wide_days(cells, days), "inn", "left"), "farmers": lines, "dynamics": daily_series(cells, report_date), "payments": matched,
+        "shipments": shipments, "deals": deal_rows, "shipment_farmers": shipment_farmers(deal_rows), "data_quality": found, "import_info": files,
+    }

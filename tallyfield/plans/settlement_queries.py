@@ -188,9 +188,7 @@ def name_token_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH asked AS (SELECT DISTINCT p_name || 's' AS key FROM part), names AS (SELECT DISTINCT p_name AS candidate_key FROM part),
-    starts AS (SELECT key, unnest(list_transform(string_split(key, ' '), lambda w: substr(w, 1, 2))) AS s FROM asked),
-    theirs AS (SELECT candidate_key, unnest(list_transform(string_split(candidate_key, ' '), lambda w: substr(w, 1, 2))) AS s FROM names),
-    pairs AS (SELECT DISTINCT key, candidate_key FROM starts JOIN theirs USING (s)),
+    pairs AS (SELECT key, candidate_key FROM asked CROSS JOIN names),
     x AS (SELECT *, array_to_string(list_sort(string_split(key, ' ')), ' ') AS a, array_to_string(list_sort(string_split(candidate_key, ' ')), ' ') AS b FROM pairs),
     y AS (SELECT *, round(1 - CAST(levenshtein(a, b) AS DOUBLE) / greatest(length(a), length(b)), 4) AS similarity FROM x),
     z AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY similarity DESC, candidate_key DESC) AS k FROM y) SELECT key, candidate_key, similarity FROM z WHERE k = 1""")

@@ -37,11 +37,17 @@ def raw_operations(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_shipdate").cast("date").alias("acceptance_date"),
         (physical * F.lit("1.25").cast("decimal(3,2)")).cast("decimal(18,5)").alias("gross_kg"),
         physical.cast("decimal(18,3)").alias("physical_kg"),
+        (physical * F.lit("0.25").cast("decimal(3,2)")).cast("decimal(18,5)").alias("tare_kg"),
         calculated.alias("calculated_kg"),
         (calculated * (one - share("l_tax"))).cast("decimal(18,7)").alias("conditioned_kg"),
         (share("l_discount") * 100).cast("decimal(9,2)").alias("impurity_pct"),
         (share("l_tax") * 100).cast("decimal(9,2)").alias("moisture_pct"),
         _decimal("l_extendedprice", "decimal(18,2)").alias("amount"),
+        (_decimal("l_extendedprice", "decimal(18,2)") * share("l_tax")).cast("decimal(22,4)").alias("markup"),
+        (_decimal("l_extendedprice", "decimal(18,2)") * share("l_discount")).cast("decimal(22,4)").alias("discount"),
+        (physical * 2).cast("decimal(18,3)").alias("transport_fee"),
+        F.when(F.col("l_returnflag") == "R", physical * 3).cast("decimal(18,3)").alias("seed_cotton_fee"),
+        (physical * 5).cast("decimal(18,3)").alias("other_fee_total"),
         F.col("l_returnflag").alias("grade"),
         F.when(F.col("l_linestatus") == "O", "HAND").otherwise("MACHINE").alias("method"),
     )

@@ -136,3 +136,26 @@ def test_days_and_view(report):
     assert {r["inn"]: r[f"{D2}_machine_kg"] for r in wide.collect()}["11"] == kg("2000.000")
     assert S.search(report["lines"], "ALFA", today_only=True).count() == 1
     assert [r["inn"] for r in S.plan_differences(report["lines"], report["directory"]).collect()] == ["22"]
+
+
+def test_report_names():
+    day, at = datetime.date(2026, 9, 19), datetime.time(14, 5)
+    assert S.report_name(day, at, 0) == "Кунлик_терим_2026-09-19"
+    assert S.report_name(day, at, 2) == "Кунлик_терим_2026-09-19_14-05"
+
+
+def test_workbook_bundles(spark, sf):
+    from tallyfield.plans import ledger, ledger_queries, settlement_queries
+    from tallyfield.sources import settlement_tables, tables
+
+    ten = ledger.sheets(ledger_queries.marked(spark, sf), tables.contracts(spark, sf), ledger_queries.DAY)
+    assert list(ten) == ["summary", "contracts", "farmers", "clusters", "acceptance", "quality", "finance", "control", "raw_data", "data_dictionary"]
+    assert all(not frame.isEmpty() for frame in ten.values())
+    r = settlement_queries._Report(spark, sf)
+    lines, cells = r.lines, S.day_cells(r.counted)
+    nine = S.sheets(
+        lines, cells, settlement_queries.DAYS, settlement_queries.LINE_DAY, r.matched, settlement_tables.shipments(spark, sf), r.deals,
+        S.payment_issues(r.matched, r.index), spark.createDataFrame([("basket", 1)], "file string, batch int"),
+    )
+    assert len(nine) == 9 and nine["daily"].count() == lines.count()
+    assert all(not frame.isEmpty() for frame in nine.values())

@@ -97,3 +97,39 @@ def test_config_is_checked():
         EngineConfig(refresh_minutes=45)
     with pytest.raises(ValueError):
         EngineConfig(weight_column="moon")
+
+
+def test_a_version_is_done_again_under_its_number(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    store.publish(spark.range(3), root, 1)
+    store.publish(spark.range(5), root, 2)
+    with pytest.raises(ValueError, match="exists"):
+        store.publish(spark.range(1), root, 2)
+    before = store.read(spark, root)
+    store.publish(spark.range(9), root, 2, replace=True)
+    assert store.versions(spark, root) == [1, 2]
+    assert before.count() == 5  # who read before goes on
+    assert [store.read(spark, root, v).count() for v in (1, 2)] == [3, 9]
+    assert store.read(spark, root, 0) is None
+
+
+def test_log_grows_and_reset_keeps_what_is_asked(spark, tmp_path):
+    log = f"file://{tmp_path}/all/log"
+    for n in (1, 2):
+        store.append_log(spark.createDataFrame([(f"file {n}", "ok")], "name string, status string"), log)
+    assert sorted(r["name"] for r in spark.read.parquet(log).collect()) == ["file 1", "file 2"]
+    store.publish(spark.range(3), f"file://{tmp_path}/all/settings", 1)
+    assert store.reset(spark, f"file://{tmp_path}/all", keep=("settings",)) == ["log"]
+    assert store.read(spark, f"file://{tmp_path}/all/settings").count() == 3
+    assert store.reset(spark, f"file://{tmp_path}/none") == []
+
+
+def test_directory_is_saved_and_read(spark, tmp_path):
+    entries = spark.createDataFrame([(2, "B", None), (1, "A", "11")], "ord long, display_name string, tax_id string")
+    store.publish(entries, f"file://{tmp_path}/directory", 1)
+    assert [r["display_name"] for r in store.read(spark, f"file://{tmp_path}/directory").orderBy("ord").collect()] == ["A", "B"]
+
+
+def test_newest_of_a_history(spark):
+    rows = spark.range(20).withColumnRenamed("id", "n")
+    assert [r["n"] for r in store.retention(rows, 3, rows.n.desc()).collect()] == [19, 18, 17]
