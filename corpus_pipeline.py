@@ -1,6 +1,11 @@
 """The corpus pipeline: classify, deduplicate, mask secrets, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next one gets it written and read again.
+
+In every stage null and empty texts are documents like others until mixing, which takes no words of them; very long texts go
+through whole; null ids are kept, and a null id is the last that a group of near duplicates keeps; rows that repeat in all
+columns are one document for the near-duplicate stage and are otherwise treated alike; ties go by a hash of the row, so
+reruns agree; extra columns of any name come through to mixing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyfield.llm import mixing, packing, quality, secrets, simhash
-from tallyfield.llm.common import written
+from tallyfield.llm.common import forget, written
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,15 +49,18 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack),
 ]
-#: Classifier, fingerprints and tokenizers have no SQL; tests hold run() against brute force.
+#: Classifier, fingerprints and tokenizers have no SQL; tests hold run() against plain Python, stage by stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = written(docs, "stage")
+            if before is not None:
+                forget(before)
+            before = docs
     return docs

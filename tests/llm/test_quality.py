@@ -1,12 +1,18 @@
 """The classifier: gradients, held-out accuracy, odd rows; and the whole pipeline against its operators."""
 
+import re
 import zlib
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tallyfield.llm import quality, secrets, simhash
+from tallyfield.llm import mixing, quality, secrets, simhash
+from tests.llm import plain
+from tests.llm.test_mixing import targets_of
+from tests.llm.test_simhash import plain_components
 
 SF = "/root/testdata/sf0.1"
 SMALL = "/root/testdata/sf0.01"
@@ -86,9 +92,66 @@ def test_pipeline_stages(spark):
     assert packed.where("start = 0").count() == mixed.count()
 
 
-def test_pipeline_runs_whole(spark):
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert rows.count() > 0 and {"doc_id", "sequence_id", "length"} <= set(rows.columns)
+def test_scores_against_a_plain_scorer(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.learned(docs, labels)
+    for df in (docs, odd):
+        texts = sorted((str(r["doc_id"]), r["text"] or "") for r in df.collect())
+        got = sorted((str(r["doc_id"]), r["score"]) for r in quality.scored(df, model).collect())
+        wanted = sorted((doc, plain.score(model, text)) for doc, text in texts)
+        assert [d for d, _ in got] == [d for d, _ in wanted]
+        assert np.allclose([x for _, x in got], [x for _, x in wanted], atol=2e-3)
+
+
+def test_pipeline_against_plain_stages(spark):
+    """run() over whole tables: what every stage keeps, masks, takes and encodes is what plain Python makes of it."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = quality.learned(docs, labels)
+    good = [d for d, r in rows.items() if plain.score(model, r["text"]) >= quality.THRESHOLD]
+    classes = {int(d): int(c) for d, _, c in plain_components([(d, rows[d]["text"]) for d in good])}
+    single = [d for d in good if classes[d] == d]
+    texts = plain.masked([(d, rows[d]["text"], rows[d]["lang"], rows[d]["source"]) for d in single])
+
+    encoder = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encode = lambda text: [*encoder.encode(text, add_special_tokens=False).ids, 2]
+    whole = {d: encode(t) for d, t in texts.items()}
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert sorted(r["sequence_id"] for r in pieces) == list(range(len(pieces)))
+    taken = {}
+    for r in pieces:
+        assert r["doc_id"] in whole and r["offset"] == 0 and r["length"] & (r["length"] - 1) == 0
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert zlib.crc32(r["ids"]) == r["ids_crc32"] and len(ids) == r["length"]
+        if r["doc_tokens"] == len(whole[r["doc_id"]]):
+            assert ids == whole[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        taken.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], ids))
+    words = {d: len((t or "").encode().split()) for d, t in texts.items()}
+    by_source = {}
+    for (doc, tokens), parts in taken.items():
+        times = sum(start == 0 for start, _ in parts)
+        n = words[doc]
+        if tokens != len(whole[doc]):  # a pass that takes the first words of the text
+            ids = [x for _, part in sorted(parts) for x in part]
+            cut = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+", texts[doc])
+            n = next(k for k in range(1, n + 1) if encode("".join(cut[:k])) == ids)
+            assert times == 1
+        by_source[rows[doc]["source"]] = by_source.get(rows[doc]["source"], 0) + n * times
+        assert times <= 3
+    sources = sorted({rows[d]["source"] for d in single}, key=lambda s: (s is None, (s or "").encode()))
+    wanted = targets_of([sum(words[d] for d in single if rows[d]["source"] == s) for s in sources], [mixing.WEIGHTS[i % 3] for i in range(len(sources))])
+    assert all(abs(by_source.get(s, 0) - t) <= 1 for s, t in zip(sources, wanted, strict=True))
+
+
+def test_pipeline_of_odd_rows(spark, odd, tmp_path):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1), (4, 0), (None, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, str(tmp_path))
+        assert out.columns == odd.columns, name
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns[:2] == ["doc_id", "start"]
 
 
 def test_all_passages_are_learned_from(spark, docs):
