@@ -7,8 +7,8 @@ each step sums bytes by the next fifteen bits of the sort key, so it moves sums
 rows. Ties on a dimension are ordered by the hash of the text, so a dimension with
 few values still divides evenly.
 
-A heavy group goes to the side of the median that it lies on, whole; the light points of the node are then cut where both
-sides come out even. Groups are parted only where no tree of whole groups comes near the law of equal bytes.
+Groups that are heavy for a node, five hundred at most, are parted at their own weighted median; the light points of the node are
+then cut where both sides come out even. Groups are parted only where no tree of whole groups comes near the law of equal bytes.
 The tree itself is a table with a row for each node, so nothing about it passes through the driver.
 """
 
@@ -16,21 +16,19 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import forget, ranked, task_count, text_of, written
 
-#: A group above this share of a shard's bytes is heavy: it takes a side whole and does not move a cut.
-HEAVY = 0.01
+#: A group above this share of a node's bytes is heavy there; parts of a group that is dealt out have this share of a shard's.
+HEAVY, PART = 0.002, 0.01
 #: Shards may differ from their mean by this share before groups of several rows are parted.
 NEAR = 0.02
 #: Sort keys: bits of the dimension, then bits of the hash; together a multiple of DIGIT.
 CODE_BITS, HASH_BITS, DIGIT = 20, 40, 15
 #: A median is close enough when the digit that holds it weighs at most this share of its node.
 CLOSE = 0.0005
-#: Levels after which the points are written anew, so plans stay short.
-LEVELS_AT_ONCE = 4
 #: A table of at most so many nodes, a hundred bytes each, is broadcast; beyond it there are as many keys, and it is joined as any other.
 SMALL_TREE = 50_000
 
@@ -48,12 +46,12 @@ def _ranks(docs: DataFrame, column: str) -> DataFrame:
 def _points(rows: DataFrame, names: list[str], share: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """rows -> (rows with their part, points): a point for each group, or for each part of one of several rows above the limit."""
     weights = rows.groupBy("key", "key2").agg(F.sum("size").alias("all"), F.count("*").alias("n")).where((F.col("all") > limit) & (F.col("n") > 1))
-    parts = weights.select("key", "key2", F.ceil(F.col("all") / max(1, int(HEAVY * share))).alias("parts"))
+    parts = weights.select("key", "key2", F.ceil(F.col("all") / max(1, int(PART * share))).alias("parts"))
     dealt = rows.join(parts, ["key", "key2"], "left").withColumn(
         "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("parts"))).cast("long")
     )
     points = dealt.groupBy("key", "key2", "part").agg(F.sum("size").alias("weight"), *[F.min(n).alias(n) for n in names])
-    return dealt.drop("parts"), points.withColumn("heavy", F.col("weight") > HEAVY * share)
+    return dealt.drop("parts"), points
 
 
 def _coded(points: DataFrame, names: list[str]) -> DataFrame:
@@ -66,18 +64,49 @@ def _coded(points: DataFrame, names: list[str]) -> DataFrame:
         share = (F.col(n) - low) / (high - low) if low is not None and high > low else F.lit(0.0)
         code = F.floor(share * (2**CODE_BITS - 1)).cast("long")
         keys.append((F.shiftleft(code, HASH_BITS) + hashed).alias(n))
-    return points.select("key", "key2", "part", "weight", "heavy", *keys)
+    return points.select("key", "key2", "part", "weight", *keys)
 
 
-def _medians(points: DataFrame, names: list[str], state: DataFrame, most: int) -> DataFrame:
-    """state (node, dim, all, want) -> (node, dim, cut): the sort key of a dimension below which about `want` of the node's bytes lie.
+def _at(names: list[str]) -> Column:
+    return F.element_at(F.array(*names), F.col("dim") + 1)
 
-    A node without points has no cut. Each digit's sums are written, so a plan holds one digit.
+
+def _is_heavy() -> Column:
+    return F.col("weight") > F.col("all") * HEAVY
+
+
+def _states(points: DataFrame, names: list[str], nodes: DataFrame, most: int) -> DataFrame:
+    """(node, dim, all, heavy_cut, want) for nodes of several shards: the widest dimension, where heavy points part, and what light ones add on the left.
+
+    nodes: node, first (shard), n (shards); the left side gets its share of the
+    node's bytes, half of them where the number is even.
+    """
+    code = lambda c: F.shiftright(c, HASH_BITS)
+    widths = [(F.max(code(n)) - F.min(code(n))).alias(n) for n in names]
+    inner = nodes.where("n > 1")
+    found = points.join(_nodes(inner.select("node"), most), "node").groupBy("node").agg(F.sum("weight").alias("all"), *widths)
+    wide = (F.array_position(F.array(*names), F.array_max(F.array(*names))) - 1).cast("int")
+    share = lambda c: F.expr(f"({c} div n) * (n div 2) + (({c} % n) * (n div 2)) div n")
+    state = written(found.join(_nodes(inner, most), "node").select("node", "n", wide.alias("dim"), "all", share("`all`").alias("want")), "nodes")
+    heavy = points.join(_nodes(state, most), "node").where(_is_heavy()).select("node", "n", "weight", _at(names).alias("at"))
+    order = Window.partitionBy("node").orderBy("at")  # 1 / HEAVY rows for each node at most
+    run = heavy.withColumn("upto", F.sum("weight").over(order)).withColumn("sum", F.sum("weight").over(Window.partitionBy("node")))
+    left = F.col("upto") - F.col("weight") / 2 <= share("`sum`")
+    parted = run.groupBy("node").agg((F.max(F.when(left, F.col("at"))) + 1).alias("heavy_cut"), F.sum(F.when(left, F.col("weight"))).alias("taken"), F.max("sum").alias("heavy"))
+    taken, light = F.coalesce("taken", F.lit(0)), F.col("all") - F.coalesce("heavy", F.lit(0))
+    want = F.greatest(F.lit(0), F.least(light, F.col("want") - taken)).cast("long")
+    return written(state.join(parted, "node", "left").select("node", "dim", "all", F.coalesce("heavy_cut", F.lit(0)).alias("heavy_cut"), want.alias("want")), "nodes")
+
+
+def _cuts(points: DataFrame, names: list[str], state: DataFrame, most: int) -> DataFrame:
+    """_states() with cut: the sort key of the dimension below which about `want` bytes of the node's light points lie.
+
+    A node without light points has no cut. Each digit's sums are written, so a plan holds one digit.
     """
     zero = F.lit(0).cast("long")
-    state = state.select("node", "dim", "all", "want", zero.alias("high"), zero.alias("less"), F.lit(None).cast("long").alias("cut"))
+    state = state.withColumns({"high": zero, "less": zero, "cut": F.lit(None).cast("long")})
     for shift in range(CODE_BITS + HASH_BITS - DIGIT, -1, -DIGIT):
-        joined = points.join(_nodes(state.where("cut is null"), most), "node").withColumn("at", F.element_at(F.array(*names), F.col("dim") + 1))
+        joined = points.join(_nodes(state.where("cut is null"), most), "node").where(~_is_heavy()).withColumn("at", _at(names))
         inside = joined.where(F.shiftright("at", shift + DIGIT) == F.col("high"))
         digit = F.shiftright("at", shift).bitwiseAND(2**DIGIT - 1).alias("digit")
         sums = inside.groupBy("node", "less", "want", digit).agg(F.sum("weight").alias("sum"))
@@ -86,42 +115,16 @@ def _medians(points: DataFrame, names: list[str], state: DataFrame, most: int) -
         high, less = F.shiftleft("high", DIGIT) + F.col("x.digit"), F.col("x.upto") - F.col("x.sum")
         nearer = (F.col("x.upto") - F.col("want") <= F.col("want") - less).cast("long")
         close = (F.col("x.sum") <= CLOSE * F.col("all")) if shift else F.lit(True)
+        cut = F.when(F.col("x").isNull() | close, F.coalesce(F.shiftleft(high + nearer, shift), zero))
+        seen = Observation()
         state = state.join(hit, "node", "left").select(
-            "node", "dim", "all", "want",
-            F.coalesce(high, F.col("high")).alias("high"), F.coalesce(less, F.col("less")).alias("less"),
-            F.coalesce("cut", F.when(close, F.shiftleft(high + nearer, shift))).alias("cut"),
+            "node", "dim", "all", "heavy_cut", "want",
+            F.coalesce(high, F.col("high")).alias("high"), F.coalesce(less, F.col("less")).alias("less"), F.coalesce("cut", cut).alias("cut"),
         )
-        state = written(state, "medians")
-        if state.where("cut is null and `all` > 0").isEmpty():
+        state = written(state.observe(seen, F.count(F.when(F.col("cut").isNull(), 1)).alias("open")), "medians")
+        if not seen.get["open"]:
             break
-    return state.select("node", "dim", "cut")
-
-
-def _cuts(points: DataFrame, names: list[str], nodes: DataFrame, most: int, any_heavy: bool) -> DataFrame:
-    """(node, dim, cut, light_cut): where heavy and light points of each node part; leaves are not in it.
-
-    nodes: node, first (shard), n (shards); the left side gets its share of the
-    node's bytes, half of them where the number is even.
-    """
-    code = lambda c: F.shiftright(c, HASH_BITS)
-    widths = [(F.max(code(n)) - F.min(code(n))).alias(n) for n in names]
-    inner = nodes.where("n > 1")
-    found = points.join(_nodes(inner.select("node"), most), "node").groupBy("node").agg(F.sum("weight").alias("all"), *widths)
-    wide = (F.array_position(F.array(*names), F.array_max(F.array(*names))) - 1).cast("int")
-    want = F.expr("(all div n) * (n div 2) + ((all % n) * (n div 2)) div n")
-    state = written(found.join(_nodes(inner, most), "node").select("node", wide.alias("dim"), "all", want.alias("want")), "nodes")
-    cuts = _medians(points, names, state, most)
-    if not any_heavy:
-        return cuts.withColumn("light_cut", F.col("cut"))
-    placed = points.join(_nodes(cuts, most), "node")
-    left = F.col("heavy") & (F.element_at(F.array(*names), F.col("dim") + 1) < F.col("cut"))
-    taken = placed.groupBy("node").agg(
-        F.coalesce(F.sum(F.when(left, F.col("weight"))), F.lit(0)).alias("taken"), F.coalesce(F.sum(F.when(~F.col("heavy"), F.col("weight"))), F.lit(0)).alias("light")
-    )
-    rest = F.greatest(F.lit(0), F.least(F.col("light"), F.col("want") - F.col("taken"))).cast("long")
-    lighter = state.join(taken, "node").select("node", "dim", F.col("light").alias("all"), rest.alias("want"))
-    light = _medians(points.where("not heavy"), names, written(lighter, "nodes"), most).select("node", F.col("cut").alias("light_cut"))
-    return cuts.join(light, "node", "left").withColumn("light_cut", F.coalesce("light_cut", "cut"))
+    return state.select("node", "dim", "all", "heavy_cut", "cut")
 
 
 def _leaves(points: DataFrame, names: list[str], shards: int) -> DataFrame:
@@ -129,15 +132,12 @@ def _leaves(points: DataFrame, names: list[str], shards: int) -> DataFrame:
     zero = F.lit(0).cast("long")
     now = points.withColumn("node", zero)
     nodes = points.sparkSession.range(1).select(zero.alias("node"), zero.alias("first"), F.lit(shards).cast("long").alias("n"))
-    any_heavy = not points.where("heavy").isEmpty()
-    depth = (shards - 1).bit_length()
-    for level in range(depth):
+    for level in range((shards - 1).bit_length()):
         most = min(2 ** (level + 1), 2 * shards)
-        cuts = _nodes(_cuts(now, names, nodes, most, any_heavy), most)
-        at = F.element_at(F.array(*names), F.col("dim") + 1)
+        cuts = _nodes(_cuts(now, names, _states(now, names, nodes, most), most), most)
         # a leaf goes on as the left child of its own
-        left = F.col("dim").isNull() | (at < F.when(F.col("heavy"), F.col("cut")).otherwise(F.col("light_cut")))
-        now = now.join(cuts, "node", "left").withColumn("node", 2 * F.col("node") + F.when(left, 1).otherwise(2)).drop("dim", "cut", "light_cut")
+        left = F.col("dim").isNull() | (_at(names) < F.when(_is_heavy(), F.col("heavy_cut")).otherwise(F.col("cut")))
+        now = now.join(cuts, "node", "left").withColumn("node", 2 * F.col("node") + F.when(left, 1).otherwise(2)).drop("dim", "all", "heavy_cut", "cut")
         half = F.floor(F.col("n") / 2)
         children = F.when(F.col("n") < 2, F.array(F.struct((2 * F.col("node") + 1).alias("node"), F.col("first").alias("first"), F.col("n").alias("n")))).otherwise(
             F.array(
@@ -146,8 +146,8 @@ def _leaves(points: DataFrame, names: list[str], shards: int) -> DataFrame:
             )
         )
         nodes = nodes.select(F.inline(children))
-        if level % LEVELS_AT_ONCE == LEVELS_AT_ONCE - 1:
-            now, nodes = written(now, "points"), written(nodes, "nodes")
+        # each level is read several times, and a plan that holds them all would broadcast all their cuts
+        now, nodes = written(now, "points"), written(nodes, "nodes")
     return now.join(_nodes(nodes, 2 * shards), "node").select("key", "key2", "part", F.col("first").cast("int").alias("shard"))
 
 
@@ -165,7 +165,7 @@ def _placed(rows: DataFrame, names: list[str], shards: int) -> DataFrame:
         bytes_of = placed.groupBy("shard").agg(F.sum("size").alias("bytes"))
         apart = bytes_of.agg(F.max(F.abs(F.col("bytes") - share)), F.count("*")).first()
         even = (apart[0] or 0) <= NEAR * share and apart[1] == shards
-        smaller = max(int(limit / 4), int(HEAVY * share))
+        smaller = max(int(limit / 4), int(PART * share))
         if even or smaller >= limit or several <= smaller:
             return placed
         limit = smaller
