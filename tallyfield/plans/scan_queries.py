@@ -22,7 +22,11 @@ from . import settlement_queries as SQ
 from .registry import d, query
 
 _M = lambda c: f"CAST(CAST({c} AS DECIMAL(18,2)) * 100 AS DECIMAL(20,0))"
-_NONE = F.array().cast("array<string>")
+
+
+def _no_errors() -> Column:
+    """No field of the row held an error cell."""
+    return F.array().cast("array<string>")
 
 
 def _money(column: str) -> Column:
@@ -43,7 +47,7 @@ def _raw_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("2020 8000 000000001").alias("counterparty_account"), F.lit(None).cast("string").alias("account_name"),
         F.when(kind.isin("purchase", "view"), _money("value")).alias("debit"), F.when(kind == "click", _money("value")).alias("credit"),
         F.when(kind == "view", "Возврат").otherwise(F.concat(F.lit("Оплата, с/ф № A"), F.col("event_id").cast("string"))).alias("details"),
-        F.when(kind == "signup", F.array(F.lit("debit"))).otherwise(_NONE).alias("bad_cells"),
+        F.when(kind == "signup", F.array(F.lit("debit"))).otherwise(_no_errors()).alias("bad_cells"),
     )
 
 
@@ -77,7 +81,7 @@ def _raw_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("source_row"), F.concat(F.lit("2020800"), key, F.lit(" (UZS)")).alias("bank_account"), names.alias("account_name"), F.concat(F.lit("2020 "), key).alias("account"),
         F.when(F.col("s_nationkey") != 7, _money("s_acctbal")).alias("balance"), F.when(F.col("s_acctbal") > 0, " Да").otherwise("нет").alias("is_default"),
-        F.concat(F.lit(" 3 "), key).alias("holder_inn"), F.col("s_name").alias("holder_name"), _NONE.alias("bad_cells"),
+        F.concat(F.lit(" 3 "), key).alias("holder_inn"), F.col("s_name").alias("holder_name"), _no_errors().alias("bad_cells"),
     )
 
 
@@ -101,7 +105,7 @@ def _raw_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("source_row"), key.alias("deal_number"), F.date_format("o_orderdate", "dd.MM.yy").alias("deal_date"), key.alias("clearing_contract"), F.lit("Seller").alias("seller_name"),
         F.lit("Buyer").alias("buyer_name"), F.lit("cotton").alias("product_name"), F.concat(F.lit("doc"), key).alias("document_number"),
         F.when(state == "P", "30.02.2024").otherwise(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("document_date"), qty.alias("shipment_qty"), price.alias("delivery_cost"),
-        price.alias("deal_qty"), price.alias("deal_amount"), unit.alias("unit"), F.when(state == "F", "Одобрено").when(state == "O", " PENDING ").otherwise("?").alias("status"), _NONE.alias("bad_cells"),
+        price.alias("deal_qty"), price.alias("deal_amount"), unit.alias("unit"), F.when(state == "F", "Одобрено").when(state == "O", " PENDING ").otherwise("?").alias("status"), _no_errors().alias("bad_cells"),
     )
 
 
@@ -131,7 +135,7 @@ def _raw_basket(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "A", '"ALFA" FX').otherwise("Beta fx").alias("farmer_name"), F.lit("r").alias("region"), F.lit("d").alias("district"), F.lit("t").alias("contract_type"),
         key("l_orderkey").alias("contract_number"), F.lit("10,5").alias("contract_qty"), F.date_format("l_shipdate", "dd.MM.yyyy").alias("acceptance_date"), key("l_linenumber").alias("record_no"),
         F.lit(None).cast("string").alias("pk17_number"), method.alias("method"), _money("l_quantity").alias("physical_kg"), _money("l_quantity").alias("conditioned_kg"), F.lit("1").alias("unit_price"),
-        _money("l_extendedprice").alias("amount"), F.lit("b").alias("buyer_name"), F.when(F.col("l_quantity") == 13, F.array(F.lit("amount"))).otherwise(_NONE).alias("bad_cells"),
+        _money("l_extendedprice").alias("amount"), F.lit("b").alias("buyer_name"), F.when(F.col("l_quantity") == 13, F.array(F.lit("amount"))).otherwise(_no_errors()).alias("bad_cells"),
     )
 
 
