@@ -64,10 +64,10 @@ deal_rows AS (
     LEFT JOIN (SELECT contract_number, sum(conditioned_kg) AS kg FROM counted GROUP BY 1) a ON a.contract_number = d.deal
     LEFT JOIN (SELECT deal_number, sum(net) AS net FROM matched WHERE deal_number IS NOT NULL GROUP BY 1) p ON p.deal_number = d.deal),
 directory AS (
-  SELECT s_suppkey AS ord, r_name AS section, n_name AS block, s_name AS display_name, CASE WHEN s_suppkey % 5 <> 4 THEN 'S' || s_suppkey END AS tax_id, abs(CAST(s_acctbal AS DECIMAL(18,3))) AS plan_t
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 7 <> 6
+  SELECT s_suppkey AS ord, r_name AS section, n_name AS block, CASE WHEN s_suppkey % 7 = 6 THEN 'Old ' || s_name ELSE s_name END AS display_name, CASE WHEN s_suppkey % 5 <> 4 AND s_suppkey % 7 <> 6 THEN 'S' || s_suppkey END AS tax_id, abs(CAST(s_acctbal AS DECIMAL(18,3))) AS plan_t
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT c_custkey + 10000000, r_name, n_name, c_name, 'C' || c_custkey, abs(CAST(c_acctbal AS DECIMAL(18,3)))
-  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey < 20),
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
 linked AS (
   SELECT k.inn, k.name, coalesce(i.ord, n.ord) AS entry_ord, CASE WHEN i.ord IS NOT NULL THEN 'INN' WHEN n.ord IS NOT NULL THEN 'NAME' ELSE 'NONE' END AS link
   FROM known k LEFT JOIN directory i ON i.tax_id = k.inn LEFT JOIN directory n ON i.ord IS NULL AND n.tax_id IS NULL AND lower(n.display_name) = lower(k.name)),

@@ -81,16 +81,17 @@ def accounts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def directory(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers as directory entries: every seventh is missing, every fifth has no tax id; some customers have no harvest."""
+    """Suppliers as directory entries: every seventh stands under an old name alone, every fifth has no tax id; customers have no harvest."""
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     places = F.broadcast(nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "n_name", "r_name"))  # a fixed list of countries
     key = F.col("s_suppkey")
-    ours = table(spark, folder, "supplier").where(key % 7 != 6).join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        key.alias("ord"), F.col("r_name").alias("section"), F.col("n_name").alias("block"), F.col("s_name").alias("display_name"),
-        F.lit(None).cast("string").alias("basket_name"), F.when(key % 5 != 4, _inn(key)).alias("tax_id"), F.abs(F.col("s_acctbal").cast("decimal(18,3)")).alias("plan_t"),
+    renamed = key % 7 == 6
+    ours = table(spark, folder, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        key.alias("ord"), F.col("r_name").alias("section"), F.col("n_name").alias("block"), F.when(renamed, F.concat(F.lit("Old "), "s_name")).otherwise(F.col("s_name")).alias("display_name"),
+        F.lit(None).cast("string").alias("basket_name"), F.when((key % 5 != 4) & ~renamed, _inn(key)).alias("tax_id"), F.abs(F.col("s_acctbal").cast("decimal(18,3)")).alias("plan_t"),
     )
     who = F.col("c_custkey")
-    others = table(spark, folder, "customer").where(who < 20).join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    others = table(spark, folder, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
         (who + 10_000_000).alias("ord"), F.col("r_name").alias("section"), F.col("n_name").alias("block"), F.col("c_name").alias("display_name"),
         F.lit(None).cast("string").alias("basket_name"), F.concat(F.lit("C"), who.cast("string")).alias("tax_id"), F.abs(F.col("c_acctbal").cast("decimal(18,3)")).alias("plan_t"),
     )
