@@ -14,7 +14,8 @@ def loose_number(text: Column) -> Column:
     """The ledger's notion: blanks go, the first comma is a point, and a numeric prefix counts."""
     plain = F.regexp_replace(blank_to_null(text), r"\s", "")
     pointed = F.regexp_replace(plain, r"^([^,]*),", "$1.")
-    return F.regexp_extract(pointed, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0).try_cast("double")
+    prefix = F.regexp_extract(pointed, r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0)
+    return F.nullif(prefix, F.lit("")).try_cast("double")  # the cast of an empty text would fail at the price of an exception
 
 
 def loose_int(text: Column) -> Column:

@@ -3,8 +3,8 @@
     spark.dataSource.register(WorkbookSource)
     spark.read.format("workbook").option("kind", "basket").load("/data/basket.xlsx")
 
-A workbook's first matching sheet is read. Its XML is cut into ranges of PART_BYTES, a task each, and a row belongs to the range in
-which its tag begins. For flat kinds the header row is the one among the first thirty with most known headers, and columns bind by
+A workbook's first matching sheet is read. Its XML is cut into ranges, a task each: of PART_BYTES, or of fewer where the option `tasks`
+names more tasks than such ranges would give. A row belongs to the range in which its tag begins. For flat kinds the header row is the one among the first thirty with most known headers, and columns bind by
 header text; the ledger's header has two levels, and columns bind by both. All cells
 are text, as written or as the formula's cached result; an error cell is null and named in `bad_cells`. A row with a total's label, and
 without what numbers or dates a row of its kind, is given back as a footer. Parsing of numbers and
@@ -34,8 +34,8 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 HEADER_ROWS = 30
 WIDE_MERGE = 10
 BATCH_ROWS = 5000
-#: Bytes of a sheet's XML that a task parses, and that it inflates at a time.
-PART_BYTES, BLOCK_BYTES = 16 * 2**20, 2**20
+#: Bytes of a sheet's XML that a task parses at most and, where there are tasks to spare, at least; bytes that it inflates at a time.
+PART_BYTES, LEAST_PART_BYTES, BLOCK_BYTES = 16 * 2**20, 4 * 2**20, 2**20
 # Labels of totals rows, headers of the column that numbers rows, and the header over the farmers' names.
 TOTALS = re.compile(r"^\s*(жами|итого|всего|хаммаси|jami|total)\s*:?\s*$", re.I)
 ROW_NUMBER = re.compile(r"^(№|n\s*/\s*p|t\s*/\s*r|#)$", re.I)
@@ -172,30 +172,26 @@ class Workbook:
     def _text(node: ElementTree.Element) -> str:
         return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
 
-    def _cell(self, cell: ElementTree.Element) -> tuple[str | None, bool]:
-        """The text of a cell, and whether it holds an error."""
-        kind = cell.get("t")
-        for part in cell:
-            if part.tag == _VALUE:
-                if kind == "e":
-                    return None, True
-                return (self.strings[int(part.text)] if kind == "s" else part.text), False
-            if part.tag == _INLINE:
-                return (part[0].text if len(part) == 1 else self._text(part)) or None, False
-        return None, False
-
     def _row(self, node: ElementTree.Element) -> Row:
-        cells, bad, digits, columns = {}, [], len(node.get("r", "")), self.columns
+        cells, bad, digits, columns, strings = {}, [], len(node.get("r", "")), self.columns, self.strings
         for n, c in enumerate(node):
             letters = c.get("r", "")[:-digits] if digits else ""
             at = columns.get(letters)
             if at is None:
                 at = columns[letters] = column_index(letters) if letters else n
-            text, error = self._cell(c)
-            if error:
-                bad.append(at)
-            if text is not None:
-                cells[at] = text
+            for part in c:  # a formula may stand before its result
+                tag = part.tag
+                if tag == _VALUE:
+                    kind = c.get("t")
+                    if kind == "e":
+                        bad.append(at)
+                    elif (text := strings[int(part.text)] if kind == "s" else part.text) is not None:
+                        cells[at] = text
+                    break
+                if tag == _INLINE:
+                    if text := part[0].text if len(part) == 1 else self._text(part):
+                        cells[at] = text
+                    break
         return int(node.get("r", 0)), cells, bad
 
     def size(self, sheet: str) -> int:
@@ -246,7 +242,7 @@ class Workbook:
         with self.zip.open(self.sheets[sheet]) as f:
             while block := f.read(BLOCK_BYTES):
                 tail = (tail if seen else tail[-64:]) + block
-                if not seen and (end := re.search(rb"</(?:\w+:)?sheetData>", tail)):
+                if not seen and b"sheetData>" in tail and (end := re.search(rb"</(?:\w+:)?sheetData>", tail)):
                     tail, seen = tail[end.end() :], True
         found = re.findall(r'<(?:\w+:)?mergeCell [^>]*?ref="([A-Z]+)(\d+):([A-Z]+)(\d+)"', tail.decode() if seen else "")
         return [(int(r0), column_index(c0), int(r1), column_index(c1)) for c0, r0, c1, r1 in found]
@@ -376,20 +372,23 @@ def _sheet_of(book: Workbook, path: str, kind: str) -> tuple[str, str]:
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.kind, self.path = options.get("kind", ""), options["path"]
+        self.kind, self.path, self.tasks = options.get("kind", ""), options["path"], int(options.get("tasks", 1))
 
     def partitions(self) -> list[_Part]:
-        parts = []
+        sheets = []
         for path in listed(self.path):
             book = Workbook(path)
             kind, sheet = _sheet_of(book, path, self.kind)
-            parts += [_Part(path, kind, sheet, low, low + PART_BYTES) for low in range(0, book.size(sheet), PART_BYTES)]
-        return parts
+            sheets.append((path, kind, sheet, book.size(sheet)))
+        share = -(-sum(size for *_, size in sheets) // self.tasks)
+        step = min(PART_BYTES, max(LEAST_PART_BYTES, share))
+        return [_Part(path, kind, sheet, low, low + step) for path, kind, sheet, size in sheets for low in range(0, size, step)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         book = Workbook(part.path)
         layout = bind_ledger(book, part.sheet) if part.kind == "ledger" else bind(book, part.sheet, part.kind)
-        at = {f: c for c, f in layout.fields.items()}
+        fields = layout.fields
+        at = {f: c for c, f in fields.items()}
         numbered = at.get(NUMBERED_BY.get(part.kind, ""), layout.number_column)
         labels = {layout.number_column, *sorted(layout.fields)[:3], *[at[f] for f in ("farmer_name", "account_name", "counterparty_account", "tx_id") if f in at]} - (
             {numbered} if part.kind in NUMBERED_BY else set()
@@ -398,13 +397,14 @@ class _Reader(DataSourceReader):
         for number, cells, bad in book.rows(part.sheet, part.low, part.high):
             if number <= layout.header:
                 continue
-            values = {f: cells[c] for c, f in layout.fields.items() if c in cells}
+            values = {fields[c]: text for c, text in cells.items() if c in fields}
             if not values:
                 continue
             # what numbers a row is missing there, or is the label itself
-            plain = not cells.get(numbered, "").strip() or bool(TOTALS.match(cells[numbered]))
+            number_text = cells.get(numbered, "").strip()
+            plain = not number_text or bool(TOTALS.match(number_text))
             total = plain and any(TOTALS.match(cells.get(c, "")) for c in labels)
-            held.append((number, values, [layout.fields[c] for c in bad if c in layout.fields], "footer" if total else "data"))
+            held.append((number, values, [fields[c] for c in bad if c in fields] if bad else [], "footer" if total else "data"))
             if len(held) >= BATCH_ROWS:
                 yield self._batch(part, held, layout)
                 held = []
@@ -445,7 +445,7 @@ def fields_of(kind: str) -> list[str]:
 def read_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """All rows of one kind of workbook, footers among them, with a column for each of its fields."""
     spark.dataSource.register(WorkbookSource)
-    rows = spark.read.format("workbook").option("kind", kind).load(path)
+    rows = spark.read.format("workbook").option("kind", kind).option("tasks", spark.sparkContext.defaultParallelism).load(path)
     fields = [F.try_element_at("values", F.lit(f)).alias(f) for f in fields_of(kind)]
     return rows.select("file", "source_row", *fields, "bad_cells", "unknown_headers", "row_kind", "notes")
 
