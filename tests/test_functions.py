@@ -125,3 +125,9 @@ def test_all_written_forms_of_a_date(spark):
     assert got == [("2026-09-11", False)] * len(forms) + [(None, True)] * 4
     clock = [str(r[0]) for r in spark.createDataFrame([(x,) for x in ("11.09.26, 14:05", "14:05:09 11-09-2026")], "t string").selectExpr("t").transform(lambda x: x.select(dates.datetime(x.t))).collect()]
     assert clock == ["2026-09-11 14:05:00", "2026-09-11 14:05:09"]
+
+
+def test_parts_of_a_time_that_are_not_written_are_zero(spark):
+    texts = ["", None, "11.09.26", "14:05 11/09/2026", "2026-09-11T14:05 and more", "11.09.2026, 24:00", "45000.5", "1.2.999"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", dates.datetime(F.col("t")).cast("string").alias("d")).orderBy("n").collect()
+    assert [r.d for r in rows] == [None, None, "2026-09-11 00:00:00", "2026-09-11 14:05:00", "2026-09-11 14:05:00", None, "2023-03-15 12:00:00", None]

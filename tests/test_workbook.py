@@ -119,6 +119,19 @@ LEDGER = [
 ]
 
 
+def test_tasks_share_a_sheet_and_hold_every_row_once(tmp_path, monkeypatch):
+    """More tasks give smaller ranges, down to the least size; whatever their number, the rows are the same."""
+    write(tmp_path / "x.xlsx", [BASKET[1], *[[f"FARM {i}", "11", "501", i, "1.0", None] for i in range(300)]])
+    monkeypatch.setattr(workbook, "LEAST_PART_BYTES", 2000)
+    found, parts = {}, {}
+    for tasks in (1, 4, 1000):
+        reader = workbook._Reader({"path": str(tmp_path / "x.xlsx"), "kind": "basket", "tasks": str(tasks)})
+        parts[tasks] = reader.partitions()
+        found[tasks] = [n for part in parts[tasks] for batch in reader.read(part) for n in batch.column(2).to_pylist()]
+    assert [len(parts[t]) for t in (1, 4)] == [1, 4] and 4 < len(parts[1000]) < 1000
+    assert found[1] == found[4] == found[1000] == list(range(2, 302))
+
+
 def test_ledger_binds_by_zone_leaf_and_place(spark, tmp_path):
     from tallyfield.sources import typed
 
