@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, quality, secrets, sharding, simhash, token_files, topk, vector_links
+from . import divergence, licenses, mixing, packing, quality, secrets, sharding, simhash, token_files, topk, vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,13 +70,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the words of every source differ from those of the other sources of its language."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 #: The signs that a value can hold, for SQL dialects without back references.
 SIGNS = string.digits + string.ascii_letters + "_=/.-+"
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_packing, op3_mixing, op4_embedding_near_dedup, op5_license_scan, op6_sharding,
-        op7_secret_scan, op8_token_files, op9_exact_top_k, op10_quality_classifier,
+        op7_secret_scan, op8_token_files, op9_exact_top_k, op10_quality_classifier, op13_source_divergence,
     )
 }
 
@@ -185,9 +190,35 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def _op13_sql() -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+occurring AS (SELECT lang, source, r, unnest(regexp_extract_all(t, '{divergence.TERM}')) AS term FROM d),
+kept AS (SELECT lang, term FROM occurring GROUP BY ALL HAVING count(DISTINCT r) >= {divergence.LEAST_DOCUMENTS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM occurring SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+counts AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT lang, source, term, n, 1 + ({divergence.SCALE}::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang, source) + v) AS p FROM counts JOIN v USING (lang)),
+whole AS (SELECT lang, term, 1 + ({divergence.SCALE}::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v) AS q
+    FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.MOST_TERMS}
+"""
+
+
 SQL: dict[str, str] = {
     "op4_embedding_near_dedup": _op4_sql(),
     "op5_license_scan": _op5_sql(),
     "op7_secret_scan": _op7_sql(),
     "op9_exact_top_k": _op9_sql(),
+    "op13_source_divergence": _op13_sql(),
 }
