@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, licenses, mixing, packing, quality, secrets, sharding, simhash, token_files, topk, vector_links
+from . import divergence, licenses, mixing, packing, quality, repeats, secrets, sharding, simhash, token_files, topk, vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, repetition planted in a tenth of them."""
+    return repeats.digests(repeats.periodic_runs(repeats.planted(table(spark, sf_dir, "documents"))))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the words of every source differ from those of the other sources of its language."""
     return divergence.divergence(table(spark, sf_dir, "documents"))
@@ -81,7 +86,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_packing, op3_mixing, op4_embedding_near_dedup, op5_license_scan, op6_sharding,
-        op7_secret_scan, op8_token_files, op9_exact_top_k, op10_quality_classifier, op13_source_divergence,
+        op7_secret_scan, op8_token_files, op9_exact_top_k, op10_quality_classifier, op11_periodic_runs, op13_source_divergence,
     )
 }
 
