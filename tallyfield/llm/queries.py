@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, licenses, mixing, packing, quality, repeats, secrets, sharding, simhash, token_files, topk, vector_links
+from . import divergence, licenses, mixing, neighbours, packing, quality, repeats, secrets, sharding, simhash, token_files, topk, vector_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.periodic_runs(repeats.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors for every twentieth vector."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the words of every source differ from those of the other sources of its language."""
     return divergence.divergence(table(spark, sf_dir, "documents"))
@@ -86,7 +91,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_packing, op3_mixing, op4_embedding_near_dedup, op5_license_scan, op6_sharding,
-        op7_secret_scan, op8_token_files, op9_exact_top_k, op10_quality_classifier, op11_periodic_runs, op13_source_divergence,
+        op7_secret_scan, op8_token_files, op9_exact_top_k, op10_quality_classifier, op11_periodic_runs, op12_nearest_neighbours, op13_source_divergence,
     )
 }
 
@@ -195,6 +200,20 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
 
+def _op12_sql() -> str:
+    sound = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+    return f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND {sound}),
+scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2]), lambda a, b: a + b) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
 def _op13_sql() -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -225,5 +244,6 @@ SQL: dict[str, str] = {
     "op5_license_scan": _op5_sql(),
     "op7_secret_scan": _op7_sql(),
     "op9_exact_top_k": _op9_sql(),
+    "op12_nearest_neighbours": _op12_sql(),
     "op13_source_divergence": _op13_sql(),
 }

@@ -20,10 +20,10 @@ def is_sound(embedding: str = "embedding") -> Column:
     return v.isNotNull() & F.coalesce(F.forall(v, good), F.lit(False))
 
 
-def tiles(vectors: DataFrame, rows: int) -> DataFrame:
+def tiles(vectors: DataFrame, rows: int, components: int | None = None) -> DataFrame:
     """vectors (id long, copies long, v array<float or double>) -> tiles in the order of the rows.
 
-    A tile holds vectors of one length. Its number is unique within the table; write the
+    A tile holds vectors of one length, at most so many of them and, if given, so many components. Its number is unique within the table; write the
     table before numbers are used twice.
     """
 
@@ -46,11 +46,12 @@ def tiles(vectors: DataFrame, rows: int) -> DataFrame:
             dims = np.diff(ends)
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
-                for low in range(0, len(at), rows):
-                    some = at[low : low + rows]
+                most = rows if components is None else max(1, min(rows, components // max(dim, 1)))
+                for low in range(0, len(at), most):
+                    some = at[low : low + most]
                     data = values[ends[some][:, None] + np.arange(dim)]
                     held.setdefault(dim, []).append((ids[some], copies[some], data))
-                    if sum(len(x[0]) for x in held[dim]) >= rows:
+                    if sum(len(x[0]) for x in held[dim]) >= most:
                         yield tile(dim)
         for dim in sorted(held):
             yield tile(dim)
