@@ -46,6 +46,17 @@ def read(spark: SparkSession, root: str, as_of: int | None = None) -> DataFrame
     return spark.read.parquet(f"{root}/v={found[-1][0]}" + (f".{found[-1][1]}" if found[-1][1] else "")) if found else None
 
 
+def write_import(rows: DataFrame, root: str, number: int) -> None:
+    """Rows of one import as a partition of their own; an import that is done again replaces its partition and touches no other."""
+    own = rows.withColumn("import_id", F.lit(number).cast("long"))
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("import_id").parquet(root)
+
+
+def read_import(spark: SparkSession, root: str, number: int) -> DataFrame:
+    """The rows of one import; only its partition is read."""
+    return spark.read.parquet(root).where(F.col("import_id") == F.lit(number).cast("long"))
+
+
 def append_log(entries: DataFrame, root: str) -> None:
     """Add events to a log, each with the time it was written; what stands in it is never changed."""
     entries.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(root)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators import store
+from ..operators import changelog, store
 
 
 def incoming(spark: SparkSession, folder: str, schema: str, files_at_once: int = 100) -> DataFrame:
@@ -33,6 +33,15 @@ def upsert_into(rows: DataFrame, root: str, order: Column, checkpoint: str, minu
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes")
 
 
+def merge_into(rows: DataFrame, root: str, order: Column | str, checkpoint: str, minutes: int = 60, key: str = "natural_key", fingerprint: str = "fingerprint") -> DataStreamWriter:
+    """A writer that merges every batch into a change log: it writes the batch's own rows; a batch that runs again changes nothing."""
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        changelog.merge(batch, root, batch_id + 1, order, key, fingerprint)
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=f"{minutes} minutes")
+
+
 def _empty(batch: DataFrame) -> DataFrame:
     return batch.limit(0).selectExpr("*", "0 as first_batch_id", "0 as last_batch_id")
 
