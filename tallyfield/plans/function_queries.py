@@ -117,7 +117,11 @@ def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(way == 0, F.date_format(day, "dd.MM.yyyy")).when(way == 4, F.date_format(day, "dd-MM-yyyy")).when(way == 5, F.concat(F.date_format(day, "d/M/yyyy"), F.lit(", 14:05")))
         .when(way == 6, F.concat(F.date_format(day, "dd.MM.yyyy"), F.lit("T14:05"))).when(way == 7, F.concat(F.lit("14:05:00 "), F.date_format(day, "dd-MM-yyyy")))
         .when(way == 8, F.when(F.year(day) < 2000, F.date_format(day, "yyyy-MM-dd'T'00:00:00")).otherwise(F.date_format(day, "dd.MM.yy"))).when(way == 1, F.date_format(day, "yyyy-MM-dd")).when(way == 2, F.concat(F.lit("10:20:30 "), F.date_format(day, "d.M.yyyy")))
-        .when(way == 3, serial).otherwise(F.concat(F.lit("31.02."), F.date_format(day, "yyyy")))
+        .when(way == 3, serial).otherwise(
+            # no dates: a day that no month has, an ISO form with one digit, and serial numbers before 1990 and after 2100
+            F.when(F.col("l_linenumber") % 4 == 0, F.concat(F.lit("31.02."), F.date_format(day, "yyyy"))).when(F.col("l_linenumber") % 4 == 1, F.concat(F.date_format(day, "yyyy-MM-"), F.lit("5")))
+            .when(F.col("l_linenumber") % 4 == 2, F.datediff(F.add_months(day, -480), F.lit("1899-12-30").cast("date")).cast("string")).otherwise(F.datediff(F.add_months(day, 1320), F.lit("1899-12-30").cast("date")).cast("string"))
+        )
     )
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), dates.date(written).alias("day"), dates.is_impossible(written).alias("impossible"))
     return rows.groupBy("id", "n", "day", "impossible").agg(F.count("*").alias("rows"))

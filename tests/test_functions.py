@@ -131,3 +131,11 @@ def test_parts_of_a_time_that_are_not_written_are_zero(spark):
     texts = ["", None, "11.09.26", "14:05 11/09/2026", "2026-09-11T14:05 and more", "11.09.2026, 24:00", "45000.5", "1.2.999"]
     rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", dates.datetime(F.col("t")).cast("string").alias("d")).orderBy("n").collect()
     assert [r.d for r in rows] == [None, None, "2026-09-11 00:00:00", "2026-09-11 14:05:00", "2026-09-11 14:05:00", None, "2023-03-15 12:00:00", None]
+
+
+def test_years_and_digits_that_are_no_dates(spark):
+    no = ("25000", "32873", "79000", "73416", "2024-1-5", "2024-01-5", "01.01.1989", "01.01.2101", "1989-12-31")
+    assert [value(spark, dates.date, x) for x in no] == [None] * len(no)
+    assert all(value(spark, dates.is_impossible, x) for x in no)
+    yes = {"32874": (1990, 1, 1), "73415": (2100, 12, 31), "2024-01-05T9:30": (2024, 1, 5), "5.1.24": (2024, 1, 5)}
+    assert {x: value(spark, dates.date, x) for x in yes} == {x: datetime.date(*d) for x, d in yes.items()}
