@@ -6,16 +6,23 @@ edit distance only fills in a candidate for review.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import client_code
-from ..functions.text import party_key, token_key, token_similarity
+from ..functions.text import party_key, token_key
+from ..shared import written
 
 #: How sure each way of matching is.
 CONFIDENCE = {"INN": 1.0, "CONTRACT": 0.95, "ACCOUNT": 0.9, "NAME": 0.8}
-#: Fixed value: about so many unique names stand in a block that a name is compared with at once.
+#: So many names of one length stand in a block, about, where names are compared with all.
 NAME_BLOCK = 1000
+#: Letters in a piece of a name, the edit distances of the rounds, and the share of all names that the lists of a name's pieces may hold together.
+GRAM = 3
+DISTANCES = (1, 3)
+MOST_LISTED = 0.25
 
 
 def farmers(harvest: DataFrame, order: Column) -> DataFrame:
@@ -82,19 +89,100 @@ def cascade(
     return out.drop("_by_inn", "_contract", "_by_contract", "_code", "_own", "_by_account", "name_inn")
 
 
+def _grams(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows (tokens, ...) -> keep, gram, at: the letters of tokens in overlapping pieces, the ends marked."""
+    marked = F.concat(F.lit("\x02" * (GRAM - 1)), F.col("tokens"), F.lit("\x03" * (GRAM - 1)))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("tokens") + GRAM - 1), lambda i: F.substring(F.col("_marked"), i, F.lit(GRAM)))
+    return rows.withColumn("_marked", marked).select(*keep, F.posexplode(pieces).alias("at", "gram"))
+
+
+def _probed(open_: DataFrame, index: DataFrame, sizes: DataFrame, names: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, asked): pairs (tokens, length, their_tokens, their_length) that hold all within the distance for the names asked.
+
+    An edit changes GRAM pieces of a name at most, so of its GRAM * distance + 1 rarest pieces one at least stands in every name within the
+    distance, moved by no more than that. Names with fewer pieces, or whose pieces are so common that the index
+    saves nothing, are not asked.
+    """
+    need = GRAM * distance + 1
+    known = _grams(open_, "tokens", "length").join(sizes, "gram", "left")
+    rare = known.groupBy("tokens", "length").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at"))), 1, need).alias("rare"))
+    listed = F.aggregate("rare", F.lit(0).cast("long"), lambda n, g: n + g["n"])
+    asked = rare.where((F.size("rare") == need) & (listed <= names * MOST_LISTED))
+    probes = asked.select("tokens", "length", F.explode("rare").alias("g")).select("tokens", "length", "g.gram", "g.at")
+    theirs = index.select("gram", F.col("at").alias("_at"), "their_tokens", "their_length")
+    near = probes.join(theirs, "gram").where((F.abs(F.col("at") - F.col("_at")) <= distance) & (F.abs(F.col("length") - F.col("their_length")) <= distance))
+    return near.select("tokens", "length", "their_tokens", "their_length").distinct(), asked.select("tokens")
+
+
+def _similarity(distance: Column) -> Column:
+    return F.round(1 - distance / F.greatest("length", "their_length"), 4)
+
+
+def _in_blocks(open_: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Pairs of the names that are left with every name whose length still allows more than `best`; names of one length stand in blocks of NAME_BLOCK."""
+    counts = theirs.groupBy("their_length").agg(F.ceil(F.count("*") / NAME_BLOCK).cast("int").alias("blocks"))
+    lengths = counts.agg(F.collect_list(F.struct("their_length", "blocks")).alias("lengths"))  # a row for each length of a name
+    blocks = theirs.join(counts, "their_length").withColumn("block", F.pmod(F.xxhash64("their_tokens"), F.col("blocks")).cast("int"))
+    asked = open_.crossJoin(F.broadcast(lengths)).select("tokens", "length", "best", F.explode("lengths").alias("l"))
+    reach = F.round(F.least("length", "l.their_length") / F.greatest("length", "l.their_length"), 4)
+    asked = asked.where(reach >= F.coalesce("best", F.lit(0.0))).select("tokens", "length", "l.their_length", F.explode(F.sequence(F.lit(0), F.col("l.blocks") - 1)).alias("block"))
+    return asked.join(blocks.select("their_length", "block", "their_tokens"), ["their_length", "block"])
+
+
+def _best_names(asked: DataFrame, theirs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tokens, similarity, their_tokens): the best for each of the names asked; and the pairs that were compared."""
+    index = written(_grams(theirs.withColumnRenamed("their_tokens", "tokens"), F.col("tokens").alias("their_tokens"), "their_length"), "index")
+    sizes = written(index.groupBy("gram").agg(F.count("*").alias("n")), "sizes")
+    names = theirs.count()
+    open_ = asked.withColumn("best", F.lit(None).cast("double"))
+    done, compared = [], []
+    for distance in DISTANCES:
+        pairs, sure = _probed(open_, index, sizes, names, distance)
+        pairs = written(pairs.withColumn("d", F.levenshtein("tokens", "their_tokens", distance)), "pairs")
+        compared.append(pairs)
+        done.append(pairs.where("d >= 0").select("tokens", _similarity(F.col("d")).alias("similarity"), "their_tokens"))
+        found = done[-1].groupBy("tokens").agg(F.max("similarity").alias("_found"))
+        # what was not found is farther than the distance, so it is no nearer than this
+        beyond = F.round(F.col("length") / (F.col("length") + distance + 1), 4)
+        left = open_.join(found, "tokens", "left").join(sure.withColumn("_sure", F.lit(True)), "tokens", "left")
+        left = left.withColumn("best", F.greatest("best", "_found"))
+        open_ = written(left.where(~F.coalesce(F.col("_sure") & (F.col("best") > beyond), F.lit(False))).select("tokens", "length", "best"), "open")
+        if open_.isEmpty():
+            break
+    else:
+        pairs = _in_blocks(open_, theirs)
+        compared.append(pairs)
+        done.append(pairs.select("tokens", _similarity(F.levenshtein("tokens", "their_tokens")).alias("similarity"), "their_tokens"))
+    return reduce(DataFrame.unionByName, done), compared
+
+
+def _named(unmatched: DataFrame, name: str, names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keys asked for with their tokens; the tokens asked for; their tokens with the last key that has them."""
+    keys = written(unmatched.select(party_key(F.col(name)).alias("key")).where("key <> ''").distinct().withColumn("tokens", token_key(F.col("key"))), "asked")
+    asked = keys.select("tokens", F.length("tokens").alias("length")).distinct()
+    theirs = names.where("key <> ''").groupBy(token_key(F.col("key")).alias("their_tokens")).agg(F.max(F.struct(F.col("key").alias("candidate_key"), F.col("inn").alias("candidate_inn"))).alias("c"))
+    return keys, asked, written(theirs.withColumn("their_length", F.length("their_tokens")), "names")
+
+
 def candidates(unmatched: DataFrame, name: str, names: DataFrame) -> DataFrame:
-    """(key, candidate_inn, candidate_key, similarity): the most similar unique name for each distinct name, for review.
+    """(key, candidate_inn, candidate_key, similarity): the most similar unique name for each distinct name, for review; of equals the last in order.
 
-    Every distinct name is compared with all unique names, block by block; of a block only the best
-    one is kept, the last in order among equals.
+    The same rows as comparing every name with all, by an index of pieces of GRAM letters: in rounds of growing distance a name looks up its
+    rarest pieces, which every name within the distance must share, and compares itself with what has them. A name is done where nothing
+    farther can be as similar; the few that are never done are compared, in blocks, with all names of lengths that allow more.
     """
-    asked = unmatched.select(party_key(F.col(name)).alias("key")).where("key <> ''").distinct().withColumn("tokens", token_key(F.col("key")))
-    theirs = names.where("key <> ''").select(F.col("key").alias("candidate_key"), token_key(F.col("key")).alias("tokens"), F.col("inn").alias("candidate_inn"))
-    block = F.pmod(F.xxhash64("candidate_key"), F.lit(-(-theirs.count() // NAME_BLOCK) or 1))
-    blocks = theirs.groupBy(block.alias("block")).agg(F.collect_list(F.struct("candidate_key", "tokens", "candidate_inn")).alias("names"))
-    near = lambda n: F.struct(F.round(token_similarity(F.col("tokens"), n["tokens"]), 4).alias("similarity"), n["candidate_key"].alias("candidate_key"), n["candidate_inn"].alias("candidate_inn"))
-    best = asked.crossJoin(blocks).select("key", F.array_max(F.transform("names", near)).alias("b"))
-    return best.groupBy("key").agg(F.max("b").alias("b")).select("key", "b.candidate_inn", "b.candidate_key", "b.similarity")
+    keys, asked, theirs = _named(unmatched, name, names)
+    found, _ = _best_names(asked, theirs)
+    best = found.join(theirs.select("their_tokens", "c"), "their_tokens").groupBy("tokens").agg(F.max(F.struct("similarity", "c.candidate_key", "c.candidate_inn")).alias("b"))
+    return keys.join(best, "tokens").select("key", "b.candidate_inn", "b.candidate_key", "b.similarity")
+
+
+def candidate_work(unmatched: DataFrame, name: str, names: DataFrame) -> DataFrame:
+    """One row: pairs of names that are compared, and all there are."""
+    _, asked, theirs = _named(unmatched, name, names)
+    _, compared = _best_names(asked, theirs)
+    done = reduce(DataFrame.unionByName, [c.select(F.lit(1).alias("n")) for c in compared]).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("compared"))
+    return done.crossJoin(asked.agg(F.count("*").alias("_a"))).crossJoin(theirs.agg(F.count("*").alias("_t"))).select("compared", (F.col("_a") * F.col("_t")).alias("pairs"))
 
 
 def link_directory(known: DataFrame, directory: DataFrame) -> DataFrame:

@@ -35,3 +35,31 @@ def test_best_of_all(spark, monkeypatch):
     near = lambda a, b: round(1 - distance(tokens(a), tokens(b)) / max(len(a), len(b)), 4)
     best = {a: max((near(a, n), n, str(i)) for i, n in enumerate(names)) for a in asked}
     assert found(spark, asked, names) == {a: (n, i, s) for a, (s, n, i) in best.items()}
+
+
+def test_best_of_all_by_the_index(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(4, 9)))
+    names = sorted({" ".join(word() for _ in range(rng.randrange(2, 4))) for _ in range(400)})
+
+    def mistyped(n, times):
+        for _ in range(times):
+            at = rng.randrange(len(n) + 1)
+            n = n[:at] + rng.choice(["", "x", "qz"]) + n[at + rng.randrange(2) :]
+        return " ".join(n.split()) or "x"
+
+    asked = sorted({mistyped(n, rng.choice([0, 1, 1, 2, 3, 6])) for n in names[::2]} | {"b", "zz", "qqqqqqqq"})
+    tokens = lambda n: " ".join(sorted(n.split()))
+    near = lambda a, b: round(1 - distance(tokens(a), tokens(b)) / max(len(tokens(a)), len(tokens(b))), 4)
+    best = {a: max((near(a, n), n, str(i)) for i, n in enumerate(names)) for a in asked}
+    got = found(spark, asked, names)
+    assert got == {a: (n, i, s) for a, (s, n, i) in best.items()}
+
+
+def test_few_pairs_are_compared(spark):
+    rng = random.Random(9)
+    names = sorted({" ".join("".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(7)) for _ in range(3)) for _ in range(600)})
+    left = spark.createDataFrame([(n[:-1] + "z",) for n in names], "name string")
+    right = spark.createDataFrame([(n, str(i)) for i, n in enumerate(names)], "key string, inn string")
+    done = M.candidate_work(left, "name", right).first()
+    assert done["pairs"] == len(names) ** 2 and done["compared"] < 0.05 * done["pairs"]
