@@ -6,6 +6,7 @@ edit distance only fills in a candidate for review.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,26 +68,57 @@ def name_match(rows: DataFrame, name: str, names: DataFrame) -> DataFrame:
     return out.withColumn("name_inn", F.when(F.col("_key") != "", F.coalesce("_exact", "_loose"))).drop("_key", "_tokens", "_exact", "_loose")
 
 
+def name_key(name: Column) -> Column:
+    """The party key of a name; null where nothing is left of it."""
+    return F.nullif(party_key(name), F.lit(""))
+
+
+def words_key(name: Column) -> Column:
+    return token_key(name_key(name))
+
+
+def match_keys(known: DataFrame, contracts: DataFrame, accounts: DataFrame | None, names: DataFrame) -> DataFrame:
+    """(way, key, found): everything that a row can be matched by, in one table; a key stands once for each way."""
+    keys = known.select(F.lit("INN").alias("way"), F.col("inn").alias("key"), F.col("inn").alias("found"))
+    keys = keys.unionByName(contracts.select(F.lit("CONTRACT").alias("way"), F.col("contract").alias("key"), F.col("inn").alias("found")))
+    if accounts is not None:
+        keys = keys.unionByName(accounts.select(F.lit("ACCOUNT").alias("way"), F.col("code").alias("key"), F.col("inn").alias("found")))
+    keys = keys.unionByName(names.select(F.lit("NAME").alias("way"), "key", F.col("inn").alias("found")))
+    loose = names.groupBy(F.col("tokens").alias("key")).agg(F.min_by("inn", "key").alias("found"))
+    return keys.unionByName(loose.select(F.lit("WORDS").alias("way"), "key", "found"))
+
+
+def first_hits(rows: DataFrame, keys: DataFrame, probes: list[tuple[str, str, Callable[[Column], Column] | None]]) -> DataFrame:
+    """rows with way and found: the first of the probes (way, column, form of it) that the keys know, null where none is.
+
+    What rows carry is brought down to the different combinations first; their keys are looked up in one join, whatever the number of ways, and
+    rows are joined to the result once.
+    """
+    columns = list(dict.fromkeys(c for _, c, _ in probes))
+    asked = rows.select(*columns).distinct()
+    entries = [F.struct(F.lit(i).alias("rank"), F.lit(way).alias("way"), (form(F.col(c)) if form else F.col(c)).alias("key")) for i, (way, c, form) in enumerate(probes)]
+    each = asked.select(*columns, F.explode(F.array(*entries)).alias("p")).select(*columns, "p.*").where("key is not null")
+    hits = each.join(keys, ["way", "key"]).groupBy(*columns).agg(F.min(F.struct("rank", "way", "found")).alias("_hit"))
+    hits = hits.select(*[F.col(c).alias(f"_{c}") for c in columns], "_hit.way", "_hit.found")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns])
+    return rows.join(hits, same, "left").drop(*[f"_{c}" for c in columns])
+
+
+def match(rows: DataFrame, keys: DataFrame, inn: str | None, contract: str | None, account: str | None, name: str) -> DataFrame:
+    """rows with match_inn, match_method and confidence: by tax id, contract, account code, then name; the first hit counts."""
+    ways = [("INN", inn, None), ("CONTRACT", contract, None), ("ACCOUNT", account, client_code), ("NAME", name, name_key), ("WORDS", name, words_key)]
+    out = first_hits(rows, keys, [w for w in ways if w[1]])
+    method = F.coalesce(F.when(F.col("way") == "WORDS", "NAME").otherwise(F.col("way")), F.lit("NONE"))
+    sure = reduce(lambda rest, way: F.when(F.col("match_method") == way, CONFIDENCE[way]).otherwise(rest), CONFIDENCE, F.lit(0.0))
+    return out.withColumnRenamed("found", "match_inn").withColumn("match_method", method).drop("way").withColumn("confidence", sure)
+
+
 def cascade(
     rows: DataFrame, known: DataFrame, contracts: DataFrame, accounts: DataFrame | None, names: DataFrame,
     inn: str, contract: str, account: str | None, name: str,
 ) -> DataFrame:
-    """rows with match_inn, match_method and confidence: by tax id, contract, account code, then name; the first hit counts."""
-    out = rows.join(known.select(F.col("inn").alias("_by_inn")), F.col(inn) == F.col("_by_inn"), "left")
-    out = out.join(contracts.select(F.col("contract").alias("_contract"), F.col("inn").alias("_by_contract")), F.col(contract) == F.col("_contract"), "left")
-    if accounts is not None and account is not None:
-        out = out.withColumn("_code", client_code(F.col(account)))
-        out = out.join(accounts.select(F.col("code").alias("_own"), F.col("inn").alias("_by_account")), F.col("_code") == F.col("_own"), "left")
-    else:
-        out = out.withColumns({"_code": F.lit(None), "_own": F.lit(None), "_by_account": F.lit(None).cast("string")})
-    out = name_match(out, name, names)
-    ways = [("INN", "_by_inn"), ("CONTRACT", "_by_contract"), ("ACCOUNT", "_by_account"), ("NAME", "name_inn")]
-    method, sure = F.lit("NONE"), F.lit(0.0)
-    for way, column in reversed(ways):
-        method = F.when(F.col(column).isNotNull(), way).otherwise(method)
-        sure = F.when(F.col(column).isNotNull(), CONFIDENCE[way]).otherwise(sure)
-    out = out.withColumns({"match_inn": F.coalesce(*[c for _, c in ways]), "match_method": method, "confidence": sure})
-    return out.drop("_by_inn", "_contract", "_by_contract", "_code", "_own", "_by_account", "name_inn")
+    """match() against keys that are made for these rows alone."""
+    return match(rows, match_keys(known, contracts, accounts, names), inn, contract, account if accounts is not None else None, name)
 
 
 def _grams(rows: DataFrame, *keep: str) -> DataFrame:

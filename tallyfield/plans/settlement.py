@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,26 +90,66 @@ def day_cells(counted: DataFrame) -> DataFrame:
     )
 
 
+def harvest_totals(state: DataFrame, report_date: datetime.date) -> DataFrame:
+    """One pass over row_state(): a row for each farmer and name, each farmer and contract, and each contract, told apart by `part`.
+
+    lead: number, quantity and type of the first row; owner: number and tax id of the first row that has one; then what countable rows
+    add up to. GROUPING SETS send a row once for each of the three, added up before the shuffle; everything that the report
+    asks of the harvest, but days, follows from these rows.
+    """
+    hand, today = F.col("method") == "HAND", F.col("acceptance_date") == F.lit(report_date)
+    counts, kg, money = F.col("countable"), F.col("conditioned_kg").cast(KG), F.coalesce("amount", F.lit(0)).cast(MINOR)
+    add = lambda test, value, name, kind: F.coalesce(F.sum(F.when(counts & test, value)), F.lit(0)).cast(kind).alias(name)
+    sets = [[F.col("inn"), F.col("farmer_name")], [F.col("inn"), F.col("contract_number")], [F.col("contract_number")]]
+    rows = state.groupingSets(sets, F.col("inn"), F.col("farmer_name"), F.col("contract_number")).agg(
+        F.grouping_id().alias("_set"), F.min(F.struct("source_row", "contract_qty_t", "contract_type")).alias("lead"),
+        F.min(F.when(F.col("inn").isNotNull(), F.struct("source_row", "inn"))).alias("owner"), F.count(F.when(counts, 1)).alias("counted"),
+        add(hand, kg, "hand_kg", KG), add(~hand, kg, "machine_kg", KG), add(F.lit(True), money, "sum_100", MINOR),
+        add(hand & today, kg, "today_hand_kg", KG), add(~hand & today, kg, "today_machine_kg", KG),
+    )
+    # the bits of a set say which of inn, farmer_name, contract_number it leaves out
+    part = F.when(F.col("_set") == 0b001, "farmer").when(F.col("_set") == 0b010, "pair").otherwise("contract")
+    known = F.when(F.col("_set") == 0b110, F.col("contract_number").isNotNull()).otherwise(F.col("inn").isNotNull() & ((F.col("_set") == 0b001) | F.col("contract_number").isNotNull()))
+    return rows.where(known).withColumn("part", part).drop("_set")
+
+
+def _totals(harvest: DataFrame, report_date: datetime.date | None = None) -> DataFrame:
+    """harvest_totals() of a harvest, with its state or without, or what is given where it is that already."""
+    if "part" in harvest.columns:
+        return harvest
+    return harvest_totals(harvest if "countable" in harvest.columns else row_state(harvest), report_date or datetime.date.max)
+
+
+def farmer_names(totals: DataFrame) -> DataFrame:
+    """(inn, farmer_name, source_row): every name of every farmer with the first row that has it."""
+    return totals.where("part = 'farmer'").select("inn", "farmer_name", F.col("lead.source_row").alias("source_row"))
+
+
 @dataclass
 class Index:
-    """What rows of other sources are matched against."""
+    """What rows of other sources are matched against; keys: all of it in one table."""
 
     farmers: DataFrame
     contracts: DataFrame
     accounts: DataFrame
     names: DataFrame
+    keys: DataFrame
 
 
 def index_of(harvest: DataFrame, payments: DataFrame) -> Index:
-    order = F.col("source_row")
-    known = M.farmers(harvest, order)
-    return Index(known, M.contract_bridge(harvest, order), M.account_bridge(payments, known, order), M.unique_names(harvest))
+    """harvest: as such, or its harvest_totals()."""
+    totals, order = _totals(harvest), F.col("source_row")
+    written_names = farmer_names(totals)
+    known, names = M.farmers(written_names, order), M.unique_names(written_names)
+    contracts = totals.where("part = 'contract' and owner is not null").select(F.col("contract_number").alias("contract"), F.col("owner.inn").alias("inn"))
+    accounts = M.account_bridge(payments, known, order)
+    return Index(known, contracts, accounts, names, M.match_keys(known, contracts, accounts, names))
 
 
 def matched_payments(payments: DataFrame, index: Index) -> DataFrame:
     """Legs of others than the owner, with their net and the farmer that they match."""
     legs = payments.where(~F.coalesce("is_company_side", F.lit(False))).withColumn("net", (F.col("debit") - F.col("credit")).cast(MINOR))
-    return M.cascade(legs, index.farmers, index.contracts, index.accounts, index.names, "counterparty_inn", "deal_number", "counterparty_account", "counterparty_name")
+    return M.match(legs, index.keys, "counterparty_inn", "deal_number", "counterparty_account", "counterparty_name")
 
 
 def owner_legs(payments: DataFrame) -> DataFrame:
@@ -123,10 +164,13 @@ def paid_by(matched: DataFrame, key: str, report_date: datetime.date) -> DataFra
     )
 
 
-def deals(shipments: DataFrame, index: Index, harvest: DataFrame, counted: DataFrame, matched: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """A row for each deal: what its first shipment says, and what its counted shipments add up to."""
+def deals(shipments: DataFrame, index: Index, harvest: DataFrame, counted: DataFrame | None, matched: DataFrame, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """A row for each deal: what its first shipment says, and what its counted shipments add up to.
+
+    harvest: as such, or its harvest_totals(); what counts is in either, so counted is not looked at.
+    """
     rows = shipments.withColumn("deal", F.coalesce("deal_number", F.lit("—")))
-    rows = M.cascade(rows, index.farmers, index.contracts, None, index.names, "seller_inn", "deal_number", None, "seller_name")
+    rows = M.match(rows, index.keys, "seller_inn", "deal_number", None, "seller_name")
     counts = F.col("status").isin(*cfg.counted_statuses)
     first = F.min_by(F.struct("match_inn", "match_method", "confidence", "seller_name", "deal_kg", "deal_amount"), "source_row")
     listed = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ", ")
@@ -134,14 +178,13 @@ def deals(shipments: DataFrame, index: Index, harvest: DataFrame, counted: DataF
         first.alias("f"), listed("contract_number").alias("clearing_contracts"), listed("status").alias("statuses"), F.count("*").alias("documents"),
         F.coalesce(F.sum(F.when(counts, F.col("shipment_kg"))), F.lit(0)).cast(KG).alias("shipped_kg"),
         F.coalesce(F.sum(F.when(counts, F.col("delivery_cost"))), F.lit(0)).cast(MINOR).alias("shipped_value"),
-        F.max("document_date").alias("last_document_date"), (F.count_distinct("deal_kg") > 1).alias("deal_kg_differs"),
+        F.max("document_date").alias("last_document_date"), F.coalesce(F.min("deal_kg") < F.max("deal_kg"), F.lit(False)).alias("deal_kg_differs"),
     ).select("deal", "f.*", "clearing_contracts", "statuses", "documents", "shipped_kg", "shipped_value", "last_document_date", "deal_kg_differs")
-    qty = harvest.where("contract_number is not null").groupBy(F.col("contract_number").alias("deal")).agg(
-        (F.min_by(F.struct("contract_qty_t"), "source_row")["contract_qty_t"] * 1000).cast(KG).alias("contract_kg")
+    known = _totals(harvest).where("part = 'contract'").select(
+        F.col("contract_number").alias("deal"), (F.col("lead.contract_qty_t") * 1000).cast(KG).alias("contract_kg"), (F.col("hand_kg") + F.col("machine_kg")).cast(KG).alias("accepted_kg")
     )
-    accepted = counted.where("contract_number is not null").groupBy(F.col("contract_number").alias("deal")).agg(F.sum("conditioned_kg").cast(KG).alias("accepted_kg"))
     paid = matched.where("deal_number is not null").groupBy(F.col("deal_number").alias("deal")).agg(F.sum("net").cast(MINOR).alias("paid_net"))
-    out = out.join(qty, "deal", "left").join(accepted, "deal", "left").join(paid, "deal", "left")
+    out = out.join(known, "deal", "left").join(paid, "deal", "left")
     return out.withColumns({"accepted_kg": F.coalesce("accepted_kg", F.lit(0)).cast(KG), "paid_net": F.coalesce("paid_net", F.lit(0)).cast(MINOR)})
 
 
@@ -167,48 +210,57 @@ def shipment_farmers(deal_rows: DataFrame) -> DataFrame:
 def account_owners(accounts: DataFrame, payments: DataFrame, index: Index) -> DataFrame:
     """accounts with owner_inn and owner_kind: a holder that is a farmer, else the owner by id or code, else a farmer by code or name."""
     codes = M.owner_bridge(payments, F.col("source_row"))
-    known = index.farmers.select(F.col("inn").alias("_farmer"))
-    rows = accounts.join(known, F.col("holder_inn") == F.col("_farmer"), "left")
-    rows = rows.join(codes.select(F.col("owner").alias("_owner")).distinct(), F.col("holder_inn") == F.col("_owner"), "left")
-    rows = rows.withColumn("_account_code", M.client_code(F.col("account")))
-    rows = rows.join(codes.select(F.col("code").alias("_account_code"), F.col("owner").alias("_by_code")), "_account_code", "left")
-    rows = rows.withColumns({"_no_inn": F.lit(None).cast("string"), "_no_contract": F.lit(None).cast("string")})
-    rows = M.cascade(rows, index.farmers, index.contracts, index.accounts, index.names, "_no_inn", "_no_contract", "account", "holder_name")
-    owner = F.coalesce("_owner", "_by_code")
-    kind = F.when(F.col("_farmer").isNotNull(), "FARMER").when(owner.isNotNull(), "OWNER").when(F.col("match_inn").isNotNull(), "FARMER").otherwise("UNKNOWN")
-    found = F.coalesce("_farmer", owner, "match_inn")
-    return rows.withColumns({"owner_inn": found, "owner_kind": kind}).drop("_farmer", "_owner", "_by_code", "_account_code", "_no_inn", "_no_contract", "match_inn", "match_method", "confidence")
+    keys = index.keys.unionByName(codes.select(F.lit("OWNER_CODE").alias("way"), F.col("code").alias("key"), F.col("owner").alias("found")))
+    keys = keys.unionByName(codes.select(F.lit("OWNER").alias("way"), F.col("owner").alias("key"), F.col("owner").alias("found")).distinct())
+    ways = [
+        ("INN", "holder_inn", None), ("OWNER", "holder_inn", None), ("OWNER_CODE", "account", M.client_code),
+        ("ACCOUNT", "account", M.client_code), ("NAME", "holder_name", M.name_key), ("WORDS", "holder_name", M.words_key),
+    ]
+    rows = M.first_hits(accounts, keys, ways)
+    kind = F.when(F.col("way").isin("OWNER", "OWNER_CODE"), "OWNER").when(F.col("way").isNotNull(), "FARMER").otherwise("UNKNOWN")
+    return rows.withColumn("owner_kind", kind).withColumnRenamed("found", "owner_inn").drop("way")
 
 
 def account_totals(owned: DataFrame) -> DataFrame:
     return owned.where("owner_kind = 'OWNER'").groupBy("category").agg(F.sum("balance").cast(MINOR).alias("balance"))
 
 
+def farmer_links(harvest: DataFrame, directory: DataFrame) -> DataFrame:
+    """Farmers and directory entries linked; harvest: as such, or its harvest_totals()."""
+    known = farmer_names(_totals(harvest)).groupBy("inn").agg(F.min_by("farmer_name", "source_row").alias("name"), F.min("source_row").alias("ord"))
+    return M.link_directory(known, directory)
+
+
+def farmer_figures(totals: DataFrame, matched: DataFrame, deal_rows: DataFrame, report_date: datetime.date, cfg: EngineConfig = DEFAULT) -> DataFrame:
+    """What harvest, contracts, payments and deals add up to for each tax id: four sources, one grouping."""
+    today = F.col("op_date") == F.lit(report_date)
+    planned = plan_type(F.col("lead.contract_type"), cfg)
+    parts = [
+        totals.where("part = 'farmer'").select("inn", "hand_kg", "machine_kg", "sum_100", "today_hand_kg", "today_machine_kg"),
+        totals.where("part = 'pair'").select("inn", F.when(planned, F.col("lead.contract_qty_t")).cast(KG).alias("contract_plan_t"), F.lit(1).alias("contracts")),
+        matched.where("match_inn is not null").select(F.col("match_inn").alias("inn"), F.col("net").alias("paid_total"), F.when(today, F.col("net")).alias("paid_today")),
+        deal_rows.where("match_inn is not null").select(F.col("match_inn").alias("inn"), "shipped_kg", "shipped_value", F.lit(1).alias("deals")),
+    ]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    money = ("sum_100", "paid_total", "paid_today", "shipped_value")
+    kind = lambda c: "long" if c in ("contracts", "deals") else MINOR if c in money else KG
+    return rows.groupBy("inn").agg(*[F.sum(c).cast(kind(c)).alias(c) for c in rows.columns if c != "inn"])
+
+
 def farmer_lines(
-    harvest: DataFrame, counted: DataFrame, directory: DataFrame, matched: DataFrame, deal_rows: DataFrame, report_date: datetime.date, cfg: EngineConfig = DEFAULT
-) -> DataFrame:
+    harvest: DataFrame, counted: DataFrame | None, directory: DataFrame, matched: DataFrame, deal_rows: DataFrame, report_date: datetime.date, cfg: EngineConfig = DEFAULT,
+    links: DataFrame | None = None,
+) -> DataFrame:
     """A line for every farmer and every directory entry without one: plan, weights, money, payments, shipments.
 
-    The picking share is rounded for each farmer, and subtotals add the rounded values.
+    harvest: as such, or its harvest_totals() for the report's day; links: farmer_links(), where they are there. The picking share is rounded
+    for each farmer, and subtotals add the rounded values.
     """
-    known = harvest.where("inn is not null").groupBy("inn").agg(F.min_by("farmer_name", "source_row").alias("name"), F.min("source_row").alias("ord"))
-    links = M.link_directory(known, directory)
-    cells = day_cells(counted)
-    today = F.col("acceptance_date") == F.lit(report_date)
-    total = cells.groupBy("inn").agg(
-        *[F.sum(c).alias(c) for c in ("hand_kg", "machine_kg")], F.sum(F.col("hand_sum") + F.col("machine_sum")).cast(MINOR).alias("sum_100"),
-        *[F.coalesce(F.sum(F.when(today, F.col(c))), F.lit(0)).alias(f"today_{c}") for c in ("hand_kg", "machine_kg")],
-    )
-    per = harvest.where("inn is not null and contract_number is not null").groupBy("inn", "contract_number").agg(F.min_by(F.struct("contract_qty_t", "contract_type"), "source_row").alias("c"))
-    plan = per.groupBy("inn").agg(F.coalesce(F.sum(F.when(plan_type(F.col("c.contract_type"), cfg), F.col("c.contract_qty_t"))), F.lit(0)).cast(KG).alias("contract_plan_t"), F.count("*").alias("contracts"))
-    paid = paid_by(matched, "match_inn", report_date).withColumnRenamed("key", "inn")
-    shipped = deal_rows.where("match_inn is not null").groupBy(F.col("match_inn").alias("inn")).agg(
-        F.sum("shipped_kg").cast(KG).alias("shipped_kg"), F.sum("shipped_value").cast(MINOR).alias("shipped_value"), F.count("*").alias("deals")
-    )
+    totals = _totals(harvest, report_date)
+    links = farmer_links(totals, directory) if links is None else links
     entries = directory.select(F.col("ord").alias("entry_ord"), "section", "block", "display_name", F.col("tax_id").alias("entry_inn"), F.col("plan_t").alias("entry_plan_t"))
     rows = links.join(entries, "entry_ord", "left").withColumn("inn", F.coalesce("inn", "entry_inn"))
-    for part in (total, plan, paid, shipped):
-        rows = rows.join(part, "inn", "left")
+    rows = rows.join(farmer_figures(totals, matched, deal_rows, report_date, cfg), "inn", "left")
     zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
     in_basket = F.col("name").isNotNull()
     plan_t = F.when(in_basket, F.coalesce("contract_plan_t", F.lit(0))).otherwise(F.coalesce("entry_plan_t", F.lit(0))).cast(KG)
@@ -227,15 +279,27 @@ def farmer_lines(
 SUMS = ("plan_t", "hand_kg", "machine_kg", "today_hand_kg", "today_machine_kg", "sum_100", "sum_20", "paid_total", "paid_today", "picking_balance", "shipped_kg", "shipped_value")
 
 
+def levels(lines: DataFrame) -> DataFrame:
+    """Blocks within sections, sections, blocks, all: one grouping of the lines that subtotals, regions and figures are read from.
+
+    level: 0 a section's block, 1 a section, 2 a block, 3 all.
+    """
+    today = F.col("today_hand_kg") + F.col("today_machine_kg")
+    sets = [[F.col("section"), F.col("block")], [F.col("section")], [F.col("block")], []]
+    return lines.groupingSets(sets, F.col("section"), F.col("block")).agg(
+        F.grouping_id().alias("level"), F.count("*").alias("farmers"), F.min("block").alias("least"), F.max("block").alias("most"), F.min("section").alias("first_section"),
+        *[F.sum(c).alias(c) for c in SUMS], F.sum("total_kg").alias("total_kg"), F.sum(today).alias("today_kg"),
+        F.count(F.when(F.col("total_kg") > 0, 1)).alias("with_harvest"), F.count(F.when(today > 0, 1)).alias("with_harvest_today"),
+    )
+
+
 def subtotals(lines: DataFrame) -> DataFrame:
     """(level, section, block, farmers, sums): blocks, sections, all. A section whose one block bears its name has no block line."""
-    rows = lines.rollup("section", "block").agg(
-        F.grouping_id().alias("g"), F.count("*").alias("farmers"), F.min("block").alias("least"), F.max("block").alias("most"), *[F.sum(c).alias(c) for c in SUMS]
-    )
-    level = F.when(F.col("g") == 0, "block").when(F.col("g") == 1, "section").otherwise("grand")
-    own = (F.col("g") == 1) & (F.col("least") == F.col("section")) & (F.col("most") == F.col("section"))
+    rows = levels(lines).where("level <> 2")
+    level = F.when(F.col("level") == 0, "block").when(F.col("level") == 1, "section").otherwise("grand")
+    own = (F.col("level") == 1) & (F.col("least") == F.col("section")) & (F.col("most") == F.col("section"))
     named = rows.withColumn("single", F.max(own).over(Window.partitionBy("section")))  # a row for each block of a section
-    return named.where(~((F.col("g") == 0) & F.col("single"))).select(level.alias("level"), "section", "block", "farmers", *SUMS)
+    return named.where(~((F.col("level") == 0) & F.col("single"))).select(level.alias("level"), "section", "block", "farmers", *SUMS)
 
 
 def layout(lines: DataFrame) -> DataFrame:
@@ -246,22 +310,19 @@ def layout(lines: DataFrame) -> DataFrame:
 
 
 def region_totals(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("block").agg(
-        F.min("section").alias("section"), F.sum("total_kg").alias("total_kg"), F.sum(F.col("today_hand_kg") + F.col("today_machine_kg")).alias("today_kg"),
-        F.count(F.when(F.col("total_kg") > 0, 1)).alias("farmers"),
-    )
+    return levels(lines).where("level = 2").select("block", F.col("first_section").alias("section"), "total_kg", "today_kg", F.col("with_harvest").alias("farmers"))
 
 
 def kpis(lines: DataFrame, counted: DataFrame, deal_rows: DataFrame, totals: DataFrame) -> DataFrame:
-    """One row of sixteen figures."""
-    s = lambda c, kind=KG: F.coalesce(F.sum(c), F.lit(0)).cast(kind)
-    today = F.col("today_hand_kg") + F.col("today_machine_kg")
-    own = lines.agg(
-        s("today_hand_kg").alias("today_hand_kg"), s("today_machine_kg").alias("today_machine_kg"), s(today).alias("today_total_kg"),
-        s("hand_kg").alias("season_hand_kg"), s("machine_kg").alias("season_machine_kg"), s("total_kg").alias("season_total_kg"),
-        F.count(F.when(F.col("total_kg") > 0, 1)).alias("farmers_with_harvest"), F.count(F.when(today > 0, 1)).alias("farmers_today"),
-        s("paid_today", MINOR).alias("paid_today"), s("paid_total", MINOR).alias("paid_total"), s("picking_balance", MINOR).alias("picking_balance"),
+    """One row of sixteen figures. counted: rows with contract_number, as many for a contract as there are."""
+    whole = lambda c, name, kind=KG: F.coalesce(c, F.lit(0)).cast(kind).alias(name)
+    own = levels(lines).where("level = 3").select(
+        whole("today_hand_kg", "today_hand_kg"), whole("today_machine_kg", "today_machine_kg"), whole("today_kg", "today_total_kg"),
+        whole("hand_kg", "season_hand_kg"), whole("machine_kg", "season_machine_kg"), whole("total_kg", "season_total_kg"),
+        F.col("with_harvest").alias("farmers_with_harvest"), F.col("with_harvest_today").alias("farmers_today"),
+        whole("paid_today", "paid_today", MINOR), whole("paid_total", "paid_total", MINOR), whole("picking_balance", "picking_balance", MINOR),
     )
+    s = lambda c, kind=KG: F.coalesce(F.sum(c), F.lit(0)).cast(kind)
     contracts = counted.agg(F.count_distinct("contract_number").alias("contracts"))
     shipped = deal_rows.agg(s("shipped_kg").alias("shipped_kg"), s("shipped_value", MINOR).alias("shipped_value"), F.count("*").alias("shipment_deals"))
     free = totals.agg(F.coalesce(F.sum(F.when(F.col("category") == "FREE", F.col("balance"))), F.lit(0)).cast(MINOR).alias("rkp_free_balance"))

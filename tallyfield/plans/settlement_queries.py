@@ -107,15 +107,21 @@ class _Report:
 
     @cached_property
     def payments(self) -> DataFrame:
-        return T.payments(self.spark, self.dir)
+        return written(T.payments(self.spark, self.dir), "payments")
 
     @cached_property
     def counted(self) -> DataFrame:
         return self.harvest.where("countable")
 
+    @cached_property
+    def totals(self) -> DataFrame:
+        """Everything that lines, deals and matching ask of the harvest, from one pass."""
+        return written(S.harvest_totals(S.row_state(T.harvest(self.spark, self.dir)), LINE_DAY), "totals", by="part")
+
     @cached_property
     def index(self) -> S.Index:
-        return S.index_of(self.harvest, self.payments)
+        found = S.index_of(self.totals, self.payments)
+        return replace(found, keys=written(found.keys, "keys"))
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -123,15 +129,20 @@ class _Report:
 
     @cached_property
     def deals(self) -> DataFrame:
-        return written(S.deals(T.shipments(self.spark, self.dir), self.index, self.harvest, self.counted, self.matched), "deals")
+        return written(S.deals(T.shipments(self.spark, self.dir), self.index, self.totals, None, self.matched), "deals")
 
     @cached_property
     def directory(self) -> DataFrame:
-        return T.directory(self.spark, self.dir)
+        return written(T.directory(self.spark, self.dir), "directory")
 
     @cached_property
     def lines(self) -> DataFrame:
-        return S.farmer_lines(self.harvest, self.counted, self.directory, self.matched, self.deals, LINE_DAY, CFG)
+        links = written(S.farmer_links(self.totals, self.directory), "links")
+        return written(S.farmer_lines(self.totals, None, self.directory, self.matched, self.deals, LINE_DAY, CFG, links), "lines")
+
+    @cached_property
+    def counted_contracts(self) -> DataFrame:
+        return self.totals.where("part = 'contract' and counted > 0").select("contract_number")
 
 
 @query(f"""WITH {SOURCES} SELECT op_date, count(*) AS legs, {d('sum(debit - credit)', 'net')} FROM payments WHERE NOT is_company_side GROUP BY 1""")
@@ -298,7 +309,7 @@ def region_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     (SELECT count(*) FROM deal_rows) AS shipment_deals, (SELECT round(CAST(coalesce(sum(balance), 0) AS DOUBLE), 4) FROM owned WHERE owner_kind = 'OWNER' AND category = 'FREE') AS rkp_free_balance FROM full_lines""")
 def kpi_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = _Report(spark, sf_dir)
-    return S.kpis(report.lines, report.counted, report.deals, S.account_totals(_owned(spark, sf_dir, report)))
+    return S.kpis(report.lines, report.counted_contracts, report.deals, S.account_totals(_owned(spark, sf_dir, report)))
 
 
 @query(f"WITH {SOURCES} SELECT inn, name, CAST(coalesce(entry_ord, -1) AS BIGINT) AS entry_ord, link FROM links")

@@ -33,15 +33,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     This cuts the lineage: a lost executor costs no more than the tasks it ran,
-    and later readers get only the columns they ask for.
+    and later readers get only the columns they ask for. by: a column of few values that readers
+    filter on; each value has files of its own, so the size of a part is known when joins are planned.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     return out
