@@ -11,12 +11,14 @@ rule has used does not count for a later one.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, text_of
+from .common import batches_of, lower_ascii, text_of
 
 #: Known licence sentences, normalised, by id.
 SENTENCES = {
@@ -94,8 +96,38 @@ RULES = [
     ("CC-BY-SA-4.0", ("cc-by-sa-4",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4",)),
 ]
+#: SPDX identifiers of common licences and the names, normalised, that notices give them.
+NAMES = {
+    "MIT": ("mit license",), "Apache-2.0": ("apache license version 2 0", "apache license 2 0", "apache 2 0 license"), "BSD-2-Clause": ("bsd 2 clause license", "simplified bsd license"),
+    "BSD-3-Clause": ("bsd 3 clause license", "new bsd license", "modified bsd license"), "ISC": ("isc license",), "Zlib": ("zlib license",), "0BSD": ("zero clause bsd license",),
+    "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2 0", "gnu gpl version 2 license"), "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license v3 0", "gnu gpl version 3 license"),
+    "GPL-2.0-or-later": ("gnu general public license version 2 or later", "gnu general public license v2 0 or later"), "GPL-3.0-or-later": ("gnu general public license version 3 or later", "gnu general public license v3 0 or later"),
+    "LGPL-2.1-only": ("gnu lesser general public license version 2 1",), "LGPL-3.0-only": ("gnu lesser general public license version 3",),
+    "LGPL-2.1-or-later": ("gnu lesser general public license version 2 1 or later",), "LGPL-3.0-or-later": ("gnu lesser general public license version 3 or later",),
+    "AGPL-3.0-only": ("gnu affero general public license version 3",), "AGPL-3.0-or-later": ("gnu affero general public license version 3 or later",),
+    "MPL-1.1": ("mozilla public license version 1 1",), "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0"), "EPL-1.0": ("eclipse public license version 1 0", "eclipse public license 1 0"),
+    "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license 2 0"), "CDDL-1.0": ("common development and distribution license version 1 0",), "CPL-1.0": ("common public license version 1 0",),
+    "EUPL-1.2": ("european union public license version 1 2", "european union public licence version 1 2"), "BSL-1.0": ("boost software license version 1 0", "boost software license 1 0"),
+    "Artistic-2.0": ("artistic license 2 0", "artistic license version 2 0"), "PostgreSQL": ("postgresql license",), "Python-2.0": ("python software foundation license version 2",), "PHP-3.01": ("php license version 3 01",),
+    "Unlicense": ("unlicense",), "WTFPL": ("do what the fuck you want to public license",), "CC0-1.0": ("cc0 1 0 universal license", "creative commons zero v1 0 universal license"),
+    "CC-BY-3.0": ("creative commons attribution 3 0 unported license",), "CC-BY-4.0": ("creative commons attribution 4 0 international license",), "CC-BY-SA-3.0": ("creative commons attribution sharealike 3 0 unported license",),
+    "CC-BY-SA-4.0": ("creative commons attribution sharealike 4 0 international license",), "CC-BY-NC-4.0": ("creative commons attribution noncommercial 4 0 international license",),
+    "CC-BY-ND-4.0": ("creative commons attribution noderivatives 4 0 international license",), "CC-BY-NC-SA-4.0": ("creative commons attribution noncommercial sharealike 4 0 international license",),
+    "CC-BY-NC-ND-4.0": ("creative commons attribution noncommercial noderivatives 4 0 international license",), "OFL-1.1": ("sil open font license version 1 1",), "MS-PL": ("microsoft public license",),
+    "MS-RL": ("microsoft reciprocal license",), "NCSA": ("university of illinois ncsa open source license",), "OSL-3.0": ("open software license version 3 0",), "AFL-3.0": ("academic free license version 3 0",),
+    "UPL-1.0": ("universal permissive license version 1 0",), "ECL-2.0": ("educational community license version 2 0",), "BlueOak-1.0.0": ("blue oak model license 1 0 0",), "MulanPSL-2.0": ("mulan permissive software license version 2",),
+}
+#: What stands before such a name in a notice.
+OPENINGS = (
+    "licensed under the", "released under the", "distributed under the", "this work is licensed under the", "this work is licensed under a", "this work is licensed under", "this project is licensed under the",
+    "this software is licensed under the", "this program is licensed under the", "this file is licensed under the", "this library is licensed under the", "this code is licensed under the",
+)
+for _id, _names in NAMES.items():
+    _said = [f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', _id.lower())}", *(f"{_o} {_n}" for _o in OPENINGS for _n in _names)]
+    WORDINGS |= {_s: (f"named-{_id}",) for _s in _said if _s not in WORDINGS and _s not in SENTENCES.values()}
+    RULES.append((_id, (f"named-{_id}",)))
 #: Every known sentence has one of these words, so a text without them needs no cutting.
-MARK = "(?i)licens|permi|software|distribut|warrant|copyright"
+MARK = "(?i)licen[cs]|permi|software|distribut|warrant|copyright"
 #: A known sentence may begin and end where . ! ? or : stands before white space, and at every line break.
 ENDS = r"[.!?:]+[ \t\r]|[\n\x0B\f]"
 
@@ -112,9 +144,27 @@ def known_pattern(sentences: Iterable[str]) -> str:
     return "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in longest) + ")(?=\n)"
 
 
-def rule_pattern(ids: tuple[str, ...]) -> str:
-    """A pattern for the ids in this order in a list like <a><b>; what stands between is captured."""
-    return "((?:<[^>]*>)*?)".join(f"<{i}>" for i in ids)
+def holding(ids: list[str]) -> list[str]:
+    """The licences whose rules hold for the ids of a text.
+
+    For each rule one pass: the next id that the rule waits for is taken where it first comes; once all have come they are used up, and the rule
+    begins anew behind them.
+    """
+    left, found = ids, []
+    for name, rule in RULES:
+        if not set(rule) <= set(left):
+            continue
+        used, waiting = set(), []
+        for at, i in enumerate(left):
+            if i == rule[len(waiting)]:
+                waiting.append(at)
+                if len(waiting) == len(rule):
+                    used.update(waiting)
+                    waiting = []
+        if used:
+            found.append(name)
+            left = [i for at, i in enumerate(left) if at not in used]
+    return list(dict.fromkeys(found))
 
 
 def recognised(docs: DataFrame) -> DataFrame:
@@ -124,7 +174,7 @@ def recognised(docs: DataFrame) -> DataFrame:
     n_sentences their number; licenses: the licences whose rules hold, in the order of
     the rules, each once, comma-joined.
 
-    Null and empty texts have none. Texts are read whole. Null ids and repeated rows
+    Null and empty texts have none. Texts are read whole, however many sentences they hold. Null ids and repeated rows
     stay. Ties, such as one text that holds for two rules, go to the earlier rule. An empty table gives an empty result. Other
     columns are not looked at, whatever their names.
     """
@@ -134,17 +184,14 @@ def recognised(docs: DataFrame) -> DataFrame:
     met = F.regexp_extract_all(normal(text), F.lit(known_pattern(wordings)), F.lit(0))
     said = F.flatten(F.transform(met, lambda s: known[F.translate(s, "\n", " ")]))
     ids = F.when(text.rlike(MARK), said).otherwise(F.array().cast("array<string>"))
-    rows = docs.select(F.col("doc_id"), ids.alias("ids"))
-    left = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
-    found = []
-    for name, rule in RULES:
-        between = "".join(f"${n}" for n in range(1, len(rule)))
-        after = F.regexp_replace(left, rule_pattern(rule), between)
-        found.append(F.when(after != left, name))
-        left = after
-    return rows.select(
-        "doc_id",
-        F.array_join("ids", ",").alias("sentence_ids"),
-        F.size("ids").cast("long").alias("n_sentences"),
-        F.array_join(F.array_distinct(F.array_compact(F.array(*found))), ",").alias("licenses"),
-    )
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(1).to_pylist()
+            columns = [[",".join(i) for i in held], list(map(len, held)), [",".join(holding(i)) if i else "" for i in held]]
+            arrays = [batch.column(0), *[pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "sentence_ids", "n_sentences", "licenses"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    with batches_of(docs.sparkSession):
+        return docs.select(F.col("doc_id"), ids.alias("ids")).mapInArrow(judge, f"doc_id {kind}, sentence_ids string, n_sentences long, licenses string")

@@ -114,12 +114,15 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN part p ON p.a = e.vec_
 
 
 def _op5_sql() -> str:
-    known = ", ".join(f"('{v}', '{k}')" for k, v in licenses.SENTENCES.items())
+    wordings = {v: (k,) for k, v in licenses.SENTENCES.items()} | licenses.WORDINGS
+    known = ", ".join(f"('{s}', {list(ids)})" for s, ids in wordings.items())
+    # the ids between those of a rule, as few as possible, stay
+    pattern = lambda rule: "((?:<[^>]*>)*?)".join(f"<{i}>" for i in rule)
     steps, hits, now = [], [], "s0"
     for i, (name, rule) in enumerate(licenses.RULES):
         between = "".join(f"\\{n}" for n in range(1, len(rule)))
         steps.append(
-            f"s{i + 1} AS (SELECT *, regexp_replace(l{i}, '{licenses.rule_pattern(rule)}', '{between}', 'g') AS l{i + 1} FROM {now})"
+            f"s{i + 1} AS (SELECT *, regexp_replace(l{i}, '{pattern(rule)}', '{between}', 'g') AS l{i + 1} FROM {now})"
         )
         hits.append(f"CASE WHEN l{i + 1} <> l{i} THEN '{name}' END")
         now = f"s{i + 1}"
@@ -129,7 +132,7 @@ d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM doc
 cut AS (SELECT r, unnest(p) AS p, generate_subscripts(p, 1) AS i FROM (
     SELECT r, regexp_split_to_array(t, '[.!?:]+[ \t\r]|[\n\x0B\f]') AS p FROM d)),
 ids AS (
-    SELECT r, list(k.id ORDER BY i) AS ids FROM cut JOIN known k
+    SELECT r, flatten(list(k.id ORDER BY i)) AS ids FROM cut JOIN known k
     ON k.sentence = trim(regexp_replace(translate(p, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))
     GROUP BY r),
 s0 AS (

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -179,6 +180,43 @@ def test_other_wordings_say_known_sentences():
     assert all(i in licenses.SENTENCES for ids in licenses.WORDINGS.values() for i in ids)
 
 
+def test_named_licenses_wrapped_and_flat(docs):
+    assert len({name for name, _ in licenses.RULES}) >= 40
+    said = {s: ids[0].removeprefix("named-") for s, ids in licenses.WORDINGS.items() if ids[0].startswith("named-")}
+    assert len(said) > 400 and all(re.search(licenses.MARK, s) for s in said)
+    flat = [(i, f"intro. {s.capitalize()}.\nmore") for i, s in enumerate(said)]
+    wrapped = [(10_000 + i, "# intro\n# " + s.replace(" ", "\n#  ", 3) + "\n#\n# more") for i, s in enumerate(said)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.recognised(docs(*flat, *wrapped)).collect()}
+    for i, name in enumerate(said.values()):
+        assert (got[i], got[10_000 + i]) == (name, name)
+    headers = [("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0-or-later"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This project is licensed under the Mozilla Public License, version 2.0.", "MPL-2.0"), ("Licensed under the EPL", "")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.recognised(docs(*[(i, t) for i, (t, _) in enumerate(headers)])).collect()}
+    assert [got[i] for i in range(len(headers))] == [w for _, w in headers]
+
+
+def test_a_hundred_thousand_sentences(docs):
+    began = time.time()
+    bsd = LICENSED[3][0].split("\n")
+    text = bsd[0] + "\n" + "Released under the MIT License.\n" * 100_000 + bsd[1] + "\n" + bsd[3]
+    row = licenses.recognised(docs((1, text))).first()
+    assert (row["licenses"], row["n_sentences"]) == ("BSD-2-Clause,MIT", 100_003) and time.time() - began < 60
+
+
+def test_rules_against_a_pattern():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(400):
+        ids = [rng.choice(["bsd-terms", "bsd-source", "bsd-binary", "bsd-names", "zlib-warranty", "mit-released", "isc-grant", "isc-warranty"]) for _ in range(rng.randrange(25))]
+        left, found = "".join(f"<{i}>" for i in ids), []
+        for name, rule in licenses.RULES:
+            after = re.sub("((?:<[^>]*>)*?)".join(f"<{i}>" for i in rule), "".join(rf"\{n}" for n in range(1, len(rule))), left)
+            found += [name] if after != left and name not in found else []
+            left = after
+        assert licenses.holding(ids) == found
+
+
 def test_licenses_odd_rows(odd):
     rows = licenses.recognised(odd).collect()
     assert len(rows) == odd.count() and all(r["n_sentences"] == 0 for r in rows)
