@@ -30,6 +30,8 @@ LEAST_ASSIGNED = 12
 #: A value that more owners or repositories than these hold is a copied example.
 MOST_OWNERS = 2
 MOST_REPOSITORIES = 4
+#: Characters of a text that are masked at a time, so that a text with many spans is not copied once for each.
+BLOCK = 4096
 #: What stands in the place of a span in redacted().
 MASKS = {True: "<secret>", False: "<example>"}
 
@@ -106,7 +108,9 @@ def _judged(spans: DataFrame) -> DataFrame:
     few = (F.col("owners") <= MOST_OWNERS) & (F.col("repositories") <= MOST_REPOSITORIES)
     by_start = Window.partitionBy("row").orderBy("start", "no")
     last_end = F.max(F.when(F.col("no") < 3, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    next_start = F.min(F.when(F.col("no") < 3, F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
+    # the same order from its end, so that what follows is what went before
+    from_end = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("no")).rowsBetween(Window.unboundedPreceding, -1)
+    next_start = F.min(F.when(F.col("no") < 3, F.col("start"))).over(from_end)
     free = (F.coalesce(last_end, F.lit(0)) <= F.col("start")) & (F.coalesce(next_start, F.col("end")) >= F.col("end"))
     return (
         known.withColumn("live", F.col("live") & few)
@@ -173,22 +177,40 @@ def redacted(
     """
     keys = dict(zip(("_tallyfield_key", "_tallyfield_key2"), identity(docs), strict=True))
     rows = written(_rows(docs, list(owner), list(repository), **keys), "secrets")
-    held = rows.join(_by_row(rows), "row").groupBy(*keys).agg(F.min("spans").alias("_tallyfield_spans"))
-    keyed = docs.withColumns(keys).join(held, list(keys), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"), F.lit(None).cast("boolean").alias("open"))
-    mask = lambda live: F.when(live, MASKS[True]).when(~live, MASKS[False]).otherwise("")
-
-    def step(acc: Column, s: Column) -> Column:
-        apart = s["start"] >= acc["at"]
-        between = F.col("text").substr(acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int"))
-        return F.struct(
-            F.when(apart, F.concat(acc["out"], mask(acc["open"]), between)).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(apart, s["live"]).otherwise(acc["open"] | s["live"]).alias("open"),
-        )
-
-    folded = F.aggregate("_tallyfield_spans", start, step)
-    masked = F.when(F.col("_tallyfield_spans").isNull(), F.col("text")).otherwise(
-        F.concat(F.col("_tallyfield_fold.out"), mask(F.col("_tallyfield_fold.open")), F.col("text").substr(F.col("_tallyfield_fold.at").cast("int") + 1, F.length("text")))
-    )
-    return keyed.withColumn("_tallyfield_fold", folded).withColumn("text", masked).select(*[f"`{c}`" for c in docs.columns])
+    spans = _judged(written(_spans(rows), "spans"))
+    # one row of those that repeat stands for all
+    first = rows.groupBy(*keys).agg(F.min("row").alias("row"))
+    held = _masks(spans).join(first, "row").select(*keys, F.col("block").alias("_tallyfield_block"), "masks")
+    marked = held.select(*keys).distinct().withColumn("_tallyfield_held", F.lit(True))
+    keyed = docs.withColumns(keys).join(marked, list(keys), "left")
+    blocks = F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("_tallyfield_block", "_tallyfield_text")
+    # only texts that hold spans are cut, each once, and every block is masked by itself
+    texts = written(keyed.where("_tallyfield_held").dropDuplicates(list(keys)).select(*keys, "text"), "held").select(*keys, blocks)
+    done = texts.join(held, [*keys, "_tallyfield_block"], "left").select(*keys, F.struct("_tallyfield_block", _masked(F.col("_tallyfield_text"), F.col("masks")).alias("t")).alias("b"))
+    whole = done.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["t"]), "").alias("_tallyfield_masked"))
+    text = F.when(F.col("_tallyfield_held"), F.col("_tallyfield_masked")).otherwise(F.col("text"))
+    return keyed.join(whole, list(keys), "left").withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _masks(spans: DataFrame) -> DataFrame:
+    """(row, block, masks): where spans lie in each block of BLOCK characters, those that overlap as one, live if any of them is.
+
+    masks: (low, high, mask) by low, within the block; the mask stands in the block where the span begins.
+    """
+    order = Window.partitionBy("row").orderBy("start", "no")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = spans.withColumn("apart", (F.col("start") >= F.coalesce(reach, F.lit(0))).cast("long"))
+    joined = apart.withColumn("group", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("row", "group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.bool_or("live").alias("live"))
+    cut = joined.select("row", "start", "end", "live", F.explode(F.expr(f"sequence(start div {BLOCK}, (end - 1) div {BLOCK})")).alias("block"))
+    low, high = F.col("start") - F.col("block") * BLOCK, F.col("end") - F.col("block") * BLOCK
+    mask = F.when(low < 0, "").when(F.col("live"), MASKS[True]).otherwise(MASKS[False])
+    placed = F.struct(F.greatest(low, F.lit(0)).cast("int").alias("low"), F.least(high, F.lit(BLOCK)).cast("int").alias("high"), mask.alias("mask"))
+    return cut.groupBy("row", F.col("block").cast("int").alias("block")).agg(F.array_sort(F.collect_list(placed)).alias("masks"))
+
+
+def _masked(text: Column, masks: Column) -> Column:
+    """One block: the pieces between the masks, and the masks."""
+    piece = lambda m, i: F.concat(F.substring(text, F.coalesce(F.get(masks, i - 1)["high"], F.lit(0)) + 1, m["low"] - F.coalesce(F.get(masks, i - 1)["high"], F.lit(0))), m["mask"])
+    rest = F.substring(text, F.element_at(masks, -1)["high"] + 1, F.lit(BLOCK))
+    return F.when(masks.isNull(), text).otherwise(F.concat(F.array_join(F.transform(masks, piece), ""), rest))

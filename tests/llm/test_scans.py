@@ -66,6 +66,29 @@ def test_redaction(docs):
     assert text[20] == "<example> end"
 
 
+def test_masks_over_blocks(docs, monkeypatch):
+    from tests.llm.plain import masked
+
+    monkeypatch.setattr(secrets, "BLOCK", 7)
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(TEXTS) if t]
+    rows += [(50 + i, "é🙂 secret=deadbeefdeadbeef00 end token: 9f8e7d6c5b4a39281", "en", f"o{i}") for i in range(4)]
+    rows += [(90, "x" * 20 + " AKIAQWERTZUIOPLKJH", "en", "a"), (91, "password=" + "Ab1-" * 30, "en", "b")]
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(docs(*[(d, t, s) for d, t, _, s in rows])).collect()}
+    assert got == masked(rows)
+
+
+def test_a_hundred_thousand_secrets(docs):
+    from tests.llm.plain import EXAMPLE
+
+    values = [hashlib.md5(str(i).encode()).hexdigest() for i in range(100_000)]
+    text = "".join(f"token={v} " for v in values)
+    wanted = "".join("<example> " if EXAMPLE.search(v) else "<secret> " for v in values)
+    df = docs((1, text), (2, "clean"))
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert got == {1: wanted, 2: "clean"} and time.time() - began < 120
+
+
 def test_secrets_odd_rows(odd):
     rows = secrets.secrets(odd).collect()
     assert len(rows) == odd.count() and all(r["spans"] == "" for r in rows)
