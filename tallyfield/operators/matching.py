@@ -271,3 +271,62 @@ def match_series_or_names(left: DataFrame, right: DataFrame, left_names: DataFra
     ways = [(exact, "SERIES"), (by_lead, "LEADING_DAYS"), (by_name, "NAME")]
     found = [pairs.select("left_key", "right_key", F.lit(way).alias("way")) for pairs, way in ways]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _prefixes(series: DataFrame, days: DataFrame) -> DataFrame:
+    """(key, n, s1, s2, some): for every key and number of leading days, two hashes of what the key has on them, and whether it has anything.
+
+    series: (key, day, method, kg); days: (day, n), all days numbered from 1. What is 0 is as good as missing, and the order within a day doesn't count.
+    """
+    cells = series.where("kg <> 0").join(days, "day").groupBy("key", "n").agg(*[F.sum(F.xxhash64(F.lit(seed), "day", "method", "kg").cast("decimal(38,0)")).alias(c) for seed, c in ((1, "s1"), (2, "s2"))])
+    every = series.select("key").distinct().crossJoin(F.broadcast(days.select("n")))  # a row a day: few, whatever the keys number
+    so_far = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    full = every.join(cells, ["key", "n"], "left")
+    return full.select("key", "n", *[F.coalesce(F.sum(c).over(so_far), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("s1", "s2")], (F.count("s1").over(so_far) > 0).alias("some"))
+
+
+def assign_in_order(left: DataFrame, right: DataFrame, left_names: DataFrame, right_names: DataFrame, least_days: int = 3) -> DataFrame:
+    """(left_key, right_key, way, days): partners dealt out to the left keys one after the other, as a loop over them would.
+
+    left and right: (key, day, method, kg); left_names: (key, ord, name), in the order ord; right_names: (key, name). A left key takes the one right
+    key, not taken before, that agrees with it on all days; else on all but the last, and so on down to least_days, as long as it has anything on
+    them; else the one of its name. Where several are free, none is taken.
+
+    No pair of keys of one group is ever made: of a group (the same leading days, or the same name) the two members that are taken last say for
+    every place in the order whether one alone is left. All keys choose at once, knowing who was taken in the round before and by whom first; rounds go on
+    until nothing changes, which a loop's result is the only state to do. What repeats many times takes no more rounds than what
+    stands once.
+    """
+    days = left.select("day").union(right.select("day")).distinct()
+    days = written(days.withColumn("n", F.row_number().over(Window.orderBy("day"))), "days")  # a row a day
+    last = days.count()
+    series = lambda rows: _prefixes(rows.select("key", "day", "method", "kg"), days).where(F.col("n") >= min(least_days, max(last, 1)))
+    by_series = lambda rows: rows.select("key", "n", F.concat_ws(":", "n", "s1", "s2").alias("g"), "some")
+    named = lambda rows, *more: rows.select("key", *more, F.lit(0).alias("n"), F.concat(F.lit("name:"), name_key(F.col("name"))).alias("g"), F.lit(True).alias("some")).where("g is not null")
+    theirs = written(by_series(series(right)).unionByName(named(right_names)).select("g", F.col("key").alias("right_key")).distinct(), "theirs")
+    places = left_names.groupBy("key").agg(F.min("ord").alias("ord"))
+    mine = by_series(series(left)).where("some").where(F.col("n") >= least_days).unionByName(named(left_names)).join(places, "key")
+    # the way with most days first, names last; groups without a right key are no choice
+    mine = written(mine.select(F.col("key").alias("left_key"), "ord", "n", "g").distinct().join(theirs.select("g").distinct(), "g", "left_semi"), "mine")
+    picks, state = None, None
+    while True:
+        if picks is None:
+            taken = theirs.withColumn("t", F.lit(None).cast(mine.schema["ord"].dataType))
+        else:
+            first = picks.groupBy("right_key").agg(F.min("ord").alias("t"))
+            taken = theirs.join(first, "right_key", "left")
+        late = Window.partitionBy("g").orderBy(F.desc_nulls_first("t"), "right_key")
+        top = taken.withColumn("k", F.row_number().over(late)).where("k <= 2")
+        groups = top.groupBy("g").agg(
+            F.max(F.when(F.col("k") == 1, F.col("right_key"))).alias("right_key"), F.max(F.when(F.col("k") == 1, F.col("t"))).alias("t1"),
+            F.max(F.when(F.col("k") == 2, F.col("t"))).alias("t2"), F.count("*").alias("members"),
+        )
+        one = (F.col("t1").isNull() | (F.col("t1") >= F.col("ord"))) & ((F.col("members") == 1) | F.coalesce(F.col("t2") < F.col("ord"), F.lit(False)))
+        free = mine.join(groups, "g").where(one)
+        now = written(free.groupBy("left_key").agg(F.min("ord").alias("ord"), F.max_by(F.struct("right_key", "n"), "n").alias("p")).select("left_key", "ord", "p.*"), "picks")
+        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("left_key", "right_key", "n").cast("decimal(38,0)"))).first())
+        if seen == state:
+            break
+        picks, state = now, seen
+    way = F.when(F.col("n") == 0, "NAME").when(F.col("n") == last, "SERIES").otherwise("LEADING_DAYS")
+    return now.select("left_key", "right_key", way.alias("way"), F.col("n").alias("days"))

@@ -1,4 +1,4 @@
-"""Stored tables over the star-schema tables: five batches of shipped lines merged one by one into a change log, and imports redone."""
+"""Work with a state over the star-schema tables: batches of shipped lines merged into a change log, imports redone, partners dealt out in order."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changelog, store
+from ..operators import matching as M
 from ..shared import scratch_path, written
 from ..sources.tables import table
 from .registry import d, query
@@ -79,3 +80,16 @@ def redone_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = store.read_import(spark, root, 7).select("c_custkey", (F.col("balance") * 2).cast("decimal(14,2)").alias("balance"))
     store.write_import(written(again, "again"), root, 7)  # it is read from where it goes
     return spark.read.parquet(root).groupBy("import_id").agg(F.count("*").alias("n"), F.sum("balance").cast("double").alias("balance"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS k FROM lineitem) SELECT k AS left_key, -k AS right_key, 'SERIES' AS way FROM s UNION ALL
+    SELECT s_suppkey + 2000000, -s_suppkey - 3000000, 'NAME' FROM supplier""")
+def partners_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's deliveries stand twice in the report, the first takes the series and the second what bears its name: an entry without a series."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("key"), F.date_trunc("year", "l_shipdate").cast("date").alias("day"), F.col("l_linestatus").alias("method"))
+    rows = rows.agg(F.sum(F.col("l_quantity").cast("decimal(12,1)")).cast("decimal(18,1)").alias("kg"))
+    twice = rows.unionByName(rows.withColumn("key", F.col("key") + 2_000_000))
+    keys = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    left = keys.withColumn("ord", F.col("key") * 2).unionByName(keys.select((F.col("key") + 2_000_000).alias("key"), (F.col("key") * 2 + 1).alias("ord"), "name"))
+    right = keys.select((-F.col("key") - 3_000_000).alias("key"), "name")
+    return M.assign_in_order(twice, rows.withColumn("key", -F.col("key")), left, right).select("left_key", "right_key", "way")
