@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +86,14 @@ def overall(found: DataFrame) -> DataFrame:
 def first_issues(found: DataFrame, most: int = 1000) -> DataFrame:
     """The view's cap: the worst first, by code and row. The stored issues are all kept."""
     return found.orderBy(severity_rank(F.col("severity")), "code", F.coalesce("row", F.lit(0)), "ref").limit(most)
+
+
+def united(*streams: DataFrame) -> DataFrame:
+    """The issues of all sources in one frame."""
+    return reduce(DataFrame.unionByName, streams)
+
+
+def report_counters(found: DataFrame) -> DataFrame:
+    """(source, code, severity, n) for every kind of issue, (source, null, severity, n) and (null, null, severity, n) above them: one grouping."""
+    sets = [[F.col("source"), F.col("code"), F.col("severity")], [F.col("source"), F.col("severity")], [F.col("severity")]]
+    return found.groupingSets(sets, F.col("source"), F.col("code"), F.col("severity")).agg(F.count("*").alias("n"))

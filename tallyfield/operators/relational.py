@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ def last_of_each(rows: DataFrame, key: Sequence[str], order: Order) -> DataFrame
     return best.select(*key, "_last.*").select(*rows.columns)
 
 
+def repeats_of(rows: DataFrame, key: Sequence[str], order: Order, value: str) -> DataFrame:
+    """The rows that are not the first of their key, each with first_<value>, that of the first. The order is total.
+
+    The first row is found by partial aggregation and joined back, so a hot key is neither sorted nor gathered in a task. Nulls are a key.
+    """
+    ranked = rows.withColumn("_order", _struct(order))
+    firsts = ranked.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(F.struct("_order", F.col(value).alias("value"))).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key])
+    joined = ranked.join(firsts, same).where(F.col("_order") > F.col("_first._order"))
+    return joined.select(*rows.columns, F.col("_first.value").alias(f"first_{value}"))
+
+
 def distribution(rows: DataFrame, value: Column, missing: str) -> DataFrame:
     """(value, n, share_pct): how often each value occurs; null under the name given."""
     counts = rows.groupBy(F.coalesce(value, F.lit(missing)).alias("value")).agg(F.count("*").alias("n"))

@@ -152,6 +152,20 @@ def unseen_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     return first_of_each(hashed, ["source_hash"], ["path"]).join(seen.select("source_hash"), "source_hash", "left_anti")
 
 
+def batches_of_day(batches: DataFrame, day: Column) -> DataFrame:
+    """(batches): how many batches that did not fail a report day has."""
+    return batches.where((F.col("report_date") == day) & (F.col("status") != "ERROR")).agg(F.count("*").alias("batches"))
+
+
+def taken_slugs(entries: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, slug): entries to be saved whose slug another entry has, stored or in the same set; an entry's own stored row is no obstacle."""
+    mine = entries.select("id", "slug")
+    theirs = stored.select(F.col("id").alias("_id"), F.col("slug").alias("_slug")).unionByName(entries.select(F.col("id").alias("_id"), F.col("slug").alias("_slug")))
+    # of a slug the least and the greatest owner are enough to know of another one
+    owners = theirs.groupBy("_slug").agg(F.min("_id").alias("least"), F.max("_id").alias("most"))
+    return mine.join(owners, mine.slug == owners._slug).where((F.col("least") != F.col("id")) | (F.col("most") != F.col("id"))).select("id", "slug")
+
+
 def retention(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     """A history view: the newest n rows."""
     return rows.orderBy(*order).limit(n)

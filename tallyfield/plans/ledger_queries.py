@@ -198,9 +198,7 @@ def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OPS}, w AS (SELECT *, first_value(l_partkey) OVER (PARTITION BY contract_number, record_no ORDER BY occurrence) AS f FROM ops)
     SELECT contract_number, record_no, l_partkey AS product_id, f AS first_product_id FROM w WHERE occurrence > 1""")
 def duplicate_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.mark_repeats(T.raw_operations(spark, sf_dir), L.KEY, ["source_row"])
-    window = R.Window.partitionBy(*L.KEY).orderBy("source_row")
-    return rows.withColumn("first_product_id", F.first("product_id").over(window)).where("is_duplicate").select(*L.KEY, "product_id", "first_product_id")
+    return R.repeats_of(T.raw_operations(spark, sf_dir), L.KEY, ["source_row"], "product_id").select(*L.KEY, "product_id", "first_product_id")
 
 
 ALERTS = f"""{OPS}, {PERFORMANCE}, alerts AS (

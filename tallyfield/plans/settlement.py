@@ -22,7 +22,7 @@ from ..config import DEFAULT, EngineConfig
 from ..functions.numbers import MINOR, percent_of
 from ..functions.text import party_key
 from ..operators import matching as M
-from ..operators.quality import Rule, issues
+from ..operators.quality import Rule, issues, united
 
 UNASSIGNED = "Ҳудуди аниқланмаган"
 KG = "decimal(28,3)"
@@ -401,6 +401,17 @@ def account_issues(owned: DataFrame) -> DataFrame:
     return issues(owned, [Rule("WARNING", "ACCOUNT_NOT_MATCHED", F.col("owner_kind") == "UNKNOWN")], "MATCHING", F.col("source_row"), F.col("account"))
 
 
+def all_issues(
+    state: DataFrame, payments: DataFrame, index: Index, matched: DataFrame, deal_rows: DataFrame, links: DataFrame, lines: DataFrame, directory: DataFrame, owned: DataFrame,
+) -> DataFrame:
+    """Every issue of one report in one frame: (severity, code, source, row, ref, message)."""
+    none = F.lit(None).cast("long")
+    return united(
+        issues(state, harvest_rules(), "BASKET", F.col("source_row").cast("long"), F.col("contract_number")), issues(deal_rows, deal_rules(), "MATCHING", none, F.col("deal")),
+        payment_issues(matched, index), directory_issues(links), plan_issues(plan_differences(lines, directory)), account_issues(owned),
+    )
+
+
 def statement_check(payments: DataFrame, footer_debit: Column) -> DataFrame:
     """One row: the sum of debits against the statement's footer; credits are not held against it."""
     return payments.agg(F.coalesce(F.sum("debit"), F.lit(0)).cast(MINOR).alias("debit")).select("debit", (F.col("debit") != footer_debit).alias("mismatch"))

@@ -135,10 +135,13 @@ class _Report:
     def directory(self) -> DataFrame:
         return written(T.directory(self.spark, self.dir), "directory")
 
+    @cached_property
+    def links(self) -> DataFrame:
+        return written(S.farmer_links(self.totals, self.directory), "links")
+
     @cached_property
     def lines(self) -> DataFrame:
-        links = written(S.farmer_links(self.totals, self.directory), "links")
-        return written(S.farmer_lines(self.totals, None, self.directory, self.matched, self.deals, LINE_DAY, CFG, links), "lines")
+        return written(S.farmer_lines(self.totals, None, self.directory, self.matched, self.deals, LINE_DAY, CFG, self.links), "lines")
 
     @cached_property
     def counted_contracts(self) -> DataFrame:

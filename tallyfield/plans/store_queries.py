@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from ..operators import changelog, store
 from ..operators import matching as M
+from ..operators import quality as Q
 from ..shared import scratch_path, written
 from ..sources.tables import table
-from .registry import d, query
+from . import settlement as S
+from . import settlement_queries as SQ
+from .registry import SQL, d, query
 
 LAST = 5
 # A batch carries the lines shipped in its years; an order's first line of a batch counts, and its state is its fingerprint.
@@ -93,3 +96,30 @@ def partners_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = keys.withColumn("ord", F.col("key") * 2).unionByName(keys.select((F.col("key") + 2_000_000).alias("key"), (F.col("key") * 2 + 1).alias("ord"), "name"))
     right = keys.select((-F.col("key") - 3_000_000).alias("key"), "name")
     return M.assign_in_order(twice, rows.withColumn("key", -F.col("key")), left, right).select("left_key", "right_key", "way")
+
+
+#: The queries whose rows together are the report's issues.
+STREAMS = ("harvest_issues", "deal_issues", "payment_issues", "directory_issues", "plan_issues", "account_issues")
+
+
+@query("SELECT code, CAST(sum(n) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT code, n FROM ({SQL[k]})" for k in STREAMS) + ") GROUP BY 1")
+def report_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All issues of one report, of every source, united once and counted in one grouping."""
+    report = SQ._Report(spark, sf_dir)
+    found = S.all_issues(report.harvest, report.payments, report.index, report.matched, report.deals, report.links, report.lines, report.directory, SQ._owned(spark, sf_dir, report))
+    return Q.report_counters(found).where("code is not null").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+@query("SELECT count(DISTINCT CAST(ts AS DATE)) + count(*) FILTER (WHERE event_type = 'signup' AND CAST(ts AS DATE) = DATE '2024-01-15') AS batches FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-15'")
+def batches_of_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sign-up is a batch of its day, and every day has one more; what else happened are batches that failed."""
+    events = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("report_date"), F.when(F.col("event_type") == "signup", "COMPLETED").otherwise("ERROR").alias("status"))
+    daily = events.select("report_date", F.lit("COMPLETED").alias("status")).distinct()
+    return store.batches_of_day(events.unionByName(daily), F.lit(SQ.DAY))
+
+
+@query("""SELECT p_partkey AS id, p_name AS slug FROM part WHERE p_name IN (SELECT p_name FROM part GROUP BY 1 HAVING count(*) > 1) AND p_partkey % 2 = 0""")
+def slugs_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other part is saved again under its name, which parts with the same name have taken."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("slug"))
+    return store.taken_slugs(parts.where("id % 2 = 0"), parts)

@@ -24,10 +24,13 @@ from xml.etree import ElementTree
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.numbers import number
+from ..functions.text import clean
+
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _ROW, _VALUE, _INLINE = f"{_MAIN}row", f"{_MAIN}v", f"{_MAIN}is"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -342,6 +345,36 @@ def bind_ledger(book: Workbook, sheet: str) -> Layout:
     return out
 
 
+# The header of a hand-made day report: farmers' names, planned tons, and a day over each block of columns.
+DAY_HEADER = (re.compile("фермер", re.I), re.compile("режа", re.I))
+DAY_LABEL = re.compile(r"^(\d{2})[,.](\d{2})[,.](\d{2,4})")
+#: From a block's first column: where the tons of each method stand; header levels below the days.
+DAY_METHODS = {"HAND": 0, "MACHINE": 2}
+DAY_LEVELS = 3
+
+
+def bind_days(book: Workbook, sheet: str) -> Layout:
+    """The layout of a day report: its header names farmers and plan in the second and third column, and every block of columns begins under its day.
+
+    A merged day stands over its whole block; only its first cell begins one.
+    """
+    head, merge_of = _head(book, sheet)
+    top = next((r for r in sorted(head) if r <= 15 and all(p.search(head[r].get(c, "")) for c, p in enumerate(DAY_HEADER, 1))), None)
+    if top is None:
+        raise MissingColumns(f"sheet {sheet!r} lacks a header over farmers and plan")
+    out = Layout(top + DAY_LEVELS, {0: "number", 1: "name", 2: "plan_t"})
+    for c in sorted(c for c in head[top] if c > 2):
+        label = DAY_LABEL.match(head[top][c].strip())
+        if label and merge_of.get((top, c), (top, c))[:2] == (top, c):
+            day, month, year = label.groups()
+            date = f"{'20' if len(year) == 2 else ''}{year}-{month}-{day}"
+            out.fields |= {c + shift: f"{date}|{method}" for method, shift in DAY_METHODS.items()}
+    return out
+
+
+BINDERS = {"ledger": bind_ledger, "days": bind_days}
+
+
 def kind_of_name(name: str) -> str | None:
     """The one kind whose mark a file name bears; none or several: undecided."""
     low = os.path.basename(name).lower().replace("ё", "е")
@@ -386,7 +419,7 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         book = Workbook(part.path)
-        layout = bind_ledger(book, part.sheet) if part.kind == "ledger" else bind(book, part.sheet, part.kind)
+        layout = BINDERS[part.kind](book, part.sheet) if part.kind in BINDERS else bind(book, part.sheet, part.kind)
         fields = layout.fields
         at = {f: c for c, f in fields.items()}
         numbered = at.get(NUMBERED_BY.get(part.kind, ""), layout.number_column)
@@ -478,3 +511,39 @@ def unpivot_days(report: DataFrame, fixed: list[str], days: list[str]) -> DataFr
     long = report.unpivot(fixed, days, "block", "kg")
     parts = F.split("block", r"\|")
     return long.where("kg is not null").select(*fixed, F.try_to_date(parts[0], "yyyy-MM-dd").alias("day"), parts[1].alias("method"), "kg")
+
+
+# How a day report marks totals, the end of a section of several places, and places.
+DAY_TOTAL, SECTION_END, NO_END, PLACE = "жами|хаммаси", "худуди жами|ҳудуди жами", "^ҳудуд жами", "(ҳудуди|худуди)$"
+
+
+def read_day_report(spark: SparkSession, path: str, first_section: str = "") -> DataFrame:
+    """(file, source_row, section, block, name, plan_t, day, method, kg) of hand-made day reports: a row for each farmer, day and method with a weight.
+
+    A row with a number is a farmer's. Rows without one are totals, a place, or the name of a section; a place without a section
+    before it belongs to first_section, and a section of several places ends at its total. Weights stand in tons.
+    """
+    spark.dataSource.register(WorkbookSource)
+    rows = spark.read.format("workbook").option("kind", "days").option("tasks", spark.sparkContext.defaultParallelism).load(path)
+    name = clean(F.try_element_at("values", F.lit("name")))
+    named = rows.select("file", "source_row", "values", name.alias("name"), number(F.try_element_at("values", F.lit("number"))).isNotNull().alias("numbered")).where("name <> ''")
+    low = F.lower("name")
+    total = low.rlike(DAY_TOTAL)
+    kind = F.when(total, F.when(low.rlike(SECTION_END) & ~low.rlike(NO_END), "end")).when(~F.col("numbered"), F.when(low.rlike(PLACE), "place").otherwise("section"))
+    marked = named.withColumn("kind", kind).withColumn("total", total)
+    # a sheet's rows, in their order; a workbook has a million at most
+    before = Window.partitionBy("file").orderBy("source_row").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda test, value: F.last(F.when(test, value), ignorenulls=True).over(before)
+    opened = last(F.col("kind").isin("section", "end"), F.struct("source_row", F.when(F.col("kind") == "section", F.col("name")).otherwise("").alias("name")))
+    placed = marked.withColumns({"opened": opened, "place": last(F.col("kind") == "place", F.col("source_row")), "block": F.coalesce(last(F.col("kind").isin("place", "section"), F.col("name")), F.lit(""))})
+    implied = F.when(F.col("place") > F.coalesce("opened.source_row", F.lit(0)), first_section).otherwise("")
+    section = F.when(F.coalesce("opened.name", F.lit("")) != "", F.col("opened.name")).otherwise(implied)
+    farmers = placed.withColumn("section", section).where("numbered and not total")
+    either = lambda a, b: F.when(F.col(a) != "", F.col(a)).otherwise(F.col(b))
+    cells = farmers.select(
+        "file", "source_row", either("section", "block").alias("section"), either("block", "section").alias("block"), "name",
+        number(F.try_element_at("values", F.lit("plan_t"))).alias("plan_t"), F.explode("values").alias("at", "text"),
+    ).where(F.col("at").contains("|"))
+    parts = F.split("at", r"\|")
+    kg = F.round(number(F.col("text")) * 1000, 0).cast("long")
+    return cells.select("file", "source_row", "section", "block", "name", "plan_t", parts[0].cast("date").alias("day"), parts[1].alias("method"), kg.alias("kg")).where("kg is not null")

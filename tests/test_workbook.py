@@ -176,3 +176,31 @@ def test_statement_with_its_meta_block_and_footer(spark, tmp_path):
     assert {(r["code"], r["ref"]) for r in found.collect()} == {("INVALID_DATE", "3"), ("MISSING_DATE", "4"), ("INVALID_AMOUNT", "4")}
     mismatch = typed.statement_total_issue(legs, raw.where("row_kind = 'footer'")).collect()
     assert [(r["code"], r["message"]) for r in mismatch] == [("STATEMENT_TOTAL_MISMATCH", "99900 against 12050")]
+
+
+def test_day_blocks_of_a_hand_made_report(spark, tmp_path):
+    blank = [None] * 3
+    rows = [
+        ["Some title"], [],
+        ["№", "Фермер хўжаликлар номи", "Режа", "11,09,26 й", None, None, None, None, None, "12.09.2026", None, None, None, None, None, "Жами"],
+        blank, blank, blank,
+        [None, "Биринчи ҳудуди", None],
+        [1, "ALFA", 10.5, 1.2345, 9, 2, 9, 3.2345, 18, None, None, 4, 1, 4, 1, 7],
+        [None, "Жами", None, 5, 5],
+        [None, "Кластер ер", None],
+        [None, "Иккинчи ҳудуди", None],
+        [2, "BETA", None, 0.5, 1, None, None, None, None, 1.5, 1],
+        [None, "Ҳудудлар худуди жами", None],
+        [None, "Учинчи ҳудуди", None],
+        [3, "GAMMA", 7, None, None, 3],
+    ]
+    write(tmp_path / "report.xlsx", rows, merges=["D3:I3", "J3:O3", "A1:P1"])
+    got = {(r["name"], str(r["day"]), r["method"]): (r["kg"], r["section"], r["block"]) for r in workbook.read_day_report(spark, str(tmp_path / "report.xlsx"), "Ҳудуд").collect()}
+    assert got == {
+        ("ALFA", "2026-09-11", "HAND"): (1235, "Ҳудуд", "Биринчи ҳудуди"), ("ALFA", "2026-09-11", "MACHINE"): (2000, "Ҳудуд", "Биринчи ҳудуди"), ("ALFA", "2026-09-12", "MACHINE"): (4000, "Ҳудуд", "Биринчи ҳудуди"),
+        ("BETA", "2026-09-11", "HAND"): (500, "Кластер ер", "Иккинчи ҳудуди"), ("BETA", "2026-09-12", "HAND"): (1500, "Кластер ер", "Иккинчи ҳудуди"),
+        ("GAMMA", "2026-09-11", "MACHINE"): (3000, "Ҳудуд", "Учинчи ҳудуди"),
+    }
+    write(tmp_path / "other.xlsx", [["a", "b"]])
+    with pytest.raises(workbook.MissingColumns):
+        workbook.bind_days(workbook.Workbook(str(tmp_path / "other.xlsx")), "Sheet1")
