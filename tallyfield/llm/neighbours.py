@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, written
-from .tiles import is_sound, tiles, unpacked
+from .tiles import is_sound, sampled, tiles, unpacked
 from .topk import distances, far_pivots
 from .vector_links import code_products, cosines
 
@@ -127,17 +127,6 @@ class Heaps:
         return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FOUND.split(", ")])
 
 
-def _sample(own: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """ids and vectors of a sample by length; rows and components are both bounded."""
-    longest = own.agg(F.max(F.size("v"))).first()[0] or 1
-    rows = own.select("id", "v").orderBy(F.xxhash64("id", "v"), "id").limit(max(1, min(SAMPLE, SAMPLE_VALUES // longest))).collect()
-    out = {}
-    for dim in {len(r["v"]) for r in rows}:
-        some = [r for r in rows if len(r["v"]) == dim]
-        out[dim] = np.array([r["id"] for r in some], np.int64), np.array([r["v"] for r in some], float)
-    return out
-
-
 def _placed(own: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
     """Vectors dealt out by length, nearest pivot and the distance to it, so that a tile holds what lies together."""
 
@@ -244,7 +233,7 @@ def _search(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     spark = vectors.sparkSession
     sound = vectors.where(F.col("vec_id").isNotNull() & is_sound() & F.exists("embedding", lambda x: x != 0))
     own = written(sound.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")), "vectors")
-    sample = _sample(own)
+    sample = sampled(own, SAMPLE, SAMPLE_VALUES)
     pivots = {dim: far_pivots(x, min(PIVOTS, max(1, TILE_VALUES // dim))) for dim, (_, x) in sample.items()}
     asked = own.where("q").groupBy("id").agg(F.min("v").alias("v")).select("id", F.lit(1).alias("copies"), "v")
     asked = asked.repartition(max(1, -(-own.where("q").count() // QUERY_ROWS)))

@@ -63,3 +63,14 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """ids, copies and the matrix of a tile."""
     data = np.frombuffer(row["data"], "<f8").reshape(row["n"], row["dim"])
     return np.frombuffer(row["ids"], np.int64), np.frombuffer(row.get("copies", b""), np.int64), data
+
+
+def sampled(own: DataFrame, rows: int, components: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """own (id, v) -> ids and vectors of a sample by length, the same for the same rows; so many rows and components at most."""
+    longest = own.agg(F.max(F.size("v"))).first()[0] or 1
+    some = own.select("id", "v").orderBy(F.xxhash64("id", "v"), "id").limit(max(1, min(rows, components // longest))).collect()
+    out = {}
+    for dim in {len(r["v"]) for r in some}:
+        of = [r for r in some if len(r["v"]) == dim]
+        out[dim] = np.array([r["id"] for r in of], np.int64), np.array([r["v"] for r in of], float).reshape(len(of), dim)
+    return out

@@ -6,9 +6,11 @@ distance to a candidate, hence |q|^2 + |x|^2 - bound^2, halved, is an upper boun
 inner product. Candidates stand in tiles ordered by their nearest pivot and its distance; the least and greatest distance of a tile
 to each pivot bound all of it at once.
 
-A first pass over the pivots' sample gives every query a score that k candidates reach, so its k-th score is no less. Tiles are
-then visited in the order of their bounds, with the k best so far carried from tile to tile, and candidates of a tile are evaluated
-in the order of theirs. A query stops where the next bound is below its k-th score, so the result is exact.
+A first pass over the pivots' sample gives every query a score that k candidates reach, so its k-th score is no less. What bounds whole
+tiles, a few hundred bytes each, is held against those scores before any vector moves: a tile of candidates goes to a tile of queries
+only where one of them may find something in it. Tiles come to a task one by one, the most promising first, with the k best so far carried
+from tile to tile, and candidates of a tile are evaluated in the order of their bounds. What lies below a query's k-th score is passed over, so the
+result is exact.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, written
-from .tiles import is_sound, tiles, unpacked
+from .tiles import is_sound, sampled, tiles, unpacked
 
 SCALE = 1024
 #: Pivots for each length of vector, and the candidates that they are chosen from and that give first scores.
@@ -29,10 +31,15 @@ PIVOTS = 64
 SAMPLE = 4096
 #: Pivots that are looked at for all candidates of a tile; the others only for those that are left.
 FIRST_PIVOTS = 8
+#: Components of the sample, and of a tile, at most.
+SAMPLE_VALUES = 2**21
+TILE_VALUES = 2**19
 #: Vectors in a tile of candidates, tiles that one task visits for a tile of queries, and queries in a tile of theirs.
 TILE_ROWS = 4096
 SHELF_TILES = 16
 QUERY_ROWS = 1024
+#: Tiles whose bounds are held against a tile of queries at a time.
+BOUND_ROWS = 2048
 #: Candidates of a query that are evaluated at a time.
 STEP = 256
 FOUND = "query_id long, vec_id long, score long, visited long, evaluated long"
@@ -88,22 +95,26 @@ class Tile:
         return float(min(_bound(own, np.array([self.most]), np.array([gap]))[0], (own * self.most) ** 0.5 * (1 + 1e-9) + 1e-3))
 
 
-def best(q_id: int, q: np.ndarray, q_table: np.ndarray, floor: float, shelf: list[Tile], k: int) -> tuple[list[tuple[int, int]], int, int]:
-    """(the k best as (-score, id), tiles visited, candidates evaluated): tiles and candidates in the order of their bounds.
+class Asked:
+    """A tile of queries with the k best of each so far, as (-score, id) in order, and their floors: scores that k candidates are known to reach."""
 
-    floor: a score that k candidates are known to reach; what is below it is not looked for.
-    """
-    top: list[tuple[int, int]] = []
-    visited = evaluated = 0
-    bounds = np.array([t.bound(q, q_table) for t in shelf])
-    for n in np.argsort(-bounds, kind="stable"):
-        if bounds[n] < floor:
-            break
-        tile = shelf[n]
-        visited += 1
-        left = np.flatnonzero(tile.ids != q_id)
+    def __init__(self, ids: np.ndarray, q: np.ndarray, table: np.ndarray, floors: np.ndarray, k: int):
+        self.ids, self.q, self.table, self.floors, self.k = ids, q, table, floors.copy(), k
+        self.top: list[list[tuple[int, int]]] = [[] for _ in ids]
+        self.visited, self.evaluated = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+
+    def visit(self, tile: Tile) -> None:
+        for i in range(len(self.ids)):
+            if tile.bound(self.q[i], self.table[i]) >= self.floors[i]:
+                self.visited[i] += 1
+                self._look(i, tile)
+
+    def _look(self, i: int, tile: Tile) -> None:
+        """Candidates of a tile for one query, in the order of their bounds."""
+        q, floor = self.q[i], self.floors[i]
+        left = np.flatnonzero(tile.ids != self.ids[i])
         for pivots in (slice(0, FIRST_PIVOTS), slice(None)):
-            bound = upper_bounds(q, q_table[pivots], tile.squares[left], tile.table[left, pivots])
+            bound = upper_bounds(q, self.table[i][pivots], tile.squares[left], tile.table[left, pivots])
             left = left[bound >= floor]
             bound = bound[bound >= floor]
         small = (float(q @ q) * tile.most) ** 0.5 < 2.0**52
@@ -116,13 +127,20 @@ def best(q_id: int, q: np.ndarray, q_table: np.ndarray, floor: float, shelf: lis
                 now, left, bound = left, left[:0], bound[:0]
             # whole numbers below 2**53 in doubles are exact; others are added up as integers
             scores = tile.x[now] @ q if small else tile.x[now].astype(np.int64) @ q.astype(np.int64)
-            evaluated += len(now)
+            self.evaluated[i] += len(now)
             good = scores >= floor
             if good.any():
-                top = sorted([*top, *zip((-scores[good].astype(np.int64)).tolist(), tile.ids[now][good].tolist(), strict=True)])[:k]
-                if len(top) == k:
-                    floor = max(floor, -top[-1][0])
-    return top, visited, evaluated
+                found = zip((-scores[good].astype(np.int64)).tolist(), tile.ids[now][good].tolist(), strict=True)
+                self.top[i] = sorted([*self.top[i], *found])[: self.k]
+                if len(self.top[i]) == self.k:
+                    floor = max(floor, -self.top[i][-1][0])
+        self.floors[i] = floor
+
+    def rows(self) -> pa.RecordBatch:
+        found = [(q, c, -s, None, None) for q, top in zip(self.ids.tolist(), self.top, strict=True) for s, c in top]
+        found += [(q, None, None, v, e) for q, v, e in zip(self.ids.tolist(), self.visited.tolist(), self.evaluated.tolist(), strict=True)]
+        columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def _table_of(data: bytes, n: int) -> np.ndarray:
@@ -184,55 +202,93 @@ def _first_scores(queries: DataFrame, sample: dict[int, tuple[np.ndarray, np.nda
     return queries.mapInArrow(work, columns)
 
 
-def _search(vectors: DataFrame, is_query: Column, k: int, scale: int) -> DataFrame:
-    """FOUND rows: the best of each query in each shelf, and a row for each query and shelf that says how much was looked at."""
+def _tile(row: dict) -> Tile:
+    ids, _, x = unpacked(row)
+    return Tile(ids, x, _table_of(row["pivot_table"], len(x)))
+
+
+def _tile_bounds(candidates: DataFrame) -> DataFrame:
+    """tile, dim, low, high, most: what bounds all candidates of a tile at once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(r["tile"], r["dim"], t.low.tolist(), t.high.tolist(), t.most) for r in batch.to_pylist() for t in [_tile(r)]]
+            kinds = [pa.int64(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["tile", "dim", "low", "high", "most"])
+
+    return candidates.mapInArrow(work, "tile long, dim int, low array<double>, high array<double>, most double")
+
+
+def _open_pairs(queries: DataFrame, bounds: DataFrame) -> DataFrame:
+    """q_tile, tile, reach: the pairs of tiles in which a query may still find something; no vector of a candidate is looked at."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, q = unpacked(row)
+                table, floors, tiles_of = _table_of(row["pivot_table"], len(q)), np.frombuffer(row["floors"], float), row["bounds"]
+                low, high = (np.array([t[k] for t in tiles_of]).reshape(len(tiles_of), -1) for k in ("low", "high"))
+                most, reach = np.array([t["most"] for t in tiles_of]), np.full(len(tiles_of), -np.inf)
+                for i in range(len(q)):
+                    gap = np.maximum(low - table[i], table[i] - high).max(1, initial=0)
+                    own = float(q[i] @ q[i])
+                    bound = np.minimum(_bound(own, most, gap), (own * most) ** 0.5 * (1 + 1e-9) + 1e-3)
+                    reach = np.maximum(reach, np.where(bound >= floors[i], bound - max(floors[i], -1e300), -np.inf))
+                at = np.flatnonzero(reach > -np.inf)
+                columns = [pa.array(np.full(len(at), row["tile"])), pa.array([tiles_of[t]["tile"] for t in at.tolist()], pa.int64()), pa.array(reach[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["q_tile", "tile", "reach"])
+
+    # a shelf of bounds has a fixed size: tiles that follow each other in one partition of the table
+    shelf = F.struct(F.shiftright("tile", 32 + 6), F.floor(F.col("tile").bitwiseAND(2**32 - 1) * 64 / BOUND_ROWS))
+    shelves = bounds.groupBy("dim", shelf.alias("shelf")).agg(F.collect_list(F.struct("tile", "low", "high", "most")).alias("bounds"))
+    return queries.join(shelves, "dim").select(*queries.columns, "bounds").mapInArrow(work, "q_tile long, tile long, reach double")
+
+
+def _search(vectors: DataFrame, is_query: Column, k: int, scale: int) -> tuple[DataFrame, DataFrame]:
+    """FOUND rows: the best of each query in each shelf, and a row for each query and shelf that says how much was looked at; and the pairs of tiles that were moved."""
     spark = vectors.sparkSession
     whole = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * scale).cast("double"))
     sound = vectors.where(F.col("vec_id").isNotNull() & is_sound())
     own = written(sound.select(F.col("vec_id").alias("id"), F.lit(1).alias("copies"), whole.alias("v"), is_query.alias("q")), "vectors")
-    # a sample of fixed size: pivots and first scores come of it, the results don't depend on it
-    some = own.select("id", "v").orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE).collect()
-    sample = {}
-    for dim in {len(r["v"]) for r in some}:
-        rows = [r for r in some if len(r["v"]) == dim]
-        sample[dim] = np.array([r["id"] for r in rows], np.int64), np.array([r["v"] for r in rows], float).reshape(len(rows), dim)
+    # pivots and first scores come of a sample; the results don't depend on it
+    sample = sampled(own, SAMPLE, SAMPLE_VALUES)
     pivots = {dim: far_pivots(x, PIVOTS) for dim, (_, x) in sample.items() if dim}
     with batches_of(spark):
-        candidates = written(_with_table(tiles(_ordered(own, pivots), TILE_ROWS), pivots), "candidates")
-        asked = tiles(own.where("q").drop("q").dropDuplicates(["id", "v"]), QUERY_ROWS)
+        candidates = written(_with_table(tiles(_ordered(own, pivots), TILE_ROWS, TILE_VALUES), pivots), "candidates")
+        asked = tiles(own.where("q").drop("q").dropDuplicates(["id", "v"]), QUERY_ROWS, TILE_VALUES)
         queries = written(_first_scores(_with_table(asked, pivots), sample, k), "queries")
+    with batches_of(spark, 4):
+        bounds = written(_tile_bounds(candidates), "bounds")
+    with batches_of(spark, 1):  # a row holds a tile and a shelf of bounds
+        pairs = written(_open_pairs(queries, bounds), "pairs")
+
+    # the tiles of a tile of queries are dealt to shelves by their hash; a shelf is one task's work
+    shelves = pairs.groupBy("q_tile").agg(F.ceil(F.count("*") / SHELF_TILES).cast("int").alias("shelves"))
+    dealt = pairs.join(shelves, "q_tile").withColumn("shelf", F.pmod(F.xxhash64("tile"), F.col("shelves")).cast("int"))
+    columns = ["q_tile", "shelf", "reach", "tile", "dim", "n", "ids", "data", "pivot_table", "floors"]
+    theirs = dealt.select("q_tile", "shelf", "reach", "tile").join(candidates, "tile").withColumn("floors", F.lit(None).cast("binary"))
+    mine = queries.withColumnRenamed("tile", "q_tile").join(shelves, "q_tile").withColumn("shelf", F.explode(F.expr("sequence(0, shelves - 1)")))
+    mine = mine.withColumns({"tile": F.col("q_tile"), "reach": F.lit(float("inf"))})
+    work = mine.select(columns).unionByName(theirs.select(columns))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, _, q = unpacked({"n": row["q_n"], "dim": row["dim"], "ids": row["q_ids"], "data": row["q_data"]})
-                q_table, floors = _table_of(row["q_table"], len(q)), np.frombuffer(row["floors"], float)
-                shelf = []
-                for t in row["shelf"]:
-                    ids, _, x = unpacked(t | {"dim": row["dim"]})
-                    shelf.append(Tile(ids, x, _table_of(t["pivot_table"], len(x))))
-                found = []
-                for i, q_id in enumerate(q_ids.tolist()):
-                    top, visited, evaluated = best(q_id, q[i], q_table[i], floors[i], shelf, k)
-                    found += [(q_id, c, -s, None, None) for s, c in top]
-                    found.append((q_id, None, None, visited, evaluated))
-                columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in FOUND.split(", ")])
-
-    # the query set against all rows, in blocks: tiles that follow each other stand on one shelf, and a shelf and a
-    # tile of queries are one task's work of a fixed size
-    shelf = (F.shiftright("tile", 32) * 2**31 + F.floor((F.col("tile").bitwiseAND(2**32 - 1)) / SHELF_TILES)).cast("long")
-    shelves = candidates.groupBy("dim", shelf.alias("shelf_no")).agg(F.collect_list(F.struct("n", "ids", "data", "pivot_table")).alias("shelf"))
-    numbers = candidates.select("dim", shelf.alias("shelf_no")).distinct()
-    asked = queries.select(
-        F.col("tile").alias("q_tile"), F.col("dim").alias("q_dim"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"),
-        F.col("data").alias("q_data"), F.col("pivot_table").alias("q_table"), "floors",
-    )
-    pairs = numbers.join(asked.select("q_tile", "q_dim"), F.col("dim") == F.col("q_dim")).select("dim", "shelf_no", "q_tile")
-    work = pairs.repartition("shelf_no", "q_tile").join(shelves, ["dim", "shelf_no"]).join(asked.drop("q_dim"), "q_tile")
-    work = work.select("dim", "shelf", "q_n", "q_ids", "q_data", "q_table", "floors")
-    with batches_of(spark, 1):  # a row holds a shelf
-        return written(work.mapInArrow(search, FOUND), "found")
+            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
+                if row["floors"] is None:
+                    now.visit(_tile(row))
+                    continue
+                if now:
+                    yield now.rows()
+                ids, _, q = unpacked(row)
+                now = Asked(ids, q, _table_of(row["pivot_table"], len(q)), np.frombuffer(row["floors"], float), k)
+        if now:
+            yield now.rows()
+
+    ordered = work.repartition("q_tile", "shelf").sortWithinPartitions("q_tile", "shelf", F.col("floors").isNull(), F.desc("reach"), "tile")
+    with batches_of(spark, 4):
+        return written(ordered.mapInArrow(search, FOUND), "found"), pairs
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE) -> DataFrame:
@@ -246,12 +302,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE)
     id. Fewer candidates than k are all returned; an empty table gives an empty
     result. Other columns are not looked at, whatever their names.
     """
-    found = _search(vectors, is_query, k, scale).where("vec_id is not null")
+    found = _search(vectors, is_query, k, scale)[0].where("vec_id is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def work_done(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = SCALE) -> DataFrame:
-    """One row: how many tiles queries visited and how many candidates they evaluated, the rest being eliminated by bounds."""
-    return _search(vectors, is_query, k, scale).agg(F.sum("visited").alias("visited"), F.sum("evaluated").alias("evaluated"))
+    """One row: pairs of tiles that were moved, tiles that queries visited and candidates that they evaluated, the rest being eliminated by bounds."""
+    found, pairs = _search(vectors, is_query, k, scale)
+    looked = found.agg(F.sum("visited").alias("visited"), F.sum("evaluated").alias("evaluated"))
+    return looked.crossJoin(pairs.agg(F.count("*").alias("moved")))  # one row each

@@ -142,6 +142,26 @@ def test_clustered_tiles_are_passed_over(vectors, monkeypatch):
     assert top(vectors(*rows)) == plain_top(rows)
 
 
+def test_pairs_of_tiles_are_eliminated_before_they_move(vectors, monkeypatch):
+    for name, value in (("TILE_ROWS", 25), ("QUERY_ROWS", 1), ("SAMPLE", 300)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(20, 16)) * 5
+    rows = [(i, (centres[i % 20] + rng.normal(size=16) * 0.2).tolist()) for i in range(2000)]
+    near = topk.work_done(vectors(*rows), F.col("vec_id") % 100 == 0).first()["moved"]
+    apart = [(i, rng.normal(size=16).tolist()) for i in range(2000)]
+    far = topk.work_done(vectors(*apart), F.col("vec_id") % 100 == 0).first()["moved"]
+    assert near < 0.6 * far and top(vectors(*apart)) == plain_top(apart)
+
+
+def test_long_vectors(vectors, monkeypatch):
+    monkeypatch.setattr(topk, "TILE_VALUES", 2**16)
+    monkeypatch.setattr(topk, "SAMPLE_VALUES", 2**16)
+    rng = np.random.default_rng(13)
+    rows = [(i, np.round(v, 2).tolist()) for i, v in enumerate(rng.normal(size=(210, 4096)))]
+    assert top(vectors(*rows)) == plain_top(rows)
+
+
 def test_bounds_hold_every_score():
     rng = np.random.default_rng(3)
     q, x = np.floor(1024 * rng.normal(size=(5, 8))), np.floor(1024 * rng.normal(size=(400, 8)))
