@@ -48,22 +48,29 @@ def first_match(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
+# How attributes and payment details write numbers of deals, contracts and invoices, words of a reversal, and an account with its currency.
+DEAL_ATTRIBUTE, DEAL_IN_DETAILS = r"D:\s*(\d+)", r"(?iu)сд\.?\s*№\s*(\d+)"
+CONTRACT_ATTRIBUTE, INVOICE_IN_DETAILS = r"C:\s*(\d+)", r"(?iu)с/ф\.?\s*№\s*([^\s,]+)"
+REVERSAL = "(?iu)возврат|qaytar|қайтар"
+ACCOUNT_DIGITS, ACCOUNT_CURRENCY = r"(\d+)\s*\(", r"\(([A-Za-z]{3})\)"
+
+
 def deal_number(attributes: Column, details: Column) -> Column:
-    return F.coalesce(first_match(attributes, r"D:\s*(\d+)"), first_match(details, r"(?iu)сд\.?\s*№\s*(\d+)"))
+    return F.coalesce(first_match(attributes, DEAL_ATTRIBUTE), first_match(details, DEAL_IN_DETAILS))
 
 
 def clearing_contract(attributes: Column) -> Column:
-    return first_match(attributes, r"C:\s*(\d+)")
+    return first_match(attributes, CONTRACT_ATTRIBUTE)
 
 
 def invoice_number(number: Column, details: Column) -> Column:
-    return F.coalesce(number, first_match(details, r"(?iu)с/ф\.?\s*№\s*([^\s,]+)"))
+    return F.coalesce(number, first_match(details, INVOICE_IN_DETAILS))
 
 
 def is_reversal(details: Column) -> Column:
-    return F.coalesce(details, F.lit("")).rlike("(?iu)возврат|qaytar|қайтар")
+    return F.coalesce(details, F.lit("")).rlike(REVERSAL)
 
 
 def bank_account(text: Column) -> tuple[Column, Column]:
     """The digits and the currency of `<digits> (CUR)`."""
-    return first_match(text, r"(\d+)\s*\("), first_match(text, r"\(([A-Za-z]{3})\)")
+    return first_match(text, ACCOUNT_DIGITS), first_match(text, ACCOUNT_CURRENCY)

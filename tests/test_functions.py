@@ -139,3 +139,19 @@ def test_years_and_digits_that_are_no_dates(spark):
     assert all(value(spark, dates.is_impossible, x) for x in no)
     yes = {"32874": (1990, 1, 1), "73415": (2100, 12, 31), "2024-01-05T9:30": (2024, 1, 5), "5.1.24": (2024, 1, 5)}
     assert {x: value(spark, dates.date, x) for x in yes} == {x: datetime.date(*d) for x, d in yes.items()}
+
+
+def test_a_date_read_once(spark):
+    rows = spark.createDataFrame([(x,) for x in ("11.09.2026 10:15", "31.02.2026", "", None, "25000", "46276")], "t string")
+    got = rows.select(dates.read(F.col("t")).alias("r"), dates.datetime(F.col("t")).alias("at"), dates.is_impossible(F.col("t")).alias("bad")).collect()
+    assert all((r["r"]["at"], r["r"]["impossible"]) == (r["at"], r["bad"]) for r in got)
+
+
+def test_latin_of_texts_with_and_without_cyrillic(spark):
+    assert [value(spark, text.latin, x) for x in ("Фермер ALFA", "ALFA Ҳўжалик", "ÉALFA x", "", None)] == ["fermer alfa", "alfa ho'jalik", "éalfa x", "", None]
+
+
+def test_the_clock_of_a_zone(spark):
+    now = spark.range(1).select(dates.business_now("Asia/Tashkent").alias("t")).first()["t"]
+    utc = datetime.datetime.now(datetime.UTC).replace(tzinfo=None)
+    assert abs((now - datetime.timedelta(hours=5) - utc).total_seconds()) < 120
