@@ -181,15 +181,15 @@ def redacted(
     # one row of those that repeat stands for all
     first = rows.groupBy(*keys).agg(F.min("row").alias("row"))
     held = _masks(spans).join(first, "row").select(*keys, F.col("block").alias("_tallyfield_block"), "masks")
-    marked = held.select(*keys).distinct().withColumn("_tallyfield_held", F.lit(True))
-    keyed = docs.withColumns(keys).join(marked, list(keys), "left")
+    keyed = docs.withColumns(keys)
     blocks = F.posexplode(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).alias("_tallyfield_block", "_tallyfield_text")
     # only texts that hold spans are cut, each once, and every block is masked by itself
-    texts = written(keyed.where("_tallyfield_held").dropDuplicates(list(keys)).select(*keys, "text"), "held").select(*keys, blocks)
-    done = texts.join(held, [*keys, "_tallyfield_block"], "left").select(*keys, F.struct("_tallyfield_block", _masked(F.col("_tallyfield_text"), F.col("masks")).alias("t")).alias("b"))
-    whole = done.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["t"]), "").alias("_tallyfield_masked"))
-    text = F.when(F.col("_tallyfield_held"), F.col("_tallyfield_masked")).otherwise(F.col("text"))
-    return keyed.join(whole, list(keys), "left").withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
+    marked = keyed.join(held.select(*keys).distinct(), list(keys), "left_semi").select(*keys, "text").dropDuplicates(list(keys))
+    done = written(marked, "held").select(*keys, blocks).join(held, [*keys, "_tallyfield_block"], "left")
+    block = F.struct("_tallyfield_block", _masked(F.col("_tallyfield_text"), F.col("masks")).alias("t")).alias("b")
+    whole = done.select(*keys, block).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda b: b["t"]), "").alias("_tallyfield_masked"))
+    # the whole corpus meets the masked texts once
+    return keyed.join(whole, list(keys), "left").withColumn("text", F.coalesce("_tallyfield_masked", "text")).select(*[f"`{c}`" for c in docs.columns])
 
 
 def _masks(spans: DataFrame) -> DataFrame:
