@@ -123,9 +123,11 @@ OPENINGS = (
     "this software is licensed under the", "this program is licensed under the", "this file is licensed under the", "this library is licensed under the", "this code is licensed under the",
 )
 for _id, _names in NAMES.items():
-    _said = [f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', _id.lower())}", *(f"{_o} {_n}" for _o in OPENINGS for _n in _names)]
-    WORDINGS |= {_s: (f"named-{_id}",) for _s in _said if _s not in WORDINGS and _s not in SENTENCES.values()}
+    # an identifier is the sentence, its notices are other wordings of it
+    SENTENCES[f"named-{_id}"] = f"spdx license identifier {re.sub('[^a-z0-9]+', ' ', _id.lower())}"
     RULES.append((_id, (f"named-{_id}",)))
+for _id, _names in NAMES.items():
+    WORDINGS |= {_s: (f"named-{_id}",) for _s in (f"{_o} {_n}" for _o in OPENINGS for _n in _names) if _s not in WORDINGS and _s not in SENTENCES.values()}
 #: Every known sentence has one of these words, so a text without them needs no cutting.
 MARK = "(?i)licen[cs]|permi|software|distribut|warrant|copyright"
 #: A known sentence may begin and end where . ! ? or : stands before white space, and at every line break.
