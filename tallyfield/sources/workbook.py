@@ -1,19 +1,23 @@
-"""Workbooks (.xlsx) as a Spark data source, with the standard library alone.
+"""Workbooks (.xlsx) as Spark jobs, with the standard library alone.
 
-    spark.dataSource.register(WorkbookSource)
-    spark.read.format("workbook").option("kind", "basket").load("/data/basket.xlsx")
+    read_workbooks(spark, "/data/basket.xlsx", "basket")
 
-A workbook's first matching sheet is read. Its XML is cut into ranges, a task each: of PART_BYTES, or of fewer where the option `tasks`
-names more tasks than such ranges would give. A row belongs to the range in which its tag begins. For flat kinds the header row is the one among the first thirty with most known headers, and columns bind by
-header text; the ledger's header has two levels, and columns bind by both. All cells
-are text, as written or as the formula's cached result; an error cell is null and named in `bad_cells`. A row with a total's label, and
-without what numbers or dates a row of its kind, is given back as a footer. Parsing of numbers and
-dates is left to column expressions, so that it runs in the JVM.
+A workbook's first matching sheet is read. One task for each workbook inflates it, once from end to end, and cuts its XML into ranges of
+whole rows; a range takes along the layout of its sheet and the shared strings that it names, so ranges need nothing but
+themselves, are dealt out to all tasks, and are parsed there. Work grows with the bytes of the sheets. For flat kinds the header row is
+the one among the first thirty with most known headers, and columns bind by header text; the ledger's header has two levels, and columns
+bind by both. All cells are text, as written or as the formula's cached result; an error cell is null and named in `bad_cells`. A row with
+a total's label, and without what numbers or dates a row of its kind, is given back as a footer. Parsing of numbers and dates is left to
+column expressions, so that it runs in the JVM.
+
+`spark.read.format("workbook").option("kind", "basket")`, after registering WorkbookSource, gives the same rows with a map of fields. Its
+tasks, of PART_BYTES or of fewer where the option `tasks` names more of them, share no data, so each inflates the sheet up to its own rows.
 """
 
 from __future__ import annotations
 
 import os
+import pickle
 import re
 import zipfile
 from collections.abc import Iterator
@@ -32,13 +36,16 @@ from ..functions.numbers import number
 from ..functions.text import clean
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_ROW, _VALUE, _INLINE = f"{_MAIN}row", f"{_MAIN}v", f"{_MAIN}is"
+_ROW, _VALUE, _INLINE, _STRING = f"{_MAIN}row", f"{_MAIN}v", f"{_MAIN}is", f"{_MAIN}si"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 HEADER_ROWS = 30
 WIDE_MERGE = 10
-BATCH_ROWS = 5000
-#: Bytes of a sheet's XML that a task parses at most and, where there are tasks to spare, at least; bytes that it inflates at a time.
-PART_BYTES, LEAST_PART_BYTES, BLOCK_BYTES = 16 * 2**20, 4 * 2**20, 2**20
+#: Bytes of workbooks, as they lie there, whose ranges a task parses at most and, where there are tasks to spare, at least.
+SHARE_BYTES, LEAST_SHARE_BYTES = 2 * 2**20, 2**18
+#: Bytes of XML that are inflated at a time: about what a range holds.
+BLOCK_BYTES = 2**20
+#: Bytes of a sheet's XML that a task of the data source reads at most and, where there are tasks to spare, at least.
+PART_BYTES, LEAST_PART_BYTES = 16 * 2**20, 4 * 2**20
 # Labels of totals rows, headers of the column that numbers rows, and the header over the farmers' names.
 TOTALS = re.compile(r"^\s*(жами|итого|всего|хаммаси|jami|total)\s*:?\s*$", re.I)
 ROW_NUMBER = re.compile(r"^(№|n\s*/\s*p|t\s*/\s*r|#)$", re.I)
@@ -152,9 +159,48 @@ def listed(path: str) -> list[str]:
     return files
 
 
+def _size(path: str) -> int:
+    store, place = _store(path)
+    return store.get_file_info(place).size or 0
+
+
+#: A range of a workbook on its way to the task that parses it.
+RANGE = pa.schema({"file": pa.string(), "kind": pa.string(), "layout": pa.binary(), "xml": pa.binary(), "numbers": pa.list_(pa.int32()), "strings": pa.list_(pa.string())})
 Row = tuple[int, dict[int, str], list[int]]
 
 
+def _text(node: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
+
+
+def _row(node: ElementTree.Element, columns: dict[str, int], strings: list[str] | dict[int, str]) -> Row:
+    """A row's number, texts and error cells. columns: what the letters seen so far stand for."""
+    cells, bad, digits = {}, [], len(node.get("r", ""))
+    for n, c in enumerate(node):
+        letters = c.get("r", "")[:-digits] if digits else ""
+        at = columns.get(letters)
+        if at is None:
+            at = columns[letters] = column_index(letters) if letters else n
+        for part in c:  # a formula may stand before its result
+            tag = part.tag
+            if tag == _VALUE:
+                kind = c.get("t")
+                if kind == "e":
+                    bad.append(at)
+                elif (text := strings[int(part.text)] if kind == "s" else part.text) is not None:
+                    cells[at] = text
+                break
+            if tag == _INLINE:
+                if text := part[0].text if len(part) == 1 else _text(part):
+                    cells[at] = text
+                break
+    return int(node.get("r", 0)), cells, bad
+
+
+def _rows_of(xml: bytes, columns: dict[str, int], strings: list[str] | dict[int, str]) -> Iterator[Row]:
+    return (_row(node, columns, strings) for node in ElementTree.fromstring(xml) if node.tag == _ROW)
+
+
 class Workbook:
     """Sheets of an .xlsx file as rows of text."""
 
@@ -162,7 +208,7 @@ class Workbook:
         store, place = _store(path)
         self.zip = zipfile.ZipFile(store.open_input_file(place))
         names = self.zip.namelist()
-        self.strings = [self._text(x) for x in self._xml("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        self.strings = self._shared_strings("xl/sharedStrings.xml") if "xl/sharedStrings.xml" in names else []
         places = {r.get("Id"): r.get("Target") for r in self._xml("xl/_rels/workbook.xml.rels")}
         sheets = self._xml("xl/workbook.xml").find(f"{_MAIN}sheets")
         self.sheets = {s.get("name"): "xl/" + places[s.get(_REL)].removeprefix("/xl/") for s in sheets}
@@ -171,31 +217,14 @@ class Workbook:
     def _xml(self, name: str) -> ElementTree.Element:
         return ElementTree.fromstring(self.zip.read(name))
 
-    @staticmethod
-    def _text(node: ElementTree.Element) -> str:
-        return "".join(t.text or "" for t in node.iter(f"{_MAIN}t"))
-
-    def _row(self, node: ElementTree.Element) -> Row:
-        cells, bad, digits, columns, strings = {}, [], len(node.get("r", "")), self.columns, self.strings
-        for n, c in enumerate(node):
-            letters = c.get("r", "")[:-digits] if digits else ""
-            at = columns.get(letters)
-            if at is None:
-                at = columns[letters] = column_index(letters) if letters else n
-            for part in c:  # a formula may stand before its result
-                tag = part.tag
-                if tag == _VALUE:
-                    kind = c.get("t")
-                    if kind == "e":
-                        bad.append(at)
-                    elif (text := strings[int(part.text)] if kind == "s" else part.text) is not None:
-                        cells[at] = text
-                    break
-                if tag == _INLINE:
-                    if text := part[0].text if len(part) == 1 else self._text(part):
-                        cells[at] = text
-                    break
-        return int(node.get("r", 0)), cells, bad
+    def _shared_strings(self, name: str) -> list[str]:
+        texts = []
+        with self.zip.open(name) as f:
+            for _, node in ElementTree.iterparse(f):
+                if node.tag == _STRING:
+                    texts.append(_text(node))
+                    node.clear()
+        return texts
 
     def size(self, sheet: str) -> int:
         """Bytes of a sheet's XML."""
@@ -203,6 +232,18 @@ class Workbook:
 
     def rows(self, sheet: str, low: int = 0, high: int | None = None) -> Iterator[Row]:
         """(row number, text by column, columns with errors) of the rows that begin in a range of the XML's bytes, read as a stream."""
+        for xml in self.ranges(sheet, low, high):
+            yield from _rows_of(xml, self.columns, self.strings)
+
+    def named_strings(self, xml: bytes) -> dict[int, str]:
+        """The shared strings that a range may name, by number: whatever value is the number of one."""
+        if not self.strings:
+            return {}
+        numbers = np.unique(np.array(re.findall(rb">\s*(\d{1,9})\s*</(?:\w+:)?v>", xml), np.int64))
+        return {n: self.strings[n] for n in numbers[numbers < len(self.strings)].tolist()}
+
+    def ranges(self, sheet: str, low: int = 0, high: int | None = None) -> Iterator[bytes]:
+        """The rows that begin in a range of the XML's bytes as documents of whole rows, about a block each, in one pass over the sheet."""
         with self.zip.open(self.sheets[sheet]) as f:
             held, at = f.read(BLOCK_BYTES), 0  # at: where held begins
             root = re.search(rb"<(?:(\w+):)?worksheet[^>]*>", held)
@@ -223,9 +264,8 @@ class Workbook:
                     over = cut if 0 <= cut and (last < 0 or cut < last) else last
                     # without an end in sight, the last row that has begun waits for the next block
                     some = held[: over if over >= 0 else max(held.rfind(tag), 0)]
-                    for node in ElementTree.fromstring(top + some + bottom) if some else ():
-                        if node.tag == _ROW:
-                            yield self._row(node)
+                    if some:
+                        yield top + some + bottom
                     held, at = held[len(some) :], at + len(some)
                     if over >= 0:
                         return
@@ -391,11 +431,6 @@ def kind_of_content(book: Workbook) -> str | None:
     return hits[0] if len(hits) == 1 else None
 
 
-class _Part(InputPartition):
-    def __init__(self, path: str, kind: str, sheet: str, low: int, high: int):
-        self.path, self.kind, self.sheet, self.low, self.high = path, kind, sheet, low, high
-
-
 def _sheet_of(book: Workbook, path: str, kind: str) -> tuple[str, str]:
     kind = kind or kind_of_name(path) or kind_of_content(book) or ""
     if not kind:
@@ -403,6 +438,58 @@ def _sheet_of(book: Workbook, path: str, kind: str) -> tuple[str, str]:
     return kind, next((s for s in book.sheets if header_key(s) == kind), next(iter(book.sheets)))
 
 
+def _cut(path: str, kind: str, low: int = 0, high: int | None = None) -> Iterator[dict[str, object]]:
+    """The ranges of a workbook's rows that begin between two bytes, each with all that parsing it takes."""
+    book = Workbook(path)
+    kind, sheet = _sheet_of(book, path, kind)
+    layout = pickle.dumps(BINDERS[kind](book, sheet) if kind in BINDERS else bind(book, sheet, kind))
+    for xml in book.ranges(sheet, low, high):
+        strings = book.named_strings(xml)
+        yield {"file": os.path.basename(path), "kind": kind, "layout": layout, "xml": xml, "numbers": list(strings), "strings": list(strings.values())}
+
+
+def _parsed(part: dict[str, object], wide: list[str] | None) -> pa.RecordBatch:
+    """The rows of a range as a batch; its fields as columns of the names in wide, or as a map."""
+    layout, kind = pickle.loads(part["layout"]), part["kind"]
+    fields = layout.fields
+    at = {f: c for c, f in fields.items()}
+    numbered = at.get(NUMBERED_BY.get(kind, ""), layout.number_column)
+    labels = {layout.number_column, *sorted(fields)[:3], *[at[f] for f in ("farmer_name", "account_name", "counterparty_account", "tx_id") if f in at]} - (
+        {numbered} if kind in NUMBERED_BY else set()
+    )
+    numbers, values, errors, kinds = [], [], [], []
+    for number, cells, bad in _rows_of(part["xml"], {}, dict(zip(part["numbers"], part["strings"], strict=True))):
+        if number <= layout.header:
+            continue
+        found = {fields[c]: text for c, text in cells.items() if c in fields}
+        if not found:
+            continue
+        # what numbers a row is missing there, or is the label itself
+        number_text = cells.get(numbered, "").strip()
+        plain = not number_text or bool(TOTALS.match(number_text))
+        numbers.append(number)
+        values.append(found)
+        errors.append([fields[c] for c in bad if c in fields])
+        kinds.append("footer" if plain and any(TOTALS.match(cells.get(c, "")) for c in labels) else "data")
+    n, texts = len(numbers), pa.list_(pa.string())
+    if wide is None:
+        ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+        keys, items = pa.array([k for v in values for k in v], pa.string()), pa.array([x for v in values for x in v.values()], pa.string())
+        shown = {"values": pa.MapArray.from_arrays(pa.array(ends), keys, items)}
+    else:
+        shown = {f: pa.array([v.get(f) for v in values], pa.string()) for f in wide}
+    columns = {
+        "file": pa.array([part["file"]] * n, pa.string()), "kind": pa.array([kind] * n, pa.string()), "source_row": pa.array(numbers, pa.int32()), **shown,
+        "bad_cells": pa.array(errors, texts), "unknown_headers": pa.array([layout.unknown] * n, texts), "row_kind": pa.array(kinds, pa.string()), "notes": pa.array([layout.notes] * n, texts),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+class _Part(InputPartition):
+    def __init__(self, path: str, kind: str, low: int, high: int):
+        self.path, self.kind, self.low, self.high = path, kind, low, high
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.kind, self.path, self.tasks = options.get("kind", ""), options["path"], int(options.get("tasks", 1))
@@ -412,49 +499,17 @@ class _Reader(DataSourceReader):
         for path in listed(self.path):
             book = Workbook(path)
             kind, sheet = _sheet_of(book, path, self.kind)
-            sheets.append((path, kind, sheet, book.size(sheet)))
+            sheets.append((path, kind, book.size(sheet)))
         share = -(-sum(size for *_, size in sheets) // self.tasks)
         step = min(PART_BYTES, max(LEAST_PART_BYTES, share))
-        return [_Part(path, kind, sheet, low, low + step) for path, kind, sheet, size in sheets for low in range(0, size, step)]
+        return [_Part(path, kind, low, low + step) for path, kind, size in sheets for low in range(0, size, step)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        book = Workbook(part.path)
-        layout = BINDERS[part.kind](book, part.sheet) if part.kind in BINDERS else bind(book, part.sheet, part.kind)
-        fields = layout.fields
-        at = {f: c for c, f in fields.items()}
-        numbered = at.get(NUMBERED_BY.get(part.kind, ""), layout.number_column)
-        labels = {layout.number_column, *sorted(layout.fields)[:3], *[at[f] for f in ("farmer_name", "account_name", "counterparty_account", "tx_id") if f in at]} - (
-            {numbered} if part.kind in NUMBERED_BY else set()
-        )
-        held: list[tuple[int, dict[str, str], list[str], str]] = []
-        for number, cells, bad in book.rows(part.sheet, part.low, part.high):
-            if number <= layout.header:
-                continue
-            values = {fields[c]: text for c, text in cells.items() if c in fields}
-            if not values:
-                continue
-            # what numbers a row is missing there, or is the label itself
-            number_text = cells.get(numbered, "").strip()
-            plain = not number_text or bool(TOTALS.match(number_text))
-            total = plain and any(TOTALS.match(cells.get(c, "")) for c in labels)
-            held.append((number, values, [fields[c] for c in bad if c in fields] if bad else [], "footer" if total else "data"))
-            if len(held) >= BATCH_ROWS:
-                yield self._batch(part, held, layout)
-                held = []
-        if held:
-            yield self._batch(part, held, layout)
-
-    @staticmethod
-    def _batch(part: _Part, rows: list[tuple[int, dict[str, str], list[str], str]], layout: Layout) -> pa.RecordBatch:
-        numbers, values, bad, kinds = zip(*rows, strict=True)
-        ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-        mapped = pa.MapArray.from_arrays(pa.array(ends), pa.array([k for v in values for k in v]), pa.array([x for v in values for x in v.values()]))
-        n, texts = len(rows), pa.list_(pa.string())
-        columns = [
-            pa.array([os.path.basename(part.path)] * n), pa.array([part.kind] * n), pa.array(numbers, pa.int32()), mapped, pa.array(bad, texts),
-            pa.array([layout.unknown] * n, texts), pa.array(kinds), pa.array([layout.notes] * n, texts),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["file", "kind", "source_row", "values", "bad_cells", "unknown_headers", "row_kind", "notes"])
+        return (_parsed(some, None) for some in _cut(part.path, part.kind, part.low, part.high))
+
+
+def _schema(fields: str) -> str:
+    return f"file string, kind string, source_row int, {fields}, bad_cells array<string>, unknown_headers array<string>, row_kind string, notes array<string>"
 
 
 class WorkbookSource(DataSource):
@@ -465,7 +520,7 @@ class WorkbookSource(DataSource):
         return "workbook"
 
     def schema(self) -> str:
-        return "file string, kind string, source_row int, values map<string,string>, bad_cells array<string>, unknown_headers array<string>, row_kind string, notes array<string>"
+        return _schema("values map<string,string>")
 
     def reader(self, schema: object) -> _Reader:
         return _Reader(self.options)
@@ -475,12 +530,28 @@ def fields_of(kind: str) -> list[str]:
     return [name for name, _, _ in LEDGER] if kind == "ledger" else list(KINDS[kind])
 
 
+def _read(spark: SparkSession, path: str, kind: str, wide: list[str] | None) -> DataFrame:
+    """All rows of the workbooks that path names: a task for each workbook cuts it, and as many as their bytes ask for parse the ranges."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (pa.RecordBatch.from_pylist([part], RANGE) for batch in batches for path in batch.column(0).to_pylist() for part in _cut(path, kind))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (_parsed(part, wide) for batch in batches for i in range(batch.num_rows) for part in batch.slice(i, 1).to_pylist())
+
+    files, spare = listed(path), spark.sparkContext.defaultParallelism
+    total = sum(_size(f) for f in files)
+    share = min(SHARE_BYTES, max(LEAST_SHARE_BYTES, -(-total // spare)))
+    named = spark.createDataFrame([(f,) for f in files], "path string")
+    each = named.coalesce(1) if len(files) == 1 else named.repartition(len(files))
+    ranges = each.mapInArrow(cut, "file string, kind string, layout binary, xml binary, numbers array<int>, strings array<string>")
+    fields = "values map<string,string>" if wide is None else ", ".join(f"{f} string" for f in wide)
+    return ranges.repartition(max(1, -(-total // share))).mapInArrow(parse, _schema(fields))
+
+
 def read_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """All rows of one kind of workbook, footers among them, with a column for each of its fields."""
-    spark.dataSource.register(WorkbookSource)
-    rows = spark.read.format("workbook").option("kind", kind).option("tasks", spark.sparkContext.defaultParallelism).load(path)
-    fields = [F.try_element_at("values", F.lit(f)).alias(f) for f in fields_of(kind)]
-    return rows.select("file", "source_row", *fields, "bad_cells", "unknown_headers", "row_kind", "notes")
+    return _read(spark, path, kind, fields_of(kind)).drop("kind")
 
 
 def read_workbooks(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -523,8 +594,7 @@ def read_day_report(spark: SparkSession, path: str, first_section: str = "") ->
     A row with a number is a farmer's. Rows without one are totals, a place, or the name of a section; a place without a section
     before it belongs to first_section, and a section of several places ends at its total. Weights stand in tons.
     """
-    spark.dataSource.register(WorkbookSource)
-    rows = spark.read.format("workbook").option("kind", "days").option("tasks", spark.sparkContext.defaultParallelism).load(path)
+    rows = _read(spark, path, "days", None)
     name = clean(F.try_element_at("values", F.lit("name")))
     named = rows.select("file", "source_row", "values", name.alias("name"), number(F.try_element_at("values", F.lit("number"))).isNotNull().alias("numbered")).where("name <> ''")
     low = F.lower("name")

@@ -204,3 +204,52 @@ def test_day_blocks_of_a_hand_made_report(spark, tmp_path):
     write(tmp_path / "other.xlsx", [["a", "b"]])
     with pytest.raises(workbook.MissingColumns):
         workbook.bind_days(workbook.Workbook(str(tmp_path / "other.xlsx")), "Sheet1")
+
+
+def _with_shared_strings(path, names):
+    """A basket whose texts are shared strings, some of them in runs, with numbers that look like theirs beside them."""
+    heads = ["Farmer", "Tax ID", "Contract", "Conditioned kg"]
+    texts = heads + sorted(set(names))
+    strings = "".join(f"<si><r><t>{t[:2]}</t></r><r><t>{t[2:]}</t></r></si>" if i % 2 else f"<si><t>{t}</t></si>" for i, t in enumerate(texts))
+    number = {t: i for i, t in enumerate(texts)}
+    rows = '<row r="1">' + "".join(f'<c r="{letters(c)}1" t="s"><v>{number[h]}</v></c>' for c, h in enumerate(heads)) + "</row>"
+    rows += "".join(f'<row r="{r}"><c t="s" r="A{r}"><f>A{r}</f><v> {number[n]} </v></c><c r="B{r}"><v>{r}</v></c><c r="D{r}"><v>{r * 10}</v></c></row>' for r, n in enumerate(names, 2))
+    write(path, [])
+    with zipfile.ZipFile(path) as z:
+        kept = {n: z.read(n) for n in z.namelist() if "sheet1" not in n}
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for n, data in kept.items():
+            z.writestr(n, data)
+        z.writestr("xl/sharedStrings.xml", f"<sst {_NS}>{strings}</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"{_HEAD}<worksheet {_NS}><sheetData>{rows}</sheetData></worksheet>")
+
+
+def test_ranges_take_the_shared_strings_they_name_along(tmp_path, monkeypatch):
+    names = [f"FARM {i % 37}" for i in range(400)]
+    _with_shared_strings(tmp_path / "basket.xlsx", names)
+    monkeypatch.setattr(workbook, "BLOCK_BYTES", 1000)
+    parts = list(workbook._cut(str(tmp_path / "basket.xlsx"), "basket"))
+    assert len(parts) > 20 and all(len(p["strings"]) < 41 for p in parts[1:])
+    rows = [r for p in parts for r in workbook._parsed(p, ["farmer_name", "tax_id"]).to_pylist()]
+    assert [(r["source_row"], r["farmer_name"], r["tax_id"]) for r in rows] == [(r, n, str(r)) for r, n in enumerate(names, 2)]
+
+
+def test_a_sheet_is_inflated_a_fixed_number_of_times(tmp_path, monkeypatch):
+    """Work grows with the sheet: its bytes are read once for the layout's merges and once for the ranges, however many ranges there are."""
+    write(tmp_path / "basket.xlsx", [BASKET[1], *[[f"FARM {i}", "11", "501", i, "1.0", None] for i in range(3000)]])
+    read = []
+    plain = zipfile.ZipExtFile.read
+    monkeypatch.setattr(zipfile.ZipExtFile, "read", lambda self, n=-1: (lambda out: read.append(len(out)) or out)(plain(self, n)))
+    monkeypatch.setattr(workbook, "BLOCK_BYTES", 4000)
+    parts = sum(1 for _ in workbook._cut(str(tmp_path / "basket.xlsx"), "basket"))
+    size = workbook.Workbook(str(tmp_path / "basket.xlsx")).size("Sheet1")
+    assert parts > 50 and sum(read) < 2.3 * size + 20_000
+
+
+def test_a_folder_of_workbooks_gives_the_rows_of_the_source(spark, tmp_path):
+    _with_shared_strings(tmp_path / "a basket.xlsx", [f"FARM {i}" for i in range(50)])
+    write(tmp_path / "b basket.xlsx", BASKET)
+    got = {(r["file"], r["source_row"], r["farmer_name"], r["conditioned_kg"], r["row_kind"]) for r in workbook.read_rows(spark, str(tmp_path), "basket").collect()}
+    spark.dataSource.register(workbook.WorkbookSource)
+    source = spark.read.format("workbook").option("kind", "basket").option("tasks", 4).load(str(tmp_path)).collect()
+    assert got == {(r["file"], r["source_row"], r["values"].get("farmer_name"), r["values"].get("conditioned_kg"), r["row_kind"]) for r in source} and len(got) == 53
