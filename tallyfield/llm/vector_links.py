@@ -32,6 +32,10 @@ TILE_VALUES = 2**19
 CELL_ROWS = 65_536
 MOST_CELLS = 2048
 SAMPLE_PER_CELL = 8
+#: Components of that sample at most, as the driver holds it: 32 MB.
+SAMPLE_VALUES = 2**22
+#: Parts that the rows of a component are dealt to when its id is joined to them.
+SALT = 64
 #: Tiles that a block of a cell has on average; two blocks are one task's work.
 BLOCK_TILES = 8
 #: Components of a vector whose products of codes add up exactly in single precision: 127 * 127 * 1024 < 2**24.
@@ -124,28 +128,44 @@ def forest(i: np.ndarray, j: np.ndarray, rows: np.ndarray, columns: np.ndarray)
     return first[differ], other[differ]
 
 
-def _centres(classes: DataFrame, cells: int) -> dict[int, np.ndarray]:
-    """Unit centres by length of vector: far ones of a bounded sample, each farthest from those before it."""
+def _open_cells(units: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home cell of each unit vector, and which cells the bisectors leave open for partners of it, home among them."""
+    near = units @ centres.T
+    own = near.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * (centres @ centres.T), 0))[own]
+    return own, near.max(1)[:, None] - near <= (np.sqrt(2 - 2 * threshold) + 1e-9) * apart + 1e-9
+
+
+def parting(units: np.ndarray, cells: int, threshold: float) -> np.ndarray:
+    """Centres among unit vectors, each farthest from those before it: as many, up to cells, as move the least data.
+
+    In c cells in which a vector stands g times on average, a tile is moved g times for each block of a cell, of which
+    there are in proportion to g / c; so g * g / c is what counts. Vectors that no cells part stay in one.
+    """
+    taken, best = [0], units @ units[0]
+    while len(taken) < min(cells, len(units)):
+        far = int(best.argmin())
+        if best[far] > 1 - 1e-9:
+            break
+        taken.append(far)
+        best = np.maximum(best, units @ units[far])
+    found = units[taken]
+    sizes = sorted({len(found) >> k or 1 for k in range(len(found).bit_length())})
+    return found[: min(sizes, key=lambda c: _open_cells(units, found[:c], threshold)[1].sum(1).mean() ** 2 / c)]
+
+
+def _centres(classes: DataFrame, cells: int, longest: int, threshold: float) -> dict[int, np.ndarray]:
+    """Centres by length of vector, from a sample bounded in rows and in components; what links does not depend on it."""
     if cells < 2:
         return {}
-    sample = classes.select("v").orderBy(F.xxhash64("v")).limit(cells * SAMPLE_PER_CELL).collect()
-    out = {}
-    for dim in {len(r["v"]) for r in sample}:
-        units = _units(np.array([r["v"] for r in sample if len(r["v"]) == dim], float))
-        taken, best = [0], units @ units[0]
-        while len(taken) < min(cells, len(units)):
-            far = int(best.argmin())
-            if best[far] > 1 - 1e-9:
-                break
-            taken.append(far)
-            best = np.maximum(best, units @ units[far])
-        out[dim] = units[taken]
-    return out
+    most = min(cells * SAMPLE_PER_CELL, max(1, SAMPLE_VALUES // longest))
+    sample = classes.select("v").orderBy(F.xxhash64("v")).limit(most).collect()
+    by_length = {dim: np.array([r["v"] for r in sample if len(r["v"]) == dim], float) for dim in {len(r["v"]) for r in sample}}
+    return {dim: parting(_units(x), cells, threshold) for dim, x in by_length.items()}
 
 
 def _placed(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float) -> DataFrame:
     """Every class in its home cell and in those where it is a guest."""
-    chord = np.sqrt(2 - 2 * threshold) + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,11 +176,7 @@ def _placed(classes: DataFrame, centres: dict[int, np.ndarray], threshold: float
                 at = np.flatnonzero(dims == dim)
                 where, cell, home = np.arange(len(at)), np.zeros(len(at), int), np.ones(len(at), bool)
                 if dim in centres:
-                    c = centres[dim]
-                    near = _units(values[ends[at][:, None] + np.arange(dim)]) @ c.T
-                    own = near.argmax(1)
-                    apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[own]
-                    may = near.max(1)[:, None] - near <= chord * apart + 1e-9
+                    own, may = _open_cells(_units(values[ends[at][:, None] + np.arange(dim)]), centres[dim], threshold)
                     where, cell = np.nonzero(may)
                     home = cell == own[where]
                 some = batch.take(pa.array(at[where]))
@@ -285,25 +301,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     only where there is no other; kept then holds. Repeated rows link with each other. An
     empty table gives an empty result. Other columns are not looked at, whatever their names.
     """
-    full = F.col("embedding").cast("array<double>")
+    full = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     sound = is_sound() & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select(F.col("vec_id"), F.when(sound, full).alias("v"))
+    # equal vectors have one key, 128 bits of their components
+    keys = {k: F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v")) for k, seed in (("k1", 1), ("k2", 77))}
     grouped = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    cells = min(MOST_CELLS, -(-classes.count() // CELL_ROWS))
-    tiles = written(_tiles(_placed(classes, _centres(classes, cells), threshold)), "tiles")
+    classes = written(grouped.withColumns({**keys, "cls": F.monotonically_increasing_id()}), "classes")
+    many, longest = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    cells = min(MOST_CELLS, -(-many // CELL_ROWS))
+    tiles = written(_tiles(_placed(classes, _centres(classes, cells, longest or 1, threshold), threshold)), "tiles")
     with batches_of(vectors.sparkSession, 4):  # a row holds a tile
         found = written(_links(tiles, threshold), "links")
     parts = connected_components(found.where("b is not null").select("a", "b"))
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
-    known = classes.withColumnRenamed("cls", "node").join(counts, "node", "left").join(parts, "node", "left")
-    known = known.withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = known.join(least, "component").select(
-        F.col("v").alias("own"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
-    )
-    out = rows.join(placed, F.col("v") == F.col("own"), "left")
-    component = F.when(F.col("own").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    known = classes.select(F.col("cls").alias("node"), "copies", "least", "k1", "k2").join(counts, "node", "left")
+    within = known.join(parts, "node")
+    least = within.groupBy("component").agg(F.min("least").alias("component_id"))
+    # a large component is one key: its rows are dealt to SALT parts, and its id goes to each
+    salted = within.withColumn("_salt", F.pmod(F.col("k1"), F.lit(SALT)))
+    spread = least.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    links = (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    placed = salted.join(spread, ["component", "_salt"]).select("k1", "k2", links, "component_id")
+    placed = placed.unionByName(known.join(parts, "node", "left_anti").select("k1", "k2", links, F.col("least").alias("component_id")))
+    # rows meet their class by its key: no vector is moved a second time
+    out = rows.select("vec_id", *[c.alias(k) for k, c in keys.items()]).join(placed.withColumn("placed", F.lit(True)), ["k1", "k2"], "left")
+    component = F.when(F.col("placed"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.col("vec_id").eqNullSafe(component).alias("kept"),

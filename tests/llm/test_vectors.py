@@ -171,3 +171,30 @@ def test_bounds_hold_every_score():
         for i in range(5):
             assert (topk.upper_bounds(q[i], q_table[i], tile.squares, table) >= x @ q[i]).all()
             assert tile.bound(q[i], q_table[i]) >= (x @ q[i]).max()
+
+
+def test_cells_that_do_not_part_are_given_up():
+    """Random vectors would be guests everywhere: they stay in one cell. Vectors in clusters get cells, and few guests."""
+    rng = np.random.default_rng(3)
+    unit = vector_links._units(rng.normal(size=(500, 48)))
+    assert len(vector_links.parting(unit, 32, 0.95)) == 1
+    around = vector_links._units(np.repeat(rng.normal(size=(32, 48)), 16, axis=0) + rng.normal(size=(512, 48)) * 0.02)
+    centres = vector_links.parting(around, 32, 0.95)
+    assert len(centres) == 32 and vector_links._open_cells(around, centres, 0.95)[1].sum(1).mean() < 1.5
+
+
+def test_sample_of_centres_is_bounded_by_components(vectors, monkeypatch):
+    rows = near_rows()
+    monkeypatch.setattr(vector_links, "CELL_ROWS", 10)
+    monkeypatch.setattr(vector_links, "SAMPLE_VALUES", 16 * 5)
+    assert found(vectors(*rows)) == plain_links(rows)
+    monkeypatch.setattr(vector_links, "SAMPLE_VALUES", 1)
+    assert found(vectors(*rows)) == plain_links(rows)
+
+
+def test_a_hot_component_and_rows_of_one_vector(vectors):
+    """Rows meet their class by a key of the vector, and a component's id is joined in parts."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=12)
+    rows = [(1000 + i, base.tolist()) for i in range(90)] + [(i, (base + rng.normal(size=12) * 0.01).tolist()) for i in range(60)] + [(500, None), (501, (-base).tolist())]
+    assert found(vectors(*rows)) == plain_links(rows)
