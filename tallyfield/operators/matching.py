@@ -253,18 +253,20 @@ def match_series_or_names(left: DataFrame, right: DataFrame, left_names: DataFra
     """(left_key, right_key, way): by equal series; else by the days of the left one leading the right one, at least so many; else by name.
 
     left and right: (key, day, kg); names: (key, name). Each step takes only keys that no step before has taken, and pairs in which each is alone.
+    Leading days are told by two running sums of hashes of day and weight, 128 bits, so a series of any length costs what it is long.
     """
     days = Window.partitionBy("key").orderBy("day")
     part = lambda rows: rows.select("key", "day", F.concat_ws("=", F.col("day").cast("string"), F.col("kg").cast("string")).alias("x"))
-    leads = lambda rows: part(rows).select("key", F.count("*").over(days).alias("n"), F.concat_ws(";", F.collect_list("x").over(days)).alias("lead"))
+    so_far = lambda seed, name: F.sum(F.xxhash64(F.lit(seed), "x").cast("decimal(38,0)")).over(days).alias(name)
+    leads = lambda rows: part(rows).select("key", F.count("*").over(days).alias("n"), so_far(1, "s1"), so_far(2, "s2"))
     rest = lambda rows, done, side: rows.join(done.select(F.col(f"{side}_key").alias("key")), "key", "left_anti")
     one_to_one = lambda pairs: (
         pairs.withColumn("_l", F.count("*").over(Window.partitionBy("left_key"))).withColumn("_r", F.count("*").over(Window.partitionBy("right_key"))).where("_l = 1 and _r = 1").select("left_key", "right_key")
     )
     exact = match_series(left, right)
     whole = leads(rest(left, exact, "left"))
-    whole = whole.join(whole.groupBy("key").agg(F.max("n").alias("n")), ["key", "n"]).where(F.col("n") >= least_days).select(F.col("key").alias("left_key"), "n", "lead")
-    by_lead = one_to_one(whole.join(leads(rest(right, exact, "right")).withColumnRenamed("key", "right_key"), ["n", "lead"]).select("left_key", "right_key"))
+    whole = whole.join(whole.groupBy("key").agg(F.max("n").alias("n")), ["key", "n"]).where(F.col("n") >= least_days).select(F.col("key").alias("left_key"), "n", "s1", "s2")
+    by_lead = one_to_one(whole.join(leads(rest(right, exact, "right")).withColumnRenamed("key", "right_key"), ["n", "s1", "s2"]).select("left_key", "right_key"))
     done = exact.select("left_key", "right_key").unionByName(by_lead)
     keyed = lambda names, side: rest(names, done, side).select(F.col("key").alias(f"{side}_key"), party_key(F.col("name")).alias("_name")).where("_name <> ''")
     by_name = one_to_one(keyed(left_names, "left").join(keyed(right_names, "right"), "_name").select("left_key", "right_key"))
