@@ -12,15 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, written
+from .common import batches_of, forget, written
 
 #: Bytes of a passage; a word counts for the passage where it starts.
 PASSAGE = 512
-#: Most labelled documents that are learned from, each with all its passages.
-SAMPLE_DOCS = 6000
+#: Most labelled documents that are learned from, each with all its passages, and most bytes of their passages' features (200 a passage).
+SAMPLE_DOCS, SAMPLE_BYTES = 6000, 2**26
 HIDDEN, GATES, EPOCHS, BATCH, SEED = 24, 12, 40, 64, 42
 THRESHOLD = 0.7
 #: The classes of bytes that are counted, other bytes by their kind.
@@ -150,7 +150,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Bags and labels of at most `most` labelled documents, chosen by a hash of their ids."""
+    """Bags and labels of at most `most` labelled documents, chosen by a hash of their ids: of those, the first whose bags hold SAMPLE_BYTES at most."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("y")).where("low = y")
     some = one.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(most).select(F.col("doc_id").alias("labelled"), "y")
@@ -165,7 +165,13 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[
     # the sample has `most` rows at most, each two numbers
     mine = docs.select(F.col("doc_id"), text).join(F.broadcast(some), F.col("doc_id") == F.col("labelled"))
     rows = mine.select("doc_id", F.col("y").cast("long"), "text").mapInArrow(batches, "doc_id long, y long, bag binary")
-    found = rows.orderBy("doc_id", "bag").limit(most).collect()
+    kept = written(rows.orderBy("doc_id", "bag").limit(most), "bags")
+    # the sample has `most` rows at most: their sizes, without the bags, are added up in one task
+    sizes = kept.select("doc_id", F.octet_length("bag").alias("size")).groupBy("doc_id").agg(F.sum("size").alias("size"))
+    so_far = Window.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = sizes.withColumn("held", F.sum("size").over(so_far)).where(F.col("held") <= SAMPLE_BYTES).select("doc_id")
+    found = kept.join(F.broadcast(within), "doc_id", "left_semi").orderBy("doc_id", "bag").collect()
+    forget(kept)
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in found]
     return bags, np.array([r["y"] for r in found], float)
 

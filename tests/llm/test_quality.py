@@ -159,3 +159,19 @@ def test_all_passages_are_learned_from(spark, docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
     bags, _ = quality._sample(docs(*[(i, text) for i in range(8)]), labels, "quality", 100)
     assert bags and all((bag == quality.encoded(text.encode())).all() for bag in bags) and len(bags[0]) > 260
+
+
+def test_sample_is_bounded_by_bytes(spark, docs, monkeypatch):
+    """Documents are learned from in the order of their hashes while their bags fit; each with all its passages."""
+    table = docs(*[(i, "word " * (40 * (i % 9 + 1))) for i in range(60)])
+    labels = table.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    every, _ = quality._sample(table, labels, "quality", 100)
+    size = sum(b.nbytes for b in every)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", size // 3)
+    some, y = quality._sample(table, labels, "quality", 100)
+    assert 0 < len(some) == len(y) < len(every) and size // 6 < sum(b.nbytes for b in some) <= size // 3
+    whole = {b.tobytes() for b in every}
+    assert all(b.tobytes() in whole for b in some)
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", size)
+    again, _ = quality._sample(table, labels, "quality", 100)
+    assert len(again) == len(every) and all((a == b).all() for a, b in zip(again, every, strict=True))
