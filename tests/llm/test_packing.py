@@ -50,6 +50,29 @@ def test_tables_start_anew(monkeypatch):
     assert [[*np.frombuffer(x, "<u4").tolist(), 2] for x in enc.encode(texts)] == library_ids(BYTE, texts)
 
 
+def test_marks_are_cut_off():
+    rng = random.Random(5)
+    signs = ["aZ9é.,", "ab ., \n", "aéȀɏɐж漢ªµº×÷²½İ'.,\x01 ", "x0.,;!?\"')»”- ", "ab1.,é  \n\t"]
+    texts = ["".join(rng.choice(s) for _ in range(rng.randrange(30))) for s in signs for _ in range(600)]
+    texts += [f"{chr(c)}{m}{chr(c)} {chr(c)}{m} {m}{chr(c)}\n{chr(c)}{m}" for c in range(1, 0x260) for m in ".,"]
+    texts += ["1,000.50, x", "...", "a...", "a.,b", "a, b.\nC.", ",a", " .", "a\x01.", "\x01", " \x01,", "a \x01,b", "e.g., it's, 's. <|endoftext|", "x.<|endoftext|>,y."]
+    enc = Encoder(BYTE, False)
+    assert [[*np.frombuffer(x, "<u4").tolist(), 2] for x in enc.encode(texts)] == library_ids(BYTE, texts)
+
+
+def test_words_are_merged_once_whatever_mark_follows(monkeypatch):
+    from tallyfield.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT", 60)
+    words = ["".join(x) for x in zip("abcde" * 10, "fghij" * 10, "klmnopqrst" * 5, sorted("uvwxy" * 10), strict=True)]
+    texts = [" ".join(w + mark for w in ["x", *words]) for mark in ("", ",", ".", ",") * 3]
+    enc, merged = Encoder(BYTE, False), []
+    plain = enc._merged
+    monkeypatch.setattr(enc, "_merged", lambda signs: merged.append(signs) or plain(signs))
+    assert [[*np.frombuffer(x, "<u4").tolist(), 2] for x in enc.encode(texts)] == library_ids(BYTE, texts)
+    assert len(merged) == len(set(merged)) <= len(set(words)) + 1  # a table of 60 that keeps words with their marks merges some again
+
+
 def test_binary_lengths():
     assert packing.binary_lengths(1) == [1]
     assert packing.binary_lengths(4096 * 2 + 5) == [4096, 4096, 4, 1]
